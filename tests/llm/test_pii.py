@@ -1,0 +1,39 @@
+import random
+
+from tissueframe.llm import pii
+
+from . import brute
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(2)
+    bits = ["@", "a", "b.c", ".", "-", "+", "1", "23", "255.", "256.", "1.2.3.4", "4111 1111 1111 1111", " ", "(", ")", "+1 (212) 555-0147", "x@y.zz", "é", "_", "%", "0000", "01", "\n", "a@b", "٣"]
+    for _ in range(20_000):
+        t = "".join(rng.choices(bits, k=rng.randint(0, 14)))
+        assert pii.base_spans(t) == brute.pii(t), repr(t)
+
+
+def test_long_runs_take_linear_time():
+    for t in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1" + " " * 200_000, "+1(" * 100_000, "a@" * 100_000, "1 " * 200_000, "0" * 6000 + "1.1.1.1"):
+        pii.base_spans(t)
+
+
+def test_field_adds_secrets_and_leaves_numbers():
+    f = pii.fitted()
+    found = lambda t: [(k, t[a:b]) for a, k, b in pii.all_spans(t, f)[1]]
+    assert found('sent token = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72" with the') == [("secret", "cb1a9fee807a05366fcb8b6c95c7c565ede51a72")]
+    assert found("mail a.34@mail7.example.com or +1 (017) 555-7713 now") == [("email", "a.34@mail7.example.com"), ("phone", "+1 (017) 555-7713")]
+    assert found("call (212) 555-0147 for the order") == [("phone", "(212) 555-0147")]
+    for t in ("order 12345 of 2021", "at 12:30 the 3.14 report", "page 17 and 18", "20 years, 300 people", "the 2nd item costs $12.50"):
+        assert found(t) == []
+
+
+def test_spark_rows_and_redaction(spark):
+    rows = [(1, "Write x@y.org or 10.0.0.1.", 9), (2, None, 9), (3, "", 9), (4, "no data", 9), (4, "no data", 9), (5, "é" * 50_000 + " +1 (017) 555-7713", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii int")
+    got = pii.find_pii(df)
+    spans = {r.doc_id: [(x.kind, x.start, x.end, x.base) for x in r.pii] for r in got.collect()}
+    assert spans == {1: [("email", 6, 13, True), ("ip", 17, 25, True)], 2: [], 3: [], 4: [], 5: [("phone", 50_001, 50_018, True)]}
+    clean = {r.doc_id: r.text for r in pii.redact(got).collect()}
+    assert clean[1] == "Write [EMAIL] or [IP]." and clean[2] is None and clean[5].endswith("é [PHONE]")
+    assert pii.find_pii(df.limit(0)).count() == 0

@@ -90,8 +90,10 @@ def slices(batch: pa.RecordBatch, name: str = "text", size: int = SLICE_BYTES) -
         a = b
 
 
-def append(batch: pa.RecordBatch, columns: dict[str, pa.Array], schema: T.StructType | None = None) -> pa.RecordBatch:
-    names = [x for x in batch.schema.names if x not in columns]
+def append(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch with columns added as ``plus`` adds their fields."""
+    new = {x.lower() for x in columns}
+    names = [x for x in batch.schema.names if x.lower() not in new]
     return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *columns.values()], [*names, *columns])
 
 

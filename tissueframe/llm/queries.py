@@ -8,10 +8,10 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, quality
+from . import bpe, chat, decontam, langid, media, neardup, pii, quality, token_count, token_output
 from .common import table
 
-RANKS = path("byte_bpe_multi_50k.tiktoken")
+RANKS, PIECES = path("byte_bpe_multi_50k.tiktoken"), path("piece_bpe_32k.model")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,25 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(coded, RANKS)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    listed = "array_join(transform({}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
+    counts = [F.expr(f"cast(size(filter(pii, x -> x.base AND x.kind = '{k}')) AS long)").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    base = F.sha2(F.expr(listed.format("filter(pii, x -> x.base)")), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), F.expr(listed.format("pii")).alias("spans"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.count_tokens(docs, PIECES).select("doc_id", "n_pretokens", "n_tokens")
+
+
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_output.write_shards(table(spark, sf_dir, "documents"), RANKS)
+    rows = token_output.read_shards(spark, folder)
+    return rows.select("slot", "shard", F.col("key").alias("doc_id"), "number", "used", F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,10 +49,26 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "SELECT -1L conv_id, cast(turn AS long) turn, role, '</s>[INST] ok [/INST]' text FROM VALUES (0, 'user'), (1, 'assistant') t(turn, role)"
+    return chat.digest_conversations(chat.format_turns(turns.unionByName(spark.sql(probe))))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = media.write_media(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
+    back = media.read_media(stored)
+    return back.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), langid.held_out("doc_id", 3, 1)
     model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "quality"))
@@ -42,9 +77,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_personal_data": op2_personal_data,
+    "op3_token_counts": op3_token_counts,
+    "op4_token_shards": op4_token_shards,
     "op5_decontamination": op5_decontamination,
     "op6_language": op6_language,
+    "op7_chat": op7_chat,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_media": op9_media,
     "op10_quality": op10_quality,
 }
 
