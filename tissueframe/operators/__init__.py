@@ -1,0 +1 @@
+"""Operators over voxels, labels, meshes, maps and predictions as DataFrames."""

@@ -1,0 +1 @@
+"""Plans over voxels, labels, meshes, maps and predictions as DataFrames."""

@@ -1,0 +1 @@
+"""Sources over voxels, labels, meshes, maps and predictions as DataFrames."""
