@@ -2,33 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with the value computed once, however often fn uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _named(**columns: Column) -> Column:
+    return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+
 def eigenvalues(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> Column:
     """The eigenvalues, greatest first, as an array, by the trigonometric solution of the characteristic cubic."""
-    q = (xx + yy + zz) / 3
-    p2 = ((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6
-    p = F.sqrt(F.greatest(p2, F.lit(0.0)))
-    a, b, c = ((d - q) / p for d in (xx, yy, zz))
-    u, v, w = (o / p for o in (xy, xz, yz))
-    half = (a * (b * c - w * w) - u * (u * c - w * v) + v * (u * w - b * v)) / 2
-    angle = F.acos(F.greatest(F.least(half, F.lit(1.0)), F.lit(-1.0))) / 3
-    first = q + 2 * p * F.cos(angle)
-    last = q + 2 * p * F.cos(angle + 2 * 3.141592653589793 / 3)
-    return F.when(p <= 1e-12 * F.greatest(F.abs(q), F.lit(1e-30)), F.array(q, q, q)).otherwise(F.array(first, 3 * q - first - last, last))
+
+    def scale(m: Column) -> Column:
+        return let(_named(q=(m["xx"] + m["yy"] + m["zz"]) / 3), lambda s: let(_named(
+            q=s["q"],
+            p=F.sqrt(F.greatest(((m["xx"] - s["q"]) * (m["xx"] - s["q"]) + (m["yy"] - s["q"]) * (m["yy"] - s["q"]) + (m["zz"] - s["q"]) * (m["zz"] - s["q"]) + 2 * (m["xy"] * m["xy"] + m["xz"] * m["xz"] + m["yz"] * m["yz"])) / 6, F.lit(0.0))),
+        ), lambda t: F.when(t["p"] <= 1e-12 * F.greatest(F.abs(t["q"]), F.lit(1e-30)), F.array(t["q"], t["q"], t["q"])).otherwise(roots(m, t))))
+
+    def roots(m: Column, t: Column) -> Column:
+        unit = _named(**{n: (m[n] - t["q"]) / t["p"] for n in ("xx", "yy", "zz")}, **{n: m[n] / t["p"] for n in ("xy", "xz", "yz")})
+        half = lambda b: (b["xx"] * (b["yy"] * b["zz"] - b["yz"] * b["yz"]) - b["xy"] * (b["xy"] * b["zz"] - b["yz"] * b["xz"]) + b["xz"] * (b["xy"] * b["yz"] - b["yy"] * b["xz"])) / 2
+        angle = let(unit, lambda b: F.acos(F.greatest(F.least(half(b), F.lit(1.0)), F.lit(-1.0))) / 3)
+        ends = let(angle, lambda a: _named(first=t["q"] + 2 * t["p"] * F.cos(a), last=t["q"] + 2 * t["p"] * F.cos(a + 2 * 3.141592653589793 / 3)))
+        return let(ends, lambda e: F.array(e["first"], 3 * t["q"] - e["first"] - e["last"], e["last"]))
+
+    return let(_named(xx=xx, xy=xy, xz=xz, yy=yy, yz=yz, zz=zz), scale)
 
 
 def eigenvector(value: Column, xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> Column:
     """A unit eigenvector of an eigenvalue, as an array: the longest cross product of two rows of A - value I; the z axis
     where all vanish."""
-    rows = [(xx - value, xy, xz), (xy, yy - value, yz), (xz, yz, zz - value)]
-    cross = []
-    for i, j in ((0, 1), (0, 2), (1, 2)):
-        (a, b, c), (d, e, f) = rows[i], rows[j]
-        x, y, z = b * f - c * e, c * d - a * f, a * e - b * d
-        cross.append(F.struct((x * x + y * y + z * z).alias("n"), x.alias("x"), y.alias("y"), z.alias("z")))
-    best = F.array_max(F.array(*cross))
-    n = F.sqrt(best["n"])
-    return F.when(n > 1e-18, F.array(best["x"] / n, best["y"] / n, best["z"] / n)).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+
+    def longest(m: Column) -> Column:
+        rows = [(m["a"], m["xy"], m["xz"]), (m["xy"], m["b"], m["yz"]), (m["xz"], m["yz"], m["c"])]
+        cross = []
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            (a, b, c), (d, e, f) = rows[i], rows[j]
+            cross.append(let(_named(x=b * f - c * e, y=c * d - a * f, z=a * e - b * d), lambda v: _named(n=v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"], x=v["x"], y=v["y"], z=v["z"])))
+        axis = F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))
+        return let(F.array_max(F.array(*cross)), lambda v: F.when(v["n"] > 1e-36, F.array(*[v[k] / F.sqrt(v["n"]) for k in "xyz"])).otherwise(axis))
+
+    return let(value, lambda w: let(_named(a=xx - w, b=yy - w, c=zz - w, xy=xy, xz=xz, yz=yz), longest))

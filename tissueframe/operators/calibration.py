@@ -183,12 +183,14 @@ def lse_pool(df: DataFrame, key: list[str], value: str, r: float = 10.0) -> Data
 
 def fit_temperature(df: DataFrame, grid: list[float], z: str = "z") -> DataFrame:
     """The temperature of the grid with the least negative log-likelihood, the lower on ties; one pass over the rows."""
-    n = len(grid)
     top = F.array_max(z)
-    logs = [F.avg(F.log(_sum(F.transform(z, lambda v, t=t: F.exp((v - top) / t)))) - (F.element_at(z, F.col("y_true").cast("int") + 1) - top) / t) for t in grid]
-    row = df.agg(F.array(*logs).alias("nll"))
+
+    def loss(t: float) -> Column:
+        return F.avg(F.log(_sum(F.transform(z, lambda v: F.exp((v - top) / t)))) - (F.element_at(z, F.col("y_true").cast("int") + 1) - top) / t)
+
+    row = df.agg(F.array(*map(loss, grid)).alias("nll"))
     at = F.array_position("nll", F.array_min("nll")).cast("int")
-    return row.select(F.element_at(F.array(*map(F.lit, grid)), at).alias("temperature"), F.array_min("nll").alias("nll")) if n else row
+    return row.select(F.element_at(F.array(*map(F.lit, grid)), at).alias("temperature"), F.array_min("nll").alias("nll"))
 
 
 def fit_matrix(df: DataFrame, probs: str = "probs") -> DataFrame:

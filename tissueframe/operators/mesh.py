@@ -71,18 +71,18 @@ def vertex_neighbors(faces: DataFrame, by: list[str] | None = None) -> DataFrame
 
 def geodesic_ball(seeds: DataFrame, adjacency: DataFrame, radius: float, least: int = 3, tries: int = 26, work: Workspace | None = None) -> DataFrame:
     """Faces within ``radius`` of each seed along the mesh; where they are fewer than ``least`` the radius grows by 1, up to
-    ``tries`` times, for those seeds alone. Paths are found once, up to the widest radius a seed comes to need."""
+    ``tries`` times, for those seeds alone: they are searched once more, up to the widest radius."""
     work = work or Workspace(seeds.sparkSession)
-    done, left = None, seeds
-    for k in range(tries + 1):
-        ball = work.write(bounded_paths(left, adjacency, radius + k, work))
-        enough = ball.groupBy("seed").agg(F.count("*").alias("n")).filter((F.col("n") >= least) | F.lit(k == tries)).select("seed")
-        part = ball.join(enough, "seed", "left_semi")
-        done = part if done is None else done.unionByName(part)
-        left = work.write(left.join(enough, "seed", "left_anti"))
-        if left.isEmpty():
-            break
-    return done
+    ball = work.write(bounded_paths(seeds, adjacency, radius, work))
+    few = work.write(ball.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") < least).select("seed"))
+    if few.isEmpty():
+        return ball
+    wide = work.write(bounded_paths(few, adjacency, radius + tries, work))
+    # The radius at which the seed has enough faces: that of the face in that place, in whole steps.
+    nth = F.get(F.sort_array(F.collect_list("dist")), least - 1)
+    need = wide.groupBy("seed").agg(F.when(F.count("*") >= least, radius + F.greatest(F.ceil(nth - radius), F.lit(0))).otherwise(radius + tries).alias("_r"))
+    wider = wide.join(need, "seed").filter("dist <= _r").drop("_r")
+    return ball.join(few, "seed", "left_anti").unionByName(wider)
 
 
 def geodesic_path(seeds: DataFrame, adjacency: DataFrame, radius: float, work: Workspace | None = None) -> DataFrame:

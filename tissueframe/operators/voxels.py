@@ -97,7 +97,7 @@ def equalize_hist(df: DataFrame, by: list[str], bins: int = 256, value: str = "i
     ends = F.broadcast(df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_n")))
     rows = df.join(ends, by).withColumn("_p", F.expr(f"CASE WHEN _hi > _lo THEN ({value} - _lo) / (_hi - _lo) * {bins} ELSE 0e0 END"))
     counts = rows.groupBy(*by, F.least(F.floor("_p"), F.lit(bins - 1)).alias("_b")).agg(F.count("*").alias("c"))
-    every = ends.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("_b"))
+    every = ends.select(*by, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("_b"))
     w = W.partitionBy(*by).orderBy("_b")
     cdf = every.join(counts, [*by, "_b"], "left").withColumn("_c", F.sum(F.coalesce("c", F.lit(0))).over(w) / F.col("_n"))
     cdf = cdf.withColumn("_d", F.lead("_c", 1).over(w)).select(*by, "_b", "_c", F.coalesce("_d", "_c").alias("_d"))
@@ -204,17 +204,18 @@ def erode_ball(df: DataFrame, by: list[str], value: str, radius: int = 3) -> Dat
 def median_filter(df: DataFrame, by: list[str], value: str = "intensity") -> DataFrame:
     """Median of the 27 voxels around each, borders mirrored; dense volumes. A mirrored neighbour is the border voxel
     itself, so border rows weigh double instead of being copied."""
-    ends = df.groupBy(*by).agg(*[F.max(a).alias(f"_{a}") for a in AXES])
+    ends = df.groupBy(*by).agg(*[F.min(a).alias(f"_0{a}") for a in AXES], *[F.max(a).alias(f"_1{a}") for a in AXES])
     rows = df.join(F.broadcast(ends), by)
     for a in AXES:
         # Where a voxel goes along this axis, with how often: to itself also as the mirror image beyond its border.
-        own = f"named_struct('p', {a}, 'c', 1 + int({a} = 0) + int({a} = _{a}))"
-        rows = rows.withColumn(f"_e{a}", F.expr(f"filter(array({own}, named_struct('p', {a} - 1, 'c', 1), named_struct('p', {a} + 1, 'c', 1)), e -> e.p >= 0 AND e.p <= _{a})"))
+        own = f"named_struct('p', {a}, 'c', 1 + int({a} = _0{a}) + int({a} = _1{a}))"
+        rows = rows.withColumn(f"_e{a}", F.expr(f"filter(array({own}, named_struct('p', {a} - 1, 'c', 1), named_struct('p', {a} + 1, 'c', 1)), e -> e.p >= _0{a} AND e.p <= _1{a})"))
     for a in AXES:
         rows = rows.withColumn(f"_e{a}", F.explode(f"_e{a}"))
     count = F.col("_ex.c") * F.col("_ey.c") * F.col("_ez.c")
     placed = rows.select(*by, *[F.col(f"_e{a}.p").alias(a) for a in AXES], value, count.alias("_c"))
-    return placed.groupBy(*by, *AXES).agg(F.percentile(value, F.lit(0.5), F.col("_c")).alias(value))
+    out = placed.groupBy(*by, *AXES).agg(F.percentile(value, F.lit(0.5), F.col("_c")).alias(value))
+    return out.join(df.select(*by, *AXES), [*by, *AXES], "left_semi")
 
 
 def anisodiff(df: DataFrame, by: list[str], niter: int, kappa: float = 50.0, gamma: float = 0.1, option: int = 1, work: Workspace | None = None, value: str = "intensity") -> DataFrame:

@@ -26,24 +26,24 @@ def transfer(d):
     return A.atlas_transfer(d.fx_surface_map, M.edge_to_face(f), face_values(d), d.fx_vertices, M.vertex_neighbors(f))
 
 
-@query("snap_landmarks", """WITH n AS (SELECT * FROM fx_landmarks WHERE ord % 4 > 0) SELECT name, ord, vid, round(dist, 6) AS dist FROM (SELECT n.name, n.ord, v.vid, sqrt((n.x-v.x)*(n.x-v.x)+(n.y-v.y)*(n.y-v.y)+(n.z-v.z)*(n.z-v.z)) AS dist,
+@query("snap_landmarks", """WITH n AS (SELECT * FROM fx_landmarks WHERE name NOT LIKE 'U%') SELECT name, ord, vid, round(dist, 6) AS dist FROM (SELECT n.name, n.ord, v.vid, sqrt((n.x-v.x)*(n.x-v.x)+(n.y-v.y)*(n.y-v.y)+(n.z-v.z)*(n.z-v.z)) AS dist,
 row_number() OVER (PARTITION BY n.name ORDER BY sqrt((n.x-v.x)*(n.x-v.x)+(n.y-v.y)*(n.y-v.y)+(n.z-v.z)*(n.z-v.z)), v.vid) AS r FROM n CROSS JOIN fx_vertices v) t WHERE r = 1""")
 def _(d):
     from ..sources.files import landmarks_from_json
 
     doc = d.fx_landmarks.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", F.array("x", "y", "z"))))).alias("value"))
-    names = d.fx_landmarks.filter("ord % 4 > 0").select("name", "ord")
+    names = d.fx_landmarks.filter("name NOT LIKE 'U%'").select("name", "ord")
     return r6(A.snap_landmarks(landmarks_from_json(doc), d.fx_vertices, names, 8.0), "dist")
 
 
 CELLC = f"cc AS (SELECT cell_id, avg((x0+x1+x2)/3) AS x, avg((y0+y1+y2)/3) AS y, avg((z0+z1+z2)/3) AS z FROM ({PTS}) p GROUP BY 1)"
-CMAP = f"""{CELLC}, cmap AS (SELECT fid, cell_id, dist FROM (SELECT f.fid, c.cell_id, sqrt((f.x-c.x)*(f.x-c.x)+(f.y-c.y)*(f.y-c.y)+(f.z-c.z)*(f.z-c.z)) AS dist, row_number() OVER (PARTITION BY f.fid ORDER BY sqrt((f.x-c.x)*(f.x-c.x)+(f.y-c.y)*(f.y-c.y)+(f.z-c.z)*(f.z-c.z)), c.cell_id) AS r FROM cen f CROSS JOIN cc c WHERE c.cell_id % 3 > 0) t WHERE r = 1)"""
+CMAP = f"""{CELLC}, cmap AS (SELECT fid, cell_id, dist FROM (SELECT f.fid, c.cell_id, sqrt((f.x-c.x)*(f.x-c.x)+(f.y-c.y)*(f.y-c.y)+(f.z-c.z)*(f.z-c.z)) AS dist, row_number() OVER (PARTITION BY f.fid ORDER BY sqrt((f.x-c.x)*(f.x-c.x)+(f.y-c.y)*(f.y-c.y)+(f.z-c.z)*(f.z-c.z)), c.cell_id) AS r FROM cen f CROSS JOIN cc c WHERE c.cell_id IN (SELECT cell_id FROM fx_cells WHERE level = 'Nuclei')) t WHERE r = 1)"""
 CEN_ = f"cen AS (SELECT fid, cell_id, (x0+x1+x2)/3 AS x, (y0+y1+y2)/3 AS y, (z0+z1+z2)/3 AS z FROM ({PTS}) p)"
 
 
 def mapped(d):
     v, f = d.fx_vertices.drop("cell_id"), d.fx_faces
-    features = d.sql("SELECT cell_id, perpendicularity AS value FROM fx_cells WHERE cell_id % 3 > 0")
+    features = d.sql("SELECT cell_id, perpendicularity AS value FROM fx_cells WHERE level = 'Nuclei'")
     return A.cell_map(v, f, M.cell_centroids(v, f), features, 20.0), features
 
 

@@ -59,7 +59,7 @@ def _(d):
     return K.class_names(d.fx_pred).select("id", "slice", "class_name", *[h[i].alias(f"h{i}") for i in range(3)])
 
 
-@query("image_names", "SELECT id, slice, lpad(CAST(id AS VARCHAR), greatest(3, length(CAST(id AS VARCHAR))), '0') || '.tif' AS name, lpad(CAST(id AS VARCHAR), greatest(3, length(CAST(id AS VARCHAR))), '0') || '_' || slice || '.tif' AS slice_name FROM fx_pred")
+@query("image_names", "SELECT id, slice, lpad(CAST(id AS VARCHAR), CAST(greatest(3, length(CAST(id AS VARCHAR))) AS INTEGER), '0') || '.tif' AS name, lpad(CAST(id AS VARCHAR), CAST(greatest(3, length(CAST(id AS VARCHAR))) AS INTEGER), '0') || '_' || slice || '.tif' AS slice_name FROM fx_pred")
 def _(d):
     return d.fx_pred.select("id", "slice", C.image_name(F.col("id")).alias("name"), C.image_name(F.col("id"), F.col("slice")).alias("slice_name"))
 

@@ -53,9 +53,9 @@ def _(d):
     return r6(H.confidence_summary(argmax_class(pred(d)), ["y_pred"]), "mean", "least", "most", "q25", "q50", "q75", "correct", "correct_when_sure")
 
 
-@query("overwrite_merge", "SELECT cell_id, level, CASE WHEN cell_id % 3 = 0 THEN 1 - sphericity END AS sphericity, CASE WHEN cell_id % 3 = 0 THEN volume * 2 END AS doubled FROM fx_cells")
+@query("overwrite_merge", "SELECT cell_id, level, CASE WHEN level = 'Nuclei' THEN 1 - sphericity END AS sphericity, CASE WHEN level = 'Nuclei' THEN volume * 2 END AS doubled FROM fx_cells")
 def _(d):
-    new = d.sql("SELECT cell_id, 1 - sphericity AS sphericity, volume * 2 AS doubled FROM fx_cells WHERE cell_id % 3 = 0")
+    new = d.sql("SELECT cell_id, 1 - sphericity AS sphericity, volume * 2 AS doubled FROM fx_cells WHERE level = 'Nuclei'")
     return H.overwrite_merge(d.fx_cells.select("cell_id", "level", "sphericity"), new, ["cell_id"])
 
 
@@ -76,9 +76,9 @@ def _(d):
     return d.fx_volume.select(F.col("pred").alias("cell_id")).distinct().join(d.fx_cells.filter("sphericity > 0.5"), "cell_id", "left_semi")
 
 
-@query("id_sets", "SELECT 'both' AS kind, id FROM (SELECT cell_id AS id FROM fx_cells WHERE cell_id % 2 = 0 INTERSECT SELECT cell_id FROM fx_cells WHERE cell_id % 3 = 0) a UNION ALL SELECT 'first', id FROM (SELECT cell_id AS id FROM fx_cells WHERE cell_id % 2 = 0 EXCEPT SELECT cell_id FROM fx_cells WHERE cell_id % 3 = 0) b")
+@query("id_sets", "SELECT 'both' AS kind, id FROM (SELECT cell_id AS id FROM fx_cells WHERE level = 'Nuclei' INTERSECT SELECT cell_id FROM fx_cells WHERE sphericity > 5e-1) a UNION ALL SELECT 'first', id FROM (SELECT cell_id AS id FROM fx_cells WHERE level = 'Nuclei' EXCEPT SELECT cell_id FROM fx_cells WHERE sphericity > 5e-1) b")
 def _(d):
-    a, b = (d.fx_cells.filter(f"cell_id % {k} = 0").select(F.col("cell_id").alias("id")) for k in (2, 3))
+    a, b = (d.fx_cells.filter(c).select(F.col("cell_id").alias("id")) for c in ("level = 'Nuclei'", "sphericity > 5e-1"))
     return a.intersect(b).select(F.lit("both").alias("kind"), "id").unionByName(a.subtract(b).select(F.lit("first").alias("kind"), "id"))
 
 

@@ -49,16 +49,16 @@ def _(d):
     return r6(bounded_paths(d.fx_faces.select(F.col("fid").alias("seed")), M.face_adjacency(d.fx_vertices, d.fx_faces), 16.0), "dist")
 
 
-@query("geodesic_ball", f"WITH {BALL.format(r=14)}, b AS (SELECT seed, node, min(dist) AS dist FROM walk WHERE seed % 7 = 0 GROUP BY 1, 2), k AS (SELECT s.seed, min(r.r) AS r FROM (SELECT DISTINCT seed FROM b) s CROSS JOIN (SELECT unnest(range(4, 15)) AS r) r WHERE (SELECT count(*) FROM b WHERE b.seed = s.seed AND b.dist <= r.r) >= 3 GROUP BY 1) SELECT b.seed, b.node, round(b.dist, 6) AS dist FROM b JOIN k USING (seed) WHERE b.dist <= k.r", recursive=True)
+@query("geodesic_ball", f"WITH {BALL.format(r=14)}, b AS (SELECT seed, node, min(dist) AS dist FROM walk GROUP BY 1, 2), k AS (SELECT s.seed, min(r.r) AS r FROM (SELECT DISTINCT seed FROM b) s CROSS JOIN (SELECT unnest(range(4, 15)) AS r) r WHERE (SELECT count(*) FROM b WHERE b.seed = s.seed AND b.dist <= r.r) >= 3 GROUP BY 1) SELECT b.seed, b.node, round(b.dist, 6) AS dist FROM b JOIN k USING (seed) WHERE b.dist <= k.r", recursive=True)
 def _(d):
-    seeds = d.fx_faces.filter("fid % 7 = 0").select(F.col("fid").alias("seed"))
+    seeds = d.fx_faces.select(F.col("fid").alias("seed"))
     return r6(M.geodesic_ball(seeds, M.face_adjacency(d.fx_vertices, d.fx_faces), 4.0, 3, 10), "dist")
 
 
-@query("geodesic_path", f"WITH {BALL.format(r=24)}, p AS (SELECT seed, node, min(dist) AS dist FROM walk WHERE seed % 20 = 0 GROUP BY 1, 2) SELECT seed, node AS target, round(dist, 6) AS dist FROM p WHERE node = seed + 3", recursive=True)
+@query("geodesic_path", f"WITH {BALL.format(r=16)}, p AS (SELECT seed, node, min(dist) AS dist FROM walk GROUP BY 1, 2) SELECT seed, node AS target, round(dist, 6) AS dist FROM p WHERE node = seed + 2", recursive=True)
 def _(d):
-    seeds = d.fx_faces.filter("fid % 20 = 0").select(F.col("fid").alias("seed"), (F.col("fid") + 3).alias("target"))
-    return r6(M.geodesic_path(seeds, M.face_adjacency(d.fx_vertices, d.fx_faces), 24.0).select("seed", "target", "dist"), "dist")
+    seeds = d.fx_faces.select(F.col("fid").alias("seed"), (F.col("fid") + 2).alias("target"))
+    return r6(M.geodesic_path(seeds, M.face_adjacency(d.fx_vertices, d.fx_faces), 16.0).select("seed", "target", "dist"), "dist")
 
 
 @query("plane_fit")
@@ -108,11 +108,11 @@ def _(d):
     return M.mesh_concat(v, faces)[0].select("mesh_id", "old", "vid")
 
 
-@query("submesh", """WITH k AS (SELECT * FROM fx_faces WHERE cell_id % 2 = 0), u AS (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS new FROM (SELECT v0 AS vid FROM k UNION SELECT v1 FROM k UNION SELECT v2 FROM k) t)
+@query("submesh", """WITH k AS (SELECT * FROM fx_faces WHERE cell_id IN (SELECT cell_id FROM fx_cells WHERE level = 'Nuclei')), u AS (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS new FROM (SELECT v0 AS vid FROM k UNION SELECT v1 FROM k UNION SELECT v2 FROM k) t)
 SELECT fid, CAST(a.new AS BIGINT) AS v0, CAST(b.new AS BIGINT) AS v1, CAST(c.new AS BIGINT) AS v2 FROM k JOIN u a ON a.vid = v0 JOIN u b ON b.vid = v1 JOIN u c ON c.vid = v2""")
 def _(d):
     v, f = (x.withColumn("mesh_id", F.lit(0)) for x in (d.fx_vertices.drop("cell_id"), d.fx_faces))
-    keep = d.sql("SELECT DISTINCT 0 AS mesh_id, cell_id FROM fx_faces WHERE cell_id % 2 = 0")
+    keep = d.sql("SELECT DISTINCT 0 AS mesh_id, cell_id FROM fx_faces WHERE cell_id IN (SELECT cell_id FROM fx_cells WHERE level = 'Nuclei')")
     return M.submesh(v, f, keep, ["mesh_id"])[1].select("fid", "v0", "v1", "v2")
 
 

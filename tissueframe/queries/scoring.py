@@ -94,16 +94,16 @@ def _(d):
     return S.segmentation_stats(overlap(d), BY)
 
 
-@query("connected_components", """WITH e AS (SELECT DISTINCT specimen * 1000000 + pred AS u, specimen * 1000000 + 500000 + gt AS v FROM fx_volume WHERE pred <> 0 AND gt <> 0 AND gt % 3 = 0),
+@query("connected_components", """WITH e AS (SELECT DISTINCT specimen * 1000000 + pred AS u, specimen * 1000000 + 500000 + gt AS v FROM fx_volume WHERE pred <> 0 AND gt <> 0),
 sym AS (SELECT u, v FROM e UNION SELECT v, u FROM e), reach AS (SELECT u AS node, u AS seen FROM sym UNION SELECT reach.node, sym.v FROM reach JOIN sym ON sym.u = reach.seen)
 SELECT node, min(seen) AS component FROM reach GROUP BY 1""", recursive=True)
 def _(d):
-    e = d.sql("SELECT DISTINCT specimen * 1000000 + pred AS u, specimen * 1000000 + 500000 + gt AS v FROM fx_volume WHERE pred <> 0 AND gt <> 0 AND gt % 3 = 0")
+    e = d.sql("SELECT DISTINCT specimen * 1000000 + pred AS u, specimen * 1000000 + 500000 + gt AS v FROM fx_volume WHERE pred <> 0 AND gt <> 0")
     return components(e)
 
 
 #: The same volume under three treatments, as configurations of a sweep.
-SWEEP = "SELECT c.test_name, pred * CASE WHEN c.test_name = 2 AND pred % 2 = 0 THEN 0 ELSE 1 END AS pred, CASE WHEN c.test_name = 3 AND gt % 5 = 0 THEN 0 ELSE gt END AS gt FROM fx_volume CROSS JOIN (SELECT CAST(1 AS BIGINT) AS test_name UNION ALL SELECT 2 UNION ALL SELECT 3) c WHERE specimen < 3"
+SWEEP = "SELECT c.test_name, pred * CASE WHEN c.test_name = 2 AND pred % 2 = 0 THEN 0 ELSE 1 END AS pred, CASE WHEN c.test_name = 3 AND gt % 5 = 0 THEN 0 ELSE gt END AS gt FROM fx_volume CROSS JOIN (SELECT CAST(1 AS BIGINT) AS test_name UNION ALL SELECT 2 UNION ALL SELECT 3) c"
 
 
 @query("quality_sweep", f"""WITH sweep AS ({SWEEP}), {OVERLAP.replace('specimen', 'test_name').replace('fx_volume', 'sweep')}, {states_sql('test_name')}, stats AS ({stats_sql('test_name')}),

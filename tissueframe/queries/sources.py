@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import mesh as M
-from ..plans.incremental import incremental, todo
+from ..plans.incremental import incremental
 from ..sources import catalog as C
 from ..sources import files as S
 from ..workspace import Workspace
@@ -11,11 +11,14 @@ from .registry import query
 from .voxels import r6
 
 
-@query("read_nifti", "SELECT specimen, x, y, z, intensity FROM fx_volume WHERE specimen IN (SELECT specimen FROM fx_volume GROUP BY 1 HAVING count(*) % 625 = 0)")
+FRAME = """b AS (SELECT specimen, max(x) AS mx, max(y) AS my, max(z) AS mz FROM fx_volume GROUP BY 1),
+f AS (SELECT specimen, x, y, z FROM b, (SELECT unnest(range(25)) AS x) i, (SELECT unnest(range(25)) AS y) j, (SELECT unnest(range(10000)) AS z) k WHERE x <= mx AND y <= my AND z <= mz)"""
+
+
+@query("read_nifti", f"WITH {FRAME} SELECT f.specimen, f.x, f.y, f.z, coalesce(v.intensity, 0e0) AS intensity FROM f LEFT JOIN fx_volume v ON v.specimen = f.specimen AND v.x = f.x AND v.y = f.y AND v.z = f.z")
 def _(d):
     folder = Workspace(d.spark).path("nifti")
-    whole = d.sql("SELECT v.* FROM fx_volume v JOIN (SELECT specimen FROM fx_volume GROUP BY 1 HAVING count(*) % 625 = 0) f USING (specimen)")
-    S.write_nifti(whole, "specimen", folder, (0.38, 0.38, 0.5)).count()
+    S.write_nifti(d.fx_volume, "specimen", folder, (0.38, 0.38, 0.5)).count()
     return S.read_nifti(d.spark, f"{folder}/*.nii.gz").select(F.regexp_extract("path", r"volume_(\d+)", 1).cast("long").alias("specimen"), "x", "y", "z", "intensity")
 
 
@@ -59,11 +62,11 @@ def _(d):
     return S.read_surface_map(d.spark, folder).drop("path")
 
 
-@query("history_best", """WITH r AS (SELECT model, config, max(val_auc) AS best FROM fx_history WHERE config % 7 > 0 GROUP BY 1, 2), a AS (SELECT model, count(DISTINCT config) AS runs FROM fx_history GROUP BY 1)
+@query("history_best", """WITH r AS (SELECT model, config, max(val_auc) AS best FROM fx_history GROUP BY 1, 2 HAVING count(*) > 1), a AS (SELECT model, count(DISTINCT config) AS runs FROM fx_history GROUP BY 1)
 SELECT a.model, a.runs, b.completed, round(b.best, 6) AS best, (SELECT min(CAST(config AS VARCHAR)) FROM r WHERE r.model = a.model AND r.best = b.best) AS config FROM a JOIN (SELECT model, count(*) AS completed, max(best) AS best FROM r GROUP BY 1) b USING (model)""")
 def _(d):
     h = d.fx_history.groupBy("model", "config").agg(F.transform(F.sort_array(F.collect_list(F.struct("epoch", "val_auc"))), lambda e: e["val_auc"]).alias("val_auc"))
-    run = F.when(F.col("config") % 7 > 0, F.struct("val_auc"))
+    run = F.when(F.size("val_auc") > 1, F.struct("val_auc"))
     docs = h.groupBy("model").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("config").cast("string"), run))), {"ignoreNullFields": "false"}).alias("value"))
     return r6(S.history_best(docs), "best")
 
@@ -99,13 +102,12 @@ def _(d):
     return C.missing_attribute(d.fx_cells, "cell_division")
 
 
-@query("incremental", "SELECT specimen, count(*) AS cells FROM fx_cells WHERE specimen IN (SELECT specimen FROM fx_catalog) AND specimen < 400 GROUP BY 1")
+@query("incremental", "SELECT stage, count(*) AS cells FROM fx_cells JOIN fx_catalog USING (specimen) GROUP BY 1")
 def _(d):
-    """A stage that runs twice: for some specimens, then for those still missing."""
+    """A step that runs twice: for the first stages, then for those still missing."""
     folder = Workspace(d.spark).path("stage")
-    count = lambda df: df.groupBy("specimen").agg(F.count("*").alias("cells")).coalesce(1)
-    cells = d.fx_cells.filter("specimen < 400")
-    incremental(d.fx_catalog.filter("specimen % 2 = 0"), cells, folder, count)
-    out = incremental(d.fx_catalog, cells, folder, count)
-    assert todo(d.fx_catalog, cells, folder).isEmpty()
-    return out.select(F.col("specimen").cast("long").alias("specimen"), "cells")
+    count = lambda df: df.groupBy("stage").agg(F.count("*").alias("cells"))
+    catalog = d.fx_catalog.select("stage", "group_no").distinct()
+    cells = d.fx_cells.join(d.fx_catalog.select("specimen", "stage"), "specimen")
+    incremental(catalog.filter("group_no <= 5"), cells, folder, count, "stage")
+    return incremental(catalog, cells, folder, count, "stage")

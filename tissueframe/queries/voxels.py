@@ -18,10 +18,10 @@ def _(d):
     return V.crop(d.fx_volume.select("specimen", "x", "y", "z", "intensity"), {"x": (3, 12), "y": (0, 7), "z": (2, 9)})
 
 
-@query("restore_box", "SELECT specimen, x, y, z, CASE WHEN x >= 3 AND x < 12 AND y < 7 AND z % 2 = 0 THEN intensity ELSE 0e0 END AS intensity FROM fx_volume")
+@query("restore_box", "SELECT specimen, x, y, z, CASE WHEN x >= 3 AND x < 12 AND y < 7 THEN intensity ELSE 0e0 END AS intensity FROM fx_volume")
 def _(d):
     v, box = d.fx_volume, {"x": (3, 12), "y": (0, 7)}
-    small = d.sql("SELECT specimen, x - 3 AS x, y, z, intensity FROM fx_volume WHERE x >= 3 AND x < 12 AND y < 7 AND z % 2 = 0")
+    small = d.sql("SELECT specimen, x - 3 AS x, y, z, intensity FROM fx_volume WHERE x >= 3 AND x < 12 AND y < 7")
     return V.restore_dense(small, box, v.select("specimen", "x", "y", "z"), "intensity", BY)
 
 
@@ -139,11 +139,12 @@ def _(d):
     return V.dilate_ball(d.fx_volume, BY, "gt", 2).select("specimen", "x", "y", "z", "gt")
 
 
-@query("median_filter", """WITH o AS (SELECT -1 AS o UNION ALL SELECT 0 UNION ALL SELECT 1), e AS (SELECT specimen, max(x) AS mx, max(y) AS my, max(z) AS mz, min(z) AS nz FROM fx_volume GROUP BY 1)
-SELECT v.specimen, v.x, v.y, v.z, round(quantile_cont(w.intensity, 0.5), 6) AS intensity FROM (SELECT v.*, mx, my, mz, nz FROM fx_volume v JOIN e USING (specimen) WHERE specimen = 0) v CROSS JOIN o ox CROSS JOIN o oy CROSS JOIN o oz
-JOIN fx_volume w ON w.specimen = v.specimen AND w.x = greatest(least(v.x + ox.o, mx), 0) AND w.y = greatest(least(v.y + oy.o, my), 0) AND w.z = greatest(least(v.z + oz.o, mz), 0) GROUP BY 1, 2, 3, 4""")
+@query("median_filter", """WITH o AS (SELECT -1 AS o UNION ALL SELECT 0 UNION ALL SELECT 1), e AS (SELECT specimen, max(x) AS mx, max(y) AS my, max(z) AS mz, min(z) AS nz FROM fx_volume GROUP BY 1),
+n AS MATERIALIZED (SELECT v.specimen, v.x, v.y, v.z, greatest(least(v.x + ox.o, mx), 0) AS px, greatest(least(v.y + oy.o, my), 0) AS py, greatest(least(v.z + oz.o, mz), nz) AS pz FROM fx_volume v JOIN e USING (specimen) CROSS JOIN o ox CROSS JOIN o oy CROSS JOIN o oz),
+m AS MATERIALIZED (SELECT specimen, x AS px, y AS py, z AS pz, intensity FROM fx_volume)
+SELECT n.specimen, x, y, z, round(quantile_cont(intensity, 0.5), 6) AS intensity FROM n JOIN m USING (specimen, px, py, pz) GROUP BY 1, 2, 3, 4""")
 def _(d):
-    return r6(V.median_filter(d.fx_volume.filter("specimen = 0").select("specimen", "x", "y", "z", "intensity"), BY), "intensity")
+    return r6(V.median_filter(d.fx_volume.select("specimen", "x", "y", "z", "intensity"), BY), "intensity")
 
 
 @query("anisodiff")

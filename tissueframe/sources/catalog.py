@@ -43,9 +43,9 @@ def list_inputs(files: DataFrame, kind: str, excluded: str = "h5") -> DataFrame:
     return rows.groupBy("specimen", "level").agg(F.min("path").alias("path"))
 
 
-def missing_outputs(catalog: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+def missing_outputs(catalog: DataFrame, inputs: DataFrame, outputs: DataFrame, key: str = "specimen") -> DataFrame:
     """Specimens with an input and without an output."""
-    return catalog.join(inputs, "specimen", "left_semi").join(outputs, "specimen", "left_anti")
+    return catalog.join(inputs, key, "left_semi").join(outputs, key, "left_anti")
 
 
 def missing_attribute(features: DataFrame, attribute: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the NIfTI-1 format: sample types by code.
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
@@ -143,12 +144,12 @@ def read_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 # --- surface maps, landmarks, histories, tables ----------------------------------------------------
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def from_hex(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else float.fromhex(v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_hex(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else float(v).hex())
 
