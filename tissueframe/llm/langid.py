@@ -116,21 +116,21 @@ SCALE = 10.0
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
     """Weights and bias of an L1-loss support vector machine, y = +1 or -1, by dual coordinate descent; each class
     weighs the same in total."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     limit = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
-    norm, alpha, w = np.einsum("ij,ij->i", x, x), np.zeros(len(y)), np.zeros(x.shape[1], x.dtype)
+    norm, alpha, w, bias = np.einsum("ij,ij->i", x, x) + 1, np.zeros(len(y)), np.zeros(x.shape[1], x.dtype), 0.0
     rng = np.random.default_rng(17)
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / norm[i], 0.0), limit[i])
+            new = min(max(alpha[i] - (y[i] * (float(x[i] @ w) + bias) - 1) / norm[i], 0.0), limit[i])
             if new != alpha[i]:
                 w += x.dtype.type((new - alpha[i]) * y[i]) * x[i]
+                bias += (new - alpha[i]) * y[i]
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, x.dtype.type(bias))
 
 
 def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -166,9 +166,10 @@ class Model:
             tasks += [("pair", a, b, lab == a, (lab == a) | (lab == b)) for a, b in combinations(own, 2)]
         for kind, a, b, yes, use in tasks:
             y = np.where(yes[use], 1.0, -1.0)
-            w = linear_svm(x[use].astype(np.float64), y)
-            self.machines.append((kind, a, b, w[-1], *platt(x[use] @ w[:-1] + w[-1], y)))
-            columns.append(w[:-1] * SCALE)
+            own = x if use.all() else x[use]
+            w = linear_svm(own, y)
+            self.machines.append((kind, a, b, float(w[-1]), *platt((own @ w[:-1] + w[-1]).astype(np.float64), y)))
+            columns.append(w[:-1].astype(np.float64) * SCALE)
         self.weights = np.stack(columns, 1) if columns else np.zeros((DIM, 0))
 
     def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -206,8 +207,13 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
         return None
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (str(k), min(1.0, per_language / n))])
     picked = df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) < share[F.col(lang).cast("string")] * 1_000_003)
-    rows = sorted((r["label"], bytes(r["f"])) for r in features(picked, text, lang).collect())
-    return Model(np.stack([np.frombuffer(f, np.float16).astype(np.float32) for _, f in rows]), [x for x, _ in rows]) if rows else None
+    found = features(picked, text, lang).toArrow().sort_by([("label", "ascending"), ("f", "ascending")])
+    if not found.num_rows:
+        return None
+    x = np.empty((found.num_rows, DIM), np.float32)
+    for k, f in enumerate(found.column("f")):
+        x[k] = np.frombuffer(f.as_buffer(), np.float16)
+    return Model(x, found.column("label").to_pylist())
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
