@@ -9,6 +9,11 @@ from .voxels import r6
 BY = ["specimen"]
 
 
+def r4(name):
+    """Four digits; the factor keeps exact ties from falling either way by the order of a sum."""
+    return F.round(F.col(name) * (1 + 1e-10), 4).alias(name)
+
+
 @query("relabel", "SELECT specimen, x, y, z, CASE WHEN pred % 3 = 0 AND pred <> 0 THEN pred + 7 ELSE 0 END AS pred FROM fx_volume")
 def _(d):
     mapping = d.sql("SELECT DISTINCT specimen, pred AS label, pred + 7 AS new FROM fx_volume WHERE pred % 3 = 0 AND pred <> 0")
@@ -100,16 +105,16 @@ en AS (SELECT specimen, gt, -sum(s * log2(s)) AS entropy, sum(s * s) AS uniformi
 COLS = "minimum p10 p90 maximum mean median iqr range rms skewness kurtosis mad rmad entropy uniformity".split()
 
 
-@query("first_order", f"WITH {FIRST} SELECT specimen, gt, n, {', '.join(f'round({c}, 4) AS {c}' for c in COLS)} FROM st JOIN mo USING (specimen, gt) JOIN rb USING (specimen, gt) JOIN en USING (specimen, gt) WHERE n > 20")
+@query("first_order", f"WITH {FIRST} SELECT specimen, gt, n, {', '.join(f'round({c} * (1 + 1e-10), 4) AS {c}' for c in COLS)} FROM st JOIN mo USING (specimen, gt) JOIN rb USING (specimen, gt) JOIN en USING (specimen, gt) WHERE n > 20")
 def _(d):
     out = L.first_order(d.fx_volume.filter("gt <> 0"), ["specimen", "gt"], 25e3).filter("n > 20")
-    return out.select("specimen", "gt", "n", *[F.round(c, 4).alias(c) for c in COLS])
+    return out.select("specimen", "gt", "n", *[r4(c) for c in COLS])
 
 
-@query("extract_cells", f"WITH {FIRST}, {DOMINANT}, props AS ({PROPS}) SELECT p.*, dom.tissue, round(mean, 4) AS mean, round(entropy, 4) AS entropy FROM props p LEFT JOIN dom USING (specimen, gt) LEFT JOIN st USING (specimen, gt) LEFT JOIN en USING (specimen, gt)")
+@query("extract_cells", f"WITH {FIRST}, {DOMINANT}, props AS ({PROPS}) SELECT p.*, dom.tissue, round(mean * (1 + 1e-10), 4) AS mean, round(entropy * (1 + 1e-10), 4) AS entropy FROM props p LEFT JOIN dom USING (specimen, gt) LEFT JOIN st USING (specimen, gt) LEFT JOIN en USING (specimen, gt)")
 def _(d):
     out = L.extract_cells(d.fx_volume, BY, "gt", 25e3)
-    return out.select("specimen", "gt", "volume", "cx", "cy", "cz", "x0", "y0", "z0", "x1", "y1", "z1", "label_at_centroid", "tissue", F.round("mean", 4).alias("mean"), F.round("entropy", 4).alias("entropy"))
+    return out.select("specimen", "gt", "volume", "cx", "cy", "cz", "x0", "y0", "z0", "x1", "y1", "z1", "label_at_centroid", "tissue", r4("mean"), r4("entropy"))
 
 
 @query("axis_lengths")
