@@ -47,10 +47,10 @@ class Workspace:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.base, self.n = spark, f"{shared_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}", 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, **options: str) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:

@@ -3,8 +3,8 @@
 Texts are encoded and cut into sequences of ``length`` ids, the last of a text filled up with the end mark. Sequences
 are numbered by partition and place, and a Feistel network over the next even power of two, walked until it falls below
 their number, gives each a slot of its own: a permutation that needs no sort of random keys and no memory. Ranges of
-slots are shards; a task sorts its shards' records and writes each as one file of equal records, to a temporary name
-first, so a repeated task does no harm, and leaves a shard that is already there whole: an interrupted run goes on.
+slots are shards; records travel to the task of their range in compressed groups, one for each range and batch; the
+task puts the bounded range in order and writes each shard as one file of equal records, to a temporary name first, so a repeated task does no harm, and leaves a shard that is already there whole: an interrupted run goes on.
 
 A record is 16 + 2 ``length`` bytes, little-endian: key (8), sequence number within the text (4), ids that aren't filling
 (4), ids (2 each). Record k of shard s is slot s * ``per_shard`` + k.
@@ -20,14 +20,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import Workspace, arrow_map, binary_array, mix, slices
+from .common import Workspace, arrow_map, binary_array, mix, slices, text_column
 
 END_ID, LENGTH, PER_SHARD, ROUNDS = 50256, 256, 4096, 6
+#: Shards that a task writes have so many bytes together; it holds them to put them in order.
+PART_BYTES = 32 << 20
+#: Ids compress well: how the encoded sequences are kept until their shards are written, and sent.
+LEVEL = 6
+SQUEEZED = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(LEVEL), "parquet.page.size": str(8 << 20)}
 
 
 def feistel(index: np.ndarray, count: int, key: int) -> np.ndarray:
@@ -48,7 +54,8 @@ def feistel(index: np.ndarray, count: int, key: int) -> np.ndarray:
 
 
 def sequences(df: DataFrame, ranks: str, length: int, key: str, text: str) -> DataFrame:
-    """``part, place, record`` for each sequence: the partition it comes from and its place in it."""
+    """``part, place, record`` for each sequence: the partition it comes from, its place in it, and its record without
+    filling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, place, partition = codec(ranks), 0, TaskContext.get().partitionId()
@@ -65,19 +72,30 @@ def sequences(df: DataFrame, ranks: str, length: int, key: str, text: str) -> Da
                 head["number"] = np.arange(len(body)) - np.repeat(first, rows)
                 head["used"] = np.minimum(length, np.repeat(n, rows) - head["number"] * length)
                 records = np.hstack([head.view(np.uint8).reshape(len(body), 16), body.astype("<u2").view(np.uint8)])
+                size = 16 + 2 * head["used"].astype(np.int64)
+                records = records[np.arange(records.shape[1]) < size[:, None]]
                 where = np.arange(place, place + len(body))
                 place += len(body)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(body), partition)), pa.array(where), binary_array(records.ravel(), np.arange(len(body) + 1) * records.shape[1])], ["part", "place", "record"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(body), partition)), pa.array(where), binary_array(records, np.concatenate([[0], np.cumsum(size)]))], ["part", "place", "record"])
 
     return arrow_map(df.select(F.col(key).cast("long").alias(key), text), run, "part long, place long, record binary")
 
 
+def filled(raw: np.ndarray, offs: np.ndarray, order: np.ndarray, length: int) -> bytes:
+    """The records named by ``order`` in a row, each filled up to the full stride."""
+    n, stride, size = len(order), 16 + 2 * length, (offs[1:] - offs[:-1])[order]
+    out = np.tile(np.concatenate([np.zeros(16, np.uint8), np.frombuffer(END_ID.to_bytes(2, "little") * length, np.uint8)]), n)
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(np.arange(n) * stride, size) + inside] = raw[np.repeat(offs[:-1][order], size) + inside]
+    return out.tobytes()
+
+
 def write_shards(df: DataFrame, ranks: str, path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, seed: int = 1, key: str = "doc_id", text: str = "text") -> str:
     """Writes all shards below ``path`` (a folder that all executors reach; by default one in the shared folder) and
     returns it."""
     spark, work = df.sparkSession, Workspace(df.sparkSession)
     path = path or work.path("shards")
-    rows = work.write(sequences(df, ranks, length, key, text))
+    rows = work.write(sequences(df, ranks, length, key, text), **SQUEEZED)
     counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
     total, starts = 0, []
     for part in sorted(counts):
@@ -87,47 +105,50 @@ def write_shards(df: DataFrame, ranks: str, path: str | None = None, length: int
         return path
     stride, shards = 16 + 2 * length, -(-total // per_shard)
 
+    parts = min(shards, max(1, -(-total * stride // PART_BYTES)))
+
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(starts)
+        known, pack = dict(starts), zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in batches:
             part = batch.column("part").to_numpy()
             base = np.array([known[p] for p in part.tolist()], np.int64)
             slot = feistel(base + batch.column("place").to_numpy(), total, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), batch.column("record")], ["shard", "slot", "record"])
+            to = slot // per_shard * parts // shards
+            order = np.argsort(to, kind="stable")
+            raw, offs = text_column(pa.RecordBatch.from_arrays([batch.column("record").take(pa.array(order))], ["record"]), "record")
+            size, slot, to = np.diff(offs), slot[order], to[order]
+            cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+            blobs = [pack(np.int64(b - a).tobytes() + slot[a:b].tobytes() + size[a:b].tobytes() + raw[offs[a] : offs[b]].tobytes()) for a, b in zip(cuts, cuts[1:]) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]].astype(np.int32) if len(to) else to.astype(np.int32)), pa.array(blobs, pa.binary())], ["to", "blob"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, size, raw = [], [], []
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                data = unpack(blob)
+                n = int(np.frombuffer(data, np.int64, 1)[0])
+                slot.append(np.frombuffer(data, np.int64, n, 8))
+                size.append(np.frombuffer(data, np.int64, n, 8 + 8 * n))
+                raw.append(np.frombuffer(data, np.uint8, -1, 8 + 16 * n))
+        if not slot:
+            return
+        slot, size, raw = np.concatenate(slot), np.concatenate(size), np.concatenate(raw)
+        offs, order = np.concatenate([[0], np.cumsum(size)]), np.argsort(slot)
         fs, base = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(base, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()
-        now, held = -1, []
-
-        def close() -> pa.RecordBatch:
-            name = f"{base}/shard-{now:08d}.bin"
-            whole = sum(map(len, held))
-            size = fs.get_file_info(name).size
-            if size != whole:
-                with fs.open_output_stream(f"{base}/.shard-{now:08d}-{attempt}") as f:
-                    for x in held:
-                        f.write(x)
-                fs.move(f"{base}/.shard-{now:08d}-{attempt}", name)
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([whole])], ["shard", "bytes"])
-
-        for batch in batches:
-            shard, column = batch.column("shard").to_numpy(), batch.column("record")
-            for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist()], [*cuts[1:], len(shard)]):
-                if a == b:
-                    continue
-                if shard[a] != now and held:
-                    yield close()
-                    held = []
-                now = int(shard[a])
-                held.append(b"".join(column.slice(a, b - a).to_pylist()))
-        if held:
-            yield close()
-
-    placed = arrow_map(rows, slots, "shard long, slot long, record binary")
-    parts = min(shards, max(1, -(-total * stride // (32 << 20))))
-    placed = placed.repartitionById(parts, F.expr(f"cast(shard * {parts} div {shards} AS int)")).sortWithinPartitions("slot")
+        attempt, shard = TaskContext.get().taskAttemptId(), slot[order] // per_shard
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, b in zip(cuts, cuts[1:]):
+            name, whole = f"{base}/shard-{shard[a]:08d}.bin", (b - a) * stride
+            if fs.get_file_info(name).size != whole:
+                part = f"{base}/.shard-{shard[a]:08d}-{attempt}"
+                with fs.open_output_stream(part) as f:
+                    f.write(filled(raw, offs, order[a:b], length))
+                fs.move(part, name)
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])]), pa.array([whole])], ["shard", "bytes"])
+
+    placed = arrow_map(rows, slots, "to int, blob binary").repartitionById(parts, "to")
     written = arrow_map(placed, write, "shard long, bytes long").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
     if (written["n"], written["b"]) != (shards, total * stride):
         raise RuntimeError(f"{written['n']} shards of {written['b']} bytes were written, not {shards} of {total * stride}")
