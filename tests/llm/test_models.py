@@ -38,3 +38,22 @@ def test_quality(spark):
     assert got[900].score == got[901].score and 0 <= got[902].score <= 1
     assert quality.fit(df, labels.filter("quality = 1").select("doc_id", "quality")) is None
     assert {r.score for r in quality.predict(df, None).collect()} == {0.5} and quality.predict(df.limit(0), model).count() == 0
+
+
+def test_quality_of_long_texts(spark):
+    rng = random.Random(5)
+    good, bad = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(3000)], ["".join(rng.choices("klmnopqrst", k=7)) for _ in range(3000)]
+    rows = [(i, t) for i, t in enumerate(texts(rng, good, 500) + texts(rng, bad, 500))]
+    rows += [(k, " ".join(rng.choices(words, k=size // 8))) for k, words, size in ((2000, good, 300_000), (2001, good, 3_000_000), (3000, bad, 300_000), (3001, bad, 3_000_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 500)) for i in range(1000)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.predict(df, quality.fit(df, labels)).filter("doc_id >= 2000").collect()}
+    assert min(got[2000], got[2001]) > 0.9 and max(got[3000], got[3001]) < 0.1, got
+
+
+def test_quality_fits_on_long_texts(spark):
+    rng = random.Random(6)
+    good, bad = [f"w{i}ord" for i in range(60)], [f"x{i}!!" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(good if i < 20 else bad, k=4500))) for i in range(40)], "doc_id long, text string")
+    model = quality.fit(df, spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, quality int"))
+    assert model is not None and [r.predicted for r in quality.predict(df, model).orderBy("doc_id").collect()] == [1] * 20 + [0] * 20

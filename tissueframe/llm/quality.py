@@ -2,8 +2,12 @@
 
 A text that compresses better with the dictionary of good texts than with that of bad ones looks like them. The
 difference of the two sizes, over the size without a dictionary, becomes a score by a logistic curve fitted on
-labelled texts. The dictionaries and the curve take ``PER_CLASS`` texts of each label (expected number; chosen by a hash
-of the key), half for each, up to ``LONGEST`` characters long; scoring takes every text whole.
+labelled texts. Each text is compressed whole, in equal pieces of ``PIECE`` bytes at most, each against the dictionary
+anew: in one stream a dictionary saves a bounded number of bytes, and a long text's difference would go to 0.
+
+The dictionaries and the curve take ``PER_CLASS`` texts of each label (expected number; chosen by a hash of the key),
+of any length, about half for each (by a hash of the text). A text gives a dictionary its first ``LONGEST`` characters
+at most, so that none fills it alone; the curve takes every text whole, and only differences come to the driver.
 
 Edge cases: null counts as empty; an empty text has difference 0 and gets the curve's value there. With labels of one
 kind, or none, every score is 0.5. Repeated rows are scored alike; other columns pass through, and columns named like
@@ -21,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, arrow_map, plus, slices
+from .common import append, arrow_map, plus, slices, text_column
 from .langid import platt
 
-PER_CLASS, LONGEST, DICTIONARY, LEVEL = 1200, 20_000, 256 << 10, 9
+PER_CLASS, LONGEST, DICTIONARY, LEVEL, PIECE = 1200, 20_000, 256 << 10, 9, 16 << 10
 
 
 class Model:
@@ -36,7 +40,7 @@ class Model:
         return self.__dict__ | {"_tools": None}
 
     def differences(self, data: bytes, offs: list[int]) -> np.ndarray:
-        """(size with the bad dictionary - size with the good one) / size without, for each text."""
+        """(size with the bad dictionary - size with the good one) / size without, for each text: sums over its pieces."""
         if self._tools is None:
             kind = zstandard.DICT_TYPE_RAWCONTENT
             with_ = [zstandard.ZstdCompressionDict(d, dict_type=kind) for d in (self.good, self.bad)]
@@ -48,7 +52,10 @@ class Model:
         view, out = memoryview(data), np.zeros(len(offs) - 1)
         for r, (a, b) in enumerate(zip(offs, offs[1:])):
             if b > a:
-                out[r] = (len(bad(view[a:b])) - len(good(view[a:b]))) / len(none(view[a:b]))
+                n = -(-(b - a) // PIECE)
+                cuts = [a + (b - a) * i // n for i in range(n + 1)]
+                parts = [view[x:y] for x, y in zip(cuts, cuts[1:])]
+                out[r] = sum(len(bad(x)) - len(good(x)) for x in parts) / sum(len(none(x)) for x in parts)
         return out
 
     def score(self, difference: np.ndarray) -> np.ndarray:
@@ -68,19 +75,31 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         return None
     share = F.when(F.col(label) == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
     chosen = labels.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) < share * 1_000_003).groupBy(key).agg(F.max(label).alias("y"))
-    short = df.filter((F.length(text) <= LONGEST) & (F.length(text) > 0)).select(key, text)
-    rows = sorted((r[0], r[1], r[2].encode()) for r in short.join(F.broadcast(chosen), key).select(F.xxhash64(text), "y", text).collect())
-    half = [[(y, t) for k, (_, y, t) in enumerate(rows) if k % 2 == part] for part in (0, 1)]
-    texts = {y: [t for z, t in half[0] if z == y] for y in (0, 1)}
+    known = df.filter(F.length(text) > 0).select(key, text).join(F.broadcast(chosen), key).select(F.xxhash64(text).alias("h"), "y", text)
+    even = F.pmod("h", F.lit(2)) == 0
+    first = sorted((h, y, t.encode()) for h, y, t in known.filter(even).select("h", "y", F.substring(text, 1, LONGEST)).collect())
+    texts = {y: [t for _, z, t in first if z == y] for y in (0, 1)}
     if not texts[0] or not texts[1]:
         return None
     model = Model(_dictionary(texts[1]), _dictionary(texts[0]))
-    rest = half[1] if len({y for y, _ in half[1]}) == 2 else half[0]
-    offs = np.concatenate([[0], np.cumsum([len(t) for _, t in rest])]).tolist()
-    model.a, model.b = balanced(model.differences(b"".join(t for _, t in rest), offs), np.array([y for y, _ in rest]), counts)
+    rest = _measured(known.filter(~even), model, text)
+    if len({y for _, y, _ in rest}) < 2:
+        rest = _measured(known.filter(even), model, text)
+    model.a, model.b = balanced(np.array([d for *_, d in rest]), np.array([y for _, y, _ in rest]), counts)
     return model
 
 
+def _measured(known: DataFrame, model: Model, text: str) -> list[tuple[int, int, float]]:
+    """h, y and the difference of each whole text, in a fixed order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = text_column(batch, text)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y").cast(pa.int64()), pa.array(model.differences(data.tobytes(), offs.tolist()))], ["h", "y", "d"])
+
+    return sorted(tuple(r) for r in arrow_map(known, run, "h long, y long, d double").collect())
+
+
 def balanced(difference: np.ndarray, y: np.ndarray, counts: dict[int, int]) -> tuple[float, float]:
     """The curve for the labels' own shares: the sample's are evened out by a shift of the log-odds."""
     a, b = platt(difference / (difference.std() or 1.0), y)
