@@ -37,3 +37,21 @@ def test_empty_tables_and_long_text(spark):
     assert row.doc_id is None and row.similarity == 1.0 and row.windows > 10_000
     assert decontam.find_leaks(docs, items.limit(0)).count() == 0 and decontam.find_leaks(docs.limit(0), items).count() == 0
     assert decontam.drop_leaks(docs, items).count() == 1
+
+
+def test_repeated_shingles(spark):
+    """Long items quoted to 80 % and followed, or mixed, with one repeated word; and items that repeat themselves."""
+    rng = random.Random(8)
+    items = [(i, " ".join(f"q{i}x{j}" for j in range(size))) for i, size in enumerate((59, 104, 304))]
+    items += [(10, " ".join(["row"] * 60 + [f"z{j}" for j in range(140)])), (11, " ".join(f"p{j % 7}" for j in range(150)))]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for k, share in enumerate((0.78, 0.82, 0.9, 1.0)):
+            kept = w[: round(len(w) * share)]
+            docs += [(100 * i + k, " ".join(kept + ["na"] * (len(w) + 20))), (100 * i + 10 + k, " ".join(["la"] * len(w) + kept + ["-"] * len(w)))]
+        docs += [(100 * i + 20, " ".join(w[: len(w) // 2] + ["x"] + w[len(w) // 2 :])), (100 * i + 21, " ".join(rng.sample(w, len(w))))]
+    want = leaks(docs, items)
+    got = {(r.doc_id, r.item_id): r for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == set(want) and all(abs(got[k].similarity - want[k]) < 1e-12 for k in want) and len(want) > 20
+    assert got[3, 0].first_word == 0 and got[3, 0].windows == 7 and got[203, 2].windows == 34

@@ -5,7 +5,9 @@ weighted Jaccard similarity of ``percent`` / 100 or more with it: shingles of ``
 weighted by how often it occurs. A window that reaches it shares so many shingles with the item that only windows rich
 in benchmark shingles get a fingerprint; that test is exact. Their fingerprints look up the items of their size in
 blocks: any two within ``RADIUS`` bits agree in one of the ``RADIUS`` + 1 blocks. At a similarity of 0.8 the expected
-distance is 19 of 128 bits with a deviation of 4, so 40 lies five deviations off. The exact similarity decides.
+distance is 19 of 128 bits with a deviation of 4, so 40 lies five deviations off. That holds while all shingles are
+distinct: a repeated one outweighs the rest. So windows and items with a repeated shingle don't go by fingerprints; they
+are counted against each other, exactly (``Items.rich``). The exact similarity decides.
 
 The items go to the tasks in chunks of ``CHUNK_ITEMS`` and ``CHUNK_BYTES`` at most on average; more items mean more
 passes, never a larger broadcast.
@@ -66,6 +68,17 @@ def within(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarr
     return i[close], j[close]
 
 
+def repeating(shingles: np.ndarray, n: int) -> np.ndarray:
+    """For each window of ``n`` shingles, whether it holds one of them twice."""
+    order = np.argsort(shingles, kind="stable")
+    twice = shingles[order[1:]] == shingles[order[:-1]]
+    i, before = order[1:][twice], order[:-1][twice]
+    i, before = i[i - before < n], before[i - before < n]
+    size = len(shingles) + 1
+    change = np.bincount(np.maximum(0, i - n + 1), minlength=size) - np.bincount(before + 1, minlength=size)
+    return np.cumsum(change)[: len(shingles) - n + 1] > 0
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Sums of the lesser and of the greater counts of the shingles of two windows."""
     values, count_a = np.unique(a, return_counts=True)
@@ -92,12 +105,44 @@ class Items:
         for k, held in self.held.items():
             self.maps[k] = np.zeros(1 << 20, bool)
             self.maps[k][held >> np.uint64(44)] = True
+        self.repeats = {s: np.array([len(np.unique(x)) < len(x) for _, x in items]) for s, items in self.sizes.items()}
+        self.lists: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         self.prints = {s: np.stack([fingerprints(x, np.zeros(1, np.int64), len(x))[0] for _, x in items]) for s, items in self.sizes.items()}
 
     def need(self, n: int, m: int) -> int:
         """The shingles that windows of n and m shingles share at least, at the similarity asked for."""
         return -(-self.percent * (n + m) // (100 + self.percent))
 
+    def rich(self, size: tuple[int, int], own: np.ndarray, starts: np.ndarray, n: int, twice: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each item, with the windows at ``starts`` that hold enough of its shingles to reach the similarity, where the
+        window (``twice``) or the item repeats a shingle."""
+        if not (twice.any() or self.repeats[size].any()):
+            return
+        if size not in self.lists:
+            each = [np.unique(x) for _, x in self.sizes[size]]
+            values, of = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
+            order = np.argsort(values, kind="stable")
+            self.lists[size] = values[order], of[order]
+        values, of = self.lists[size]
+        lo = int(starts.min())
+        found, code, count = np.unique(own[lo : int(starts.max()) + n], return_inverse=True, return_counts=True)
+        a, b = np.searchsorted(values, found), np.searchsorted(values, found, "right")
+        which = np.repeat(np.arange(len(found)), b - a)
+        item = of[np.arange(len(which)) + np.repeat(a - np.cumsum(b - a) + (b - a), b - a)]
+        least = self.need(n, size[1] - size[0] + 1)
+        enough = np.bincount(item, count[which], minlength=len(self.sizes[size])) >= least
+        which, item = which[enough[item]], item[enough[item]]
+        order = np.argsort(item, kind="stable")
+        which, ends = which[order], np.searchsorted(item[order], np.arange(len(enough) + 1))
+        for j in np.flatnonzero(enough).tolist():
+            part = starts if self.repeats[size][j] else starts[twice]
+            held = np.zeros(len(found), bool)
+            held[which[ends[j] : ends[j + 1]]] = True
+            total = np.concatenate([[0], np.cumsum(held[code])])
+            part = part[total[part - lo + n] - total[part - lo] >= least]
+            if len(part):
+                yield j, part
+
     def find(self, words: np.ndarray, hits: dict[int, np.ndarray], shingles: dict[int, np.ndarray]) -> list[tuple[int, int, int, float]]:
         """item, windows, first word and similarity of the best window, for each item that one document leaks."""
         found: list[tuple[int, int, int, float]] = []
@@ -111,16 +156,27 @@ class Items:
             if not len(starts):
                 continue
             best: dict[int, list] = {}
-            for a in range(0, len(starts), 8192):
+
+            def reached(j: int, p: int, n_windows: int, both: int, either: int) -> None:
+                if 100 * both >= self.percent * either:
+                    b = best.setdefault(j, [0, p, both / either])
+                    b[0] += n_windows
+                    if (both / either, -p) > (b[2], -b[1]):
+                        b[1:] = [p, both / either]
+
+            twice = repeating(own, n)[starts]
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own))])
+            for j, part in self.rich((k, w), own, starts, n, twice):
+                # windows of the same shingles, in any order, are compared once
+                _, first, count = np.unique(total[part + n] - total[part], return_index=True, return_counts=True)
+                for p, c in zip(part[first].tolist(), count.tolist()):
+                    reached(j, p, c, *similarity(own[p : p + n], items[j][1]))
+            starts, plain = starts[~twice], np.flatnonzero(~self.repeats[k, w])
+            for a in range(0, len(starts) if len(plain) else 0, 8192):
                 part = starts[a : a + 8192]
-                for i, j in zip(*(x.tolist() for x in within(fingerprints(own, part, n), self.prints[k, w]))):
-                    p = int(part[i])
-                    both, either = similarity(own[p : p + n], items[j][1])
-                    if 100 * both >= self.percent * either:
-                        b = best.setdefault(j, [0, p, both / either])
-                        b[0] += 1
-                        if both / either > b[2]:
-                            b[1:] = [p, both / either]
+                for i, j in zip(*(x.tolist() for x in within(fingerprints(own, part, n), self.prints[k, w][plain]))):
+                    p, j = int(part[i]), int(plain[j])
+                    reached(j, p, 1, *similarity(own[p : p + n], items[j][1]))
             found += [(items[j][0], *b) for j, b in best.items()]
         return found
 
