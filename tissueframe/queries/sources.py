@@ -62,6 +62,14 @@ def _(d):
     return S.read_surface_map(d.spark, folder).drop("path")
 
 
+@query("surface_map_all", "SELECT specimen, src_vertex, c_vertex, a_vertex, alpha, beta, gamma FROM fx_surface_map")
+def _(d):
+    """The maps of all specimens, each in a folder of its own; the specimen comes back from the path."""
+    folder = Workspace(d.spark).path("maps")
+    S.surface_map_lines(d.fx_surface_map, "specimen").write.partitionBy("specimen").text(folder)
+    return S.read_surface_map(d.spark, folder).withColumn("specimen", F.regexp_extract("path", r"specimen=(\d+)", 1).cast("long")).drop("path")
+
+
 @query("history_best", """WITH r AS (SELECT model, config, max(val_auc) AS best FROM fx_history GROUP BY 1, 2 HAVING count(*) > 1), a AS (SELECT model, count(DISTINCT config) AS runs FROM fx_history GROUP BY 1)
 SELECT a.model, a.runs, b.completed, round(b.best, 6) AS best, (SELECT min(CAST(config AS VARCHAR)) FROM r WHERE r.model = a.model AND r.best = b.best) AS config FROM a JOIN (SELECT model, count(*) AS completed, max(best) AS best FROM r GROUP BY 1) b USING (model)""")
 def _(d):
@@ -83,6 +91,16 @@ def _(d):
     return C.find_specimen(paths, known)
 
 
+@query("find_specimen_all", """WITH known AS (SELECT c_custkey FROM customer WHERE c_custkey > 0)
+SELECT concat('/data/', c.c_nationkey, '/', c.c_custkey, '.nii') AS path, CAST(CASE WHEN n.c_custkey < k.c_custkey OR k.c_custkey IS NULL THEN n.c_custkey ELSE k.c_custkey END AS VARCHAR) AS specimen
+FROM customer c LEFT JOIN known n ON n.c_custkey = c.c_nationkey LEFT JOIN known k ON k.c_custkey = c.c_custkey""")
+def _(d):
+    """All paths; those with no known part give null."""
+    paths = d.sql("SELECT concat('/data/', c_nationkey, '/', c_custkey, '.nii') AS path FROM customer")
+    known = d.sql("SELECT CAST(c_custkey AS STRING) AS specimen, c_custkey AS ord FROM customer WHERE c_custkey > 0")
+    return C.find_specimen(paths, known)
+
+
 @query("manifest", "SELECT DISTINCT CAST(specimen AS VARCHAR) AS specimen, 'Nuclei' AS level FROM fx_volume")
 def _(d):
     folder = Workspace(d.spark).path("files")

@@ -154,8 +154,8 @@ def to_hex(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else float(v).hex())
 
 
-def surface_map_lines(df: DataFrame) -> DataFrame:
-    return df.select(F.concat_ws(" ", F.lit("p"), "src_vertex", "c_vertex", "a_vertex", to_hex("alpha"), to_hex("beta")).alias("value"))
+def surface_map_lines(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.concat_ws(" ", F.lit("p"), "src_vertex", "c_vertex", "a_vertex", to_hex("alpha"), to_hex("beta")).alias("value"))
 
 
 def read_surface_map(spark: SparkSession, path: str) -> DataFrame:
