@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-    return row["n"], row["x"] or 0
+def _written(work: Workspace, edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges as a written table, with their number and a hash, both observed during the write."""
+    seen = Observation()
+    out = work.write(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0)).alias("x")))
+    return out, (seen.get["n"], seen.get["x"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,14 +30,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, work: Workspace | None = None) -> DataFrame:
     """``node, component``: the least node reachable over ``edges(u, v)``, by alternating large-star and small-star
-    rounds, for every node of an edge with u <> v. Each round is a written table; a count and a hash of it come to the
-    driver. Nodes may be of any type that has an order."""
+    rounds, for every node of an edge with u <> v; no edges give no rows. Each round is a written table; a count and a
+    hash of it come to the driver. Nodes may be of any type that has an order."""
     work = work or Workspace(edges.sparkSession)
-    edges = work.write(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _state(edges)
+    edges, before = _written(work, edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while before[0]:
-        edges = work.write(_small_star(_large_star(edges)))
-        after = _state(edges)
+        old, (edges, after) = edges, _written(work, _small_star(_large_star(edges)))
+        work.drop(old)
         if after == before:
             break
         before = after
@@ -44,19 +45,31 @@ def components(edges: DataFrame, work: Workspace | None = None) -> DataFrame:
     )
 
 
-def bounded_paths(seeds: DataFrame, edges: DataFrame, radius: float, work: Workspace | None = None, max_rounds: int = 1000) -> DataFrame:
+def bounded_paths(seeds: DataFrame, edges: DataFrame, radius: float, work: Workspace | None = None) -> DataFrame:
     """``seed, node, dist`` of all nodes within ``radius`` of each seed along ``edges(src, dst, w)``, the seed included.
 
-    Relaxes only the frontier, the rows that got shorter in the last round, and stops when none does.
+    A round relaxes only the frontier, the rows that got shorter in the last one, and writes only what changed: tables of
+    later rounds stand beside those of earlier ones, and the least distance counts. The rounds end when none gets
+    shorter; with weights of 0 or more that is so after as many as the longest shortest path has edges. ``edges`` is
+    read in each round, so it should be a written table.
     """
     work = work or Workspace(seeds.sparkSession)
-    known = work.write(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0.0).alias("dist"), F.lit(True).alias("fresh")))
-    for _ in range(max_rounds):
-        step = known.filter("fresh").join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
-        step = step.filter(F.col("dist") <= radius)
-        both = known.select("seed", "node", "dist", F.lit(1).alias("old")).unionByName(step.withColumn("old", F.lit(0)))
-        best = both.groupBy("seed", "node").agg(F.min("dist").alias("dist"), F.min(F.when(F.col("old") == 1, F.col("dist"))).alias("was"))
-        known = work.write(best.select("seed", "node", "dist", F.expr("was IS NULL OR dist < was").alias("fresh")))
-        if known.filter("fresh").isEmpty():
-            break
-    return known.drop("fresh")
+    fresh = work.write(seeds.select("seed", F.col("seed").alias("node"), F.lit(0.0).alias("dist")).distinct())
+    rounds = [fresh]
+    while not fresh.isEmpty():
+        step = fresh.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
+        step = step.filter(F.col("dist") <= radius).groupBy("seed", "node").agg(F.min("dist").alias("dist"))
+        was = _least(rounds).withColumnRenamed("dist", "_was")
+        fresh = work.write(step.join(was, ["seed", "node"], "left").filter("_was IS NULL OR dist < _was").drop("_was"))
+        rounds.append(fresh)
+        if len(rounds) > 8:
+            old, rounds = rounds, [work.write(_least(rounds))]
+            work.drop(*old[:-1])
+    return _least(rounds)
+
+
+def _least(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.groupBy("seed", "node").agg(F.min("dist").alias("dist"))

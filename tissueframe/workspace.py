@@ -9,23 +9,54 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that all executors reach: spark.checkpoint.dir. Where it is unset, a session of one machine (a local
+    master) gets a folder of its own; on a cluster that would lose data, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_FOLDERS: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the folders of all workspaces so far. Results are lazy and may read them, so this is the caller's to
+    call, once results are written or collected."""
+    while _FOLDERS:
+        delete(spark, _FOLDERS.pop())
+
+
 class Workspace:
+    """A folder of written tables. ``drop`` deletes tables that no later plan reads, ``clean`` what is left."""
+
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.base, self.n = spark, f"{shared_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}", 0
+        self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
+        self.written: list[tuple[DataFrame, str]] = []
+        _FOLDERS.append(self.base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, **options: str) -> DataFrame:
         """``df`` as a written table, read again."""
-        self.n += 1
-        df.write.parquet(self.path(str(self.n)))
-        return self.spark.read.schema(df.schema).parquet(self.path(str(self.n)))
+        path = self.path(str(len(self.written) + 1))
+        df.write.options(**options).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.written.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete written tables, named by what ``write`` returned."""
+        for df in frames:
+            for out, path in self.written:
+                if out is df:
+                    delete(self.spark, path)
