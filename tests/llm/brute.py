@@ -81,3 +81,29 @@ def pii(text):
             out.append((m.start(), "phone", m.end()))
     order = ["email", "ip", "card", "phone"]
     return sorted(out, key=lambda s: (s[0], order.index(s[1])))
+
+
+def segmentations(word, scores, unknown=-25.0):
+    """Score and number of pieces of every way to cut a word into pieces, or characters by their bytes."""
+    if not word:
+        return [(0.0, 0)]
+    out = []
+    for k in range(1, len(word) + 1):
+        head = [(scores[word[:k]], 1)] if word[:k] in scores else []
+        if k == 1:
+            head.append((unknown * len(word[0].encode()), len(word[0].encode())))
+        if head:
+            out += [(a + s, b + n) for a, b in head for s, n in segmentations(word[k:], scores, unknown)]
+    return out
+
+
+def best_pieces(word, scores, unknown=-25.0):
+    """The number of pieces of the best segmentation; of equals, that with the longer last piece."""
+    best, most = [(0.0, 0)], max(map(len, scores))
+    for j in range(1, len(word) + 1):
+        ways = [(best[i][0] + scores[word[i:j]], j - i, best[i][1] + 1) for i in range(max(0, j - most), j) if word[i:j] in scores]
+        size = len(word[j - 1].encode())
+        ways.append((best[j - 1][0] + unknown * size, most + 1, best[j - 1][1] + size))
+        top = max(ways, key=lambda w: (w[0], w[1]))
+        best.append((top[0], top[2]))
+    return best[-1][1]

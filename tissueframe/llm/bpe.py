@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _powers, append, arrow_map, binary_array, list_array, mix, plus, slices
+from .common import Batches, append, arrow_map, binary_array, list_array, mix, plus, powers, slices
 
 # Classes of codepoints, refined by what follows.
 LETTER, NUMBER, OTHER, CONTRACT1, CONTRACT2, BLANK_MID, SPACE_LAST, BLANK_LAST, END = range(9)
@@ -65,28 +65,31 @@ def _monoid(step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 STEP, CUT = _automaton()
 GENERATOR, PRODUCT, FUNCTIONS = _monoid(STEP)
-_CLASS: list[np.ndarray] = []
 #: No merge.
 NONE = np.int32(2**31 - 1)
 
 
-def codepoint_classes() -> np.ndarray:
-    """LETTER, NUMBER, OTHER or BLANK_MID for every codepoint, with the Unicode version of the tokenizer library: each
-    class alone is asked, once, which codepoints it holds."""
-    if not _CLASS:
+def class_runs() -> tuple[np.ndarray, np.ndarray]:
+    """LETTER, NUMBER, OTHER or BLANK_MID of all codepoints, as starts of runs and their classes, with the Unicode version
+    of the tokenizer library: each class alone is asked which codepoints it holds. Found once, on the driver."""
+    if not _RUNS:
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         one_byte = {bytes([i]): i for i in range(256)}
         kinds = np.full(0x110000, OTHER, np.uint8)
         for name, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", BLANK_MID)):
             held = bytes(tiktoken.Encoding("class", pat_str=name, mergeable_ranks=one_byte, special_tokens={}).encode_ordinary(every)).decode()
             kinds[np.frombuffer(held.encode("utf-32-le"), np.uint32)] = kind
-        _CLASS.append(kinds)
-    return _CLASS[0]
+        starts = np.flatnonzero(np.diff(kinds, prepend=255))
+        _RUNS.append((starts, kinds[starts]))
+    return _RUNS[0]
 
 
-def refine(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+_RUNS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def refine(classes: np.ndarray, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Classes of the codepoints of several texts joined by one filler each; ``ends`` are the fillers' places."""
-    kinds = codepoint_classes()[points]
+    kinds = classes[points]
     kinds[ends] = END
     after = np.append(kinds[1:], END)
     last = (kinds == BLANK_MID) & (after != BLANK_MID) & (after != END)
@@ -100,7 +103,7 @@ def refine(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def scan_states(kinds: np.ndarray, block: int = 512) -> np.ndarray:
+def scan_states(kinds: np.ndarray, block: int = 256) -> np.ndarray:
     """The state before each codepoint: scans inside blocks side by side, then over the blocks' totals, then both joined."""
     n = len(kinds)
     rows = -(-n // block)
@@ -133,13 +136,13 @@ def _prefix(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundaries(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+def boundaries(classes: np.ndarray, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     """For a list of texts: all joined by NUL fillers, their codepoints, the places at which slices start, and the
     fillers' places."""
     joined = "\0".join(texts) + "\0"
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
-    kinds = refine(points, ends)
+    kinds = refine(classes, points, ends)
     cut = CUT[scan_states(kinds), kinds]
     cut[ends] = True
     return joined, points, np.flatnonzero(cut), ends
@@ -214,11 +217,13 @@ class Codec:
     """Ranks, the table of pairs that merge, the cache of merged slices, and the bytes of every id."""
 
     #: Slices kept; beyond it the cache starts anew (results stay the same).
-    CACHE = 400_000
+    CACHE = 150_000
     #: Slices up to so many bytes are merged side by side in a matrix, longer ones one by one.
     WIDE = 48
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, runs: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        starts, kinds = runs or class_runs()
+        self.classes = np.repeat(kinds, np.diff(starts, append=0x110000))
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         words = [b""] * (max(self.ranks.values()) + 1)
@@ -286,8 +291,8 @@ class Codec:
         flat, counts, order = [self.rows[2]], [self.rows[1]], []
         for lo, hi in ((-1, 0), (0, 8), (8, 16), (16, self.WIDE)):
             group = np.flatnonzero((sizes > lo) & (sizes <= hi))
-            for k in range(0, len(group), 20_000):
-                order.append(group[k : k + 20_000])
+            for k in range(0, len(group), 8_000):
+                order.append(group[k : k + 8_000])
                 ids, n = self._matrix([pieces[r] for r in order[-1]], max(hi, 1))
                 flat.append(ids)
                 counts.append(n)
@@ -303,11 +308,11 @@ class Codec:
         """Ids of all texts in a row, and the offsets of each text's."""
         if self.known.n > self.CACHE:
             self.clear()
-        joined, points, starts, ends = boundaries(texts)
+        joined, points, starts, ends = boundaries(self.classes, texts)
         stops = np.append(starts[1:], len(joined))
         fillers = np.searchsorted(starts, ends)
         stops[fillers] = starts[fillers]
-        up, down = _powers(len(points) + 1)
+        up, down = powers(len(points) + 1)
         total = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(points * up[: len(points)], out=total[1:])
         keys = mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -332,19 +337,22 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, runs: tuple[np.ndarray, np.ndarray] | None = None) -> Codec:
     if path not in _CODECS:
-        _CODECS[path] = Codec(path)
+        _CODECS[path] = Codec(path, runs)
     return _CODECS[path]
 
 
-def encode(df: DataFrame, ranks_path: str, text: str = "text", offsets: bool = True) -> DataFrame:
-    """Adds ``ids`` (array<int>) and, for decoding parts, ``byte_offsets`` (array<int>: where each id's bytes start in
-    the text's UTF-8). Null and empty texts give empty arrays."""
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] + [T.StructField("byte_offsets", T.ArrayType(T.IntegerType(), False))] * offsets
+IDS = T.StructField("ids", T.ArrayType(T.IntegerType(), False))
+OFFSETS = T.StructField("byte_offsets", T.ArrayType(T.IntegerType(), False))
+DECODED = T.StructField("decoded", T.BinaryType())
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path)
+def _encoding(ranks_path: str, text: str, offsets: bool) -> Callable[[Batches], Batches]:
+    runs = class_runs()
+
+    def run(batches: Batches) -> Batches:
+        c = codec(ranks_path, runs)
         for batch in batches:
             for part, data, offs in slices(batch, text):
                 texts = [x or "" for x in part.column(text).to_pylist()]
@@ -356,14 +364,14 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", offsets: bool = T
                     new["byte_offsets"] = list_array(where.astype(np.int32), at)
                 yield append(part, new)
 
-    return arrow_map(df, run, plus(df.schema, *fields))
+    return run
 
 
-def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
-    """Adds ``decoded`` (binary), the bytes of each row's ids; null ids count as none."""
+def _decoding(ranks_path: str, ids: str) -> Callable[[Batches], Batches]:
+    runs = class_runs()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks_path)
+    def run(batches: Batches) -> Batches:
+        c = codec(ranks_path, runs)
         for batch in batches:
             for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
                 col = part.column(ids)
@@ -372,7 +380,29 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
                 at = offs[np.concatenate([[0], np.cumsum(n)])]
                 yield append(part, {"decoded": binary_array(data, at)})
 
-    return arrow_map(df, run, plus(df.schema, T.StructField("decoded", T.BinaryType())))
+    return run
+
+
+def encode(df: DataFrame, ranks_path: str, text: str = "text", offsets: bool = True) -> DataFrame:
+    """Adds ``ids`` (array<int>) and, for decoding parts, ``byte_offsets`` (array<int>: where each id's bytes start in
+    the text's UTF-8). Null and empty texts give empty arrays."""
+    return arrow_map(df, _encoding(ranks_path, text, offsets), plus(df.schema, IDS, *[OFFSETS] * offsets))
+
+
+def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
+    """Adds ``decoded`` (binary), the bytes of each row's ids; null ids count as none."""
+    return arrow_map(df, _decoding(ranks_path, ids), plus(df.schema, DECODED))
+
+
+def round_trip(df: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
+    """``decode(encode(df))`` in one pass: one Python worker a task instead of two. The text itself isn't returned, only
+    the other columns, ``ids`` and ``decoded``."""
+    coded, back = _encoding(ranks_path, text, False), _decoding(ranks_path, "ids")
+
+    def run(batches: Batches) -> Batches:
+        return (b.drop_columns([text]) for b in back(coded(batches)))
+
+    return arrow_map(df, run, plus(T.StructType([f for f in df.schema if f.name != text]), IDS, DECODED))
 
 
 def digests(df: DataFrame) -> DataFrame:

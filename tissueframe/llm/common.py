@@ -1,69 +1,45 @@
-"""Shared parts of the text operators: Arrow batches, word hashes, written intermediates."""
+"""Shared parts of the text operators: Arrow batches, word hashes."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Texts are worked on in slices of about so many bytes, so that memory in a task does not follow the batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Spark sends batches of about so many bytes at most to its Python workers (a single longer text is a batch of its own).
+BATCH_BYTES = 4 << 20
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package from the driver's checkout."""
-    env = df.sparkSession.sparkContext.environment
+def arrow_map(df: DataFrame, fn: Callable[[Batches], Batches], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` whose workers import this package from the driver's checkout, get batches bounded in bytes, and give
+    Arrow's memory back at the end of a task."""
+    env, conf = df.sparkSession.sparkContext.environment, df.sparkSession.conf
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    return df.mapInArrow(fn, schema)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-class Workspace:
-    """Written tables under the shared folder; each cuts the lineage behind it and survives a lost executor."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.base, self.n = spark, f"{shared_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}", 0
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
-    def write(self, df: DataFrame, **options: str) -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/{self.n}"
-        df.write.options(**options).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
 
-    def path(self, name: str) -> str:
-        return f"{self.base}/{name}"
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete intermediates that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}:
-            if self.base.split(":")[-1].lstrip("/") in path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+    return df.mapInArrow(run, schema)
 
 
 def text_column(batch: pa.RecordBatch | pa.Table, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +89,47 @@ def list_array(values: np.ndarray, offs: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(values))
 
 
+# --- bit filters -----------------------------------------------------------------------------------
+
+#: Bits of a filter at most; about ten for each key if they are fewer.
+FILTER_BITS = 1 << 26
+
+
+_SEEDS = (0x5BD1, 0x1B873593, 0xCC9E2D51)
+
+
+def _place(keys: np.ndarray, seed: int, bits: int) -> np.ndarray:
+    return mix(keys ^ np.uint64(seed)) & np.uint64(bits - 1)
+
+
+def key_filter(df: DataFrame, key: str, count: int) -> np.ndarray:
+    """A bit filter of the long column ``key``, ``count`` values: at most ``FILTER_BITS`` / 8 bytes reach the driver,
+    whatever their number. It lets all of them through, and few others unless they are very many."""
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(12, (10 * count).bit_length()))
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            at = np.concatenate([_place(keys, s, bits) for s in _SEEDS])
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "mask"])
+
+    words = arrow_map(df.select(key), run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def held(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys a filter lets through; further bits are asked only of those that the first lets through."""
+    bits, out = len(filter_) << 6, np.zeros(len(keys), bool)
+    some = np.arange(len(keys))
+    for s in _SEEDS:
+        at = _place(keys[some], s, bits)
+        some = some[(filter_[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    out[some] = True
+    return out
+
+
 # --- words -----------------------------------------------------------------------------------------
 
 #: A-Z lower-cased; words are runs of anything but space and 9-13.
@@ -123,17 +140,21 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the hash base and of its inverse. Those for a slice are kept, longer ones made anew, so
+    that one very long text doesn't stay in a worker's memory."""
+    if n <= len(_KEPT[0]):
+        return _KEPT[0], _KEPT[1]
+    return _power(_BASE, n), _power(_INVERSE, n)
+
+
+def _power(x: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, x, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 2)
-        for k, x in enumerate((_BASE, _INVERSE)):
-            full = np.full(size, x, np.uint64)
-            full[0] = 1
-            _POWERS[k] = np.multiply.accumulate(full)
-    return _POWERS[0], _POWERS[1]
+_KEPT = _power(_BASE, SLICE_BYTES + 2), _power(_INVERSE, SLICE_BYTES + 2)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -166,7 +187,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, rows = word_spans(data, offs)
     if not len(starts):
         return np.empty(0, np.uint64), rows
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[LOWER[data]] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts]), rows

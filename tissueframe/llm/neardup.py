@@ -5,11 +5,15 @@ The steps, all linear in the rows but for blocks of groups that don't fall toget
 1. A sketch of each text: size and digest of its shingle set, and band keys of its minima. Equal sets collapse to one
    representative by an aggregation, so exact copies never meet in a bucket.
 2. Buckets of band keys; buckets with the same members count once. Each member is confirmed against its bucket's
-   leader on the full sets (a star, not all pairs); components of the confirmed links.
+   leader on the full sets (a star, not all pairs); components of the confirmed links. Full sets are made where the
+   texts lie, for the members of buckets that a bit filter of bounded size lets through; texts aren't shuffled.
 3. Where a bucket still holds several components, its members outside the largest one are compared with all others,
    in blocks of bounded size, first by signature, then, inside the groups that signatures leave, on the full sets.
    A block returns only links that join different components, so no pair of one group is spelled out.
 
+What a group has in common (its leader, its largest component) is a written table before its members join it, so a hot
+group is a skewed join of two plain exchanges, which adaptive execution splits.
+
 Only the choice of hash functions is random: a pair at the threshold shares no band with a chance of ``MISS`` at most,
 and one whose minima agree ``SIGMAS`` deviations too seldom isn't looked at in step 3.
 
@@ -28,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_map, list_array, mix, shingle_hashes, slices, word_hashes
-from .components import components
+from ..operators.graph import components
+from ..workspace import Workspace
+from .common import arrow_map, held, key_filter, list_array, mix, shingle_hashes, slices, word_hashes
 
 ROWS, MISS, SIGMAS = 6, 1e-6, 4.5
-#: Members of a block; two blocks meet in a task's memory at a time.
-BLOCK = 192
+#: The weight of a block; two blocks meet in a task's memory at a time. A signature weighs 1, a full set 1 for each
+#: ``UNIT`` shingles begun, so blocks are bounded in bytes as well as in members.
+BLOCK, UNIT = 192, 1024
 
 
 def bands_for(percent: int) -> int:
@@ -91,44 +97,47 @@ def sketches(df: DataFrame, k: int, bands: int, key: str, text: str) -> DataFram
     return arrow_map(df.select(F.col(key).cast("long").alias(key), text), run, "doc long, n long, d1 long, d2 long, bands array<long>")
 
 
-def full_sets(df: DataFrame, k: int, hashes: int) -> DataFrame:
-    """The shingle sets of ``doc, text``, and signatures: the low byte of each minimum."""
+def full_sets(df: DataFrame, k: int, hashes: int, members: np.ndarray, key: str, text: str) -> DataFrame:
+    """``doc, n, shingles`` and ``sig`` (the low byte of each minimum) of the texts whose key the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offs in slices(batch, "text"):
+            batch = batch.filter(batch.column(key).is_valid())
+            wanted = held(members, batch.column(key).to_numpy().view(np.uint64))
+            for part, data, offs in slices(batch.filter(pa.array(wanted)), text):
                 values, at = shingle_sets(data, offs, k)
                 full = np.flatnonzero(np.diff(at))
                 if not len(full):
                     continue
                 sig = minima(values, np.append(at[full], len(values)), hashes).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [_rows(part.column("doc"), full), list_array(values.view(np.int64), np.append(at[full], len(values))), pa.array([s.tobytes() for s in sig], pa.binary())],
-                    ["doc", "shingles", "sig"],
+                    [_rows(part.column(key), full), pa.array(np.diff(at)[full]), list_array(values.view(np.int64), np.append(at[full], len(values))), pa.array([s.tobytes() for s in sig], pa.binary())],
+                    ["doc", "n", "shingles", "sig"],
                 )
 
-    return arrow_map(df.select("doc", "text"), run, "doc long, shingles array<long>, sig binary")
+    return arrow_map(df.select(F.col(key).cast("long").alias(key), text), run, "doc long, n long, shingles array<long>, sig binary")
 
 
 def _similar(percent: int, a: str = "a", b: str = "b") -> str:
     return f"100 * {a} >= {percent} * ({b} - {a})"
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """``members(g, doc, comp)``, one row each: of groups that hold several components, every row once for each pair of
-    blocks in which it has to meet others. Blocks of the largest component don't meet each other."""
-    by = members.groupBy("g", "comp").agg(F.count("*").alias("c"))
-    groups = by.groupBy("g").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.max(F.struct("c", F.col("comp").alias("main"))).alias("top"))
-    groups = groups.filter("k > 1").select("g", "n", "top.main", F.col("top.c").alias("c"))
+def _blocks(members: DataFrame, work: Workspace) -> DataFrame:
+    """``members(g, doc, comp, w)``: of groups that hold several components, every row once for each pair of blocks in
+    which it has to meet others. Blocks of the largest component don't meet each other; blocks weigh ``BLOCK`` on
+    average, and there are no more of them than rows."""
+    by = members.groupBy("g", "comp").agg(F.sum("w").alias("c"), F.count("*").alias("r"))
+    groups = by.groupBy("g").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum("r").alias("rows"), F.max(F.struct("c", F.col("comp").alias("main"), "r")).alias("top"))
+    groups = work.write(groups.filter("k > 1").select("g", "n", "rows", "top.main", "top.c", "top.r"))
     placed = members.join(groups, "g").selectExpr(
         "g", "doc", "comp", "comp = main AS main", f"n <= {BLOCK} AS small",
-        f"greatest(1, int(ceil((n - c) / {BLOCK}))) AS bl", f"greatest(1, int(ceil(c / {BLOCK}))) AS bd",
+        f"greatest(1, least(rows - r, int(ceil((n - c) / {BLOCK})))) AS bl", f"greatest(1, least(r, int(ceil(c / {BLOCK})))) AS bd",
     ).withColumn("own", F.expr("pmod(xxhash64(doc, 7), CASE WHEN main THEN bd ELSE bl END)").cast("int"))
     keys = F.expr(
         """CASE WHEN small THEN array(named_struct('p', 0, 'i', 0, 'j', 0))
-        WHEN main THEN transform(sequence(0, bl - 1), i -> named_struct('p', 1, 'i', int(i), 'j', own))
-        ELSE concat(transform(sequence(0, bl - 1), i -> named_struct('p', 2, 'i', int(least(i, own)), 'j', int(greatest(i, own)))),
-                    transform(sequence(0, bd - 1), j -> named_struct('p', 1, 'i', own, 'j', int(j)))) END"""
+        WHEN main THEN transform(sequence(0L, bl - 1), i -> named_struct('p', 1, 'i', int(i), 'j', own))
+        ELSE concat(transform(sequence(0L, bl - 1), i -> named_struct('p', 2, 'i', int(least(i, own)), 'j', int(greatest(i, own)))),
+                    transform(sequence(0L, bd - 1), j -> named_struct('p', 1, 'i', own, 'j', int(j)))) END"""
     )
     return placed.select("g", "doc", "comp", F.explode(keys).alias("at")).select("g", "doc", "comp", "at.*")
 
@@ -221,16 +230,14 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     reps = work.write(sets)
 
     posting = reps.select("rep", F.explode("bands").alias("g"))
-    buckets = posting.groupBy("g").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(rep, 1))").alias("x"), F.expr("bit_xor(xxhash64(rep, 2))").alias("y"))
-    buckets = buckets.filter("c > 1").groupBy("c", "x", "y").agg(F.min("g").alias("g")).select("g")
-    members = work.write(posting.join(buckets, "g").select("g", F.col("rep").alias("doc")))
+    buckets = posting.groupBy("g").agg(F.count("*").alias("c"), F.min("rep").alias("u"), F.expr("bit_xor(xxhash64(rep, 1))").alias("x"), F.expr("bit_xor(xxhash64(rep, 2))").alias("y"))
+    buckets = work.write(buckets.filter("c > 1").groupBy("c", "x", "y").agg(F.min("g").alias("g"), F.min("u").alias("u")).select("g", "u"))
+    members = work.write(posting.join(buckets, "g").select("g", F.col("rep").alias("doc"), "u"))
 
-    wanted = members.select("doc").distinct()
-    texts = df.select(F.col(key).cast("long").alias("doc"), text).withColumnRenamed(text, "text")
-    known = work.write(full_sets(texts.join(wanted.hint("shuffle_hash"), "doc", "left_semi"), words, hashes))
+    wanted = work.write(members.select("doc").distinct())
+    known = work.write(full_sets(df, words, hashes, key_filter(wanted, "doc", wanted.count()), key, text).join(wanted, "doc", "left_semi"))
 
-    leader = members.groupBy("g").agg(F.min(F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("u"))).alias("x")).select("g", "x.u")
-    stars = members.join(leader, "g").filter("doc <> u").select(F.col("doc").alias("v"), "u").distinct()
+    stars = members.filter("doc <> u").select(F.col("doc").alias("v"), "u").distinct()
     stars = stars.join(known.select(F.col("doc").alias("v"), F.col("shingles").alias("sv")), "v").join(known.select(F.col("doc").alias("u"), F.col("shingles").alias("su")), "u")
     stars = stars.select("u", "v", F.expr("size(array_intersect(su, sv))").alias("a"), F.expr("size(su) + size(sv)").alias("b"))
     links = work.write(stars.filter(_similar(percent)).select("u", "v"))
@@ -240,7 +247,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
         return m.join(c.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
 
     least = math.ceil(low * hashes)
-    open_ = _blocks(with_comp(members, comp)).join(known.select("doc", "sig"), "doc")
+    open_ = _blocks(with_comp(members.select("g", "doc", F.lit(1).alias("w")), comp), work).join(known.select("doc", "sig"), "doc")
 
     def by_signature(group: pa.Table) -> np.ndarray:
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(group.num_rows, -1)
@@ -249,8 +256,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     maybe = work.write(_in_groups(open_, by_signature))
     if not maybe.isEmpty():
         loose = components(links.unionByName(maybe), work)
-        group = with_comp(loose.select(F.col("node").alias("doc"), F.col("component").alias("g")), comp)
-        blocks = _blocks(group).join(known.select("doc", "shingles"), "doc")
+        group = loose.select(F.col("node").alias("doc"), F.col("component").alias("g")).join(known.select("doc", F.expr(f"n div {UNIT} + 1").alias("w")), "doc")
+        blocks = _blocks(with_comp(group, comp), work).join(known.select("doc", "shingles"), "doc")
 
         def by_sets(g: pa.Table) -> np.ndarray:
             col = g.column("shingles").combine_chunks()
@@ -265,7 +272,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
 
     found = reps.select("d1", "d2", "n", "rep", "copies").join(comp.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 OR component IS NOT NULL")
     found = work.write(found.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component")))
-    work.drop(members, known, links)
+    work.drop(reps, buckets, members, wanted, known, links)
     out = sketch.select("doc", "n", "d1", "d2").join(found, ["d1", "d2", "n"], "left")
     own = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc") == own, F.lit(True)).alias("kept"))
@@ -274,4 +281,4 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
 def keep_one(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of one document of each group: that with the least key. Rows with a null key stay."""
     gone = near_duplicates(df, words, percent, key, text).filter("NOT kept").select(key).distinct()
-    return df.join(gone.hint("shuffle_hash"), key, "left_anti")
+    return df.join(gone, key, "left_anti")

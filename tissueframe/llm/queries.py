@@ -16,8 +16,7 @@ RANKS, PIECES = path("byte_bpe_multi_50k.tiktoken"), path("piece_bpe_32k.model")
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, RANKS).select("doc_id", "ids")
-    return bpe.digests(bpe.decode(coded, RANKS)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.digests(bpe.round_trip(docs, RANKS)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +24,8 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = "array_join(transform({}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
     counts = [F.expr(f"cast(size(filter(pii, x -> x.base AND x.kind = '{k}')) AS long)").alias(f"n_{k}") for k in pii.BASE_KINDS]
     base = F.sha2(F.expr(listed.format("filter(pii, x -> x.base)")), 256)
-    return found.select("doc_id", *counts, base.alias("base_sha256"), F.expr(listed.format("pii")).alias("spans"))
+    added = [F.expr(f"cast(size(filter(pii, x -> NOT x.base AND x.kind = '{k}')) AS long)").alias(f"n_added_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, base.alias("base_sha256"), F.expr(listed.format("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"), *added)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
