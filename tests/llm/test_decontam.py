@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
+
 from tissueframe.llm import decontam
 
 from .brute import leaks
 
 
-def test_equals_all_windows(spark, monkeypatch):
+def test_equals_all_windows(spark):
     rng = random.Random(4)
     vocab = [f"v{i}" for i in range(60)]
     items = [(i, " ".join(rng.choices(vocab, k=rng.choice([2, 4, 5, 14, 30, 59])))) for i in range(25)] + [(90, None), (91, "")]
@@ -27,8 +29,43 @@ def test_equals_all_windows(spark, monkeypatch):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want) and len(want) > 30
     kept = {r.doc_id for r in decontam.drop_leaks(df, bench).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
-    monkeypatch.setattr(decontam, "CHUNK_ITEMS", 5)
-    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(df, bench).collect()} == set(want)
+
+
+def test_many_items_of_one_size_and_repeated_rows(spark):
+    """Thousands of items of one length, a third of them copies of one, and repeated documents: a row each."""
+    rng = random.Random(14)
+    items = [(i, " ".join(f"m{rng.randrange(5000)}" for _ in range(40))) for i in range(3000)]
+    items += [(3000 + i, items[0][1].upper()) for i in range(1500)]
+    docs = [(d, f"start {items[d * 7][1]} end") for d in range(60)] + [(0, f"start {items[0][1]} end")] + [(500, " ".join(f"m{rng.randrange(5000)}" for _ in range(4000)))]
+    got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = [(d, d * 7) for d in range(60)] + [(0, 0)] + [(0, 3000 + i) for i in range(1500)] * 2
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
+    assert {r.first_word for r in got} == {1} and {r.similarity for r in got} == {1.0}
+
+
+def test_blocks_find_all_prints_within_the_radius():
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 1 << 16, decontam.BITS // 16, dtype=np.uint16)
+    flips = [rng.permutation(decontam.BITS)[:n] for n in rng.integers(0, 120, 400)] + [np.arange(68), np.arange(69)]
+    bits = np.unpackbits(np.stack([one] * len(flips)).view(np.uint8), axis=1)
+    for r, f in enumerate(flips):
+        bits[r, f] ^= 1
+    prints = np.packbits(bits, axis=1).view(np.uint16)
+    assert decontam.within(prints, one).tolist() == [r for r, f in enumerate(flips) if len(f) <= decontam.RADIUS]
+
+
+def test_similar_windows_lie_within_the_radius():
+    """The radius loses no window at the least similarity, for items of distinct shingles of many sizes."""
+    rng = np.random.default_rng(9)
+    for n in (9, 18, 45, 90, 450):
+        far = 0
+        for _ in range(60):
+            own = rng.integers(1, 1 << 62, 2 * n, dtype=np.uint64)
+            shared = decontam.need(n, n, 80)
+            a, b = own[:n], np.concatenate([own[:shared], own[n : 2 * n - shared]])
+            x, y = (decontam.fingerprints(s, np.zeros(1, np.int64), n) for s in (a, b))
+            far = max(far, int(np.bitwise_count(x ^ y).sum()))
+        assert far <= decontam.RADIUS, n
 
 
 def test_empty_tables_and_long_text(spark):

@@ -2,35 +2,42 @@
 
 A document leaks an item of w words if one of its runs of exactly w words (or the whole document, if shorter) has a
 weighted Jaccard similarity of ``percent`` / 100 or more with it: shingles of ``words`` words (all w, if fewer), each
-weighted by how often it occurs. A window that reaches it shares so many shingles with the item that only windows rich
-in benchmark shingles get a fingerprint; that test is exact. Their fingerprints look up the items of their size in
-blocks: any two within ``RADIUS`` bits agree in one of the ``RADIUS`` + 1 blocks. At a similarity of 0.8 the expected
-distance is 19 of 128 bits with a deviation of 4, so 40 lies five deviations off. That holds while all shingles are
-distinct: a repeated one outweighs the rest. So windows and items with a repeated shingle don't go by fingerprints; they
-are counted against each other, exactly (``Items.rich``). The exact similarity decides.
-
-The items go to the tasks in chunks of ``CHUNK_ITEMS`` and ``CHUNK_BYTES`` at most on average; more items mean more
-passes, never a larger broadcast.
+weighted by how often it occurs. The steps:
+
+1. Items are a table. Equal ones count once; each gets a SimHash of ``BITS`` bits, and those of its shingles that are
+   rarest among items, so many that a window without any of them can't reach the similarity.
+2. One pass over the documents, whatever the number of items: a bit filter of bounded size tells benchmark shingles, and
+   stretches that windows rich enough in them cover are kept (an exact count bound). Equal stretches count once.
+3. Stretches meet items that share a rare shingle, by an equi-join. Windows of the item's size that hold enough of its
+   shingles are compared by fingerprints: any two within ``RADIUS`` bits differ by ``PROBE`` bits at most in one of the
+   blocks of 16 bits. At a similarity of 0.8 the expected distance is 39 of 256 bits with a deviation of 5.7, so 68 lies
+   five deviations off, and those of unrelated windows (128, deviation 8) far beyond. That holds while all shingles are
+   distinct: a repeated one outweighs the rest, so windows and items with a repeated shingle skip the fingerprints. The
+   exact similarity decides.
 
 Edge cases: null or empty documents and items never match; documents may be of any length; repeated documents or items
-give a row each; a null key stays null. Other columns don't matter.
+give a row each; a null key stays null; of equally similar windows the first is named. Other columns don't matter.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix, slices, word_hashes
+from ..workspace import Workspace
+from .common import arrow_map, held, key_filter, list_array, mix, slices, word_hashes
 
-BITS, RADIUS = 128, 40
-CHUNK_ITEMS, CHUNK_BYTES = 4096, 8 << 20
+BITS, RADIUS, BLOCK_BITS = 256, 68, 16
+#: Two prints within the radius differ by so many bits at most in one of their blocks.
+PROBE = RADIUS // (BITS // BLOCK_BITS)
+#: Windows that are compared with an item at a time.
+SLICE = 4096
 
 
 def runs(words: np.ndarray, k: int) -> np.ndarray:
@@ -43,29 +50,23 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
 
 def signs(shingles: np.ndarray) -> np.ndarray:
     """+1 or -1 for each fingerprint bit of each shingle."""
-    both = np.stack([mix(shingles ^ np.uint64(0x1234567)), mix(shingles ^ np.uint64(0x89ABCDEF01))], 1)
-    return np.unpackbits(both.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1).astype(np.int32) * 2 - 1
+    seeds = (0x1234567, 0x89ABCDEF01, 0x5DEECE66D, 0xB5297A4D3F)
+    bits = np.stack([mix(shingles ^ np.uint64(s)) for s in seeds], 1)
+    return np.unpackbits(bits.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1).astype(np.int32) * 2 - 1
 
 
 def fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """SimHash bits of the windows of ``n`` shingles at ``starts``."""
+    """SimHash prints, as blocks, of the windows of ``n`` shingles at ``starts``."""
     lo = int(starts.min())
     total = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(shingles[lo : int(starts.max()) + n]), 0, dtype=np.int32)])
-    return total[starts - lo + n] - total[starts - lo] > 0
+    return np.packbits(total[starts - lo + n] > total[starts - lo], axis=1).view(np.uint16)
 
 
-def within(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of fingerprints at most ``radius`` bits apart: candidates agree in a block, then bits are counted."""
-    near = np.zeros((len(a), len(b)), bool)
-    cuts = np.linspace(0, a.shape[1], radius + 2).astype(int)
-    for lo, hi in zip(cuts, cuts[1:]):
-        weight = 1 << np.arange(hi - lo)
-        index = np.zeros((1 << (hi - lo), len(b)), bool)
-        index[b[:, lo:hi] @ weight, np.arange(len(b))] = True
-        near |= index[a[:, lo:hi] @ weight]
-    i, j = np.nonzero(near)
-    close = (a[i] != b[j]).sum(1) <= radius
-    return i[close], j[close]
+def within(prints: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which prints are at most ``RADIUS`` bits from ``one``: those near it in a block are counted in full."""
+    far = np.bitwise_count(prints ^ one)
+    near = np.flatnonzero((far <= PROBE).any(1))
+    return near[far[near].sum(1, dtype=np.int64) <= RADIUS]
 
 
 def repeating(shingles: np.ndarray, n: int) -> np.ndarray:
@@ -88,141 +89,175 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return least, len(a) + len(b) - least
 
 
-class Items:
-    """A chunk of benchmark items by size, with their shingles and fingerprints."""
-
-    def __init__(self, rows: list[tuple[int, str]], words: int, percent: int) -> None:
-        self.words, self.percent = words, percent
-        self.sizes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-        for item, text in rows:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            w, _ = word_hashes(raw, np.array([0, len(raw)]))
-            if len(w):
-                k = min(words, len(w))
-                self.sizes.setdefault((k, len(w)), []).append((item, runs(w, k)))
-        self.held = {k: np.unique(np.concatenate([s for (kk, _), x in self.sizes.items() if kk == k for _, s in x])) for k in {k for k, _ in self.sizes}}
-        self.maps = {}
-        for k, held in self.held.items():
-            self.maps[k] = np.zeros(1 << 20, bool)
-            self.maps[k][held >> np.uint64(44)] = True
-        self.repeats = {s: np.array([len(np.unique(x)) < len(x) for _, x in items]) for s, items in self.sizes.items()}
-        self.lists: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        self.prints = {s: np.stack([fingerprints(x, np.zeros(1, np.int64), len(x))[0] for _, x in items]) for s, items in self.sizes.items()}
-
-    def need(self, n: int, m: int) -> int:
-        """The shingles that windows of n and m shingles share at least, at the similarity asked for."""
-        return -(-self.percent * (n + m) // (100 + self.percent))
-
-    def rich(self, size: tuple[int, int], own: np.ndarray, starts: np.ndarray, n: int, twice: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each item, with the windows at ``starts`` that hold enough of its shingles to reach the similarity, where the
-        window (``twice``) or the item repeats a shingle."""
-        if not (twice.any() or self.repeats[size].any()):
-            return
-        if size not in self.lists:
-            each = [np.unique(x) for _, x in self.sizes[size]]
-            values, of = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
-            order = np.argsort(values, kind="stable")
-            self.lists[size] = values[order], of[order]
-        values, of = self.lists[size]
-        lo = int(starts.min())
-        found, code, count = np.unique(own[lo : int(starts.max()) + n], return_inverse=True, return_counts=True)
-        a, b = np.searchsorted(values, found), np.searchsorted(values, found, "right")
-        which = np.repeat(np.arange(len(found)), b - a)
-        item = of[np.arange(len(which)) + np.repeat(a - np.cumsum(b - a) + (b - a), b - a)]
-        least = self.need(n, size[1] - size[0] + 1)
-        enough = np.bincount(item, count[which], minlength=len(self.sizes[size])) >= least
-        which, item = which[enough[item]], item[enough[item]]
-        order = np.argsort(item, kind="stable")
-        which, ends = which[order], np.searchsorted(item[order], np.arange(len(enough) + 1))
-        for j in np.flatnonzero(enough).tolist():
-            part = starts if self.repeats[size][j] else starts[twice]
-            held = np.zeros(len(found), bool)
-            held[which[ends[j] : ends[j + 1]]] = True
-            total = np.concatenate([[0], np.cumsum(held[code])])
-            part = part[total[part - lo + n] - total[part - lo] >= least]
-            if len(part):
-                yield j, part
-
-    def find(self, words: np.ndarray, hits: dict[int, np.ndarray], shingles: dict[int, np.ndarray]) -> list[tuple[int, int, int, float]]:
-        """item, windows, first word and similarity of the best window, for each item that one document leaks."""
-        found: list[tuple[int, int, int, float]] = []
-        for (k, w), items in self.sizes.items():
-            own = shingles[k]
-            n = min(w - k + 1, len(own))
-            if n <= 0:
-                continue
-            total = np.concatenate([[0], np.cumsum(hits[k])])
-            starts = np.flatnonzero(total[n:] - total[: len(total) - n] >= self.need(n, w - k + 1))
-            if not len(starts):
-                continue
-            best: dict[int, list] = {}
-
-            def reached(j: int, p: int, n_windows: int, both: int, either: int) -> None:
-                if 100 * both >= self.percent * either:
-                    b = best.setdefault(j, [0, p, both / either])
-                    b[0] += n_windows
-                    if (both / either, -p) > (b[2], -b[1]):
-                        b[1:] = [p, both / either]
-
-            twice = repeating(own, n)[starts]
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own))])
-            for j, part in self.rich((k, w), own, starts, n, twice):
-                # windows of the same shingles, in any order, are compared once
-                _, first, count = np.unique(total[part + n] - total[part], return_index=True, return_counts=True)
-                for p, c in zip(part[first].tolist(), count.tolist()):
-                    reached(j, p, c, *similarity(own[p : p + n], items[j][1]))
-            starts, plain = starts[~twice], np.flatnonzero(~self.repeats[k, w])
-            for a in range(0, len(starts) if len(plain) else 0, 8192):
-                part = starts[a : a + 8192]
-                for i, j in zip(*(x.tolist() for x in within(fingerprints(own, part, n), self.prints[k, w][plain]))):
-                    p, j = int(part[i]), int(plain[j])
-                    reached(j, p, 1, *similarity(own[p : p + n], items[j][1]))
-            found += [(items[j][0], *b) for j, b in best.items()]
-        return found
-
-
-def item_chunks(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    rows = benchmark.filter(F.col(text).isNotNull())
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()
-    chunks = max(1, math.ceil(size["n"] / CHUNK_ITEMS), math.ceil(size["b"] / CHUNK_BYTES))
-    for c in range(chunks):
-        yield [tuple(r) for r in rows.filter(F.expr(f"pmod(xxhash64(`{text}`), {chunks}) = {c}")).select(F.col(key).cast("long"), text).collect()]
+def need(n: int, m: int, percent: int) -> int:
+    """The shingles that windows of n and m shingles share at least, at the similarity asked for."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def compare(own: np.ndarray, whole: bool, item: np.ndarray, mark: np.ndarray, repeats: bool, percent: int) -> tuple[int, int, float] | None:
+    """Windows of a stretch that reach the similarity with an item, and the place and similarity of the best; ``whole``
+    tells that the stretch is a whole document, which is one window if it is shorter than the item."""
+    m = len(item)
+    n = min(m, len(own)) if whole else m
+    if n > len(own):
+        return None
+    total = np.concatenate([[0], np.cumsum(np.isin(own, item))])
+    starts = np.flatnonzero(total[n:] - total[: len(total) - n] >= need(n, m, percent))
+    if not len(starts):
+        return None
+    twice = repeating(own, n)[starts] | repeats
+    some = [np.flatnonzero(twice)]
+    plain = np.flatnonzero(~twice)
+    for a in range(0, len(plain), SLICE):
+        part = plain[a : a + SLICE]
+        some.append(part[within(fingerprints(own, starts[part], n), mark)])
+    starts = starts[np.concatenate(some)]
+    # windows of the same shingles, in any order, are compared once
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own))])
+    _, first, count = np.unique(total[starts + n] - total[starts], return_index=True, return_counts=True)
+    windows, best = 0, None
+    for f, c in zip(first.tolist(), count.tolist()):
+        p = int(starts[f])
+        both, either = similarity(own[p : p + n], item)
+        if 100 * both >= percent * either:
+            windows += c
+            best = max(best or (0.0, 0), (both / either, -p))
+    return best and (windows, -best[1], best[0])
+
+
+def _items(benchmark: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """``item``, the digest of its words, ``k`` (words of a shingle), shingles in order, its print, and whether it repeats
+    a shingle; items without words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offs in slices(batch, text):
+                h, at = word_hashes(data, offs)
+                rows = np.flatnonzero(np.diff(at))
+                own = [h[at[r] : at[r + 1]] for r in rows]
+                ks = [min(words, len(w)) for w in own]
+                shingles = [runs(w, k) for w, k in zip(own, ks)]
+                offs_ = np.concatenate([[0], np.cumsum([len(s) for s in shingles], dtype=np.int64)])
+                flat = np.concatenate(shingles) if shingles else np.empty(0, np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(key).take(pa.array(rows)), *(pa.array([_digest(w, s) for w in own], pa.int64()) for s in (1, 2)), pa.array(ks, pa.int32()), list_array(flat.view(np.int64), offs_),
+                     pa.array([fingerprints(s, np.zeros(1, np.int64), len(s))[0].tobytes() for s in shingles], pa.binary()), pa.array([len(np.unique(s)) < len(s) for s in shingles], pa.bool_())],
+                    ["item", "d1", "d2", "k", "shingles", "mark", "repeats"],
+                )
+
+    return arrow_map(benchmark.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), text), run, "item long, d1 long, d2 long, k int, shingles array<long>, mark binary, repeats boolean")
+
+
+def _digest(hashes: np.ndarray, seed: int) -> int:
+    """A 64-bit hash of a sequence of hashes."""
+    place = mix(np.arange(len(hashes), dtype=np.uint64) + np.uint64(seed << 40))
+    return int(mix(hashes ^ place).sum(dtype=np.uint64).view(np.int64))
+
+
+def _rare(items: DataFrame, percent: int) -> DataFrame:
+    """``s, rep``: of each item the shingles that the fewest items hold, so many that the others together fall short of
+    the least overlap."""
+    held_ = items.select("rep", F.explode("shingles").alias("s")).groupBy("rep", "s").agg(F.count("*").alias("c"))
+    often = held_.groupBy("s").agg(F.count("*").alias("often"))
+    rows = held_.join(often, "s").join(items.select("rep", F.size("shingles").alias("m")), "rep")
+    before = F.coalesce(F.sum("c").over(W.partitionBy("rep").orderBy("often", "s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("before", before).filter(f"before <= m - ceil(m * {percent} / 100)").select("s", "rep")
+
+
+def _stretches(df: DataFrame, filter_: np.ndarray, sizes: list[tuple[int, int]], percent: int, key: str, text: str) -> DataFrame:
+    """``row, key, k, whole, first, d1, d2, shingles``: the stretches of each document that windows rich enough in
+    benchmark shingles cover, for items of ``sizes`` (words of a shingle, shingles)."""
+    by_k = {k: sorted({m for kk, m in sizes if kk == k}) for k in sorted({k for k, _ in sizes})}
+    # A window shorter than its item holds percent / 100 of the item's shingles at least.
+    least = {k: -(-percent * ms[0] // 100) for k, ms in by_k.items()}
+
+    def covered(hit: np.ndarray, ms: list[int]) -> np.ndarray:
+        """Shingles that lie in a rich window of one of the sizes, as change of the number of such windows."""
+        total, change = np.concatenate([[0], np.cumsum(hit)]), np.zeros(len(hit) + 1, np.int64)
+        for m in ms:
+            n = min(m, len(hit))
+            if total[-1] < need(n, m, percent):
+                break
+            starts = np.flatnonzero(total[n:] - total[: len(total) - n] >= need(n, m, percent))
+            if len(starts):
+                np.add.at(change, starts, 1)
+                np.add.at(change, starts + n, -1)
+        return change
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part, data, offs in slices(batch, text):
+                h, at = word_hashes(data, offs)
+                out: list[tuple] = []
+                for k, ms in by_k.items():
+                    s = runs(h, k)
+                    hit = held(filter_, s)
+                    # shingles don't reach over a document's end
+                    ends = at[1:-1, None] - np.arange(1, k)
+                    hit[ends[(ends >= 0) & (ends < len(hit))]] = False
+                    total = np.concatenate([[0], np.cumsum(hit)])
+                    lo, hi = np.minimum(at[:-1], len(s)), np.maximum(np.minimum(at[:-1], len(s)), np.minimum(at[1:] - k + 1, len(s)))
+                    for r in np.flatnonzero(total[hi] - total[lo] >= least[k]).tolist():
+                        a, b = int(lo[r]), int(hi[r])
+                        inside = np.cumsum(covered(hit[a:b], ms))[:-1] > 0
+                        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+                        for x, y in edge.reshape(-1, 2).tolist():
+                            own = s[a + x : a + y]
+                            out.append((row + r, part.column(key)[r].as_py(), k, y - x == b - a, x, _digest(own, 1), _digest(own, 2), own.view(np.int64)))
+                row += part.num_rows
+                if out:
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["row", "key", "k", "whole", "first", "d1", "d2", "shingles"])
+
+    return arrow_map(df.select(F.col(key).cast("long").alias(key), text), run, "row long, key long, k int, whole boolean, first long, d1 long, d2 long, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, percent: int) -> DataFrame:
+    """``id, rep, windows, place, similarity`` of the pairs of a stretch and an item that match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in range(batch.num_rows):
+                own, item = (batch.column(c)[r].values.to_numpy().view(np.uint64) for c in ("own", "item"))
+                mark = np.frombuffer(batch.column("mark")[r].as_py(), np.uint16)
+                if found := compare(own, batch.column("whole")[r].as_py(), item, mark, batch.column("repeats")[r].as_py(), percent):
+                    out.append((batch.column("id")[r].as_py(), batch.column("rep")[r].as_py(), *found))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["id", "rep", "windows", "place", "similarity"])
+
+    return arrow_map(pairs, run, "id long, rep long, windows long, place long, similarity double")
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``key, item_key, windows, first_word, similarity``: a row for each document and item that it leaks, with the
     number of windows that reach the similarity and the best of them (the first, of equals)."""
-
-    def search(rows: list[tuple[int, str]]) -> DataFrame:
-        items = Items(rows, words, percent)
-        least = min((items.need(1, w - k + 1) for k, w in items.sizes), default=0)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, data, offs in slices(batch, text):
-                    h, at = word_hashes(data, offs)
-                    shingles = {k: runs(h, k) for k in items.held}
-                    hits = {}
-                    for k, s in shingles.items():
-                        hits[k] = items.maps[k][s >> np.uint64(44)]
-                        maybe = np.flatnonzero(hits[k])
-                        hits[k][maybe] = np.isin(s[maybe], items.held[k])
-                    marked = np.unique(np.concatenate([np.searchsorted(at, np.flatnonzero(x), "right") - 1 for x in hits.values()])) if hits else []
-                    keys, out = part.column(key), []
-                    for r in marked:
-                        a, b = int(at[r]), int(at[r + 1])
-                        own = {k: (x[a : max(a, b - k + 1)], shingles[k][a : max(a, b - k + 1)]) for k, x in hits.items()}
-                        if max(int(x[0].sum()) for x in own.values()) >= least:
-                            out += [(keys[r].as_py(), *x) for x in items.find(h[a:b], {k: x[0] for k, x in own.items()}, {k: x[1] for k, x in own.items()})]
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], [key, item_key, "windows", "first_word", "similarity"])
-
-        return arrow_map(df.select(F.col(key).cast("long").alias(key), text), run, f"`{key}` long, `{item_key}` long, windows long, first_word long, similarity double")
-
-    return reduce(DataFrame.unionByName, [search(rows) for rows in item_chunks(benchmark, item_key, item_text)])
+    spark, work = df.sparkSession, Workspace(df.sparkSession)
+    every = work.write(_items(benchmark, words, item_key, item_text).withColumn("number", F.monotonically_increasing_id()))
+    same = every.groupBy("k", "d1", "d2").agg(F.min("number").alias("rep"))
+    items = work.write(every.join(same.select("rep"), F.col("number") == F.col("rep")).select("rep", "k", "shingles", "mark", "repeats"))
+    sizes = [tuple(r) for r in items.select("k", F.size("shingles")).distinct().collect()]
+    if not sizes:
+        return spark.createDataFrame([], f"`{key}` long, `{item_key}` long, windows long, first_word long, similarity double")
+    shingles = work.write(items.select(F.explode("shingles").alias("s")).distinct())
+    stretches = work.write(_stretches(df, key_filter(shingles, "s", shingles.count()), sizes, percent, key, text))
+
+    alike = stretches.groupBy("k", "whole", "d1", "d2").agg(F.first("shingles").alias("own"))
+    alike = work.write(alike.withColumn("id", F.monotonically_increasing_id()))
+    posting = work.write(_rare(items, percent))
+    met = alike.select("id", F.explode(F.array_distinct("own")).alias("s")).join(posting, "s").select("id", "rep").distinct()
+    pairs = met.join(alike.select("id", "k", "whole", "own"), "id").join(items.withColumnRenamed("k", "_k").withColumnRenamed("shingles", "item"), "rep").filter("k = _k")
+    found = work.write(_verified(pairs.select("id", "rep", "whole", "own", "item", "mark", "repeats"), percent))
+
+    hits = stretches.drop("shingles").join(alike.drop("own"), ["k", "whole", "d1", "d2"]).join(found, "id")
+    best = hits.groupBy("row", "key", "rep").agg(F.sum("windows").alias("windows"), F.min(F.struct((-F.col("similarity")).alias("s"), (F.col("first") + F.col("place")).alias("p"))).alias("b"))
+    named = every.select("k", "d1", "d2", "item").join(same, ["k", "d1", "d2"]).select("rep", "item")
+    return best.join(named, "rep").select(F.col("key").alias(key), F.col("item").alias(item_key), "windows", F.col("b.p").alias("first_word"), (-F.col("b.s")).alias("similarity"))
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that leak no item; those with a null key stay."""
     gone = find_leaks(df, benchmark, words, percent, key, text).select(key).distinct()
-    return df.join(gone.hint("shuffle_hash"), key, "left_anti")
+    return df.join(gone, key, "left_anti")
