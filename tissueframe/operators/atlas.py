@@ -9,11 +9,12 @@ from ..workspace import Workspace
 from . import mesh as M
 from .graph import bounded_paths
 from .spatial import XYZ, nearest_join
+from .voxels import percentiles
 
 
 def snap_landmarks(landmarks: DataFrame, vertices: DataFrame, names: DataFrame, bucket: float, work: Workspace | None = None) -> DataFrame:
     """The nearest vertex of each landmark that ``names(name, ord)`` lists, in that order."""
-    known = landmarks.join(F.broadcast(names), "name")
+    known = landmarks.join(names, "name")
     near = nearest_join(known.select(F.col("name").alias("pid"), *XYZ), vertices.select(F.col("vid").alias("tid"), *XYZ), bucket, work=work)
     return near.withColumnRenamed("pid", "name").join(names, "name").select("name", "ord", F.col("tid").alias("vid"), "dist")
 
@@ -86,22 +87,28 @@ def stage_atlas(face_values: DataFrame, surface_map: DataFrame, edge_faces: Data
     chosen = catalog.filter("to_analyze").select("specimen", "stage")
     moved = atlas_transfer(surface_map.join(chosen.select("specimen"), "specimen", "left_semi"), edge_faces, face_values, atlas_vertices, atlas_neighbors)
     n = chosen.join(surface_map.select("specimen").distinct(), "specimen", "left_semi").groupBy("stage").agg(F.count("*").alias("_n"))
-    mean = moved.join(F.broadcast(chosen), "specimen").groupBy("stage", "vid").agg(F.avg("value").alias("_m"), F.count("value").alias("_c"))
-    return mean.join(F.broadcast(n), "stage").select("stage", "vid", F.when(F.col("_c") == F.col("_n"), F.col("_m")).alias("value"))
+    mean = moved.join(chosen, "specimen").groupBy("stage", "vid").agg(F.avg("value").alias("_m"), F.count("value").alias("_c"))
+    return mean.join(n, "stage").select("stage", "vid", F.when(F.col("_c") == F.col("_n"), F.col("_m")).alias("value"))
 
 
 def atlas_range(values: DataFrame, by: list[str]) -> DataFrame:
     """p0.1 and p99.9, or p5 and p95 where p99.9 exceeds 10."""
-    p = lambda q: F.percentile("value", F.lit(q))
-    r = values.groupBy(*by).agg(p(0.001).alias("_a"), p(0.999).alias("_b"), p(0.05).alias("_c"), p(0.95).alias("_d"))
+    r = percentiles(values, by, "value", {"_a": 0.001, "_b": 0.999, "_c": 0.05, "_d": 0.95})
     wide = F.col("_b") > 10
     return r.select(*by, F.when(wide, F.col("_c")).otherwise(F.col("_a")).alias("lo"), F.when(wide, F.col("_d")).otherwise(F.col("_b")).alias("hi"))
 
 
+def map_range(values: DataFrame, by: list[str], counted: bool = False) -> DataFrame:
+    """The range of a single map: p1 and p99 of its values, or its ends for a ``counted`` feature such as cell division."""
+    if counted:
+        return values.groupBy(*by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return percentiles(values, by, "value", {"lo": 0.01, "hi": 0.99})
+
+
 def quantize_bins(values: DataFrame, ranges: DataFrame, by: list[str], bins: int) -> DataFrame:
     """The equal bin of [lo, hi] that a value lies in, 0 ... bins - 1; -1 below and ``bins`` from hi on."""
     at = F.when(F.col("value") < F.col("lo"), -1).when(F.col("value") >= F.col("hi"), bins).otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)))
-    joined = values.join(F.broadcast(ranges), by) if by else values.crossJoin(F.broadcast(ranges))
+    joined = values.join(ranges, by) if by else values.crossJoin(F.broadcast(ranges))
     return joined.withColumn("bin", at.cast("long")).drop("lo", "hi")
 
 

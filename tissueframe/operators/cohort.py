@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def stage_counts(cells: DataFrame, catalog: DataFrame) -> DataFrame:
     """Mean and sample deviation over specimens of their numbers of cells, by stage and level."""
-    n = cells.groupBy("specimen", "level").agg(F.count("*").alias("n")).join(F.broadcast(catalog), "specimen")
+    n = cells.groupBy("specimen", "level").agg(F.count("*").alias("n")).join(catalog, "specimen")
     return n.groupBy("stage", "level").agg(F.count("*").alias("specimens"), F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"))
 
 
@@ -30,7 +30,7 @@ def regression(df: DataFrame, x: str, y: str, order: str, by: list[str]) -> Data
         F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"),
         F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.avg(x).alias("mx"),
     )
-    res = df.join(F.broadcast(fit), by).withColumn("e", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))
+    res = df.join(fit, by).withColumn("e", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))
     res = res.withColumn("d", F.col("e") - F.lag("e").over(W.partitionBy(*by).orderBy(order)))
     tests = res.groupBy(*by).agg((F.sum(F.col("d") * F.col("d")) / F.sum(F.col("e") * F.col("e"))).alias("durbin_watson"), (F.count("*") / 6 * (F.pow(F.skewness("e"), F.lit(2)) + F.pow(F.kurtosis("e"), F.lit(2)) / 4)).alias("jarque_bera"))
     full = fit.join(tests, by).withColumn("s2", F.when(F.col("n") > 2, F.col("syy") * (1 - F.col("r2")) / (F.col("n") - 2)))

@@ -20,14 +20,14 @@ from .voxels import AXES, dilate, exposed_faces, opening
 def relabel(df: DataFrame, mapping: DataFrame, label: str, keep: bool = False, by: list[str] | None = None) -> DataFrame:
     """Labels by ``mapping(by, label, new)``; those it lacks become 0, or stay."""
     by = by or []
-    out = df.join(F.broadcast(mapping.withColumnRenamed("label", label)), [*by, label], "left")
+    out = df.join(mapping.withColumnRenamed("label", label), [*by, label], "left")
     return out.withColumn(label, F.coalesce("new", F.col(label) if keep else F.lit(0))).drop("new")
 
 
 def state_colors(df: DataFrame, states: DataFrame, colors: DataFrame, label: str, by: list[str], default: int = 0) -> DataFrame:
     """The class code of each voxel by the state of its label."""
-    coded = states.join(F.broadcast(colors), "state").select(*by, F.col("label").alias(label), "code")
-    return df.join(F.broadcast(coded), [*by, label], "left").withColumn("code", F.coalesce("code", F.lit(default)))
+    coded = states.join(colors, "state").select(*by, F.col("label").alias(label), "code")
+    return df.join(coded, [*by, label], "left").withColumn("code", F.coalesce("code", F.lit(default)))
 
 
 def filter_by_tissue(labels: DataFrame, tissue: DataFrame, by: list[str], label: str, codes: list[int], size: int = 0) -> DataFrame:
@@ -40,13 +40,16 @@ def filter_by_tissue(labels: DataFrame, tissue: DataFrame, by: list[str], label:
     return labels.join(touched, [*by, label], "left_semi")
 
 
-def border_filter(labels: DataFrame, by: list[str], label: str, margin: int = 1, axes: tuple[str, str] = ("y", "z")) -> DataFrame:
-    """Drops whole cells with a voxel within ``margin`` of the frame's border along two axes."""
-    ends = labels.groupBy(*by).agg(*[F.max(a).alias(f"_{a}") for a in axes])
+def border_filter(labels: DataFrame, by: list[str], label: str, margin: int = 1, axes: tuple[str, str] = ("y", "z"), sizes: DataFrame | None = None) -> DataFrame:
+    """Drops whole cells with a voxel within ``margin`` of the frame's border along two axes. ``sizes(by, x_size, y_size,
+    z_size)`` holds the frames, as ``volume_metadata`` gives them; without it the labels have to be dense, a row for each
+    voxel, and the frame ends at the last one."""
+    if sizes is None:
+        sizes = labels.groupBy(*by).agg(*[(F.max(a) + 1).alias(f"{a}_size") for a in axes])
     at: Column = F.lit(False)
     for a in axes:
-        at = at | (F.col(a) < margin) | (F.col(a) > F.col(f"_{a}") - margin)
-    cut = labels.filter(F.col(label) != 0).join(F.broadcast(ends), by).filter(at).select(*by, label).distinct()
+        at = at | (F.col(a) < margin) | (F.col(a) >= F.col(f"{a}_size") - margin)
+    cut = labels.filter(F.col(label) != 0).join(sizes.select(*by, *[f"{a}_size" for a in axes]), by).filter(at).select(*by, label).distinct()
     return labels.join(cut, [*by, label], "left_anti")
 
 
@@ -134,20 +137,22 @@ def surface_voxels(labels: DataFrame, by: list[str], label: str) -> DataFrame:
     return exposed_faces(labels, by, label).select(*by, label, *AXES).distinct()
 
 
-def feret_diameter(labels: DataFrame, by: list[str], label: str, directions: int = 32) -> DataFrame:
-    """The greatest distance between two voxels of each cell. Only those that can end it meet: a voxel whose distance to
-    the centre plus the greatest such distance falls short of a distance already seen can't."""
+def feret_diameter(labels: DataFrame, by: list[str], label: str, tile: int = 8) -> DataFrame:
+    """The greatest distance between two voxels of each cell. Surface voxels meet by pairs of tiles, and only by those
+    whose farthest corners lie as far apart as two voxels already seen: of a ball, tiles that face each other."""
     skin = surface_voxels(labels, by, label)
     centre = skin.groupBy(*by, label).agg(*[F.avg(a).alias(f"_c{a}") for a in AXES])
-    far = skin.join(centre, [*by, label]).withColumn("_r", F.sqrt(sum((F.col(a) - F.col(f"_c{a}")) ** 2 for a in AXES)))
-    reach = far.groupBy(*by, label).agg(F.max(F.struct("_r", *AXES)).alias("m"))
-    seen = far.join(reach, [*by, label]).withColumn("_d", F.sqrt(sum((F.col(a) - F.col(f"m.{a}")) ** 2 for a in AXES)))
-    bound = seen.groupBy(*by, label).agg(F.max("_d").alias("_lo"))
-    keep = seen.join(bound, [*by, label]).filter(F.col("_r") + F.col("m._r") >= F.col("_lo") - 1e-9)
-    a = keep.select(*by, label, *AXES)
-    b = a.select(*by, label, *[F.col(x).alias(f"_{x}") for x in AXES])
-    dist = F.sqrt(sum((F.col(x) - F.col(f"_{x}")) ** 2 for x in AXES))
-    return a.join(b, [*by, label]).groupBy(*by, label).agg(F.max(dist).alias("feret"))
+    apart = lambda p, q: F.sqrt(sum((F.col(f"{p}{a}") - F.col(f"{q}{a}")) ** 2 for a in AXES))
+    far = skin.join(centre, [*by, label]).groupBy(*by, label).agg(F.max(F.struct(apart("", "_c").alias("r"), *AXES)).alias("m"))
+    end = skin.join(far.select(*by, label, *[F.col(f"m.{a}").alias(f"_m{a}") for a in AXES]), [*by, label])
+    seen = end.groupBy(*by, label).agg(F.max(apart("", "_m")).alias("_seen"))
+    tiled = skin.withColumn("_t", F.struct(*[F.floor(F.col(a) / tile).alias(a) for a in AXES]))
+    tiles = tiled.groupBy(*by, label, "_t").agg(*[f(a).alias(f"{n}{a}") for a in AXES for n, f in (("_lo", F.min), ("_hi", F.max))])
+    other = tiles.select(*by, label, F.col("_t").alias("_u"), *[F.col(f"{n}{a}").alias(f"{n}2{a}") for a in AXES for n in ("_lo", "_hi")])
+    reach = F.sqrt(sum(F.greatest(F.col(f"_hi{a}") - F.col(f"_lo2{a}"), F.col(f"_hi2{a}") - F.col(f"_lo{a}")) ** 2 for a in AXES))
+    pairs = tiles.join(other, [*by, label]).filter(F.col("_t") <= F.col("_u")).join(seen, [*by, label]).filter(reach >= F.col("_seen") - 1e-9).select(*by, label, "_t", "_u")
+    b = tiled.select(*by, label, F.col("_t").alias("_u"), *[F.col(a).alias(f"_{a}") for a in AXES])
+    return pairs.join(tiled, [*by, label, "_t"]).join(b, [*by, label, "_u"]).groupBy(*by, label).agg(F.max(apart("", "_")).alias("feret"))
 
 
 def shape_features(labels: DataFrame, by: list[str], label: str, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -192,31 +197,109 @@ def cell_crops(voxels: DataFrame, by: list[str], label: str, half: int = 25, til
 
 # --- components ------------------------------------------------------------------------------------
 
-def _id(by: list[str]) -> Column:
-    return F.struct(*by, *AXES)
-
-
 def voxel_components(labels: DataFrame, by: list[str], label: str, neighbours: int = 6, work: Workspace | None = None) -> DataFrame:
     """Labelled voxels with ``component``, the least voxel (by, x, y, z) of theirs that neighbouring voxels of the same
-    label lead to; 6, 18 or 26 neighbours. Half of the offsets find each pair once."""
-    reach = {6: 1, 18: 2, 26: 3}[neighbours]
-    half = [o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0) and sum(map(abs, o)) <= reach]
-    own = labels.filter(F.col(label) != 0).select(*by, *AXES, label)
-    steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip(AXES, o)]) for o in half]))
-    moved = own.withColumn("o", steps).select(*by, label, _id(by).alias("u"), *[(F.col(a) + F.col(f"o.{a}")).alias(a) for a in AXES])
-    edges = moved.join(own, [*by, label, *AXES]).select("u", _id(by).alias("v"))
+    label lead to; 6, 18 or 26 neighbours. Runs along x are found by a window; only runs of neighbouring rows that touch
+    are linked, so the rounds run over a graph of runs with long ids instead of voxels."""
+    work, reach = work or Workspace(labels.sparkSession), {6: 1, 18: 2, 26: 3}[neighbours]
+    row = W.partitionBy(*by, "y", "z", label).orderBy("x")
+    own = labels.filter(F.col(label) != 0).select(*by, *AXES, label).withColumn("_g", F.col("x") - F.row_number().over(row))
+    runs = own.groupBy(*by, "y", "z", label, "_g").agg(F.min("x").alias("_a"), F.max("x").alias("_b"))
+    runs = work.write(runs.withColumn("node", F.monotonically_increasing_id()))
+    rows = [(dy, dz, int(abs(dy) + abs(dz) < reach)) for dy, dz in ((0, 1), (1, -1), (1, 0), (1, 1)) if abs(dy) + abs(dz) <= reach]
+    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz"), F.lit(dx).alias("dx")) for dy, dz, dx in rows]))
+    # Runs of a row meet by tiles of x, so a row of many short runs isn't compared with all of the next one.
+    tiles = lambda a, b: F.explode(F.expr(f"sequence(floor(({a}) / {RUN_TILE}), floor(({b}) / {RUN_TILE}))")).alias("_t")
+    moved = runs.withColumn("o", steps).select(*by, label, F.col("node").alias("u"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("z") + F.col("o.dz")).alias("z"), *[(F.col(c) + s * F.col("o.dx")).alias(f"_m{c}") for c, s in (("_a", -1), ("_b", 1))])
+    if reach == 1:  # faces only: neighbouring rows touch where runs overlap
+        moved = moved.withColumns({"_m_a": F.col("_m_a") + 1, "_m_b": F.col("_m_b") - 1})
+    moved = moved.select("*", tiles("_m_a", "_m_b"))
+    near = runs.select(*by, label, "y", "z", "_a", "_b", F.col("node").alias("v"), tiles("_a", "_b"))
+    edges = moved.join(near, [*by, label, "y", "z", "_t"]).filter("_a <= _m_b AND _b >= _m_a").select("u", "v").distinct()
     comp = components(edges, work)
-    return own.withColumn("node", _id(by)).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+    named = runs.join(comp, "node", "left").withColumn("_c", F.coalesce("component", "node")).drop("component")
+    least = named.groupBy("_c").agg(F.min(F.struct(*by, F.col("_a").alias("x"), "y", "z")).alias("component"))
+    return own.join(named.join(least, "_c").select(*by, "y", "z", label, "_g", "component"), [*by, "y", "z", label, "_g"]).select(*by, *AXES, label, "component")
+
+
+#: Width of the tiles by which runs of neighbouring rows meet.
+RUN_TILE = 64
 
 
 def filter_components(labels: DataFrame, by: list[str], label: str, low: int = 20, high: int = 4500, neighbours: int = 6, work: Workspace | None = None) -> DataFrame:
-    """The largest component of each label, if low < size < high; of equals, the first."""
+    """The largest of those components of each label that have low < size < high; of equals, the first."""
     comp = voxel_components(labels, by, label, neighbours, work)
-    sizes = comp.groupBy(*by, label, "component").agg(F.count("*").alias("n"))
-    best = best_match(sizes, [*by, label], "n", "component").filter((F.col("n") > low) & (F.col("n") < high))
+    sizes = comp.groupBy(*by, label, "component").agg(F.count("*").alias("n")).filter((F.col("n") > low) & (F.col("n") < high))
+    best = best_match(sizes, [*by, label], "n", "component")
     return comp.join(best.select("component", label), ["component", label], "left_semi").select(*by, *AXES, label)
 
 
+def _by_percentile(labels: DataFrame, by: list[str], label: str, share: float, small: bool, neighbours: int, work: Workspace | None) -> DataFrame:
+    comp = voxel_components(labels, by, label, neighbours, work)
+    sizes = comp.groupBy(*by, "component").agg(F.count("*").alias("n"))
+    ends = sizes.groupBy(*by).agg(F.percentile("n", F.lit(share / 100)).alias("_p"))
+    kept = sizes.join(ends, by).filter(F.col("n") >= F.col("_p") if small else F.col("n") <= F.col("_p"))
+    return comp.join(kept.select("component"), "component", "left_semi").select(*by, *AXES, label)
+
+
+def remove_small(labels: DataFrame, by: list[str], label: str, small_percentile: float = 2, neighbours: int = 26, work: Workspace | None = None) -> DataFrame:
+    """Drops components smaller than a percentile of the sizes of all components of their volume."""
+    return _by_percentile(labels, by, label, small_percentile, True, neighbours, work)
+
+
+def remove_large(labels: DataFrame, by: list[str], label: str, large_percentile: float = 98, neighbours: int = 26, work: Workspace | None = None) -> DataFrame:
+    """Drops components larger than a percentile of the sizes of all components of their volume."""
+    return _by_percentile(labels, by, label, large_percentile, False, neighbours, work)
+
+
+def _ball(radius: int) -> list[tuple[int, int, int]]:
+    return [o for o in product(range(-radius, radius + 1), repeat=3) if sum(v * v for v in o) <= radius * radius]
+
+
+def _framed(labels: DataFrame, by: list[str], sizes: DataFrame | None) -> DataFrame:
+    """Labels with the sizes of their frame; without ``sizes`` it ends at the last row of each axis."""
+    if sizes is None:
+        sizes = labels.groupBy(*by).agg(*[(F.max(a) + 1).alias(f"{a}_size") for a in AXES])
+    return labels.join(sizes.select(*by, *[f"{a}_size" for a in AXES]), by)
+
+
+def _spread(framed: DataFrame, by: list[str], label: str, radius: int) -> DataFrame:
+    """Each labelled voxel at all places of its ball that lie inside the frame."""
+    offsets = F.explode(F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip(AXES, o)]) for o in _ball(radius)]))
+    moved = framed.withColumn("_o", offsets).withColumns({a: F.col(a) + F.col(f"_o.{a}") for a in AXES})
+    return moved.filter(" AND ".join(f"{a} >= 0 AND {a} < {a}_size" for a in AXES))
+
+
+def grow(labels: DataFrame, by: list[str], label: str, radius: int = 3, sizes: DataFrame | None = None) -> DataFrame:
+    """Grey dilation of sparse labels by a ball: the greatest label within ``radius``, inside the frame."""
+    own = _framed(labels.filter(F.col(label) != 0).select(*by, *AXES, label), by, sizes)
+    return _spread(own, by, label, radius).groupBy(*by, *AXES).agg(F.max(label).alias(label))
+
+
+def shrink(labels: DataFrame, by: list[str], label: str, radius: int = 3, sizes: DataFrame | None = None) -> DataFrame:
+    """Grey erosion of sparse labels by a ball: the least label within ``radius``, where no background lies within it;
+    what is outside the frame doesn't count."""
+    own = _framed(labels.filter(F.col(label) != 0).select(*by, *AXES, label), by, sizes)
+    size = [f"{a}_size" for a in AXES]
+    seen = _spread(own, by, label, radius).groupBy(*by, *AXES, *size).agg(F.count("*").alias("_n"), F.min(label).alias(label))
+    offsets = ", ".join(f"named_struct('x', {x}, 'y', {y}, 'z', {z})" for x, y, z in _ball(radius))
+    inside = " AND ".join(f"{a} + o.{a} >= 0 AND {a} + o.{a} < {a}_size" for a in AXES)
+    whole = F.when(F.expr(" AND ".join(f"{a} BETWEEN {radius} AND {a}_size - {radius + 1}" for a in AXES)), len(_ball(radius))).otherwise(F.expr(f"size(filter(array({offsets}), o -> {inside}))"))
+    return seen.filter(F.col("_n") == whole).select(*by, *AXES, label)
+
+
+def clean_opening(labels: DataFrame, by: list[str], label: str, erosion_radius: int = 3, dilation_radius: int = 3, sizes: DataFrame | None = None) -> DataFrame:
+    """Boundaries cleaned by erosion, then dilation."""
+    sizes = sizes if sizes is not None else labels.groupBy(*by).agg(*[(F.max(a) + 1).alias(f"{a}_size") for a in AXES])
+    return grow(shrink(labels, by, label, erosion_radius, sizes), by, label, dilation_radius, sizes)
+
+
+def clean_closing(labels: DataFrame, by: list[str], label: str, erosion_radius: int = 3, dilation_radius: int = 3, sizes: DataFrame | None = None) -> DataFrame:
+    """Boundaries cleaned by dilation, then erosion."""
+    sizes = sizes if sizes is not None else labels.groupBy(*by).agg(*[(F.max(a) + 1).alias(f"{a}_size") for a in AXES])
+    return shrink(grow(labels, by, label, dilation_radius, sizes), by, label, erosion_radius, sizes)
+
+
 def split_components(labels: DataFrame, by: list[str], label: str, least: int = 20, neighbours: int = 6, work: Workspace | None = None) -> DataFrame:
     """Components of at least ``least`` voxels with labels 1, 2, ... of their own, in the order of old label and place."""
     comp = voxel_components(labels, by, label, neighbours, work)
@@ -267,7 +350,8 @@ def link_slices(labels: DataFrame, by: list[str], label: str, distance: float =
 
 #: Named steps of post-processing.
 STEPS: dict[str, Callable[..., DataFrame]] = {
-    "filter_components": filter_components, "split": split_components, "merge": merge_small, "link": link_slices, "border": border_filter,
+    "remove_small_objects": remove_small, "remove_large_objects": remove_large, "split": split_components, "merge_connected_components": merge_small, "merge_graph": link_slices,
+    "clean_boundaries_opening": clean_opening, "clean_boundaries_closing": clean_closing, "filter_components": filter_components, "border": border_filter,
 }
 
 

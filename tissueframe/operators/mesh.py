@@ -202,16 +202,21 @@ def mesh_concat(vertices: DataFrame, faces: DataFrame, mesh: str = "mesh_id") ->
     before. The running sum is over one row per mesh."""
     sizes = vertices.groupBy(mesh).agg(F.count("*").alias("n"))
     start = sizes.withColumn("start", F.coalesce(F.sum("n").over(W.orderBy(mesh).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    v = vertices.join(F.broadcast(start), mesh).withColumn("vid", F.col("vid") + F.col("start")).drop("start")
-    f = faces.join(F.broadcast(start), mesh).withColumns({c: F.col(c) + F.col("start") for c in ("v0", "v1", "v2")}).drop("start")
+    v = vertices.join(start, mesh).withColumn("vid", F.col("vid") + F.col("start")).drop("start")
+    f = faces.join(start, mesh).withColumns({c: F.col(c) + F.col("start") for c in ("v0", "v1", "v2")}).drop("start")
     return v, f
 
 
-def submesh(vertices: DataFrame, faces: DataFrame, keep: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The faces of kept cells (``keep(by, cell_id)``) and their vertices, numbered densely from 0 within each mesh."""
+def submesh(vertices: DataFrame, faces: DataFrame, keep: DataFrame, by: list[str], work: Workspace | None = None, span: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """The faces of kept cells (``keep(by, cell_id)``) and their vertices, numbered densely from 0 within each mesh.
+    Numbers are made in two levels: counts of the vertices used by ranges of ``span`` ids, whose running sum covers a row
+    a range, and a window inside each range, so no task numbers a whole mesh."""
+    work = work or Workspace(faces.sparkSession)
     some = faces.join(keep, [*by, "cell_id"], "left_semi")
-    used = corners(some, by).select(*by, "vid").distinct()
-    number = used.withColumn("new", (F.row_number().over(W.partitionBy(*by).orderBy("vid")) - 1).cast("long"))
+    used = work.write(corners(some, by).select(*by, "vid").distinct().withColumn("_r", F.floor(F.col("vid") / span)))
+    counts = used.groupBy(*by, "_r").agg(F.count("*").alias("_c"))
+    start = counts.withColumn("_s", F.sum("_c").over(W.partitionBy(*by).orderBy("_r")) - F.col("_c")).drop("_c")
+    number = used.join(start, [*by, "_r"]).withColumn("new", (F.col("_s") + F.row_number().over(W.partitionBy(*by, "_r").orderBy("vid")) - 1).cast("long")).select(*by, "vid", "new")
     v = vertices.join(number, [*by, "vid"]).drop("vid").withColumnRenamed("new", "vid")
     f = some
     for c in ("v0", "v1", "v2"):
@@ -249,16 +254,18 @@ def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return total.select("vid", *[(F.col(f"n{a}") / size).alias(f"n{a}") for a in XYZ])
 
 
-def mesh_sizes(faces: DataFrame, by: str) -> DataFrame:
-    """Pairs of meshes with their numbers of faces and which is coarser."""
+def mesh_sizes(faces: DataFrame, by: str, pairs: DataFrame) -> DataFrame:
+    """``pairs(left, right)`` of meshes with their numbers of faces, 0 for one without any, and which is coarser."""
     n = faces.groupBy(by).agg(F.count("*").alias("n"))
-    a, b = (n.select(F.col(by).alias(x), F.col("n").alias(f"n_{x}")) for x in ("left", "right"))
+    out = pairs
+    for side in ("left", "right"):
+        out = out.join(n.select(F.col(by).alias(side), F.col("n").alias(f"n_{side}")), side, "left").fillna(0, [f"n_{side}"])
     coarser = F.when(F.col("n_left") < F.col("n_right"), "left").when(F.col("n_left") > F.col("n_right"), "right").otherwise("same")
-    return a.join(b, a["left"] < b["right"]).withColumn("coarser", coarser)
+    return out.withColumn("coarser", coarser)
 
 
 def planar_uv(vertices: DataFrame, by: list[str]) -> DataFrame:
     """x and y of each mesh scaled to 0 ... 1; a range of zero counts as 1."""
     ends = vertices.groupBy(*by).agg(*[f(a).alias(f"_{n}{a}") for a in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))])
     scaled = lambda a: (F.col(a) - F.col(f"_lo{a}")) / F.when(F.col(f"_hi{a}") > F.col(f"_lo{a}"), F.col(f"_hi{a}") - F.col(f"_lo{a}")).otherwise(1.0)
-    return vertices.join(F.broadcast(ends), by).select(*by, "vid", scaled("x").alias("u"), scaled("y").alias("v"))
+    return vertices.join(ends, by).select(*by, "vid", scaled("x").alias("u"), scaled("y").alias("v"))

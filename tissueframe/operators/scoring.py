@@ -150,6 +150,32 @@ def boundary_f1(voxels: DataFrame, by: list[str], distance: int = 2) -> DataFram
     return both.withColumn("f1", F.expr("CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0e0 END"))
 
 
+def boundary_f1_cells(voxels: DataFrame, overlap: DataFrame, by: list[str], distance: int = 2) -> DataFrame:
+    """Boundary F1 of associated cells, a row for each row of ``by_prediction``: ``gt, n_gt`` and precision, recall and F1
+    of the boundary of the reference cell's first predicted cell, 0 where it has none. Voxels of the two boundaries hit
+    each other closer than ``distance`` in the same slice."""
+    rows = by_prediction(overlap, by).select(*by, "pred", "gt", "n_gt")
+    pairs = rows.groupBy(*by, "gt").agg(F.min("pred").alias("pred")).filter("pred <> 0")
+    a = boundary(voxels, "pred", by).withColumnRenamed("label", "pred").join(pairs, [*by, "pred"]).select(*by, "gt", "x", "y", "z")
+    b = boundary(voxels, "gt", by).withColumnRenamed("label", "gt").join(pairs.select(*by, "gt"), [*by, "gt"]).select(*by, "gt", "x", "y", "z")
+    near = [(dx, dy) for dx in range(-distance, distance + 1) for dy in range(-distance, distance + 1) if dx * dx + dy * dy < distance * distance]
+    shifts = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in near]))
+
+    def rate(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        reach = other.withColumn("s", shifts).select(*by, "gt", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "z").distinct()
+        hit = own.join(reach.withColumn("hit", F.lit(1.0)), [*by, "gt", "x", "y", "z"], "left")
+        return hit.groupBy(*by, "gt").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias(name))
+
+    scores = rate(a, b, "precision").join(rate(b, a, "recall"), [*by, "gt"])
+    f1 = F.expr("CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0e0 END")
+    return rows.drop("pred").join(scores.withColumn("f1", f1), [*by, "gt"], "left").fillna(0.0, ["precision", "recall", "f1"])
+
+
+def boundary_f1_weighted(cells: DataFrame, by: list[str]) -> DataFrame:
+    """The mean of ``boundary_f1_cells``, plain and weighted by the reference cells' volumes."""
+    return cells.groupBy(*by).agg(F.avg("f1").alias("f1"), (F.sum(F.col("f1") * F.col("n_gt")) / F.sum("n_gt")).alias("f1_weighted"))
+
+
 def dice_adjusted(quality: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
     """The quality table with the mean Dice of matched cells only."""
     return quality.join(cells.filter("dice > 0").groupBy(*by).agg(F.avg("dice").alias("dice_adjusted")), by, "left")
@@ -160,20 +186,34 @@ def adjust_percent(quality: DataFrame, columns: list[str], reference_cells: int)
     return quality.withColumns({c: F.col(c) * F.col("n_cells") / reference_cells for c in columns} | {"labels_ratio": F.col("n_cells") / reference_cells})
 
 
-def quality_score(quality: DataFrame, metrics: list[str], key: str) -> DataFrame:
-    """A min-max scaled score from the first principal component of the centred metrics; its sign makes a greater first
-    metric a better score."""
+def _first_component(quality: DataFrame, metrics: list[str]):
+    """The centred metrics as vectors ``_v``, the model of their first principal component, and the sign that makes a
+    greater first metric a better score."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 
     rows = VectorAssembler(inputCols=metrics, outputCol="_raw").transform(quality)
     rows = StandardScaler(inputCol="_raw", outputCol="_v", withMean=True, withStd=False).fit(rows).transform(rows)
     model = PCA(k=1, inputCol="_v", outputCol="_p").fit(rows)
-    sign = 1.0 if model.pc.toArray()[0, 0] >= 0 else -1.0
+    return rows, model, 1.0 if model.pc.toArray()[0, 0] >= 0 else -1.0
+
+
+def quality_score(quality: DataFrame, metrics: list[str], key: str) -> DataFrame:
+    """A min-max scaled score from the first principal component of the centred metrics."""
+    rows, model, sign = _first_component(quality, metrics)
     scored = model.transform(rows).select(key, (_first("_p") * sign).alias("pc1"))
     ends = scored.agg(F.min("pc1").alias("lo"), F.max("pc1").alias("hi"))
     return scored.join(F.broadcast(ends)).select(key, "pc1", F.expr("CASE WHEN hi > lo THEN (pc1 - lo) / (hi - lo) ELSE 0e0 END").alias("score"))
 
 
+def quality_loadings(quality: DataFrame, metrics: list[str]) -> DataFrame:
+    """``metric, loading, explained, place``: the weights of the first principal component, the share of the variance it
+    explains, and the place of each weight by absolute value, of equals by name."""
+    _, model, sign = _first_component(quality, metrics)
+    rows = sorted(((m, sign * float(w)) for m, w in zip(metrics, model.pc.toArray()[:, 0])), key=lambda r: (-abs(r[1]), r[0]))
+    explained = float(model.explainedVariance[0])
+    return quality.sparkSession.createDataFrame([(m, w, explained, k + 1) for k, (m, w) in enumerate(rows)], "metric string, loading double, explained double, place long")
+
+
 def _first(vector: str) -> Column:
     from pyspark.ml.functions import vector_to_array
 

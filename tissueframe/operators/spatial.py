@@ -32,28 +32,35 @@ def within_distance(points: DataFrame, targets: DataFrame, distance: float, by:
     return points.join(hit, [*by, "pid"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
-def nearest_join(points: DataFrame, targets: DataFrame, size: float, by: list[str] | None = None, work: Workspace | None = None, rounds: int = 40) -> DataFrame:
+def nearest_join(points: DataFrame, targets: DataFrame, size: float, by: list[str] | None = None, work: Workspace | None = None) -> DataFrame:
     """``pid, tid, dist`` of the nearest target of each point, the least ``tid`` on ties; exact.
 
     A point whose nearest target within the bucket size is found is done, since nothing outside the searched buckets is
-    nearer. The rest go on with buckets of twice the size. Points without any target don't occur.
+    nearer. The rest go on with buckets of twice the size; once these are as wide as all points and targets together, a
+    bucket holds every target, so the rounds end. Points or targets with a null or NaN coordinate, and points without any
+    target, don't occur.
     """
     by, work = by or [], work or Workspace(points.sparkSession)
     keys = [*by, "pid"]
-    left, done = points.select(*keys, *XYZ), None
+    whole = " AND ".join(f"{a} IS NOT NULL AND NOT isnan(CAST({a} AS DOUBLE))" for a in XYZ)
+    targets = targets.filter(whole)
+    left, done = points.filter(whole).select(*keys, *XYZ), None
+    ends = targets.select(*XYZ).unionByName(left.select(*XYZ)).agg(*[(F.max(a) - F.min(a)).alias(a) for a in XYZ]).first()
+    width = max((float(v) for v in ends if v is not None), default=0.0)
     if by:
         left = left.join(targets.select(*by).distinct(), by, "left_semi")
     elif targets.isEmpty():
         left = left.limit(0)
-    for _ in range(rounds):
+    while True:
         best = _close(left, targets, size, by).groupBy(*keys).agg(F.min(F.struct("dist", "tid")).alias("m"))
         found = work.write(best.select(*keys, "m.tid", "m.dist"))
         done = found if done is None else done.unionByName(found)
         left = work.write(left.join(found, keys, "left_anti"))
         if left.isEmpty():
-            break
+            return done
+        if size > 4 * width:
+            raise RuntimeError(f"points without a nearest target at a bucket size of {size}")
         size *= 2
-    return done
 
 
 def distance(a: list[Column], b: list[Column]) -> Column:

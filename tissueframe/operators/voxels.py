@@ -47,14 +47,14 @@ def tissue_box(tissue: DataFrame, by: list[str], codes: list[int] | None = None,
     own = tissue.filter(F.col("tissue").isin(codes) if codes else F.col("tissue") > 0)
     sizes = sizes if sizes is not None else tissue.groupBy(*by).agg((F.max("z") + 1).alias("z_size"))
     ends, lo, hi = _padded(own, by, margin, resolution, F.col("z_size"))
-    return ends.join(F.broadcast(sizes), by).withColumns(lo | hi).drop("z_size")
+    return ends.join(sizes, by).withColumns(lo | hi).drop("z_size")
 
 
 def cell_box(labels: DataFrame, by: list[str], label: str, margin: int = 5, resolution: int = 1024, sizes: DataFrame | None = None) -> DataFrame:
     """The padded bounds of every cell, in one aggregation."""
     sizes = sizes if sizes is not None else labels.groupBy(*by).agg((F.max("z") + 1).alias("z_size"))
     ends, lo, hi = _padded(labels.filter(F.col(label) != 0), [*by, label], margin, resolution, F.col("z_size"))
-    return ends.join(F.broadcast(sizes), by).withColumns(lo | hi).drop("z_size")
+    return ends.join(sizes, by).withColumns(lo | hi).drop("z_size")
 
 
 def permute_axes(df: DataFrame, order: str) -> DataFrame:
@@ -64,13 +64,30 @@ def permute_axes(df: DataFrame, order: str) -> DataFrame:
 
 
 def physical_coords(df: DataFrame, meta: DataFrame, by: list[str]) -> DataFrame:
-    return df.join(F.broadcast(meta), by).withColumns({f"p{a}": F.col(a) * F.col(f"{a}_res") for a in AXES})
+    return df.join(meta, by).withColumns({f"p{a}": F.col(a) * F.col(f"{a}_res") for a in AXES})
+
+
+def update_affine(affine: Column, old: list[Column], new: list[Column]) -> Column:
+    """A 4 x 4 affine (array of rows) for other resolutions: the first three columns of its first three rows times
+    new / old; a null one counts as the identity."""
+    one = F.array(*[F.array(*[F.lit(float(i == j)) for j in range(4)]) for i in range(4)])
+    scale = F.array(*[n / o for o, n in zip(old, new)], F.lit(1.0))
+    return F.transform(F.coalesce(affine, one), lambda row, i: F.when(i < 3, F.zip_with(row, scale, lambda v, f: v * f)).otherwise(row))
+
+
+def halved(meta: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Metadata (``x_size``, ``x_res``, ..., ``affine``) of a volume after ``downsample_half``. Along x and y alone sizes
+    halve and resolutions double; the isotropic form, along all axes, halves the resolutions, as the method has it."""
+    by = 0.5 if set(axes) == set(AXES) else 2.0
+    new = {f"{a}_res": F.col(f"{a}_res") * by for a in axes} | {f"{a}_size": F.floor(F.col(f"{a}_size") / 2) for a in axes}
+    old = [F.col(f"{a}_res") for a in AXES]
+    return meta.withColumns(new | {"affine": update_affine(F.col("affine"), old, [F.col(f"{a}_res") * (by if a in axes else 1.0) for a in AXES])})
 
 
 def attenuate(df: DataFrame, by: list[str], axis: str = "x", value: str = "intensity") -> DataFrame:
     """Fades a volume along an axis by exp(-3 position), position from 0 to 1."""
     last = df.groupBy(*by).agg(F.max(axis).alias("_last"))
-    return df.join(F.broadcast(last), by).withColumn(value, F.col(value) * F.exp(-3.0 * F.col(axis) / F.greatest(F.col("_last"), F.lit(1)))).drop("_last")
+    return df.join(last, by).withColumn(value, F.col(value) * F.exp(-3.0 * F.col(axis) / F.greatest(F.col("_last"), F.lit(1)))).drop("_last")
 
 
 def channel_stack(a: DataFrame, b: DataFrame, on: list[str], names: tuple[str, str]) -> DataFrame:
@@ -85,16 +102,42 @@ def rescale_slices(df: DataFrame, by: list[str], value: str = "intensity") -> Da
     return df.withColumn(value, F.when(hi > lo, (F.col(value) - lo) / (hi - lo)).otherwise(0.0))
 
 
+def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], bins: int = 1024, work: Workspace | None = None) -> DataFrame:
+    """``by`` and exact percentiles, interpolated linearly, by name. Values are counted by equal bins first; only those of
+    the bins that hold a wanted rank, which is at most two bins a percentile, are sorted, so no aggregate holds all the
+    values of a volume. Nulls don't count; without a value a percentile is null."""
+    keys = [F.col(k) for k in by]
+    some = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    ends = some.groupBy(*by).agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"), F.count("*").alias("_n"))
+    join = lambda a, b: a.join(b, by) if by else a.crossJoin(F.broadcast(b))
+    at = F.expr(f"CASE WHEN _b > _a THEN least(floor((_x - _a) / (_b - _a) * {bins}), {bins - 1}) ELSE 0 END").cast("int").alias("_bin")
+    placed = join(some, ends).select(*keys, "_x", at)
+    counts = placed.groupBy(*by, "_bin").agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_before", F.sum("_c").over(W.partitionBy(*by).orderBy("_bin")) - F.col("_c"))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("r")) for name, q in shares.items()])
+    asked = ends.select(*keys, F.explode(ranks).alias("_q")).select(*keys, "_q.*")
+    each = asked.select(*keys, "name", "r", F.explode(F.array(F.floor("r"), F.ceil("r"))).alias("_k")).distinct()
+    hit = join(each, before) if by else each.crossJoin(before)
+    hit = hit.filter("_k >= _before AND _k < _before + _c").select(*keys, "name", "r", "_k", "_bin", "_before")
+    held = placed.join(hit.select(*by, "_bin").distinct(), [*by, "_bin"])
+    ranked = held.groupBy(*by, "_bin", "_x").agg(F.count("*").alias("_m"))
+    ranked = ranked.withColumn("_from", F.sum("_m").over(W.partitionBy(*by, "_bin").orderBy("_x")) - F.col("_m"))
+    value_at = hit.join(ranked, [*by, "_bin"]).filter("_k - _before >= _from AND _k - _before < _from + _m")
+    both = value_at.groupBy(*by, "name", "r").agg(F.min_by("_x", "_k").alias("_lo"), F.max_by("_x", "_k").alias("_hi"))
+    out = both.withColumn("_v", F.expr("_lo + (r - floor(r)) * (_hi - _lo)"))
+    return out.groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in shares])
+
+
 def percentile_normalize(df: DataFrame, by: list[str], low: float, high: float, clip: bool = True, value: str = "intensity") -> DataFrame:
     """Scales so that two exact percentiles of each volume become 0 and 1."""
-    ends = df.groupBy(*by).agg(F.percentile(value, F.lit(low / 100)).alias("_lo"), F.percentile(value, F.lit(high / 100)).alias("_hi"))
+    ends = percentiles(df, by, value, {"_lo": low / 100, "_hi": high / 100})
     out = F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    return df.join(F.broadcast(ends), by).withColumn(value, F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0)) if clip else out).drop("_lo", "_hi")
+    return df.join(ends, by).withColumn(value, F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0)) if clip else out).drop("_lo", "_hi")
 
 
 def equalize_hist(df: DataFrame, by: list[str], bins: int = 256, value: str = "intensity") -> DataFrame:
     """The cumulative histogram of each volume, interpolated between bin centres, as transfer function."""
-    ends = F.broadcast(df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_n")))
+    ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_n"))
     rows = df.join(ends, by).withColumn("_p", F.expr(f"CASE WHEN _hi > _lo THEN ({value} - _lo) / (_hi - _lo) * {bins} ELSE 0e0 END"))
     counts = rows.groupBy(*by, F.least(F.floor("_p"), F.lit(bins - 1)).alias("_b")).agg(F.count("*").alias("c"))
     every = ends.select(*by, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("_b"))
@@ -103,7 +146,7 @@ def equalize_hist(df: DataFrame, by: list[str], bins: int = 256, value: str = "i
     cdf = cdf.withColumn("_d", F.lead("_c", 1).over(w)).select(*by, "_b", "_c", F.coalesce("_d", "_c").alias("_d"))
     at = F.expr(f"least(greatest(_p - 5e-1, 0e0), {bins - 1}e0)")
     placed = rows.withColumn("_q", at).withColumn("_b", F.floor("_q"))
-    out = placed.join(F.broadcast(cdf), [*by, "_b"]).withColumn(value, F.expr("_c + (_q - _b) * (_d - _c)"))
+    out = placed.join(cdf, [*by, "_b"]).withColumn(value, F.expr("_c + (_q - _b) * (_d - _c)"))
     return out.select(df.columns)
 
 
@@ -114,7 +157,7 @@ def z_profile(df: DataFrame, by: list[str], mask: Column, value: str = "intensit
 def z_profile_nomask(df: DataFrame, by: list[str], value: str = "intensity") -> DataFrame:
     """Foreground is what exceeds mean + 3 deviations of its slice, or reaches its greatest value if that is less."""
     stats = df.groupBy(*by, "z").agg(F.least(F.max(value), F.avg(value) + 3 * F.stddev_pop(value)).alias("_t"))
-    return z_profile(df.join(F.broadcast(stats), [*by, "z"]), by, F.col(value) >= F.col("_t"), value)
+    return z_profile(df.join(stats, [*by, "z"]), by, F.col(value) >= F.col("_t"), value)
 
 
 def iqr_slice_filter(df: DataFrame, cell: list[str], value: str = "intensity") -> DataFrame:
@@ -130,6 +173,19 @@ def dim_stack_filter(df: DataFrame, cell: list[str], least: float, value: str =
     return df.join(df.groupBy(*cell).agg(F.avg(value).alias("_m")).filter(F.col("_m") < least), cell, "left_anti")
 
 
+def stack_means(df: DataFrame, cell: list[str], value: str = "intensity") -> DataFrame:
+    return df.groupBy(*cell).agg(F.avg(value).alias("mean"))
+
+
+def mean_histogram(df: DataFrame, cell: list[str], bins: int = 100, value: str = "intensity") -> DataFrame:
+    """How many stacks have their mean in each of ``bins`` equal bins between the least and the greatest; empty bins don't
+    occur."""
+    means = stack_means(df, cell, value)
+    ends = means.agg(F.min("mean").alias("_lo"), F.max("mean").alias("_hi"))
+    at = F.expr(f"CASE WHEN _hi > _lo THEN least(floor((mean - _lo) / (_hi - _lo) * {bins}), {bins - 1}) ELSE 0 END").cast("long")
+    return means.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+
+
 def resample_nearest(df: DataFrame, by: list[str], scale: dict[str, float], value: str) -> DataFrame:
     """A grid of round(n scale) voxels along each axis, each with the value of the nearest old one; dense volumes."""
     sizes = df.groupBy(*by).agg(*[(F.max(a) + 1).alias(f"_n{a}") for a in AXES])
@@ -153,7 +209,7 @@ def downsample_half(df: DataFrame, by: list[str], value: str = "intensity", axes
         need = need.select(*by, "_t", F.explode(F.expr("array(named_struct('v', _f, 'w', 1 - (_p - _f)), named_struct('v', least(_f + 1, _n - 1), 'w', _p - _f))")).alias("e"))
         need = need.select(*by, "_t", F.col("e.v").alias(a), F.col("e.w").alias("_w")).filter("_w > 0")
         rest = [x for x in AXES if x != a]
-        out = out.join(F.broadcast(need), [*by, a]).groupBy(*by, *rest, F.col("_t").alias(a)).agg(F.sum(F.col(value) * F.col("_w")).alias(value))
+        out = out.join(need, [*by, a]).groupBy(*by, *rest, F.col("_t").alias(a)).agg(F.sum(F.col(value) * F.col("_w")).alias(value))
     return out.select(*by, *AXES, value)
 
 
@@ -202,20 +258,14 @@ def erode_ball(df: DataFrame, by: list[str], value: str, radius: int = 3) -> Dat
 
 
 def median_filter(df: DataFrame, by: list[str], value: str = "intensity") -> DataFrame:
-    """Median of the 27 voxels around each, borders mirrored; dense volumes. A mirrored neighbour is the border voxel
-    itself, so border rows weigh double instead of being copied."""
-    ends = df.groupBy(*by).agg(*[F.min(a).alias(f"_0{a}") for a in AXES], *[F.max(a).alias(f"_1{a}") for a in AXES])
-    rows = df.join(F.broadcast(ends), by)
-    for a in AXES:
-        # Where a voxel goes along this axis, with how often: to itself also as the mirror image beyond its border.
-        own = f"named_struct('p', {a}, 'c', 1 + int({a} = _0{a}) + int({a} = _1{a}))"
-        rows = rows.withColumn(f"_e{a}", F.expr(f"filter(array({own}, named_struct('p', {a} - 1, 'c', 1), named_struct('p', {a} + 1, 'c', 1)), e -> e.p >= _0{a} AND e.p <= _1{a})"))
+    """Median of the 27 voxels around each, borders mirrored (a voxel at the border is its own neighbour beyond it); dense
+    volumes. Neighbours are gathered axis by axis, by windows, into an array of 27 whose middle counts, so no row
+    multiplies."""
+    out = df.withColumn("_v", F.array(value))
     for a in AXES:
-        rows = rows.withColumn(f"_e{a}", F.explode(f"_e{a}"))
-    count = F.col("_ex.c") * F.col("_ey.c") * F.col("_ez.c")
-    placed = rows.select(*by, *[F.col(f"_e{a}.p").alias(a) for a in AXES], value, count.alias("_c"))
-    out = placed.groupBy(*by, *AXES).agg(F.percentile(value, F.lit(0.5), F.col("_c")).alias(value))
-    return out.join(df.select(*by, *AXES), [*by, *AXES], "left_semi")
+        w = W.partitionBy(*by, *[x for x in AXES if x != a]).orderBy(a)
+        out = out.withColumn("_v", F.concat(F.coalesce(F.lag("_v").over(w), F.col("_v")), "_v", F.coalesce(F.lead("_v").over(w), F.col("_v"))))
+    return out.withColumn(value, F.element_at(F.sort_array("_v"), 14)).select(df.columns)
 
 
 def anisodiff(df: DataFrame, by: list[str], niter: int, kappa: float = 50.0, gamma: float = 0.1, option: int = 1, work: Workspace | None = None, value: str = "intensity") -> DataFrame:
@@ -249,7 +299,7 @@ def exposed_faces(labels: DataFrame, by: list[str], label: str) -> DataFrame:
 def depth_correction(df: DataFrame, params: DataFrame, by: list[str], z_ref: float = 0.0, value: str = "intensity") -> DataFrame:
     """Multiplies each slice by f(z_ref) / f(z), f the inverted logistic with the fitted ``a, b, c, d``; 1 where f is 0."""
     f = lambda z: F.expr(f"d + a / (1 + exp(b * ({z} - c)))")
-    rows = df.join(F.broadcast(params), by).withColumn("_f", f("z"))
+    rows = df.join(params, by).withColumn("_f", f("z"))
     return rows.withColumn(value, F.col(value) * F.when(F.col("_f") == 0, 1.0).otherwise(f(f"{z_ref}e0") / F.col("_f"))).select(df.columns)
 
 

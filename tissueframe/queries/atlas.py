@@ -101,6 +101,15 @@ def _(d):
     return r6(A.atlas_range(v, ["level"]), "lo", "hi")
 
 
+@query("map_range", """WITH v AS (SELECT specimen, volume / 5e4 AS value, cell_division FROM fx_cells WHERE specimen % 3 > 0) SELECT 'volume' AS feature, specimen % 20 AS map, round(quantile_cont(value, 0.01), 6) AS lo, round(quantile_cont(value, 0.99), 6) AS hi FROM v GROUP BY 2
+UNION ALL SELECT 'cell_division', specimen % 20, min(cell_division), max(cell_division) FROM v GROUP BY 2""")
+def _(d):
+    """The ranges of a feature and of a counted one, map by map."""
+    v = d.sql("SELECT specimen % 20 AS map, volume / 5e4 AS value, cell_division * 1e0 AS c FROM fx_cells WHERE specimen % 3 > 0")
+    one = A.map_range(v, ["map"]).withColumn("feature", F.lit("volume"))
+    return r6(one.unionByName(A.map_range(v.select("map", F.col("c").alias("value")), ["map"], True).withColumn("feature", F.lit("cell_division"))), "lo", "hi")
+
+
 @query("quantize_bins", """WITH r AS (SELECT level, quantile_cont(volume, 0.05) AS lo, quantile_cont(volume, 0.95) AS hi FROM fx_cells GROUP BY 1) SELECT cell_id, CAST(CASE WHEN volume < lo THEN -1 WHEN volume >= hi THEN 64 ELSE least(floor((volume - lo)/(hi - lo)*64), 63) END AS BIGINT) AS bin FROM fx_cells JOIN r USING (level)""")
 def _(d):
     v = d.fx_cells.select("cell_id", "level", F.col("volume").alias("value"))

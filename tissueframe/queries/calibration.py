@@ -157,6 +157,17 @@ def _(d):
     return r6(K.fit_temperature(z(d), [0.5, 1.0, 1.5, 2.0, 3.0, 5.0, 8.0, 12.0]), "nll")
 
 
+@query("fit_vector")
+def _(d):
+    """Vector scaling and Dirichlet calibration of the logits: parameters, and the mean log-likelihood they reach."""
+    scales, bias = K.fit_vector(z(d))
+    alphas = K.fit_dirichlet(pred(d))
+    both = {"vector": K.vector_scaling(F.col("z"), scales, bias), "dirichlet": K.dirichlet(C.softmax(F.col("z")), alphas), "none": C.softmax(F.col("z"))}
+    out = K.calibration_table(z(d), both)
+    given = d.spark.createDataFrame([("vector", scales, bias), ("dirichlet", alphas, [0.0] * 3), ("none", [1.0] * 3, [0.0] * 3)], "method string, scales array<double>, bias array<double>")
+    return r6(out.join(given, "method").select("method", "nll", "ece", *[F.round(F.col(c)[i], 4).alias(f"{c}{i}") for c in ("scales", "bias") for i in range(3)]), "nll", "ece")
+
+
 @query("fit_matrix")
 def _(d):
     return K.fit_matrix(pred(d)).select("class", *[F.round(F.col("weights")[i], 3).alias(f"w{i}") for i in range(3)], F.round("bias", 3).alias("bias"))

@@ -59,11 +59,12 @@ def _(d):
     return H.overwrite_merge(d.fx_cells.select("cell_id", "level", "sphericity"), new, ["cell_id"])
 
 
-@query("inner_merge", "SELECT a.specimen, a.cell_id, b.cell_id AS other FROM fx_cells a JOIN fx_cells b ON a.specimen = b.specimen AND a.level = 'Nuclei' AND b.level = 'Membrane'")
+@query("inner_merge", "SELECT a.specimen, a.cell_id, a.volume, b.perpendicularity FROM (SELECT specimen, cell_id, volume FROM fx_cells WHERE sphericity > 2e-1) a JOIN (SELECT cell_id, perpendicularity FROM fx_cells WHERE perpendicularity < 9e-1) b ON b.cell_id = a.cell_id")
 def _(d):
-    a = d.fx_cells.filter("level = 'Nuclei'").select("specimen", "cell_id")
-    b = d.fx_cells.filter("level = 'Membrane'").select("specimen", F.col("cell_id").alias("other"))
-    return a.join(b, "specimen", "inner")
+    """Two feature tables of the same cells, each with rows that the other lacks."""
+    shape = d.sql("SELECT specimen, cell_id, volume FROM fx_cells WHERE sphericity > 2e-1")
+    mesh = d.sql("SELECT cell_id, perpendicularity FROM fx_cells WHERE perpendicularity < 9e-1")
+    return shape.join(mesh, "cell_id", "inner")
 
 
 @query("filter_features", "SELECT cell_id, volume FROM fx_cells WHERE EXISTS (SELECT 1 FROM fx_volume WHERE pred = cell_id)")

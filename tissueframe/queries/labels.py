@@ -44,10 +44,15 @@ def _(d):
     return L.filter_by_tissue(v.select("specimen", "x", "y", "z", "pred"), v.select("specimen", "x", "y", "z", "tissue"), BY, "pred", [5], 3)
 
 
-@query("border_filter", """WITH e AS (SELECT specimen, max(x) AS mx, max(y) AS my FROM fx_volume GROUP BY 1), cut AS (SELECT DISTINCT specimen, gt FROM fx_volume JOIN e USING (specimen) WHERE gt <> 0 AND (x < 1 OR y < 1 OR x > mx - 1 OR y > my - 1))
-SELECT v.specimen, v.x, v.y, v.z, v.gt FROM fx_volume v LEFT JOIN cut USING (specimen, gt) WHERE cut.gt IS NULL""")
+#: Frames a little wider than the last labelled voxel, as volumes have them.
+SIZES = "SELECT specimen, max(x) + 2 AS x_size, max(y) + 3 AS y_size, max(z) + 2 AS z_size FROM fx_volume GROUP BY 1"
+
+
+@query("border_filter", f"""WITH e AS ({SIZES}), cut AS (SELECT DISTINCT specimen, gt FROM fx_volume JOIN e USING (specimen) WHERE gt <> 0 AND (x < 2 OR y < 2 OR x >= x_size - 2 OR y >= y_size - 2))
+SELECT v.specimen, v.x, v.y, v.z, v.gt FROM fx_volume v LEFT JOIN cut USING (specimen, gt) WHERE v.gt <> 0 AND cut.gt IS NULL""")
 def _(d):
-    return L.border_filter(d.fx_volume.select("specimen", "x", "y", "z", "gt"), BY, "gt", 1, ("x", "y"))
+    """Sparse labels: background has no rows, and the frame comes from the volumes' metadata."""
+    return L.border_filter(d.fx_volume.filter("gt <> 0").select("specimen", "x", "y", "z", "gt"), BY, "gt", 2, ("x", "y"), d.sql(SIZES))
 
 
 @query("label_sizes", "SELECT specimen, pred, count(*) AS volume FROM fx_volume WHERE pred <> 0 GROUP BY 1, 2")
@@ -145,7 +150,7 @@ def _(d):
     return L.cell_crops(d.fx_volume, BY, "pred", 3, 8)
 
 
-# Components of the volume cut to a few slices, so that the recursive SQL ends in time; the operators take any volume.
+# Components of the whole volume; labels are taken modulo 3, so that each has several components of different sizes.
 VOX = "vox AS (SELECT specimen, x, y, z, CASE WHEN pred = 0 THEN 0 ELSE 1 + pred % 3 END AS lab, k FROM fx_volume)"
 REACH = """own AS (SELECT k, specimen, x, y, z, lab FROM vox WHERE lab <> 0),
 adj AS (SELECT a.k AS u, b.k AS v FROM own a JOIN own b ON b.specimen = a.specimen AND b.lab = a.lab AND abs(b.x-a.x) + abs(b.y-a.y) + abs(b.z-a.z) = 1 AND b.x BETWEEN a.x-1 AND a.x+1),
@@ -170,9 +175,47 @@ def _(d):
     return L.filter_components(vox(d), BY, "lab", 0, 10**9)
 
 
-@query("filter_components", f"WITH {VOX}, {REACH}, s AS (SELECT specimen, lab, c, count(*) AS n FROM cv GROUP BY 1, 2, 3), b AS (SELECT *, row_number() OVER (PARTITION BY specimen, lab ORDER BY n DESC, c) AS r FROM s) SELECT cv.specimen, x, y, z, cv.lab FROM cv JOIN b ON b.c = cv.c AND b.r = 1 AND n > 20 AND n < 4500", recursive=True)
+@query("filter_components", f"WITH {VOX}, {REACH}, s AS (SELECT specimen, lab, c, count(*) AS n FROM cv GROUP BY 1, 2, 3 HAVING count(*) > 20 AND count(*) < 120), b AS (SELECT *, row_number() OVER (PARTITION BY specimen, lab ORDER BY n DESC, c) AS r FROM s) SELECT cv.specimen, x, y, z, cv.lab FROM cv JOIN b ON b.c = cv.c AND b.r = 1", recursive=True)
+def _(d):
+    """Bounds between the sizes of the largest components, so that some labels keep their second largest one."""
+    return L.filter_components(vox(d), BY, "lab", 20, 120)
+
+
+@query("remove_small_objects", f"WITH {VOX}, {REACH.replace('abs(b.x-a.x) + abs(b.y-a.y) + abs(b.z-a.z) = 1', 'b.y BETWEEN a.y-1 AND a.y+1 AND b.z BETWEEN a.z-1 AND a.z+1')}, s AS (SELECT specimen, c, count(*) AS n FROM cv GROUP BY 1, 2), p AS (SELECT specimen, quantile_cont(n, 0.4) AS q FROM s GROUP BY 1) SELECT cv.specimen, x, y, z, cv.lab FROM cv JOIN s ON s.c = cv.c JOIN p ON p.specimen = cv.specimen WHERE s.n >= q", recursive=True)
+def _(d):
+    return L.remove_small(vox(d), BY, "lab", 40)
+
+
+@query("remove_large_objects", f"WITH {VOX}, {REACH.replace('abs(b.x-a.x) + abs(b.y-a.y) + abs(b.z-a.z) = 1', 'b.y BETWEEN a.y-1 AND a.y+1 AND b.z BETWEEN a.z-1 AND a.z+1')}, s AS (SELECT specimen, c, count(*) AS n FROM cv GROUP BY 1, 2), p AS (SELECT specimen, quantile_cont(n, 0.6) AS q FROM s GROUP BY 1) SELECT cv.specimen, x, y, z, cv.lab FROM cv JOIN s ON s.c = cv.c JOIN p ON p.specimen = cv.specimen WHERE s.n <= q", recursive=True)
+def _(d):
+    return L.remove_large(vox(d), BY, "lab", 60)
+
+
+def morph_sql(first: str, then: str) -> str:
+    """Ball of radius 1 on the dense frame: the least, then the greatest value, or the other way."""
+    near = "SELECT v.specimen, v.x, v.y, v.z, {fn}(w.gt) AS gt FROM {t} v JOIN {t} w ON w.specimen = v.specimen AND w.x BETWEEN v.x - 1 AND v.x + 1 AND (w.x-v.x)*(w.x-v.x) + (w.y-v.y)*(w.y-v.y) + (w.z-v.z)*(w.z-v.z) <= 1 GROUP BY 1, 2, 3, 4"
+    base = "SELECT s.specimen, i.x, j.y, s.z, coalesce(v.gt, 0) AS gt FROM (SELECT DISTINCT specimen, z FROM fx_volume) s CROSS JOIN (SELECT unnest(range(25)) AS x) i CROSS JOIN (SELECT unnest(range(25)) AS y) j LEFT JOIN fx_volume v ON v.specimen = s.specimen AND v.x = i.x AND v.y = j.y AND v.z = s.z"
+    return f"WITH base AS ({base}), one AS ({near.format(fn=first, t='base')}), two AS ({near.format(fn=then, t='one')}) SELECT * FROM two WHERE gt <> 0"
+
+
+#: The frame of a dense volume; z of a specimen starts where that of the one before ends, so it is moved to 0.
+FRAME = "SELECT specimen, 25 AS x_size, 25 AS y_size, max(z) - min(z) + 1 AS z_size FROM fx_volume GROUP BY specimen"
+LOWERED = "SELECT v.specimen, x, y, z - z0 AS z, gt FROM fx_volume v JOIN (SELECT specimen AS s, min(z) AS z0 FROM fx_volume GROUP BY 1) m ON m.s = v.specimen WHERE gt <> 0"
+
+
+def raised(d, out):
+    low = d.sql("SELECT specimen, min(z) AS _z0 FROM fx_volume GROUP BY 1")
+    return out.join(low, "specimen").select("specimen", "x", "y", (F.col("z") + F.col("_z0")).alias("z"), "gt")
+
+
+@query("clean_boundaries_opening", morph_sql("min", "max"))
+def _(d):
+    return raised(d, L.clean_opening(d.sql(LOWERED), BY, "gt", 1, 1, d.sql(FRAME)))
+
+
+@query("clean_boundaries_closing", morph_sql("max", "min"))
 def _(d):
-    return L.filter_components(vox(d), BY, "lab")
+    return raised(d, L.clean_closing(d.sql(LOWERED), BY, "gt", 1, 1, d.sql(FRAME)))
 
 
 SPLIT = "s AS (SELECT specimen, lab, c, count(*) AS n FROM cv GROUP BY 1, 2, 3 HAVING count(*) >= 20), b AS (SELECT c, row_number() OVER (PARTITION BY specimen ORDER BY lab, c) AS new FROM s)"
@@ -183,10 +226,10 @@ def _(d):
     return L.split_components(vox(d), BY, "lab")
 
 
-@query("postprocess_pipeline", f"""WITH {VOX}, {REACH}, {SPLIT}, sp AS (SELECT cv.specimen, x, y, z, new AS lab FROM cv JOIN b ON b.c = cv.c), e AS (SELECT specimen, max(x) AS mx, max(y) AS my FROM sp GROUP BY 1),
-cut AS (SELECT DISTINCT specimen, lab FROM sp JOIN e USING (specimen) WHERE x < 1 OR y < 1 OR x > mx - 1 OR y > my - 1) SELECT sp.* FROM sp LEFT JOIN cut USING (specimen, lab) WHERE cut.lab IS NULL""", recursive=True)
+@query("postprocess_pipeline", f"""WITH {VOX}, {REACH}, {SPLIT}, sp AS (SELECT cv.specimen, x, y, z, new AS lab FROM cv JOIN b ON b.c = cv.c), e AS ({SIZES}),
+cut AS (SELECT DISTINCT specimen, lab FROM sp JOIN e USING (specimen) WHERE x < 1 OR y < 1 OR x >= x_size - 1 OR y >= y_size - 1) SELECT sp.* FROM sp LEFT JOIN cut USING (specimen, lab) WHERE cut.lab IS NULL""", recursive=True)
 def _(d):
-    return L.postprocess(vox(d), ["split", "border"], by=BY, label="lab", least=20, axes=("x", "y"))
+    return L.postprocess(vox(d), ["split", "border"], by=BY, label="lab", least=20, axes=("x", "y"), sizes=d.sql(SIZES))
 
 
 @query("merge_small", """WITH s AS (SELECT specimen, gt, count(*) AS n FROM fx_volume WHERE gt <> 0 GROUP BY 1, 2), p AS (SELECT DISTINCT a.specimen, a.gt, b.gt AS other FROM fx_volume a JOIN s ON s.specimen = a.specimen AND s.gt = a.gt AND s.n < 20

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import atlas as A
 from ..operators import mesh as M
 from ..operators import spatial as P
-from ..operators.graph import bounded_paths
+from ..workspace import Workspace
 from .registry import query
 from .voxels import r6
 
@@ -40,25 +41,38 @@ def _(d):
     return M.edge_to_face(d.fx_faces)
 
 
+def adjacency(d):
+    """Written, since each round of a search reads it."""
+    return Workspace(d.spark).write(M.face_adjacency(d.fx_vertices, d.fx_faces))
+
+
 # The recursion carries whole paths' lengths, so its SQL stays with a radius that few faces lie within.
 BALL = f"{ADJ}, walk AS (SELECT fid AS seed, fid AS node, 0e0 AS dist FROM cen UNION SELECT seed, dst, dist + w FROM walk JOIN adj ON src = node WHERE dist + w <= {{r}})"
 
 
 @query("face_neighborhoods", f"WITH {BALL.format(r=16)} SELECT seed, node, round(min(dist), 6) AS dist FROM walk GROUP BY 1, 2", recursive=True)
 def _(d):
-    return r6(bounded_paths(d.fx_faces.select(F.col("fid").alias("seed")), M.face_adjacency(d.fx_vertices, d.fx_faces), 16.0), "dist")
+    near = A.face_neighborhoods(d.fx_vertices.drop("cell_id"), d.fx_faces, 16.0)
+    return r6(near.select(F.col("face").alias("seed"), F.col("neighbor").alias("node"), "dist"), "dist")
+
+
+@query("face_neighborhoods_wide")
+def _(d):
+    """The radius of membranes' neighbourhoods, 50, which the recursive SQL is too slow for: sizes and mean distances."""
+    near = A.face_neighborhoods(d.fx_vertices.drop("cell_id"), d.fx_faces, 50.0)
+    return r6(near.groupBy("face").agg(F.count("*").alias("n"), F.avg("dist").alias("dist")), "dist")
 
 
 @query("geodesic_ball", f"WITH {BALL.format(r=14)}, b AS (SELECT seed, node, min(dist) AS dist FROM walk GROUP BY 1, 2), k AS (SELECT s.seed, min(r.r) AS r FROM (SELECT DISTINCT seed FROM b) s CROSS JOIN (SELECT unnest(range(4, 15)) AS r) r WHERE (SELECT count(*) FROM b WHERE b.seed = s.seed AND b.dist <= r.r) >= 3 GROUP BY 1) SELECT b.seed, b.node, round(b.dist, 6) AS dist FROM b JOIN k USING (seed) WHERE b.dist <= k.r", recursive=True)
 def _(d):
     seeds = d.fx_faces.select(F.col("fid").alias("seed"))
-    return r6(M.geodesic_ball(seeds, M.face_adjacency(d.fx_vertices, d.fx_faces), 4.0, 3, 10), "dist")
+    return r6(M.geodesic_ball(seeds, adjacency(d), 4.0, 3, 10), "dist")
 
 
 @query("geodesic_path", f"WITH {BALL.format(r=16)}, p AS (SELECT seed, node, min(dist) AS dist FROM walk GROUP BY 1, 2) SELECT seed, node AS target, round(dist, 6) AS dist FROM p WHERE node = seed + 2", recursive=True)
 def _(d):
     seeds = d.fx_faces.select(F.col("fid").alias("seed"), (F.col("fid") + 2).alias("target"))
-    return r6(M.geodesic_path(seeds, M.face_adjacency(d.fx_vertices, d.fx_faces), 16.0).select("seed", "target", "dist"), "dist")
+    return r6(M.geodesic_path(seeds, adjacency(d), 16.0).select("seed", "target", "dist"), "dist")
 
 
 @query("plane_fit")
@@ -121,9 +135,13 @@ def _(d):
     return M.closed_surface(d.fx_faces, ["cell_id"])
 
 
-@query("laplacian_smooth")
+SMOOTH = ", ".join(f"s{k} AS MATERIALIZED (SELECT v.vid, v.x + 8e-1 * (coalesce(avg(n.x), v.x) - v.x) AS x, v.y + 8e-1 * (coalesce(avg(n.y), v.y) - v.y) AS y, v.z + 8e-1 * (coalesce(avg(n.z), v.z) - v.z) AS z FROM {f's{k - 1}' if k else 'fx_vertices'} v LEFT JOIN nb ON nb.vid = v.vid LEFT JOIN {f's{k - 1}' if k else 'fx_vertices'} n ON n.vid = nb.neighbor GROUP BY v.vid, v.x, v.y, v.z)" for k in range(40))
+
+
+@query("laplacian_smooth", f"WITH {EDG}, nb AS MATERIALIZED (SELECT a AS vid, b AS neighbor FROM edg UNION SELECT b, a FROM edg), {SMOOTH} SELECT vid, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM s39")
 def _(d):
-    return r6(M.laplacian_smooth(d.fx_vertices, d.fx_faces, 0.8, 10), "x", "y", "z")
+    out = M.laplacian_smooth(d.fx_vertices, d.fx_faces, 0.8, 40)
+    return out.select("vid", *[F.round(c, 5).alias(c) for c in "xyz"])
 
 
 @query("vertex_normals", f"""WITH n AS (SELECT fid, (y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) AS nx, (z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) AS ny, (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) AS nz FROM ({PTS}) p),
@@ -133,9 +151,10 @@ def _(d):
     return r6(M.vertex_normals(d.fx_vertices.drop("cell_id"), d.fx_faces), "nx", "ny", "nz")
 
 
-@query("mesh_sizes", "WITH n AS (SELECT cell_id % 4 AS m, count(*) AS n FROM fx_faces GROUP BY 1) SELECT a.m AS left, a.n AS n_left, b.m AS right, b.n AS n_right, CASE WHEN a.n < b.n THEN 'left' WHEN a.n > b.n THEN 'right' ELSE 'same' END AS coarser FROM n a JOIN n b ON a.m < b.m")
+@query("mesh_sizes", "WITH n AS (SELECT cell_id, count(*) AS n FROM fx_faces GROUP BY 1), p AS (SELECT DISTINCT cell_id AS left, cell_id + 1 AS right FROM fx_vertices) SELECT p.left, p.right, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right, CASE WHEN coalesce(a.n, 0) < coalesce(b.n, 0) THEN 'left' WHEN coalesce(a.n, 0) > coalesce(b.n, 0) THEN 'right' ELSE 'same' END AS coarser FROM p LEFT JOIN n a ON a.cell_id = p.left LEFT JOIN n b ON b.cell_id = p.right")
 def _(d):
-    return M.mesh_sizes(d.fx_faces.withColumn("m", F.col("cell_id") % 4), "m")
+    """Each cell's mesh beside that of the cell with the next number."""
+    return M.mesh_sizes(d.fx_faces, "cell_id", d.sql("SELECT DISTINCT cell_id AS left, cell_id + 1 AS right FROM fx_vertices"))
 
 
 @query("planar_uv", "SELECT cell_id, vid, round((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w), 6) AS u, round((y - min(y) OVER w) / CASE WHEN max(y) OVER w > min(y) OVER w THEN max(y) OVER w - min(y) OVER w ELSE 1 END, 6) AS v FROM fx_vertices WINDOW w AS (PARTITION BY cell_id)")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring as S
 from ..operators.graph import components
+from ..workspace import Workspace
 from .registry import query
 
 BY = ["specimen"]
@@ -86,12 +87,12 @@ round(100*sum(CASE WHEN state = 'missing' THEN 1 ELSE 0 END)/sum(CASE WHEN side
 
 @query("segmentation_states", f"WITH {OVERLAP}, {states_sql('specimen')} SELECT * FROM states", recursive=True)
 def _(d):
-    return S.segmentation_states(overlap(d), BY)
+    return S.segmentation_states(Workspace(d.spark).write(overlap(d)), BY)
 
 
 @query("segmentation_stats", f"WITH {OVERLAP}, {states_sql('specimen')} {stats_sql('specimen')}", recursive=True)
 def _(d):
-    return S.segmentation_stats(overlap(d), BY)
+    return S.segmentation_stats(Workspace(d.spark).write(overlap(d)), BY)
 
 
 @query("connected_components", """WITH e AS (SELECT DISTINCT specimen * 1000000 + pred AS u, specimen * 1000000 + 500000 + gt AS v FROM fx_volume WHERE pred <> 0 AND gt <> 0),
@@ -111,7 +112,7 @@ SWEEP = "SELECT c.test_name, pred * CASE WHEN c.test_name = 2 AND pred % 2 = 0 T
 vj AS (SELECT test_name, round(sum(coalesce(j, 0e0)*n_gt)/sum(n_gt), 6) AS vji FROM (SELECT DISTINCT test_name, gt, n_gt FROM ov WHERE gt <> 0) a LEFT JOIN jb USING (test_name, gt) GROUP BY 1)
 SELECT stats.*, dice, vji FROM stats JOIN (SELECT test_name, round(avg(dice), 6) AS dice FROM cells GROUP BY 1) d USING (test_name) JOIN vj USING (test_name)""", recursive=True)
 def _(d):
-    o = S.label_overlap(d.sql(SWEEP), ["test_name"])
+    o = Workspace(d.spark).write(S.label_overlap(d.sql(SWEEP), ["test_name"]))
     by = ["test_name"]
     return S.segmentation_stats(o, by).join(S.dice(o, by).select("test_name", F.round("dice", 6).alias("dice")), by).join(S.volume_jaccard(o, by).select("test_name", F.round("vji", 6).alias("vji")), by)
 
@@ -139,16 +140,36 @@ def _(d):
     return r.select("test_name", *[F.round(c, 6).alias(c) for c in ("correct", "missing", "labels_ratio")])
 
 
-@query("quality_score")
+METRICS = ["dice", "jaccard", "correct", "missing", "over_segmented"]
+COV = ", ".join("[" + ", ".join(f"covar_pop({a}, {b})" for b in METRICS) + "]" for a in METRICS)
+# The first principal component by power iteration on the covariance matrix, 400 rounds.
+PC = f"""c AS (SELECT [{COV}] AS m FROM fx_quality), it AS (SELECT 0 AS k, [1e0, 1e0, 1e0, 1e0, 1e0] AS v UNION ALL SELECT k + 1, list_transform(w, lambda x: x / n) FROM (SELECT k, w, sqrt(list_dot_product(w, w)) AS n FROM (SELECT k, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM it, c) a WHERE k < 400) b),
+pc AS (SELECT list_transform(v, lambda x: CASE WHEN v[1] >= 0 THEN x ELSE -x END) AS v FROM it WHERE k = 400)"""
+
+
+@query("quality_score", f"""WITH {PC}, mu AS (SELECT {', '.join(f'avg({m}) AS {m}_' for m in METRICS)} FROM fx_quality), s AS (SELECT test_name, {' + '.join(f'({m} - {m}_) * v[{i + 1}]' for i, m in enumerate(METRICS))} AS pc1 FROM fx_quality, mu, pc)
+SELECT test_name, round(pc1, 5) AS pc1, round((pc1 - (SELECT min(pc1) FROM s)) / ((SELECT max(pc1) FROM s) - (SELECT min(pc1) FROM s)), 5) AS score FROM s""", recursive=True)
 def _(d):
-    return S.quality_score(d.fx_quality, ["dice", "jaccard", "correct", "missing", "over_segmented"], "test_name")
+    out = S.quality_score(d.fx_quality, METRICS, "test_name")
+    return out.select("test_name", F.round("pc1", 5).alias("pc1"), F.round("score", 5).alias("score"))
+
+
+@query("ordered_loadings", f"""WITH {PC}, l AS (SELECT unnest({METRICS}) AS metric, unnest(v) AS loading, sqrt(list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), list_transform(m, lambda r: list_dot_product(r, v)))) / ({' + '.join(f'm[{i}][{i}]' for i in range(1, 6))}) AS explained FROM pc, c)
+SELECT metric, round(loading, 5) AS loading, round(explained, 5) AS explained, row_number() OVER (ORDER BY abs(loading) DESC, metric) AS place FROM l""", recursive=True)
+def _(d):
+    out = S.quality_loadings(d.fx_quality, METRICS)
+    return out.select("metric", F.round("loading", 5).alias("loading"), F.round("explained", 5).alias("explained"), "place")
+
+
+EDGE = "(SELECT '{s}' AS side, v.specimen, v.{s} AS label, v.x, v.y, v.z FROM fx_volume v LEFT JOIN fx_volume w ON w.specimen = v.specimen AND w.z = v.z AND w.{s} = v.{s} AND abs(w.x - v.x) + abs(w.y - v.y) = 1 AND w.x BETWEEN v.x - 1 AND v.x + 1 WHERE v.{s} <> 0 GROUP BY ALL HAVING count(w.x) < 4)"
 
 
-@query("ordered_loadings", """WITH l AS (SELECT 'correct' AS metric, corr(correct, dice) AS loading FROM fx_quality UNION ALL SELECT 'missing', corr(missing, dice) FROM fx_quality UNION ALL SELECT 'over_segmented', corr(over_segmented, dice) FROM fx_quality)
-SELECT metric, round(loading, 6) AS loading, row_number() OVER (ORDER BY abs(loading) DESC, metric) AS place FROM l""")
+@query("boundary_f1_weighted", f"""WITH {BYPRED.replace("SELECT specimen, gt, n_gt, j FROM best", "SELECT specimen, pred, gt, n_gt, j FROM best").replace("SELECT DISTINCT specimen, gt, n_gt, 0e0", "SELECT DISTINCT specimen, 0, gt, n_gt, 0e0")}, pr AS (SELECT specimen, gt, min(pred) AS pred FROM assoc GROUP BY 1, 2 HAVING min(pred) <> 0),
+a AS (SELECT e.specimen, pr.gt, x, y, z FROM {EDGE.format(s='pred')} e JOIN pr ON pr.specimen = e.specimen AND pr.pred = e.label), b AS (SELECT e.specimen, pr.gt, x, y, z FROM {EDGE.format(s='gt')} e JOIN pr ON pr.specimen = e.specimen AND pr.gt = e.label),
+pc_ AS (SELECT specimen, gt, avg(hit) AS p FROM (SELECT a.specimen, a.gt, a.x, a.y, a.z, max(CASE WHEN b.x IS NULL THEN 0e0 ELSE 1e0 END) AS hit FROM a LEFT JOIN b ON b.specimen = a.specimen AND b.gt = a.gt AND b.z = a.z AND (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) < 4 GROUP BY 1, 2, 3, 4, 5) t GROUP BY 1, 2),
+rc AS (SELECT specimen, gt, avg(hit) AS r FROM (SELECT b.specimen, b.gt, b.x, b.y, b.z, max(CASE WHEN a.x IS NULL THEN 0e0 ELSE 1e0 END) AS hit FROM b LEFT JOIN a ON b.specimen = a.specimen AND b.gt = a.gt AND b.z = a.z AND (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) < 4 GROUP BY 1, 2, 3, 4, 5) t GROUP BY 1, 2),
+f AS (SELECT assoc.specimen, assoc.n_gt, coalesce(CASE WHEN p + r > 0 THEN 2*p*r/(p + r) ELSE 0e0 END, 0e0) AS f1 FROM assoc LEFT JOIN pc_ ON pc_.specimen = assoc.specimen AND pc_.gt = assoc.gt LEFT JOIN rc ON rc.specimen = assoc.specimen AND rc.gt = assoc.gt)
+SELECT specimen, round(avg(f1), 6) AS f1, round(sum(f1*n_gt)/sum(n_gt), 6) AS f1_weighted FROM f GROUP BY 1""")
 def _(d):
-    # A table of one row for each metric, so the single window partition is as small as the list of metrics.
-    q = d.fx_quality.agg(*[F.corr(c, "dice").alias(c) for c in ("correct", "missing", "over_segmented")])
-    rows = q.selectExpr("stack(3, 'correct', correct, 'missing', missing, 'over_segmented', over_segmented) AS (metric, loading)")
-    listed = rows.agg(F.expr("sort_array(collect_list(struct(-abs(loading) AS o, metric, loading)))").alias("a"))
-    return listed.select(F.posexplode("a").alias("i", "m")).select("m.metric", F.round("m.loading", 6).alias("loading"), (F.col("i") + 1).cast("long").alias("place"))
+    cells = S.boundary_f1_cells(d.fx_volume, overlap(d), BY)
+    return S.boundary_f1_weighted(cells, BY).select("specimen", *[F.round(c, 6).alias(c) for c in ("f1", "f1_weighted")])

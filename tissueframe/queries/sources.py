@@ -30,11 +30,15 @@ def _(d):
     return m.select(F.regexp_extract("path", r"volume_(\d+)", 1).cast("long").alias("specimen"), "x_size", "y_size", "z_size", "x_res", "y_res", "z_res")
 
 
-@query("voxel_roundtrip", "SELECT specimen, x, y, z, intensity FROM fx_volume")
+STORED = "SELECT specimen, max(x) + 1 AS x_size, max(y) + 1 AS y_size, 38e-2 + specimen % 3 / 1e2 AS x_res FROM fx_volume GROUP BY specimen"
+
+
+@query("voxel_roundtrip", f"SELECT v.specimen, x, y, z, intensity, x_size, y_size, round(x_res, 6) AS x_res FROM fx_volume v JOIN ({STORED}) m ON m.specimen = v.specimen")
 def _(d):
     folder = Workspace(d.spark).path("voxels")
-    d.fx_volume.select("specimen", "x", "y", "z", "intensity").write.partitionBy("specimen").parquet(folder)
-    return d.spark.read.parquet(folder).withColumn("specimen", F.col("specimen").cast("long"))
+    S.write_volume(d.fx_volume.select("specimen", "x", "y", "z", "intensity"), d.sql(STORED), folder, ["specimen"])
+    voxels, meta = S.read_stored(d.spark, folder)
+    return r6(voxels.join(meta, "specimen"), "x_res")
 
 
 @query("features_csv", "SELECT cell_id, level, volume, cell_division, CAST(cell_id % 25 AS INTEGER) AS x, CAST(cell_id % 7 AS INTEGER) AS y, CAST(3 AS INTEGER) AS z FROM fx_cells")
@@ -55,14 +59,7 @@ def _(d):
     return faces.groupBy("cell_id").agg(F.count("*").alias("faces"), F.sum("fid").alias("fids"))
 
 
-@query("surface_map", "SELECT src_vertex, c_vertex, a_vertex, alpha, beta, gamma FROM fx_surface_map WHERE specimen = 1")
-def _(d):
-    folder = Workspace(d.spark).path("map")
-    S.surface_map_lines(d.fx_surface_map.filter("specimen = 1")).write.text(folder)
-    return S.read_surface_map(d.spark, folder).drop("path")
-
-
-@query("surface_map_all", "SELECT specimen, src_vertex, c_vertex, a_vertex, alpha, beta, gamma FROM fx_surface_map")
+@query("surface_map", "SELECT specimen, src_vertex, c_vertex, a_vertex, alpha, beta, gamma FROM fx_surface_map")
 def _(d):
     """The maps of all specimens, each in a folder of its own; the specimen comes back from the path."""
     folder = Workspace(d.spark).path("maps")
@@ -84,23 +81,43 @@ def _(d):
     return C.find_group(d.fx_cells.select("specimen").distinct(), d.fx_catalog.filter("to_analyze"))
 
 
-@query("find_specimen", "SELECT concat('/data/', c_nationkey, '/', c_custkey, '.nii') AS path, CAST(CASE WHEN c_nationkey < c_custkey AND c_nationkey > 0 THEN c_nationkey ELSE c_custkey END AS VARCHAR) AS specimen FROM customer WHERE c_custkey > 0 AND c_nationkey > 0")
+#: Paths with a specimen's name inside longer names, with none, and with several.
+PATHS = """SELECT concat('/data/Gr', c_nationkey % 10 + 1, '/x0', c_custkey, '_E', c_nationkey % 4, CASE WHEN c_custkey % 5 = 0 THEN concat('-', c_custkey + 1, '_E1') ELSE '' END, 'mGFP.nii.gz') AS path FROM customer"""
+KNOWN = "SELECT concat('0', c_custkey, '_E', c_nationkey % 3) AS specimen, c_custkey AS ord FROM customer UNION ALL SELECT concat('-', c_custkey, '_E1'), -c_custkey FROM customer"
+
+
+@query("find_specimen", f"SELECT p.path, (SELECT min_by(k.specimen, k.ord) FROM ({KNOWN}) k WHERE contains(p.path, k.specimen)) AS specimen FROM ({PATHS}) p")
 def _(d):
-    paths = d.sql("SELECT concat('/data/', c_nationkey, '/', c_custkey, '.nii') AS path FROM customer WHERE c_custkey > 0 AND c_nationkey > 0")
-    known = d.sql("SELECT CAST(c_custkey AS STRING) AS specimen, c_custkey AS ord FROM customer WHERE c_custkey > 0")
-    return C.find_specimen(paths, known)
+    return C.find_specimen(d.sql(PATHS), d.sql(KNOWN))
 
 
-@query("find_specimen_all", """WITH known AS (SELECT c_custkey FROM customer WHERE c_custkey > 0)
-SELECT concat('/data/', c.c_nationkey, '/', c.c_custkey, '.nii') AS path, CAST(CASE WHEN n.c_custkey < k.c_custkey OR k.c_custkey IS NULL THEN n.c_custkey ELSE k.c_custkey END AS VARCHAR) AS specimen
-FROM customer c LEFT JOIN known n ON n.c_custkey = c.c_nationkey LEFT JOIN known k ON k.c_custkey = c.c_custkey""")
+@query("find_specimen_all", """WITH known AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS specimen FROM customer WHERE c_custkey > 0), p AS (SELECT DISTINCT concat('/data/', c_nationkey, '/', c_custkey, '.nii') AS path FROM customer)
+SELECT concat('/data/', c.c_nationkey, '/', c.c_custkey, '.nii') AS path, f.specimen FROM customer c JOIN (SELECT p.path, min_by(k.specimen, k.c_custkey) AS specimen FROM p LEFT JOIN known k ON contains(p.path, k.specimen) GROUP BY 1) f ON f.path = concat('/data/', c.c_nationkey, '/', c.c_custkey, '.nii')""")
 def _(d):
-    """All paths; those with no known part give null."""
+    """All paths; those that hold no known name give null."""
     paths = d.sql("SELECT concat('/data/', c_nationkey, '/', c_custkey, '.nii') AS path FROM customer")
     known = d.sql("SELECT CAST(c_custkey AS STRING) AS specimen, c_custkey AS ord FROM customer WHERE c_custkey > 0")
     return C.find_specimen(paths, known)
 
 
+LAID = """SELECT concat('/root/', stage, CASE specimen % 3 WHEN 0 THEN '/RawImages/' WHEN 1 THEN '/Segmentation/' ELSE '/Features/' END, CASE WHEN specimen % 3 = 2 THEN '' WHEN specimen % 2 = 0 THEN 'Nuclei/' ELSE 'Membrane/' END,
+CASE WHEN specimen % 7 = 0 AND specimen % 3 < 2 THEN 'Filtered/' ELSE '' END, 's', specimen % 50 + 100, '_', specimen, CASE WHEN specimen % 11 = 0 THEN '.h5' ELSE '.nii.gz' END) AS path, stage, group_no, specimen % 3 AS t, specimen % 2 AS l, specimen % 7 = 0 AND specimen % 3 < 2 AS filtered, specimen % 50 + 100 AS s, specimen % 11 = 0 AS h5,
+concat('s', specimen % 50 + 100, '_', specimen) AS name FROM fx_catalog"""
+ASKED = """SELECT DISTINCT concat('s', specimen % 60 + 100, '_') AS specimen, CASE WHEN specimen % 3 = 2 THEN NULL WHEN specimen % 2 = 0 THEN 'Nuclei' ELSE 'Membrane' END AS level, CASE specimen % 3 WHEN 0 THEN 'RawImages' WHEN 1 THEN 'Segmentation' ELSE 'Features' END AS type, specimen % 7 = 0 AND specimen % 3 < 2 AS filtered FROM fx_catalog"""
+
+
+TYPE = "CASE t WHEN 0 THEN 'RawImages' WHEN 1 THEN 'Segmentation' ELSE 'Features' END"
+LEVEL = "CASE WHEN t = 2 THEN '' WHEN l = 0 THEN 'Nuclei' ELSE 'Membrane' END"
+
+
+@query("resolve_path", f"""WITH l AS ({LAID}), a AS ({ASKED}), m AS (SELECT a.*, l.path, row_number() OVER (PARTITION BY a.specimen, a.level, a.type, a.filtered ORDER BY group_no, name) AS r
+FROM a LEFT JOIN l ON contains(l.name, a.specimen) AND NOT h5 AND l.filtered = a.filtered AND {TYPE} = a.type AND {LEVEL} = coalesce(a.level, ''))
+SELECT specimen, level, type, filtered, path FROM m WHERE r = 1""")
+def _(d):
+    groups = d.sql("SELECT DISTINCT stage, group_no AS ord FROM fx_catalog").withColumnRenamed("stage", "group")
+    return C.resolve_path(d.sql(ASKED), d.sql(LAID).select("path"), groups)
+
+
 @query("manifest", "SELECT DISTINCT CAST(specimen AS VARCHAR) AS specimen, 'Nuclei' AS level FROM fx_volume")
 def _(d):
     folder = Workspace(d.spark).path("files")

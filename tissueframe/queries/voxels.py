@@ -54,6 +54,21 @@ def _(d):
     return r6(out.select("specimen", "x", "y", "z", "px", "py", "pz"), "px", "py", "pz")
 
 
+FULL = f"SELECT m.specimen, x_size, y_size, z_size, x_res, y_res, z_res FROM ({META}) m JOIN (SELECT specimen, max(x) + 1 AS x_size, max(y) + 1 AS y_size, max(z) + 1 AS z_size FROM fx_volume GROUP BY 1) s ON s.specimen = m.specimen"
+
+
+@query("halved_metadata", f"""WITH m AS ({FULL}) SELECT 'plane' AS form, specimen, CAST(floor(x_size / 2) AS BIGINT) AS x_size, z_size, round(x_res * 2, 6) AS x_res, round(z_res, 6) AS z_res, round(2 * x_res, 6) AS a00, round(2 * y_res, 6) AS a11, round(z_res, 6) AS a22, round(-9e0, 6) AS a03 FROM m
+UNION ALL SELECT 'isotropic', specimen, CAST(floor(x_size / 2) AS BIGINT), CAST(floor(z_size / 2) AS BIGINT), round(x_res / 2, 6), round(z_res / 2, 6), round(x_res / 2, 6), round(y_res / 2, 6), round(z_res / 2, 6), round(-9e0, 6) FROM m""")
+def _(d):
+    """Metadata and affine after halving, in the plane and along all axes."""
+    meta = d.sql(FULL).withColumn("affine", F.expr("array(array(x_res, 0e0, 0e0, -9e0), array(0e0, y_res, 0e0, 1e0), array(0e0, 0e0, z_res, 2e0), array(0e0, 0e0, 0e0, 1e0))"))
+    out = None
+    for form, axes in (("plane", ("x", "y")), ("isotropic", V.AXES)):
+        one = V.halved(meta, axes).select(F.lit(form).alias("form"), "specimen", F.col("x_size").cast("long").alias("x_size"), F.col("z_size").cast("long").alias("z_size"), "x_res", "z_res", *[F.col("affine")[i][j].alias(f"a{i}{j}") for i, j in ((0, 0), (1, 1), (2, 2), (0, 3))])
+        out = one if out is None else out.unionByName(one)
+    return r6(out, "x_res", "z_res", "a00", "a11", "a22", "a03")
+
+
 @query("attenuate", f"SELECT specimen, x, y, z, round(intensity * exp(-3e0 * x / (SELECT max(x) FROM fx_volume)), 6) AS intensity FROM fx_volume")
 def _(d):
     return r6(V.attenuate(d.fx_volume.select("specimen", "x", "y", "z", "intensity"), BY), "intensity")
@@ -108,6 +123,12 @@ def _(d):
 
 
 
+@query("mean_histogram", """WITH m AS (SELECT specimen, pred, avg(intensity) AS mean FROM fx_volume WHERE pred <> 0 GROUP BY 1, 2), e AS (SELECT min(mean) AS lo, max(mean) AS hi FROM m)
+SELECT CAST(least(floor((mean - lo) / (hi - lo) * 20), 19) AS BIGINT) AS bin, count(*) AS n FROM m, e GROUP BY 1""")
+def _(d):
+    return V.mean_histogram(d.fx_volume.filter("pred <> 0"), ["specimen", "pred"], 20)
+
+
 @query("resample_nearest", """WITH s AS (SELECT specimen, max(x) + 1 AS nx, max(y) + 1 AS ny, max(z) + 1 AS nz FROM fx_volume GROUP BY 1),
 g AS (SELECT s.*, x, y, z FROM s, (SELECT unnest(range(12)) AS x) a, (SELECT unnest(range(50)) AS y) b, (SELECT unnest(range(1000)) AS z) c WHERE z < nz)
 SELECT g.specimen, g.x, g.y, g.z, v.pred FROM g JOIN fx_volume v ON v.specimen = g.specimen AND v.x = least(CAST(floor((g.x + 0.5e0) * nx / 12) AS BIGINT), nx - 1) AND v.y = least(CAST(floor((g.y + 0.5e0) * ny / 50) AS BIGINT), ny - 1) AND v.z = g.z""")
@@ -115,6 +136,17 @@ def _(d):
     return V.resample_nearest(d.fx_volume, BY, {"x": 0.5, "y": 2.0}, "pred")
 
 
+@query("downsample_isotropic", """WITH zs AS (SELECT specimen, max(z) - min(z) + 1 AS n, min(z) AS z0 FROM fx_volume GROUP BY 1), v AS (SELECT f.specimen, x, y, f.z - z0 AS z, intensity, n FROM fx_volume f JOIN zs USING (specimen)),
+g AS (SELECT unnest(range(12)) AS i), a AS (SELECT i, CAST(floor(i * 24e0 / 11) AS BIGINT) AS f, i * 24e0 / 11 - floor(i * 24e0 / 11) AS w FROM g), k AS (SELECT i, f AS v, 1 - w AS w FROM a UNION ALL SELECT i, least(f + 1, 24), w FROM a),
+h AS (SELECT specimen, n, i, CASE WHEN m > 1 THEN i * (n - 1e0) / (m - 1) ELSE 0e0 END AS p FROM (SELECT specimen, n, greatest(floor(n / 2), 1) AS m, unnest(range(CAST(greatest(floor(n / 2), 1) AS BIGINT))) AS i FROM zs) t),
+kz AS (SELECT specimen, i, least(CAST(floor(p) AS BIGINT), n - 1) AS v, 1 - (p - floor(p)) AS w FROM h UNION ALL SELECT specimen, i, least(CAST(floor(p) AS BIGINT) + 1, n - 1), p - floor(p) FROM h)
+SELECT v.specimen, kx.i AS x, ky.i AS y, kz.i AS z, round(sum(v.intensity * kx.w * ky.w * kz.w), 4) AS intensity FROM v JOIN k kx ON kx.v = v.x JOIN k ky ON ky.v = v.y JOIN kz ON kz.specimen = v.specimen AND kz.v = v.z GROUP BY 1, 2, 3, 4""")
+def _(d):
+    """All three axes; only whole slices, so that the volume is dense."""
+    low = d.sql("SELECT f.specimen, x, y, f.z - z0 AS z, intensity FROM fx_volume f JOIN (SELECT specimen AS s, min(z) AS z0 FROM fx_volume GROUP BY 1) m ON m.s = f.specimen")
+    return V.downsample_half(low, BY).withColumn("intensity", F.round("intensity", 4))
+
+
 @query("downsample_half", """WITH g AS (SELECT unnest(range(12)) AS i), a AS (SELECT i, CAST(floor(i * 24e0 / 11) AS BIGINT) AS f, i * 24e0 / 11 - floor(i * 24e0 / 11) AS w FROM g),
 k AS (SELECT i, f AS v, 1 - w AS w FROM a UNION ALL SELECT i, least(f + 1, 24), w FROM a)
 SELECT v.specimen, kx.i AS x, ky.i AS y, v.z, round(sum(v.intensity * kx.w * ky.w), 4) AS intensity FROM fx_volume v JOIN k kx ON kx.v = v.x JOIN k ky ON ky.v = v.y GROUP BY 1, 2, 3, 4""")
@@ -139,17 +171,36 @@ def _(d):
     return V.dilate_ball(d.fx_volume, BY, "gt", 2).select("specimen", "x", "y", "z", "gt")
 
 
-@query("median_filter", """WITH o AS (SELECT -1 AS o UNION ALL SELECT 0 UNION ALL SELECT 1), e AS (SELECT specimen, max(x) AS mx, max(y) AS my, max(z) AS mz, min(z) AS nz FROM fx_volume GROUP BY 1),
-n AS MATERIALIZED (SELECT v.specimen, v.x, v.y, v.z, greatest(least(v.x + ox.o, mx), 0) AS px, greatest(least(v.y + oy.o, my), 0) AS py, greatest(least(v.z + oz.o, mz), nz) AS pz FROM fx_volume v JOIN e USING (specimen) CROSS JOIN o ox CROSS JOIN o oy CROSS JOIN o oz),
-m AS MATERIALIZED (SELECT specimen, x AS px, y AS py, z AS pz, intensity FROM fx_volume)
+#: The volume with the last slice filled up, so that it is dense.
+DENSE = """SELECT s.specimen, i.x, j.y, s.z, coalesce(v.intensity, 0e0) AS intensity FROM (SELECT DISTINCT specimen, z FROM fx_volume) s CROSS JOIN (SELECT DISTINCT x FROM fx_volume) i CROSS JOIN (SELECT DISTINCT y FROM fx_volume) j
+LEFT JOIN fx_volume v ON v.specimen = s.specimen AND v.x = i.x AND v.y = j.y AND v.z = s.z"""
+
+
+@query("median_filter", f"""WITH dense AS MATERIALIZED ({DENSE}), o AS (SELECT -1 AS o UNION ALL SELECT 0 UNION ALL SELECT 1), e AS (SELECT specimen, max(z) AS mz, min(z) AS nz FROM dense GROUP BY 1),
+n AS MATERIALIZED (SELECT v.specimen, v.x, v.y, v.z, greatest(least(v.x + ox.o, 24), 0) AS px, greatest(least(v.y + oy.o, 24), 0) AS py, greatest(least(v.z + oz.o, mz), nz) AS pz FROM dense v JOIN e USING (specimen) CROSS JOIN o ox CROSS JOIN o oy CROSS JOIN o oz),
+m AS MATERIALIZED (SELECT specimen, x AS px, y AS py, z AS pz, intensity FROM dense)
 SELECT n.specimen, x, y, z, round(quantile_cont(intensity, 0.5), 6) AS intensity FROM n JOIN m USING (specimen, px, py, pz) GROUP BY 1, 2, 3, 4""")
 def _(d):
-    return r6(V.median_filter(d.fx_volume.select("specimen", "x", "y", "z", "intensity"), BY), "intensity")
+    return r6(V.median_filter(d.sql(DENSE), BY), "intensity")
+
+
+def diffusion_sql(steps: int) -> str:
+    """``steps`` rounds: forward differences, their flow, and its divergence."""
+    axes = {"x": "y, z", "y": "x, z", "z": "x, y"}
+    ctes, last = [], "(SELECT specimen, x, y, z, intensity FROM fx_volume)"
+    for k in range(steps):
+        lead = ", ".join(f"coalesce(lead(intensity) OVER (PARTITION BY specimen, {o} ORDER BY {a}) - intensity, 0e0) AS d{a}" for a, o in axes.items())
+        flow = ", ".join(f"d{a} * exp(-(d{a} / 5e4) * (d{a} / 5e4)) AS f{a}" for a in axes)
+        out = " + ".join(f"f{a} - coalesce(lag(f{a}) OVER (PARTITION BY specimen, {o} ORDER BY {a}), 0e0)" for a, o in axes.items())
+        ctes += [f"d{k} AS (SELECT *, {lead} FROM {last} t)", f"f{k} AS (SELECT *, {flow} FROM d{k})", f"s{k} AS (SELECT specimen, x, y, z, intensity + 1e-1 * ({out}) AS intensity FROM f{k})"]
+        last = f"s{k}"
+    return f"WITH {', '.join(ctes)} SELECT specimen, x, y, z, round(intensity, 4) AS intensity FROM {last}"
 
 
-@query("anisodiff")
+@query("anisodiff", diffusion_sql(3))
 def _(d):
-    return r6(V.anisodiff(d.fx_volume.select("specimen", "x", "y", "z", "intensity"), BY, 4, kappa=50_000.0), "intensity")
+    out = V.anisodiff(d.fx_volume.select("specimen", "x", "y", "z", "intensity"), BY, 4, kappa=50_000.0)
+    return out.withColumn("intensity", F.round("intensity", 4))
 
 
 @query("exposed_faces", """WITH s AS (SELECT * FROM (VALUES ('x', -1, -1, 0, 0), ('x', 1, 1, 0, 0), ('y', -1, 0, -1, 0), ('y', 1, 0, 1, 0), ('z', -1, 0, 0, -1), ('z', 1, 0, 0, 1)) t(axis, side, dx, dy, dz))

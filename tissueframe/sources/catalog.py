@@ -22,9 +22,14 @@ def find_group(specimens: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def find_specimen(paths: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The first specimen of the catalog (by ``ord``) whose name is a whole part of a path between separators. Parts are
-    joined by equality, so the catalog may be long."""
-    parts = paths.select("path", F.explode(F.split("path", "[/.]")).alias("specimen"))
+    """The first specimen of the catalog (by ``ord``) whose name occurs anywhere in a path; null for a path that holds
+    none. The pieces of a path that are as long as a name meet the names by equality, so the catalog may be long; only
+    the distinct lengths of names come to the driver."""
+    lengths = sorted(r[0] for r in catalog.select(F.length("specimen")).filter("specimen <> ''").distinct().collect())
+    if not lengths:
+        return paths.withColumn("specimen", F.lit(None).cast("string"))
+    pieces = F.concat(*[F.expr(f"transform(sequence(1, greatest(length(path) - {n - 1}, 1)), i -> substring(path, i, {n}))") for n in lengths])
+    parts = paths.select("path").distinct().select("path", F.explode(F.array_distinct(pieces)).alias("specimen"))
     hit = parts.join(catalog.select("specimen", "ord"), "specimen").groupBy("path").agg(F.min(F.struct("ord", "specimen"))["specimen"].alias("specimen"))
     return paths.join(hit, "path", "left")
 
@@ -37,6 +42,36 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", part(1).alias("specimen"), part(2).alias("level"), part(3).alias("kind"), "bytes")
 
 
+#: Fixed value: how folders name what they hold, ``group/type/level/[Filtered/]name`` with the level left out where a
+#: type has none.
+LAYOUT = r"([^/]+)/(RawImages|Segmentation|Features|Meshes|Maps)/(?:([^/]+)/)?(Filtered/)?([^/]+)$"
+
+
+def laid_out(paths: DataFrame) -> DataFrame:
+    """``path, group, type, level, filtered, name`` of files in the folders of a data set; others don't occur."""
+    part = lambda i: F.regexp_extract("path", LAYOUT, i)
+    rows = paths.filter(F.col("path").rlike(LAYOUT))
+    return rows.select("path", part(1).alias("group"), part(2).alias("type"), F.nullif(part(3), F.lit("")).alias("level"), (part(4) != "").alias("filtered"), part(5).alias("name"))
+
+
+def resolve_path(requests: DataFrame, paths: DataFrame, groups: DataFrame) -> DataFrame:
+    """The file of each ``requests(specimen, level, type, filtered)``: of those of its type, level and kind that have the
+    specimen in their name, the first by order of ``groups(group, ord)`` and by name; ``.h5`` files don't count. A null
+    level asks for a type without levels, or for a file that names no level; null where there is none."""
+    names = laid_out(paths).filter(~F.col("name").endswith(".h5")).join(groups, "group")
+    wanted = requests.select("specimen").distinct().withColumn("ord", F.lit(0))
+    # Every specimen asked for that a name holds, not only the first one.
+    lengths = sorted(r[0] for r in wanted.select(F.length("specimen")).filter("specimen <> ''").distinct().collect())
+    if not lengths:
+        return requests.withColumn("path", F.lit(None).cast("string"))
+    pieces = F.concat(*[F.expr(f"transform(sequence(1, greatest(length(name) - {n - 1}, 1)), i -> substring(name, i, {n}))") for n in lengths])
+    found = names.withColumn("specimen", F.explode(F.array_distinct(pieces))).join(wanted.select("specimen"), "specimen", "left_semi")
+    r, f = requests.alias("r"), found.alias("f")
+    same = (F.col("r.specimen") == F.col("f.specimen")) & (F.col("r.type") == F.col("f.type")) & F.col("r.level").eqNullSafe(F.col("f.level")) & (F.col("r.filtered") == F.col("f.filtered"))
+    first = F.min(F.struct("f.ord", "f.name", "f.path"))["path"].alias("path")
+    return r.join(f, same, "left").groupBy("r.specimen", "r.level", "r.type", "r.filtered").agg(first)
+
+
 def list_inputs(files: DataFrame, kind: str, excluded: str = "h5") -> DataFrame:
     """One file for each specimen and level: the first by path."""
     rows = files.filter((F.col("kind") == kind) & (F.col("kind") != excluded))

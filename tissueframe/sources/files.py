@@ -119,6 +119,21 @@ def write_nifti(df: DataFrame, by: str, path: str, spacing: tuple[float, float,
     return df.select(by, "x", "y", "z", value).groupBy(by).applyInPandas(run, f"`{by}` {kind}, path string, bytes long")
 
 
+def write_volume(df: DataFrame, metadata: DataFrame, path: str, by: list[str]) -> None:
+    """Voxels below ``path``/voxels, partitioned by ``by``, and a row of metadata (sizes, resolutions, affine) for each
+    volume in the sibling table ``path``/metadata. Rows go where they are; no volume passes one task."""
+    df.write.partitionBy(*by).parquet(f"{path}/voxels")
+    metadata.write.parquet(f"{path}/metadata")
+
+
+def read_stored(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Voxels and metadata that ``write_volume`` stored; a filter on the keys reads their folders alone."""
+    meta = spark.read.parquet(f"{path}/metadata")
+    voxels = spark.read.parquet(f"{path}/voxels")
+    kinds = {f.name: f.dataType for f in meta.schema}
+    return voxels.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in voxels.columns]), meta
+
+
 # --- PLY -------------------------------------------------------------------------------------------
 
 def ply_text(vertices: DataFrame, faces: DataFrame, by: str) -> DataFrame:
