@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import zstandard
 
 from tissueframe.llm import langid, quality
 
@@ -57,3 +58,96 @@ def test_quality_fits_on_long_texts(spark):
     df = spark.createDataFrame([(i, " ".join(rng.choices(good if i < 20 else bad, k=4500))) for i in range(40)], "doc_id long, text string")
     model = quality.fit(df, spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, quality int"))
     assert model is not None and [r.predicted for r in quality.predict(df, model).orderBy("doc_id").collect()] == [1] * 20 + [0] * 20
+
+
+def plain_language(model, text):
+    """Language and score of one text, n-gram by n-gram."""
+    if not any(map(str.isalpha, text)):
+        return "und", 0.0
+    raw = []
+    for b in text.encode():
+        raw.append(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32)
+    for k in range(1, len(raw)):
+        if raw[k - 1] == 0xC3 and 0x80 <= raw[k] <= 0x9E and raw[k] != 0x97:
+            raw[k] += 0x20
+    places = [(raw[k] | raw[k + 1] << 8) * 0x9E3779B1 % (1 << 32) >> 21 for k in range(len(raw) - 1)]
+    places += [((raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16) * 0x85EBCA77 % (1 << 32) >> 20) + langid.TWO for k in range(len(raw) - 2)]
+    p = {}
+    for k, (kind, a, b, bias, slope, shift) in enumerate(model.machines):
+        margin = sum(model.weights[i, k] for i in places) / max(1, 2 * len(raw) - 3) + bias
+        p[kind, a, b] = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -40, 40)))
+    names = list(model.families)
+    family = [p.get(("family", f, ""), 1 - p["family", names[0], ""] if len(names) == 2 else 1.0) if len(names) > 1 else 1.0 for f in names]
+    best = int(np.argmax(np.array(family) / sum(family)))
+    own, scores = model.families[names[best]], {}
+    for a in own:
+        votes = [p["pair", a, b] if ("pair", a, b) in p else 1 - p["pair", b, a] for b in own if b != a]
+        scores[a] = family[best] / sum(family) * (sum(votes) / (len(own) * (len(own) - 1) / 2) if votes else 1.0)
+    top = max(scores.values())
+    return min(a for a in own if scores[a] == top), top
+
+
+def test_language_equals_a_plain_version_and_repeated_rows_agree(spark):
+    rng = random.Random(19)
+    vocab = {"en": "the of and thing with which should".split(), "de": "der und nicht über schön zwischen".split(), "nl": "het een zijn voor naar wordt".split(), "fr": "le été où garçon être pour".split(), "zz": "zorp qwik vrell".split()}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((x, t) for x, w in vocab.items() for t in texts(rng, w, 40))]
+    rows += [(9000 + i, t, None) for i, t in enumerate(["ÀÉ Ö", "a", "xy", "1 2", "ß", "der the le", "中文", "×÷ a×b"] * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # A hot row that a third of the table repeats counts once in the fit, and doesn't change it.
+    model = langid.fit(df.filter("doc_id < 9000").unionByName(df.filter("doc_id = 3").crossJoin(spark.range(60)).drop("id")))
+    got = [(r.doc_id, r.text, r.lang_pred, r.score) for r in langid.predict(df, model).collect()]
+    for _, text, lang, score in got:
+        want, value = plain_language(model, text)
+        assert lang == want and abs(score - value) < 1e-9, (text, lang, want, score, value)
+    assert len({(t, x, s) for _, t, x, s in got}) == len({t for _, t, _, _ in got})
+
+
+def test_machines_reach_the_least_loss():
+    """Dual coordinate descent against many plain subgradient steps on the same primal loss."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 6))
+    y = np.where(x @ rng.normal(size=6) + 0.5 * rng.normal(size=80) > 0.2, 1.0, -1.0)
+    cost = np.where(y > 0, 10 * 80 / (2 * (y > 0).sum()), 10 * 80 / (2 * (y < 0).sum()))
+    loss = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (x @ w[:-1] + w[-1]))).sum()
+    w, best = np.zeros(7), np.inf
+    for k in range(1, 40_000):
+        bad = y * (x @ w[:-1] + w[-1]) < 1
+        w -= (w - np.append((cost * y * bad) @ x, (cost * y * bad).sum())) / (k + 100)
+        best = min(best, loss(w))
+    assert loss(langid.linear_svm(x, y, rounds=2000)) <= best * 1.002
+
+
+def test_scores_come_from_unseen_margins():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0.3, 1, (60, 40)), rng.normal(-0.3, 1, (60, 40))]).astype(np.float32)
+    y = np.repeat([1.0, -1.0], 60)
+    mixed = rng.permutation(120)
+    w, bias, p, q = langid.train(x[mixed], y[mixed])
+    seen = langid.platt((x @ w + bias).astype(np.float64), y)
+    assert p < seen[0]  # flatter than a curve fitted on the machine's own rows
+
+
+def test_quality_equals_a_plain_version(spark):
+    rng = random.Random(23)
+    good, bad = [f"w{i}ord" for i in range(60)], [f"x{i}!!" for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts(rng, good, 60) + texts(rng, bad, 60))] + [(900, None), (901, ""), (902, "w1ord x2!! " * 9000), (903, "w1ord"), (903, "w1ord"), (904, "ééé中")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int")
+    model = quality.fit(df, labels)
+    kind = zstandard.DICT_TYPE_RAWCONTENT
+    pack = lambda d: zstandard.ZstdCompressor(level=quality.LEVEL, write_checksum=False, write_content_size=False, **({"dict_data": zstandard.ZstdCompressionDict(d, dict_type=kind)} if d else {})).compress
+    sizes = [pack(model.bad), pack(model.good), pack(None)]
+    for r in quality.predict(df, model).collect():
+        raw = (r.text or "").encode()
+        n = max(1, -(-len(raw) // quality.PIECE))
+        parts = [raw[len(raw) * i // n : len(raw) * (i + 1) // n] for i in range(n)] if raw else []
+        a, b, c = (sum(len(f(x)) for x in parts) for f in sizes)
+        want = 1 / (1 + np.exp(-(model.a * ((a - b) / c if parts else 0.0) + model.b)))
+        assert abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.5)
+
+
+def test_dictionary_is_filled_evenly():
+    texts_ = [b"a" * 10, b"b" * 1000, b"c" * 50, b"d" * 1000]
+    out = quality.dictionary(texts_, 400)
+    assert {c: out.count(c) for c in b"abcd"} == {97: 10, 98: 170, 99: 50, 100: 170}
+    assert quality.dictionary(texts_, 10_000) == b"".join(texts_) and quality.dictionary([], 5) == b""

@@ -3,12 +3,15 @@ between the languages of that family.
 
 Features are relative frequencies of hashed byte bigrams and trigrams of the lower-cased text, with anything in ASCII
 that is no letter taken as a blank. The models are linear, so a text's score is a mean of looked-up weights over all its
-n-grams: one pass, whatever its length. They are fitted on ``PER_LANGUAGE`` labelled texts of each language at most
-(expected number; chosen by a hash of the key), of which only the features come to the driver.
+n-grams: one pass, whatever its length. Each machine is fitted in a task of its own, on ``PER_LANGUAGE`` distinct
+labelled texts of each of its languages at most (expected number; chosen by a hash of key and text), those of a family
+against the rest on ``PER_FAMILY_MACHINE`` in all. Only weights come to the driver. Scores follow from margins of texts
+that a machine of the other folds hasn't seen.
 
 Edge cases: a text that is null or has no letter gets ``und`` and score 0; without any usable label all do. Languages
-without a known family form the family "other". Repeated rows are scored alike; other columns pass through, and columns
-named like the outputs are replaced.
+without a known family form the family "other". A text in which languages are equally likely gets the first by name.
+Repeated rows are scored alike, and count once in the fit; other columns pass through, and columns named like the
+outputs are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import append, arrow_map, plus, slices
 
-PER_LANGUAGE = 600
+PER_LANGUAGE, PER_FAMILY_MACHINE, FOLDS = 600, 2400, 3
 #: Buckets of bigrams and of trigrams; one more takes what reaches over a text's end.
 TWO, THREE = 1 << 11, 1 << 12
 DIM = TWO + THREE
@@ -149,28 +152,42 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def machines(languages: list[str]) -> list[tuple[str, str, str]]:
+    """kind, a, b of all machines: "family", a family and "" against the rest; "pair" and two languages of a family."""
+    families = by_family(languages)
+    rest = [("family", f, "") for f in families] if len(families) > 1 else []
+    pairs = [("pair", a, b) for own in families.values() for a, b in combinations(own, 2)]
+    return rest[: 1 if len(rest) == 2 else None] + pairs
+
+
+def by_family(languages: list[str]) -> dict[str, list[str]]:
+    fam = {x: FAMILY_OF.get(x, "other") for x in languages}
+    return {f: sorted(x for x in languages if fam[x] == f) for f in sorted(set(fam.values()))}
+
+
+def train(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float, float]:
+    """Weights, bias and the curve from margin to probability of one machine; the curve is fitted on margins of rows
+    that the weights of the other folds haven't seen (on their own where a fold would lack a class)."""
+    fold = np.arange(len(y)) % FOLDS
+    margin = np.empty(len(y))
+    for k in range(FOLDS):
+        use = fold != k
+        if len(set(y[use])) < 2:
+            use[:] = True
+        w = linear_svm(x[use], y[use])
+        margin[fold == k] = x[fold == k] @ w[:-1] + w[-1]
+    w = linear_svm(x, y)
+    return w[:-1], float(w[-1]), *platt(margin, y)
+
+
 class Model:
-    """Weights of all machines side by side: one for each family against the rest, one for each pair within a family."""
-
-    def __init__(self, x: np.ndarray, labels: list[str]) -> None:
-        self.languages = sorted(set(labels))
-        fam = np.array([FAMILY_OF.get(x, "other") for x in labels])
-        lab = np.array(labels)
-        self.families = {f: [x for x in self.languages if FAMILY_OF.get(x, "other") == f] for f in sorted(set(fam))}
-        self.machines: list[tuple] = []
-        columns = []
-        tasks = [("family", f, None, fam == f, np.ones(len(lab), bool)) for f in self.families] if len(self.families) > 1 else []
-        if len(tasks) == 2:
-            tasks = tasks[:1]
-        for f, own in self.families.items():
-            tasks += [("pair", a, b, lab == a, (lab == a) | (lab == b)) for a, b in combinations(own, 2)]
-        for kind, a, b, yes, use in tasks:
-            y = np.where(yes[use], 1.0, -1.0)
-            own = x if use.all() else x[use]
-            w = linear_svm(own, y)
-            self.machines.append((kind, a, b, float(w[-1]), *platt((own @ w[:-1] + w[-1]).astype(np.float64), y)))
-            columns.append(w[:-1].astype(np.float64) * SCALE)
-        self.weights = np.stack(columns, 1) if columns else np.zeros((DIM, 0))
+    """Weights of all machines side by side: one for each family against the rest, one for each pair within a family.
+    ``trained`` maps a machine to its weights, bias and curve."""
+
+    def __init__(self, languages: list[str], trained: dict[tuple[str, str, str], tuple[np.ndarray, float, float, float]]) -> None:
+        self.languages, self.families = sorted(languages), by_family(languages)
+        self.machines = [(*m, *trained[m][1:]) for m in machines(languages)]
+        self.weights = np.stack([trained[m[:3]][0].astype(np.float64) * SCALE for m in self.machines], 1) if self.machines else np.zeros((DIM, 0))
 
     def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
         n = len(offs) - 1
@@ -179,10 +196,10 @@ class Model:
         names = list(self.families)
         family = np.ones((n, len(names)))
         for k, f in enumerate(names):
-            if ("family", f, None) in p:
-                family[:, k] = p["family", f, None]
+            if ("family", f, "") in p:
+                family[:, k] = p["family", f, ""]
             elif len(names) == 2:
-                family[:, k] = 1 - p["family", names[0], None]
+                family[:, k] = 1 - p["family", names[0], ""]
         family /= np.maximum(family.sum(1, keepdims=True), 1e-12)
         score = np.zeros((n, len(self.languages)))
         best_family = family.argmax(1)
@@ -200,33 +217,55 @@ class Model:
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fits on the labelled rows of ``df``; which of them depends on a hash of the key alone."""
-    df = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in df.groupBy(lang).count().collect()}
+    """Fits on the labelled rows of ``df``; which of them depends on a hash of key and text alone."""
+    lang_ = F.col(lang).cast("string")
+    df = df.select(lang_.alias("label"), F.col(text).alias("text"), F.abs(F.xxhash64(F.col(key), F.col(text)) % 1_000_003).alias("draw")).dropna()
+    counts = {r[0]: r[1] for r in df.groupBy("label").count().collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (str(k), min(1.0, per_language / n))])
-    picked = df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) < share[F.col(lang).cast("string")] * 1_000_003)
-    found = features(picked, text, lang).toArrow().sort_by([("label", "ascending"), ("f", "ascending")])
-    if not found.num_rows:
-        return None
-    x = np.empty((found.num_rows, DIM), np.float32)
-    for k, f in enumerate(found.column("f")):
-        x[k] = np.frombuffer(f.as_buffer(), np.float16)
-    return Model(x, found.column("label").to_pylist())
-
-
-def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score``."""
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
+    picked = df.filter(F.col("draw") < share[F.col("label")] * 1_000_003).groupBy("label", "text").agg(F.min("draw").alias("draw"))
+    known = features(picked, "text", "label")
+    languages = sorted(counts)
+    part = min(1.0, PER_FAMILY_MACHINE / max(1.0, sum(min(n, per_language) for n in counts.values())))
+    todo = machines(languages)
+    of = {x: [k for k, (kind, a, b) in enumerate(todo) if kind == "family" or x in (a, b)] for x in languages}
+    first = sum(kind == "family" for kind, *_ in todo)
+    own = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)).cast("array<int>") for k in languages for x in (k, of[k])])
+    rows = known.select("label", "f", F.explode(own[F.col("label")]).alias("machine")).filter((F.col("machine") >= first) | (F.abs(F.xxhash64("f", F.lit(3)) % 1_000_003) < part * 1_000_003))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("label", "ascending"), ("f", "ascending")])
+        k, labels = group.column("machine")[0].as_py(), group.column("label").to_pylist()
+        x = np.empty((group.num_rows, DIM), np.float32)
+        for r, f in enumerate(group.column("f")):
+            x[r] = np.frombuffer(f.as_buffer(), np.float16)
+        kind, a, _ = todo[k]
+        y = np.array([1.0 if (FAMILY_OF.get(v, "other") if kind == "family" else v) == a else -1.0 for v in labels])
+        w, bias, p, q = train(x[mixed := np.random.default_rng(5).permutation(len(y))], y[mixed])
+        return pa.table({"machine": pa.array([k], pa.int32()), "w": pa.array([w.astype("<f4").tobytes()], pa.binary()), **{n: pa.array([v]) for n, v in (("bias", bias), ("p", p), ("q", q))}})
+
+    trained = {todo[r.machine]: (np.frombuffer(r.w, "<f4"), r.bias, r.p, r.q) for r in rows.groupBy("machine").applyInArrow(run, "machine int, w binary, bias double, p double, q double").collect()}
+    missing = [m for m in todo if m not in trained]
+    usable = [x for x in languages if not any(x in m[1:] for m in missing)] if missing else languages
+    if missing:  # a language whose texts all lack letters has no features
+        if not (usable := [r[0] for r in known.select("label").distinct().collect()]):
+            return None
+        trained |= {m: (np.zeros(DIM, np.float32), 0.0, 0.0, 0.0) for m in machines(usable) if m not in trained}
+    return Model(usable, trained)
+
+
+def predict(df: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds ``lang_pred`` and ``score``, under these names or others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in slices(batch, text):
                 some = has_letter(part, data, offs, text) & bool(model)
                 lang, score = model.predict(data, offs) if model else (["und"] * part.num_rows, np.zeros(part.num_rows))
-                yield append(part, {"lang_pred": pa.array([x if s else "und" for x, s in zip(lang, some)]), "score": pa.array(np.where(some, score, 0.0))})
+                yield append(part, {names[0]: pa.array([x if s else "und" for x, s in zip(lang, some)]), names[1]: pa.array(np.where(some, score, 0.0))})
 
-    return arrow_map(df, run, plus(df.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())))
+    return arrow_map(df, run, plus(df.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())))
 
 
 def held_out(key: str, folds: int, fold: int) -> Column:
