@@ -13,6 +13,8 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
+    from tissueframe.workspace import clean
+
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC")
@@ -22,4 +24,5 @@ def spark(tmp_path_factory):
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clean(s)
     s.stop()

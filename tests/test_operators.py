@@ -176,8 +176,9 @@ def test_nifti_formats(spark, tmp_path):
 
 
 def test_config_grid_has_the_known_size(spark):
-    orders = cohort.step_orders(spark, ["bilateral", "anisodiff"])
-    after3 = cohort.step_orders(spark, ["split", "open", "close"], [("open", "close")])
+    names = lambda *xs: spark.createDataFrame([(x,) for x in xs], "step string")
+    orders = cohort.step_orders(names("bilateral", "anisodiff"))
+    after3 = cohort.step_orders(names("split", "open", "close"), [("open", "close")])
     after2 = spark.createDataFrame([(i, [s]) for i, s in enumerate(["merge", "graph", "open", ""])], "place int, steps array<string>")
     table = lambda xs: spark.createDataFrame([(float(x),) for x in xs], "v double")
     thr, prob, flow = (table(np.round(np.linspace(a, b, n), 1)) for a, b, n in ((0.2, 0.6, 6), (0, 0.4, 4), (0.2, 0.6, 4)))
@@ -193,3 +194,143 @@ def test_incremental_runs_only_what_is_missing(spark):
     assert first.count() == 1
     assert incremental.incremental(catalog, inputs, folder, lambda df: df.withColumn("v", F.col("v") * 10)).agg(F.sum("v")).first()[0] == 21
     assert incremental.todo(catalog, inputs, folder).isEmpty()
+
+
+def test_component_sizes_are_tested_before_the_largest_is_taken(spark):
+    """Parts of 50 and 30 voxels with 20 < n < 40: the 30 stay."""
+    rows = [(0, x, 0, 0, 7) for x in range(50)] + [(0, x, 5, 0, 7) for x in range(30)] + [(0, x, 9, 0, 7) for x in range(10)]
+    got = labels.filter_components(spark.createDataFrame(rows, "specimen int, x int, y int, z int, label int"), ["specimen"], "label", 20, 40).collect()
+    assert {(r.x, r.y) for r in got} == {(x, 5) for x in range(30)}
+
+
+def test_border_of_sparse_labels_is_that_of_the_frame(spark):
+    cell = lambda at, n: [(0, x, at + y, at + z, n) for x in range(3) for y in range(3) for z in range(3)]
+    df = spark.createDataFrame(cell(500, 1) + cell(0, 2) + cell(1021, 3), "specimen int, x int, y int, z int, label int")
+    sizes = spark.createDataFrame([(0, 1024, 1024, 1024)], "specimen int, x_size int, y_size int, z_size int")
+    assert {r.label for r in labels.border_filter(df, ["specimen"], "label", sizes=sizes).collect()} == {1}
+
+
+@pytest.mark.parametrize("neighbours", [6, 18, 26])
+def test_voxel_components_equal_a_plain_fill(spark, neighbours):
+    rng = random.Random(neighbours)
+    grid = {(x, y, z): rng.choice([0, 0, 1, 2]) for x in range(-2, 9) for y in range(7) for z in range(6)}
+    df = spark.createDataFrame([(4, *p, v) for p, v in grid.items()], "specimen int, x int, y int, z int, label int")
+    reach, want = {6: 1, 18: 2, 26: 3}[neighbours], {}
+    for p in sorted(p for p, v in grid.items() if v):
+        if p in want:
+            continue
+        todo = [p]
+        want[p] = p
+        while todo:
+            q = todo.pop()
+            for d in [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if 0 < abs(a) + abs(b) + abs(c) <= reach]:
+                r = tuple(u + v for u, v in zip(q, d))
+                if grid.get(r) == grid[p] and r not in want:
+                    want[r] = p
+                    todo.append(r)
+    got = {(r.x, r.y, r.z): (r.component.x, r.component.y, r.component.z) for r in labels.voxel_components(df, ["specimen"], "label", neighbours).collect()}
+    assert got == want
+
+
+def test_opening_and_closing_of_a_block_with_a_spur_and_a_hole(spark):
+    solid = {(x, y, z) for x in range(5, 14) for y in range(5, 14) for z in range(5, 14)}
+    df = lambda points: spark.createDataFrame([(0, *p, 3) for p in points], "specimen int, x int, y int, z int, label int")
+    sizes = spark.createDataFrame([(0, 20, 20, 20)], "specimen int, x_size int, y_size int, z_size int")
+    spur = solid | {(14, 9, 9), (15, 9, 9)}
+    opened = {(r.x, r.y, r.z) for r in labels.clean_opening(df(spur), ["specimen"], "label", 1, 1, sizes).collect()}
+    assert (15, 9, 9) not in opened and {(9, 9, 9), (5, 9, 9)} <= opened and opened <= spur
+    closed = {(r.x, r.y, r.z) for r in labels.clean_closing(df(solid - {(9, 9, 9)}), ["specimen"], "label", 1, 1, sizes).collect()}
+    assert closed == solid
+
+
+def test_percentiles_equal_numpy(spark):
+    rng = np.random.default_rng(12)
+    data = {1: rng.normal(size=500), 2: np.repeat([1.0, 5.0], [300, 7]), 3: np.array([4.0]), 4: rng.integers(0, 9, 400).astype(float)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [(4, None), (5, None)], "k int, v double")
+    shares = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.77, "e": 1.0}
+    for bins in (1, 4, 1024):
+        got = {r.k: r for r in voxels.percentiles(df, ["k"], "v", shares, bins).collect()}
+        assert set(got) == set(data)
+        for k, x in data.items():
+            assert np.allclose([got[k][n] for n in shares], np.quantile(x, list(shares.values())))
+    assert np.allclose(voxels.percentiles(df, [], "v", {"m": 0.5}).first()["m"], np.median(np.concatenate(list(data.values()))))
+
+
+def test_nearest_join_leaves_out_points_without_a_place(spark):
+    pts = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, None, 1.0, 1.0), (3, float("nan"), 0.0, 0.0), (4, 1e6, 0.0, 0.0)], "pid long, x double, y double, z double")
+    tgt = spark.createDataFrame([(7, 1.0, 0.0, 0.0), (8, None, 0.0, 0.0)], "tid long, x double, y double, z double")
+    assert {r.pid: r.tid for r in spatial.nearest_join(pts, tgt, 1.0).collect()} == {1: 7, 4: 7}
+
+
+def test_bounded_paths_equal_dijkstra(spark):
+    rng = random.Random(15)
+    edges = {(a, b): rng.choice([0.5, 1.0, 2.0, 2.5]) for a in range(40) for b in rng.sample(range(40), 2) if a != b}
+    edges = {k: w for (a, b), w in edges.items() for k in ((a, b), (b, a))}
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src long, dst long, w double")
+    got = {(r.seed, r.node): r.dist for r in graph.bounded_paths(spark.createDataFrame([(0,), (5,), (5,)], "seed long"), df, 6.0).collect()}
+    want = {}
+    for seed in (0, 5):
+        dist = {seed: 0.0}
+        for _ in range(40):
+            for (a, b), w in edges.items():
+                if a in dist and dist[a] + w < dist.get(b, 1e9):
+                    dist[b] = dist[a] + w
+        want |= {(seed, n): d for n, d in dist.items() if d <= 6}
+    assert got == want
+
+
+def test_vector_and_dirichlet_fits_reach_the_least_loss(spark):
+    from tissueframe.operators import calibration
+
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(400, 3)) * 3
+    p = np.exp(z * [0.4, 0.9, 0.6] + [0.3, -0.2, 0.0])
+    y = [int(rng.choice(3, p=q / q.sum())) for q in p]
+    df = spark.createDataFrame([(v, [float(t) for t in r]) for v, r in zip(y, z)], "y_true int, z array<double>")
+    scales, bias = calibration.fit_vector(df)
+
+    def loss(w):
+        s = z * w[:3] + w[3:]
+        s = s - s.max(1, keepdims=True)
+        return -(s[np.arange(400), y] - np.log(np.exp(s).sum(1))).mean() + 5e-4 * (((w - [1, 1, 1, 0, 0, 0]) ** 2).sum())
+
+    at = np.array(scales + bias)
+    slope = [(loss(at + h) - loss(at - h)) / 2e-5 for h in np.eye(6) * 1e-5]
+    assert np.abs(slope).max() < 1e-5 and loss(at) < loss(np.array([1, 1, 1, 0, 0, 0.0]))
+    soft = np.exp(z - z.max(1, keepdims=True))
+    probs = spark.createDataFrame([(v, [float(t) for t in r / r.sum()]) for v, r in zip(y, soft)], "y_true int, probs array<double>")
+    alphas = calibration.fit_dirichlet(probs)
+    raw = (soft / soft.sum(1, keepdims=True)) ** np.log1p(np.exp(alphas))
+    got = probs.select(calibration.dirichlet(F.col("probs"), alphas).alias("q")).collect()
+    assert np.allclose([r.q for r in got], raw / raw.sum(1, keepdims=True))
+    assert -np.log((raw / raw.sum(1, keepdims=True))[np.arange(400), y]).mean() < -np.log((soft / soft.sum(1, keepdims=True))[np.arange(400), y]).mean()
+
+
+def test_perpendicularity_equals_a_plain_version(spark):
+    """Cells over a bumpy sheet: nearest face, ball by Dijkstra, plane and axis by eigenvectors."""
+    rng = np.random.default_rng(21)
+    n = 7
+    at = np.array([(10.0 * x, 10.0 * y, float(rng.integers(0, 6))) for y in range(n) for x in range(n)])
+    tris = [t for y in range(n - 1) for x in range(n - 1) for t in ((y * n + x, y * n + x + 1, y * n + n + x), (y * n + x + 1, y * n + n + x + 1, y * n + n + x))]
+    cells = [k // 18 for k in range(len(tris))]
+    v = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([(i, *t, c) for i, (t, c) in enumerate(zip(tris, cells))], "fid long, v0 long, v1 long, v2 long, cell_id long")
+    got = {r.cell_id: r.angle for r in mesh.perpendicularity(v, f, v, f, 15.0, 20.0).collect()}
+    centre = np.array([at[list(t)].mean(0) for t in tris])
+    near = {i: [(j, np.linalg.norm(centre[i] - centre[j])) for j in range(len(tris)) if j != i and len(set(tris[i]) & set(tris[j])) == 2] for i in range(len(tris))}
+    for c in set(cells):
+        own = [t for t, k in zip(tris, cells) if k == c]
+        middle = at[[i for t in own for i in t]].mean(0)
+        seed = int(np.linalg.norm(centre - middle, axis=1).argmin())
+        dist = {seed: 0.0}
+        for _ in range(len(tris)):
+            for i in list(dist):
+                for j, w in near[i]:
+                    if dist[i] + w < dist.get(j, 1e9):
+                        dist[j] = dist[i] + w
+        ball = [i for i, d in dist.items() if d <= 15.0]
+        assert len(ball) >= 3
+        normal = np.linalg.eigh(np.cov(centre[ball].T, bias=True))[1][:, 0]
+        axis = np.linalg.eigh(np.cov(at[sorted({i for t in own for i in t})].T))[1][:, -1]
+        angle = np.degrees(np.arccos(np.clip(axis @ normal, -1, 1)))
+        assert min(abs(got[c] - angle), abs(got[c] - (180 - angle))) < 1e-4

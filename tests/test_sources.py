@@ -1,11 +1,59 @@
+import gzip
+
+import numpy as np
+import pytest
+
 from tissueframe.queries import QUERIES
+from tissueframe.sources import catalog, files
 
 from .test_queries import SF
 
 
 def test_all_surface_maps_and_paths(spark):
-    got = QUERIES["surface_map_all"](spark, SF)
+    got = QUERIES["surface_map"](spark, SF)
     assert {r.specimen for r in got.select("specimen").distinct().collect()} == {1, 2, 3}
-    assert got.count() > QUERIES["surface_map"](spark, SF).count()
     paths = QUERIES["find_specimen_all"](spark, SF)
     assert paths.count() == spark.read.parquet(f"{SF}/customer.parquet").count() and paths.filter("path LIKE '/data/0/%' AND specimen IS NOT NULL").count() > 0
+
+
+def test_specimens_inside_names(spark):
+    """A name may hold an id without separators around it; the first of the catalog wins."""
+    paths = spark.createDataFrame([("/data/0806_E5_mGFP.nii.gz",), ("/x/20190806_E50.tif",), ("/none/a.nii",), ("/two/0119_E1-0806_E5",), ("E",)], "path string")
+    known = spark.createDataFrame([("0806_E5", 2), ("0119_E1", 1), ("", 0), ("0806_E5_mGFP_long_name", 0)], "specimen string, ord int")
+    got = {r.path: r.specimen for r in catalog.find_specimen(paths, known).collect()}
+    assert got == {"/data/0806_E5_mGFP.nii.gz": "0806_E5", "/x/20190806_E50.tif": "0806_E5", "/none/a.nii": None, "/two/0119_E1-0806_E5": "0119_E1", "E": None}
+    assert {r.specimen for r in catalog.find_specimen(paths, known.limit(0)).collect()} == {None}
+
+
+def test_paths_by_type_level_and_filter(spark):
+    names = ["/d/Gr2/RawImages/Nuclei/b_0806_E5.nii.gz", "/d/Gr1/RawImages/Nuclei/z_0806_E5.nii.gz", "/d/Gr1/RawImages/Nuclei/a_0806_E5.h5", "/d/Gr1/RawImages/Nuclei/Filtered/0806_E5_f.nii.gz", "/d/Gr1/Features/0806_E5_nuclei.csv", "/d/other/0806_E5.txt"]
+    asked = [("0806_E5", "Nuclei", "RawImages", False), ("0806_E5", "Nuclei", "RawImages", True), ("0806_E5", None, "Features", False), ("0806_E5", "Membrane", "RawImages", False)]
+    got = catalog.resolve_path(
+        spark.createDataFrame(asked, "specimen string, level string, type string, filtered boolean"), spark.createDataFrame([(n,) for n in names], "path string"), spark.createDataFrame([("Gr1", 1), ("Gr2", 2)], "group string, ord int")
+    )
+    found = {(r.level, r.type, r.filtered): r.path for r in got.collect()}
+    assert found == {("Nuclei", "RawImages", False): names[1], ("Nuclei", "RawImages", True): names[3], (None, "Features", False): names[4], ("Membrane", "RawImages", False): None}
+
+
+def test_volumes_are_written_by_slabs_and_keep_their_place(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(s, int(x), int(y), int(z), float(v)) for s in (1, 2) for x, y, z, v in zip(rng.integers(3, 9, 60), rng.integers(5, 8, 60), rng.integers(100, 140, 60), rng.random(60))]
+    rows = list({r[:4]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "specimen long, x long, y long, z long, intensity double")
+    done = files.write_nifti(df, "specimen", f"file://{tmp_path}/v", (0.5, 0.5, 2.0), slab_bytes=2000).collect()
+    assert {r.specimen for r in done} == {1, 2} and all((tmp_path / "v" / f"volume_{r.specimen}.nii.gz").stat().st_size == r.bytes for r in done)
+    back = files.read_nifti(spark, f"{tmp_path}/v/*.nii.gz", placed=True).filter("intensity <> 0").collect()
+    assert {(int(r.path[-8]), r.x, r.y, r.z, r.intensity) for r in back} == set(rows)
+    raw = (tmp_path / "v" / "volume_1.nii.gz").read_bytes()
+    assert files.nifti_header(gzip.decompress(raw))["origin"] == [min(r[k] for r in rows if r[0] == 1) for k in (1, 2, 3)]
+    (tmp_path / "v" / "volume_1.nii.gz").write_bytes(raw[: len(raw) // 2])
+    with pytest.raises(Exception, match="cut off"):
+        files.read_nifti(spark, f"{tmp_path}/v/volume_1.nii.gz").count()
+
+
+def test_stored_volumes_have_their_metadata(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Nuclei", 0, 0, 0, 2.0), (2, "Nuclei", 1, 0, 0, 3.0)], "specimen long, level string, x long, y long, z long, intensity double")
+    meta = spark.createDataFrame([(1, "Nuclei", 9, 0.5), (2, "Nuclei", 8, 0.4)], "specimen long, level string, x_size int, x_res double")
+    files.write_volume(df, meta, f"{tmp_path}/s", ["specimen", "level"])
+    voxels, known = files.read_stored(spark, f"{tmp_path}/s")
+    assert sorted((r.specimen, r.intensity, r.x_size) for r in voxels.join(known, ["specimen", "level"]).collect()) == [(1, 2.0, 9), (2, 3.0, 8)]

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -111,10 +109,17 @@ def decay_fit(profile: DataFrame, by: list[str], model: str = "logistic", value:
 
 # --- configuration grid ----------------------------------------------------------------------------
 
-def step_orders(spark: SparkSession, steps: list[str], excluded: list[tuple[str, str]] = ()) -> DataFrame:
-    """Every ordered choice of steps, none included last, but those that hold an excluded pair; numbered."""
-    some = [p for r in range(1, len(steps) + 1) for p in permutations(steps, r) if not any(a in p and b in p for a, b in excluded)] + [()]
-    return spark.createDataFrame([(i, list(p)) for i, p in enumerate(some)], "place int, steps array<string>")
+def step_orders(steps: DataFrame, excluded: list[tuple[str, str]] = ()) -> DataFrame:
+    """``place, steps``: every ordered choice of ``steps(step)`` but those that hold an excluded pair, and the choice of
+    none, numbered by length and names. Each length joins the steps to the orders one shorter; the table is a dimension
+    of as many rows as a handful of steps has orders."""
+    fits = lambda c: " AND ".join(["true", *[f"NOT (array_contains({c}, '{a}') AND array_contains({c}, '{b}'))" for a, b in excluded]])
+    level = steps.select(F.array("step").alias("steps"))
+    out = level.unionByName(steps.sparkSession.createDataFrame([([],)], "steps array<string>"))
+    for _ in range(steps.count() - 1):
+        level = level.join(steps, ~F.array_contains("steps", F.col("step"))).select(F.concat("steps", F.array("step")).alias("steps")).filter(fits("steps"))
+        out = out.unionByName(level)
+    return out.withColumn("place", F.row_number().over(W.orderBy(F.size("steps"), F.concat_ws(",", "steps"))) - 1)
 
 
 def config_grid(first: DataFrame, last: DataFrame, parameters: dict[str, DataFrame], prefix: str) -> DataFrame:

@@ -15,17 +15,20 @@ def _written(work: Workspace, edges: DataFrame) -> tuple[DataFrame, tuple[int, i
     return out, (seen.get["n"], seen.get["x"])
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Larger neighbours go to the least one of a node and its neighbours. That least node is a written table: so a hub
+    is a skewed join of two plain exchanges, which adaptive execution splits."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = work.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    return both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Smaller neighbours, and the node itself, go to the least neighbour."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = work.write(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def components(edges: DataFrame, work: Workspace | None = None) -> DataFrame:
@@ -35,8 +38,11 @@ def components(edges: DataFrame, work: Workspace | None = None) -> DataFrame:
     work = work or Workspace(edges.sparkSession)
     edges, before = _written(work, edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while before[0]:
-        old, (edges, after) = edges, _written(work, _small_star(_large_star(edges)))
-        work.drop(old)
+        large, a = _large_star(edges, work)
+        large = work.write(large)
+        small, b = _small_star(large, work)
+        old, (edges, after) = edges, _written(work, small)
+        work.drop(old, large, a, b)
         if after == before:
             break
         before = after

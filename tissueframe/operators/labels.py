@@ -211,8 +211,6 @@ def voxel_components(labels: DataFrame, by: list[str], label: str, neighbours: i
     # Runs of a row meet by tiles of x, so a row of many short runs isn't compared with all of the next one.
     tiles = lambda a, b: F.explode(F.expr(f"sequence(floor(({a}) / {RUN_TILE}), floor(({b}) / {RUN_TILE}))")).alias("_t")
     moved = runs.withColumn("o", steps).select(*by, label, F.col("node").alias("u"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("z") + F.col("o.dz")).alias("z"), *[(F.col(c) + s * F.col("o.dx")).alias(f"_m{c}") for c, s in (("_a", -1), ("_b", 1))])
-    if reach == 1:  # faces only: neighbouring rows touch where runs overlap
-        moved = moved.withColumns({"_m_a": F.col("_m_a") + 1, "_m_b": F.col("_m_b") - 1})
     moved = moved.select("*", tiles("_m_a", "_m_b"))
     near = runs.select(*by, label, "y", "z", "_a", "_b", F.col("node").alias("v"), tiles("_a", "_b"))
     edges = moved.join(near, [*by, label, "y", "z", "_t"]).filter("_a <= _m_b AND _b >= _m_a").select("u", "v").distinct()

@@ -118,10 +118,17 @@ def _(d):
     return r6(H.decay_fit(profile, ["specimen"], value="background"), "a", "b", "c", "d")
 
 
-@query("config_grid")
+def orders_sql(name: str, steps: str, excluded: str = "true") -> str:
+    return f"""{name}_s AS ({steps}), {name}_o AS (SELECT [step] AS steps FROM {name}_s UNION ALL SELECT list_append({name}_o.steps, step) FROM {name}_o JOIN {name}_s ON NOT list_contains({name}_o.steps, step)),
+{name} AS (SELECT row_number() OVER (ORDER BY n, s) - 1 AS place, s FROM (SELECT len(steps) AS n, array_to_string(steps, ',') AS s FROM {name}_o WHERE {excluded} UNION ALL SELECT 0, '') t)"""
+
+
+FIRST, LAST, THR = "SELECT DISTINCT l_returnflag AS step FROM lineitem", "SELECT DISTINCT event_type AS step FROM events", "SELECT DISTINCT round(dice, 1) AS thr FROM fx_quality"
+
+
+@query("config_grid", f"""WITH {orders_sql("a", FIRST)}, {orders_sql("b", LAST, "NOT (list_contains(steps, 'click') AND list_contains(steps, 'view'))")}
+SELECT concat('pipeline_2D_thr_', CAST(thr AS VARCHAR), '_', a.place, '_', b.place) AS name, a.s AS before, b.s AS after, thr FROM a CROSS JOIN b CROSS JOIN ({THR}) t""", recursive=True)
 def _(d):
-    """Orders of the steps named in the events table, with the distinct thresholds of the quality rows."""
-    steps = sorted(r[0] for r in d.sql("SELECT DISTINCT event_type FROM events").collect())
-    first, last = H.step_orders(d.spark, steps[:2]), H.step_orders(d.spark, steps[:3], [(steps[0], steps[1])])
-    grid = H.config_grid(first, last, {"thr": d.sql("SELECT DISTINCT round(dice, 1) AS thr FROM fx_quality")}, "pipeline_2D")
+    """Orders of the steps that the tables name, before and after, with the distinct thresholds of the quality rows."""
+    grid = H.config_grid(H.step_orders(d.sql(FIRST)), H.step_orders(d.sql(LAST), [("click", "view")]), {"thr": d.sql(THR)}, "pipeline_2D")
     return grid.select("name", F.concat_ws(",", "before").alias("before"), F.concat_ws(",", "after").alias("after"), "thr")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import labels as L
-from .registry import query
+from .registry import eigen_sql, query
 from .voxels import r6
 
 BY = ["specimen"]
@@ -122,9 +122,17 @@ def _(d):
     return out.select("specimen", "gt", "volume", "cx", "cy", "cz", "x0", "y0", "z0", "x1", "y1", "z1", "label_at_centroid", "tissue", r4("mean"), r4("entropy"))
 
 
-@query("axis_lengths")
+LENGTHS = ", ".join(f"4*sqrt(greatest(e{i}, 0e0)) AS {n}" for i, n in ((1, "major"), (2, "minor"), (3, "least"))) + ", " + ", ".join(f"CASE WHEN e1 > 0 THEN sqrt(greatest(e{i}, 0e0)/e1) ELSE 0e0 END AS {n}" for i, n in ((2, "elongation"), (3, "flatness")))
+AXES5 = "major minor least elongation flatness".split()
+
+
+def r5(df, *names):
+    return df.withColumns({n: F.round(n, 5) for n in names})
+
+
+@query("axis_lengths", f"WITH {eigen_sql('(SELECT specimen, gt, x, y, z FROM fx_volume WHERE gt <> 0) v', 'specimen, gt')}, l AS (SELECT specimen, gt, {LENGTHS} FROM eig) SELECT specimen, gt, {', '.join(f'round({c}, 5) AS {c}' for c in AXES5)} FROM l")
 def _(d):
-    return r6(L.axis_lengths(d.fx_volume, BY, "gt"), "major", "minor", "least", "elongation", "flatness")
+    return r5(L.axis_lengths(d.fx_volume, BY, "gt"), *AXES5)
 
 
 @query("feret_diameter", "SELECT a.specimen, a.gt, round(max(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))), 6) AS feret FROM fx_volume a JOIN fx_volume b USING (specimen, gt) WHERE a.gt <> 0 GROUP BY 1, 2")
@@ -132,10 +140,14 @@ def _(d):
     return r6(L.feret_diameter(d.fx_volume, BY, "gt"), "feret")
 
 
-@query("shape_features")
+@query("shape_features", f"""WITH {eigen_sql('(SELECT specimen, gt, x*5e-1 AS x, y*5e-1 AS y, z*1e0 AS z FROM fx_volume WHERE gt <> 0) v', 'specimen, gt')}, l AS (SELECT specimen, gt, n*0.25e0 AS volume, {LENGTHS} FROM eig),
+s AS (SELECT * FROM (VALUES (-1, 0, 0, 5e-1), (1, 0, 0, 5e-1), (0, -1, 0, 5e-1), (0, 1, 0, 5e-1), (0, 0, -1, 25e-2), (0, 0, 1, 25e-2)) t(dx, dy, dz, w)),
+ar AS (SELECT v.specimen, v.gt, sum(s.w) AS area FROM fx_volume v CROSS JOIN s LEFT JOIN fx_volume o ON o.specimen = v.specimen AND o.gt = v.gt AND o.x = v.x + dx AND o.y = v.y + dy AND o.z = v.z + dz WHERE v.gt <> 0 AND o.gt IS NULL GROUP BY 1, 2),
+fe AS (SELECT a.specimen, a.gt, max(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) AS feret FROM fx_volume a JOIN fx_volume b USING (specimen, gt) WHERE a.gt <> 0 GROUP BY 1, 2)
+SELECT specimen, gt, round(volume, 5) AS volume, round(area, 5) AS area, {', '.join(f'round({c}, 5) AS {c}' for c in AXES5)}, round(feret, 5) AS feret, round(area/volume, 5) AS surface_to_volume, round(power(36*pi()*volume*volume, 1e0/3)/area, 5) AS sphericity FROM l JOIN ar USING (specimen, gt) JOIN fe USING (specimen, gt)""")
 def _(d):
     out = L.shape_features(d.fx_volume, BY, "gt", (0.5, 0.5, 1.0))
-    return r6(out, *[c for c in out.columns if c not in ("specimen", "gt")])
+    return r5(out, *[c for c in out.columns if c not in ("specimen", "gt")])
 
 
 @query("size_percentile_filter", "SELECT cell_id, level, volume FROM fx_cells JOIN (SELECT level, quantile_cont(volume, 0.02) AS a, quantile_cont(volume, 0.98) AS b FROM fx_cells GROUP BY 1) p USING (level) WHERE volume BETWEEN a AND b")

@@ -7,7 +7,7 @@ from ..operators import atlas as A
 from ..operators import mesh as M
 from ..operators import spatial as P
 from ..workspace import Workspace
-from .registry import query
+from .registry import eigen_sql, query
 from .voxels import r6
 
 PTS = "SELECT f.fid, f.cell_id, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, c.x AS x2, c.y AS y2, c.z AS z2 FROM fx_faces f JOIN fx_vertices a ON a.vid = f.v0 JOIN fx_vertices b ON b.vid = f.v1 JOIN fx_vertices c ON c.vid = f.v2"
@@ -75,18 +75,34 @@ def _(d):
     return r6(M.geodesic_path(seeds, adjacency(d), 16.0).select("seed", "target", "dist"), "dist")
 
 
-@query("plane_fit")
+# The normal: the longest cross product of two rows of the matrix less its least eigenvalue.
+ROWS = {"1": ("xx-e3", "xy", "xz"), "2": ("xy", "yy-e3", "yz"), "3": ("xz", "yz", "zz-e3")}
+
+
+def cross_sql(i: str, j: str) -> str:
+    (a, b, c), (d, e, f) = ROWS[i], ROWS[j]
+    return f"SELECT cell_id, n, ({b})*({f}) - ({c})*({e}) AS vx, ({c})*({d}) - ({a})*({f}) AS vy, ({a})*({e}) - ({b})*({d}) AS vz FROM eig"
+
+
+@query("plane_fit", f"""WITH {CEN}, {eigen_sql('cen', 'cell_id')}, cr AS ({cross_sql('1', '2')} UNION ALL {cross_sql('1', '3')} UNION ALL {cross_sql('2', '3')}),
+b AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY vx*vx + vy*vy + vz*vz DESC) AS r FROM cr)
+SELECT cell_id, {', '.join(f'round(CASE WHEN n < 3 THEN {int(i == 2)}e0 ELSE abs({v})/sqrt(vx*vx + vy*vy + vz*vz) END, 5) AS n{i}' for i, v in enumerate(('vx', 'vy', 'vz')))} FROM b WHERE r = 1""")
 def _(d):
     points = M.face_centroids(d.fx_vertices, d.fx_faces)
-    return M.plane_fit(points, ["cell_id"]).select("cell_id", *[F.round(F.abs(F.col("normal")[i]), 6).alias(f"n{i}") for i in range(3)])
+    return M.plane_fit(points, ["cell_id"]).select("cell_id", *[F.round(F.abs(F.col("normal")[i]), 5).alias(f"n{i}") for i in range(3)])
+
+
+@query("ellipsoid_axes", f"WITH {eigen_sql('fx_vertices', 'cell_id', 'covar_samp')} SELECT cell_id, {', '.join(f'round(CASE WHEN n < 4 THEN 1e0 ELSE sqrt(greatest(e{i + 1}, 0e0)) END, 4) AS pca{i}' for i in range(3))} FROM eig")
+def _(d):
+    points = d.fx_vertices.select("cell_id", "x", "y", "z")
+    return M.ellipsoid_axes(points, ["cell_id"]).select("cell_id", *[F.round(F.col("lengths")[i], 4).alias(f"pca{i}") for i in range(3)])
 
 
-@query("ellipsoid_axes")
+@query("ellipsoid_mvee")
 def _(d):
+    """The ellipsoid of least volume, an iteration that SQL can't express."""
     points = d.fx_vertices.select("cell_id", "x", "y", "z")
-    pca, mvee = (M.ellipsoid_axes(points, ["cell_id"], m) for m in ("pca", "mvee"))
-    sizes = lambda df, p: df.select("cell_id", *[F.round(F.col("lengths")[i], 4).alias(f"{p}{i}") for i in range(3)])
-    return sizes(pca, "pca").join(sizes(mvee, "mvee"), "cell_id")
+    return M.ellipsoid_axes(points, ["cell_id"], "mvee").select("cell_id", *[F.round(F.col("lengths")[i], 4).alias(f"mvee{i}") for i in range(3)])
 
 
 @query("perpendicularity")
@@ -95,7 +111,8 @@ def _(d):
     return r6(M.perpendicularity(v.select("vid", "x", "y", "z"), f, v.select("vid", "x", "y", "z"), f, 12.0, 20.0), "angle", "perpendicularity")
 
 
-@query("sphericity_cov")
+@query("sphericity_cov", f"""WITH pt AS (SELECT DISTINCT c.cell_id, v.vid, v.x, v.y, v.z FROM (SELECT cell_id, v0 AS vid FROM fx_faces UNION ALL SELECT cell_id, v1 FROM fx_faces UNION ALL SELECT cell_id, v2 FROM fx_faces) c JOIN fx_vertices v ON v.vid = c.vid), {eigen_sql('pt', 'cell_id', 'covar_samp')}
+SELECT cell_id, round(CASE WHEN e1 > 0 THEN greatest(e3, 0e0)/e1 END, 6) AS sphericity FROM eig""")
 def _(d):
     return r6(M.sphericity_cov(d.fx_vertices.drop("cell_id"), d.fx_faces), "sphericity")
 

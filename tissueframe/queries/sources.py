@@ -11,23 +11,26 @@ from .registry import query
 from .voxels import r6
 
 
-FRAME = """b AS (SELECT specimen, max(x) AS mx, max(y) AS my, max(z) AS mz FROM fx_volume GROUP BY 1),
-f AS (SELECT specimen, x, y, z FROM b, (SELECT unnest(range(25)) AS x) i, (SELECT unnest(range(25)) AS y) j, (SELECT unnest(range(10000)) AS z) k WHERE x <= mx AND y <= my AND z <= mz)"""
+FRAME = """b AS (SELECT specimen, max(x) AS mx, max(y) AS my, min(x) AS nx, min(y) AS ny FROM fx_volume GROUP BY 1), s AS (SELECT DISTINCT specimen, z FROM fx_volume),
+f AS (SELECT s.specimen, x, y, z FROM b JOIN s USING (specimen), (SELECT unnest(range(25)) AS x) i, (SELECT unnest(range(25)) AS y) j WHERE x BETWEEN nx AND mx AND y BETWEEN ny AND my)"""
+
+
+def nifti(d):
+    folder = Workspace(d.spark).path("nifti")
+    S.write_nifti(d.fx_volume, "specimen", folder, (0.38, 0.38, 0.5), slab_bytes=40_000).count()
+    return folder
 
 
 @query("read_nifti", f"WITH {FRAME} SELECT f.specimen, f.x, f.y, f.z, coalesce(v.intensity, 0e0) AS intensity FROM f LEFT JOIN fx_volume v ON v.specimen = f.specimen AND v.x = f.x AND v.y = f.y AND v.z = f.z")
 def _(d):
-    folder = Workspace(d.spark).path("nifti")
-    S.write_nifti(d.fx_volume, "specimen", folder, (0.38, 0.38, 0.5)).count()
-    return S.read_nifti(d.spark, f"{folder}/*.nii.gz").select(F.regexp_extract("path", r"volume_(\d+)", 1).cast("long").alias("specimen"), "x", "y", "z", "intensity")
+    back = S.read_nifti(d.spark, f"{nifti(d)}/*.nii.gz", placed=True)
+    return back.select(F.regexp_extract("path", r"volume_(\d+)", 1).cast("long").alias("specimen"), "x", "y", "z", "intensity")
 
 
-@query("volume_meta", "SELECT specimen, CAST(max(x) + 1 AS INTEGER) AS x_size, CAST(max(y) + 1 AS INTEGER) AS y_size, CAST(max(z) + 1 AS INTEGER) AS z_size, 0.38e0 AS x_res, 0.38e0 AS y_res, 0.5e0 AS z_res FROM fx_volume GROUP BY 1")
+@query("volume_meta", "SELECT specimen, CAST(max(x) - min(x) + 1 AS INTEGER) AS x_size, CAST(max(y) - min(y) + 1 AS INTEGER) AS y_size, CAST(max(z) - min(z) + 1 AS INTEGER) AS z_size, 0.38e0 AS x_res, 0.38e0 AS y_res, 0.5e0 AS z_res, round(min(z) * 0.5e0, 4) AS z_place FROM fx_volume GROUP BY 1")
 def _(d):
-    folder = Workspace(d.spark).path("nifti")
-    S.write_nifti(d.fx_volume, "specimen", folder, (0.38, 0.38, 0.5)).count()
-    m = S.volume_metadata(d.spark, f"{folder}/*.nii.gz")
-    return m.select(F.regexp_extract("path", r"volume_(\d+)", 1).cast("long").alias("specimen"), "x_size", "y_size", "z_size", "x_res", "y_res", "z_res")
+    m = S.volume_metadata(d.spark, f"{nifti(d)}/*.nii.gz")
+    return m.select(F.regexp_extract("path", r"volume_(\d+)", 1).cast("long").alias("specimen"), "x_size", "y_size", "z_size", "x_res", "y_res", "z_res", F.round(F.col("affine")[2][3], 4).alias("z_place"))
 
 
 STORED = "SELECT specimen, max(x) + 1 AS x_size, max(y) + 1 AS y_size, 38e-2 + specimen % 3 / 1e2 AS x_res FROM fx_volume GROUP BY specimen"
@@ -59,6 +62,7 @@ def _(d):
     return faces.groupBy("cell_id").agg(F.count("*").alias("faces"), F.sum("fid").alias("fids"))
 
 
+@query("surface_map_all", "SELECT specimen, src_vertex, c_vertex, a_vertex, alpha, beta, gamma FROM fx_surface_map")
 @query("surface_map", "SELECT specimen, src_vertex, c_vertex, a_vertex, alpha, beta, gamma FROM fx_surface_map")
 def _(d):
     """The maps of all specimens, each in a folder of its own; the specimen comes back from the path."""
@@ -72,7 +76,7 @@ SELECT a.model, a.runs, b.completed, round(b.best, 6) AS best, (SELECT min(CAST(
 def _(d):
     h = d.fx_history.groupBy("model", "config").agg(F.transform(F.sort_array(F.collect_list(F.struct("epoch", "val_auc"))), lambda e: e["val_auc"]).alias("val_auc"))
     run = F.when(F.size("val_auc") > 1, F.struct("val_auc"))
-    docs = h.groupBy("model").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("config").cast("string"), run))), {"ignoreNullFields": "false"}).alias("value"))
+    docs = h.groupBy("model", F.pmod("config", F.lit(64)).alias("_part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("config").cast("string"), run))), {"ignoreNullFields": "false"}).alias("value"))
     return r6(S.history_best(docs), "best")
 
 

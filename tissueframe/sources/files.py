@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,19 +26,24 @@ CODES = {v: k for k, v in TYPES.items()}
 
 # --- NIfTI -----------------------------------------------------------------------------------------
 
-def nifti_bytes(volume: np.ndarray, spacing: tuple[float, float, float]) -> bytes:
-    """A single-file NIfTI-1 image of an x, y, z array."""
-    kind = volume.dtype.str[1:]
+def nifti_head(shape: tuple[int, int, int], kind: str, spacing: tuple[float, float, float], origin: tuple[int, int, int] = (0, 0, 0)) -> bytes:
+    """The 352 bytes before the samples of a single-file NIfTI-1 image; the affine scales by the spacing and moves the
+    first voxel to ``origin``."""
     head = bytearray(352)
     struct.pack_into("<i", head, 0, 348)
-    struct.pack_into("<8h", head, 40, 3, *volume.shape, 1, 1, 1, 1)
-    struct.pack_into("<2h", head, 70, CODES[kind], volume.dtype.itemsize * 8)
+    struct.pack_into("<8h", head, 40, 3, *shape, 1, 1, 1, 1)
+    struct.pack_into("<2h", head, 70, CODES[kind], np.dtype(kind).itemsize * 8)
     struct.pack_into("<8f", head, 76, 1.0, *spacing, 0, 0, 0, 0)
     struct.pack_into("<3f", head, 108, 352.0, 1.0, 0.0)
     for row in range(3):
-        struct.pack_into("<4f", head, 280 + 16 * row, *[spacing[row] if c == row else 0.0 for c in range(4)])
+        struct.pack_into("<4f", head, 280 + 16 * row, *[spacing[row] if c == row else 0.0 for c in range(3)], spacing[row] * origin[row])
     head[344:348] = b"n+1\0"
-    return bytes(head) + volume.astype(volume.dtype.newbyteorder("<")).tobytes(order="F")
+    return bytes(head)
+
+
+def nifti_bytes(volume: np.ndarray, spacing: tuple[float, float, float]) -> bytes:
+    """A single-file NIfTI-1 image of an x, y, z array."""
+    return nifti_head(volume.shape, volume.dtype.str[1:], spacing) + volume.astype(volume.dtype.newbyteorder("<")).tobytes(order="F")
 
 
 def nifti_header(raw: bytes) -> dict:
@@ -54,6 +60,7 @@ def nifti_header(raw: bytes) -> dict:
     return {
         "shape": shape[:4], "dtype": np.dtype(order + TYPES[code]), "spacing": [round(x, 6) for x in struct.unpack_from(order + "8f", raw, 76)[1:4]], "offset": int(struct.unpack_from(order + "f", raw, 108)[0]),
         "slope": slope or 1.0, "inter": inter if slope else 0.0, "affine": [list(struct.unpack_from(order + "4f", raw, 280 + 16 * r)) for r in range(3)] + [[0.0, 0.0, 0.0, 1.0]],
+        "origin": [round(struct.unpack_from(order + "f", raw, 292 + 16 * r)[0] / (struct.unpack_from(order + "f", raw, 80 + 4 * r)[0] or 1.0)) for r in range(3)],
     }
 
 
@@ -65,28 +72,65 @@ def _plain(raw: bytes, most: int | None = None) -> bytes:
     return zlib.decompressobj(31).decompress(raw, most) if most else gzip.decompress(raw)
 
 
-def read_nifti(spark: SparkSession, path: str, axes: str = "XYZ") -> DataFrame:
+def _unpacked(raw: bytes, step: int = 4 << 20) -> Iterator[bytes]:
+    """A file's bytes piece by piece, unpacked if they are gzip members."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    import zlib
+
+    while raw:
+        tool, data = zlib.decompressobj(31), raw
+        while not tool.eof:
+            out = tool.decompress(data, step)
+            if not out and not tool.unconsumed_tail and not tool.eof:
+                raise ValueError("gzip member is cut off")
+            yield out
+            data = tool.unconsumed_tail
+        raw = tool.unused_data
+
+
+def read_nifti(spark: SparkSession, path: str, axes: str = "XYZ", placed: bool = False) -> DataFrame:
     """``path, x, y, z, intensity`` of every voxel of the images under a path or glob; of 4-D images the first channel.
-    ``axes`` names the logical axis that each stored one holds."""
+    ``axes`` names the logical axis that each stored one holds. Voxels count from 0, or, if ``placed``, from the place of
+    the first one by the affine. A file is unpacked slice by slice: a task holds its packed bytes and one slice."""
     names = [a.lower() for a in axes]
 
+    def one(content: bytes) -> Iterator[list[pa.Array]]:
+        pieces, held = _unpacked(content), bytearray()
+
+        def take(n: int) -> bytes:
+            while len(held) < n:
+                held.extend(next(pieces, b"") or _cut_off())
+            out = bytes(held[:n])
+            del held[:n]
+            return out
+
+        head = take(348)
+        h = nifti_header(head)
+        take(h["offset"] - 348)
+        nx, ny, nz, _ = h["shape"]
+        slab, (ox, oy, oz) = nx * ny, h["origin"] if placed else (0, 0, 0)
+        grid = {names[0]: np.tile(np.arange(nx), ny) + ox, names[1]: np.repeat(np.arange(ny), nx) + oy}
+        for k in range(nz):
+            data = np.frombuffer(take(slab * h["dtype"].itemsize), h["dtype"]).astype(float) * h["slope"] + h["inter"]
+            cols = grid | {names[2]: np.full(slab, k + oz)}
+            yield [*(pa.array(cols[a].astype(np.int64)) for a in "xyz"), pa.array(data)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for where, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                raw = _plain(content)
-                h = nifti_header(raw)
-                nx, ny, nz, _ = h["shape"]
-                slab = nx * ny
-                grid = {names[0]: np.tile(np.arange(nx), ny), names[1]: np.repeat(np.arange(ny), nx)}
-                for k in range(nz):
-                    data = np.frombuffer(raw, h["dtype"], slab, h["offset"] + k * slab * h["dtype"].itemsize).astype(float) * h["slope"] + h["inter"]
-                    cols = grid | {names[2]: np.full(slab, k)}
-                    yield pa.RecordBatch.from_arrays([pa.array([where] * slab), *(pa.array(cols[a].astype(np.int64)) for a in "xyz"), pa.array(data)], ["path", "x", "y", "z", "intensity"])
+            for where, content in zip(batch.column("path"), batch.column("content")):
+                for arrays in one(content.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([where.as_py()] * len(arrays[0])), *arrays], ["path", "x", "y", "z", "intensity"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "path string, x long, y long, z long, intensity double")
 
 
+def _cut_off() -> bytes:
+    raise ValueError("the image is cut off")
+
+
 def volume_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Sizes, spacing and affine from the headers alone."""
 
@@ -101,22 +145,55 @@ def volume_metadata(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "path string, x_size int, y_size int, z_size int, x_res double, y_res double, z_res double, affine array<array<double>>")
 
 
-def write_nifti(df: DataFrame, by: str, path: str, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), value: str = "intensity") -> DataFrame:
+def write_nifti(df: DataFrame, by: str, path: str, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), value: str = "intensity", slab_bytes: int = 32 << 20) -> DataFrame:
     """Each volume of ``df(by, x, y, z, value)`` as a file below ``path``, a folder that all executors reach; returns
-    ``by, path, bytes``. A file is one array, so one task writes it; volumes are written side by side."""
+    ``by, path, bytes``. The frame ends at the outermost voxels of each volume, 0 where there is none; the affine tells
+    its place. Slabs of slices of about ``slab_bytes`` are packed side by side, each a gzip member; a task then appends
+    a file's members one after the other, to a temporary name first, and holds one at a time."""
+    ends = df.groupBy(by).agg(*[F.min(a).cast("long").alias(f"_o{a}") for a in "xyz"], *[(F.max(a) - F.min(a) + 1).cast("long").alias(f"_n{a}") for a in "xyz"])
+    ends = ends.withColumn("_d", F.greatest(F.lit(1), F.floor(F.lit(slab_bytes) / (8 * F.col("_nx") * F.col("_ny")))))
+    size = [f"_{k}{a}" for k in "on" for a in "xyz"]
+    # Every slab has a row without a voxel, so that one of zeros is written too.
+    blank = ends.select(by, *size, "_d", F.explode(F.expr("sequence(0L, (_nz - 1) div _d)")).alias("_k"), *[F.lit(None).cast("long").alias(a) for a in "xyz"], F.lit(None).cast("double").alias(value))
+    rows = df.select(by, *[F.col(a).cast("long").alias(a) for a in "xyz"], F.col(value).cast("double").alias(value)).join(ends, by).withColumn("_k", F.expr("(z - _oz) div _d"))
+    kind = df.schema[by].dataType.simpleString()
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        volume = np.zeros([int(group[a].max()) + 1 for a in "xyz"], np.float64)
-        volume[tuple(group[a].to_numpy() for a in "xyz")] = group[value]
-        raw, name = gzip.compress(nifti_bytes(volume, spacing), 4, mtime=0), f"volume_{group[by].iloc[0]}.nii.gz"
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        first = group.iloc[0]
+        ox, oy, oz, nx, ny, nz, d, k = (int(first[c]) for c in (*size, "_d", "_k"))
+        own = group.dropna(subset=["x"])
+        slab = np.zeros((nx, ny, min(d, nz - k * d)))
+        slab[own["x"].to_numpy(int) - ox, own["y"].to_numpy(int) - oy, own["z"].to_numpy(int) - oz - k * d] = own[value]
+        head = nifti_head((nx, ny, nz), "f8", spacing, (ox, oy, oz)) if k == 0 else b""
+        return pd.DataFrame({by: [first[by]], "k": [k], "member": [gzip.compress(head + slab.astype("<f8").tobytes(order="F"), 4, mtime=0)]})
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
-            f.write(raw)
-        return pd.DataFrame({by: [group[by].iloc[0]], "path": [f"{path}/{name}"], "bytes": [len(raw)]})
+        name, part, out, n = None, None, None, 0
+        attempt = TaskContext.get().taskAttemptId()
 
-    kind = df.schema[by].dataType.simpleString()
-    return df.select(by, "x", "y", "z", value).groupBy(by).applyInPandas(run, f"`{by}` {kind}, path string, bytes long")
+        def close() -> pa.RecordBatch:
+            out.close()
+            fs.move(part, f"{base}/volume_{name}.nii.gz")
+            return pa.RecordBatch.from_arrays([pa.array([name], arrow), pa.array([f"{path}/volume_{name}.nii.gz"]), pa.array([n])], [by, "path", "bytes"])
+
+        for batch in batches:
+            arrow = batch.schema.field(by).type
+            for row in range(batch.num_rows):
+                key, member = batch.column(by)[row].as_py(), batch.column("member")[row].as_buffer()
+                if key != name or out is None:
+                    if out is not None:
+                        yield close()
+                    name, n, part = key, 0, f"{base}/.volume_{key}-{attempt}"
+                    out = fs.open_output_stream(part, compression=None)
+                out.write(member)
+                n += len(member)
+        if out is not None:
+            yield close()
+
+    members = rows.select(by, "_k", *size, "_d", *"xyz", value).unionByName(blank).groupBy(by, "_k").applyInPandas(pack, f"`{by}` {kind}, k long, member binary")
+    return members.repartition(by).sortWithinPartitions(by, "k").mapInArrow(write, f"`{by}` {kind}, path string, bytes long")
 
 
 def write_volume(df: DataFrame, metadata: DataFrame, path: str, by: list[str]) -> None:
