@@ -58,3 +58,21 @@ def test_spark_rows(spark):
     bad = media.read_media(spark.createDataFrame([(1, bytearray(b"no")), (2, None)], "doc_id long, media binary")).collect()
     assert [(r.sound, r.payload) for r in bad] == [(False, None)] * 2
     assert media.read_media(media.write_media(df.limit(0))).count() == 0
+
+
+def plain_hash(picture):
+    """The cosine hash, sum by sum."""
+    grey = picture.mean(2)
+    for _ in range(2):
+        n = len(grey)
+        cuts = [k * n // 32 for k in range(33)]
+        grey = np.array([grey[cuts[k] : max(cuts[k] + 1, cuts[k + 1])].mean(0) for k in range(32)]).T
+    low = [round(sum(grey[i, j] * np.cos(np.pi / 32 * (i + 0.5) * u) * np.cos(np.pi / 32 * (j + 0.5) * v) for i in range(32) for j in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = np.median(low[1:])
+    return f"{int(''.join('1' if x > middle else '0' for x in low), 2):016x}"
+
+
+@pytest.mark.parametrize("shape", [(32, 32, 1), (40, 70, 3), (7, 64, 1), (100, 33, 4)])
+def test_hash_equals_a_plain_version(shape):
+    picture = np.random.default_rng(sum(shape)).integers(0, 256, shape).astype(np.uint8)
+    assert media.low_frequency_hash(picture) == plain_hash(picture)

@@ -6,12 +6,13 @@ labelled texts. Each text is compressed whole, in equal pieces of ``PIECE`` byte
 anew: in one stream a dictionary saves a bounded number of bytes, and a long text's difference would go to 0.
 
 The dictionaries and the curve take ``PER_CLASS`` texts of each label (expected number; chosen by a hash of the key),
-of any length, about half for each (by a hash of the text). A text gives a dictionary its first ``LONGEST`` characters
-at most, so that none fills it alone; the curve takes every text whole, and only differences come to the driver.
+of any length, about half for each (by a hash of the text). A dictionary is filled evenly: every text gives its first
+bytes, all equally many unless it is shorter, out of its first ``LONGEST`` characters (a parameter of ``fit``, which
+bounds what comes to the driver). The curve takes every text whole, and only differences come to the driver.
 
 Edge cases: null counts as empty; an empty text has difference 0 and gets the curve's value there. With labels of one
-kind, or none, every score is 0.5. Repeated rows are scored alike; other columns pass through, and columns named like
-the outputs are replaced.
+kind, or none, every score is 0.5; a score of exactly 0.5 counts as good. A key that is marked both 0 and 1 counts as 1.
+Repeated rows are scored alike; other columns pass through, and columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -62,12 +63,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * difference + self.b, -40, 40)))
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """The last ``DICTIONARY`` bytes of the texts in a row, as raw content for the compressor to refer to."""
-    return b"".join(texts)[-DICTIONARY:]
+def dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
+    """The first bytes of all texts, as raw content for the compressor to refer to: equally many of each, or all of a
+    shorter text, ``size`` in all."""
+    left, share = size, 0
+    for n, length in enumerate(sorted(map(len, texts))):
+        share = left // (len(texts) - n)
+        if length > share:
+            break
+        left -= length
+        share = length
+    return b"".join(t[:share] for t in texts)
 
 
-def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> Model | None:
+def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, longest: int = LONGEST) -> Model | None:
     """Fits on rows of ``df`` that ``labels(key, label)`` marks 0 or 1."""
     labels = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     counts = {r[0]: r[1] for r in labels.groupBy(label).count().collect()}
@@ -77,11 +86,11 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     chosen = labels.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) < share * 1_000_003).groupBy(key).agg(F.max(label).alias("y"))
     known = df.filter(F.length(text) > 0).select(key, text).join(F.broadcast(chosen), key).select(F.xxhash64(text).alias("h"), "y", text)
     even = F.pmod("h", F.lit(2)) == 0
-    first = sorted((h, y, t.encode()) for h, y, t in known.filter(even).select("h", "y", F.substring(text, 1, LONGEST)).collect())
+    first = sorted((h, y, t.encode()) for h, y, t in known.filter(even).select("h", "y", F.substring(text, 1, longest)).collect())
     texts = {y: [t for _, z, t in first if z == y] for y in (0, 1)}
     if not texts[0] or not texts[1]:
         return None
-    model = Model(_dictionary(texts[1]), _dictionary(texts[0]))
+    model = Model(dictionary(texts[1]), dictionary(texts[0]))
     rest = _measured(known.filter(~even), model, text)
     if len({y for _, y, _ in rest}) < 2:
         rest = _measured(known.filter(even), model, text)
