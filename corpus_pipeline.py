@@ -12,7 +12,9 @@ columns of ``documents``.
 4. ``personal_data`` puts ``[KIND]`` in the place of personal data and counts ``n_chars`` anew.
 5. ``byte_bpe`` encodes the texts and decodes the ids again; the two digests show that nothing is lost.
 
-Rows with a null doc_id are kept by stages that tell documents apart by it. An empty table gives an empty result.
+Rows with a null doc_id are kept by stages that tell documents apart by it; rows that share a doc_id are one document
+there, and stay or go together. An empty table gives an empty result, an empty ``benchmark`` takes nothing away. Further
+columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,14 +25,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tissueframe.llm import bpe, decontam, langid, neardup, pii
-from tissueframe.llm.common import Workspace, table
+from tissueframe.llm.common import table
 from tissueframe.llm.queries import RANKS
+from tissueframe.workspace import Workspace
+
+#: Names that begin so are the stages' own; columns of the caller keep theirs, whatever these are.
+PRIVATE = "__pipeline_"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~langid.held_out("doc_id", 5, 0)).select("doc_id", "text", "lang"))
-    told = langid.predict(docs, model).filter("lang_pred <> 'und'")
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    told = langid.predict(docs, model, names=(f"{PRIVATE}lang", f"{PRIVATE}score")).filter(f"{PRIVATE}lang <> 'und'")
+    return told.withColumn("lang", F.coalesce("lang", f"{PRIVATE}lang")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +48,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact(pii.find_pii(docs)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return pii.find_and_redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(docs.withColumn("text_sha256", F.sha2("text", 256)), RANKS).drop("text", "byte_offsets")
-    out = bpe.decode(coded, RANKS).withColumn("decoded_sha256", F.sha2("decoded", 256))
-    return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "text_sha256", "decoded_sha256")
+    out = bpe.round_trip(docs.select("doc_id", "lang", "source", "n_chars", "text", F.sha2("text", 256).alias("text_sha256")), RANKS)
+    return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "text_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -67,5 +72,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work, docs = Workspace(spark), table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = work.write(stage(spark, docs, sf_dir))
+        done, docs = docs, work.write(stage(spark, docs, sf_dir))
+        work.drop(done)
     return docs
