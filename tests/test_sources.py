@@ -57,3 +57,15 @@ def test_stored_volumes_have_their_metadata(spark, tmp_path):
     files.write_volume(df, meta, f"{tmp_path}/s", ["specimen", "level"])
     voxels, known = files.read_stored(spark, f"{tmp_path}/s")
     assert sorted((r.specimen, r.intensity, r.x_size) for r in voxels.join(known, ["specimen", "level"]).collect()) == [(1, 2.0, 9), (2, 3.0, 8)]
+
+
+def test_hexadecimal_floats(spark):
+    rng = np.random.default_rng(3)
+    values = [0.0, 1.0, 0.5, 0.1, 1 / 3, 2.0**-30, 1 - 2.0**-53, 2 - 2.0**-52, 8 - 2.0**-50, 1e300, 5e-324, 2.0**-1022, -0.75, 123456.789, *rng.random(200).tolist(), *np.exp(rng.normal(0, 40, 200)).tolist()]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    from pyspark.sql import functions as F
+
+    rows = df.select("v", files.to_hex(F.col("v")).alias("t")).select("v", "t", files.from_hex(F.col("t")).alias("back")).collect()
+    assert all(r.back == r.v for r in rows) and all(float.fromhex(r.t) == r.v for r in rows if r.v is not None)
+    other = spark.createDataFrame([(v.hex(), v) for v in values] + [("0x1p-2", 0.25), ("x", None), ("-0x0.8p+1", -1.0)], "t string, v double")
+    assert all(r.b == r.v for r in other.select("v", files.from_hex(F.col("t")).alias("b")).collect())

@@ -80,7 +80,7 @@ def confidence_histogram(df: DataFrame, by: list[str], bins: int = 10) -> DataFr
     rows = argmax_class(df)
     total = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("confidence").alias("mean_confidence"), F.avg(_correct()).alias("accuracy"))
     n = rows.groupBy(*by, F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
-    joined = n.join(F.broadcast(total), by) if by else n.crossJoin(F.broadcast(total))
+    joined = n.join(total, by) if by else n.crossJoin(F.broadcast(total))
     return joined.withColumn("share", F.col("n") / F.col("_n")).drop("_n")
 
 

@@ -176,7 +176,7 @@ def extract_cells(voxels: DataFrame, by: list[str], label: str, bin_width: float
 def size_percentile_filter(cells: DataFrame, by: list[str], low: float | None = 2, high: float | None = 98, value: str = "volume") -> DataFrame:
     """Drops cells below one exact percentile or above the other."""
     ends = cells.groupBy(*by).agg(F.percentile(value, F.lit((low or 0) / 100)).alias("_a"), F.percentile(value, F.lit((high if high is not None else 100) / 100)).alias("_b"))
-    return cells.join(F.broadcast(ends), by).filter(F.col(value).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    return cells.join(ends, by).filter(F.col(value).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
 def cell_crops(voxels: DataFrame, by: list[str], label: str, half: int = 25, tile: int = 50) -> DataFrame:

@@ -15,9 +15,8 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Fixed values of the NIfTI-1 format: sample types by code.
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
@@ -236,18 +235,32 @@ def read_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 # --- surface maps, landmarks, histories, tables ----------------------------------------------------
 
-@F.pandas_udf(T.DoubleType())
-def from_hex(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else float.fromhex(v))
+#: Fixed value: a hexadecimal float, sign, whole digit, fraction and exponent.
+HEX = r"^(-?)0x([0-9a-fA-F]+)\.?([0-9a-fA-F]*)p([+-]?[0-9]+)$"
 
 
-@F.pandas_udf(T.StringType())
-def to_hex(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if pd.isna(v) else float(v).hex())
+def from_hex(text: Column) -> Column:
+    """The double of a hexadecimal float; null for anything else. All 53 bits of the digits fit a long."""
+    part = lambda i: F.regexp_extract(text, HEX, i)
+    digits = F.conv(F.concat(part(2), part(3)), 16, 10).cast("double")
+    value = digits * F.pow(F.lit(2.0), part(4).cast("int") - 4 * F.length(part(3)))
+    return F.when(text.rlike(HEX), F.when(part(1) == "-", -value).otherwise(value))
+
+
+def to_hex(value: Column) -> Column:
+    """A finite double as a hexadecimal float with 13 digits after the point; null stays null."""
+    two, size = F.lit(2.0), F.abs(value)
+    guess = F.floor(F.log2(F.greatest(size, F.lit(2.0**-1022)))).cast("int")
+    # The logarithm of a value next to a power of two may round over it.
+    power = F.when(size / F.pow(two, guess) >= 2, guess + 1).when((size / F.pow(two, guess) < 1) & (guess > -1022), guess - 1).otherwise(guess)
+    lead = F.when(size < 2.0**-1022, F.lit(0)).otherwise(F.lit(1))
+    rest = ((size / F.pow(two, power) - lead) * F.lit(float(1 << 52))).cast("long")
+    text = F.concat(F.when(value < 0, "-").otherwise(""), F.lit("0x"), lead.cast("string"), F.lit("."), F.lpad(F.lower(F.hex(rest)), 13, "0"), F.lit("p"), F.when(power >= 0, "+").otherwise(""), power.cast("string"))
+    return F.when(value == 0, "0x0.0p+0").otherwise(text)
 
 
 def surface_map_lines(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, F.concat_ws(" ", F.lit("p"), "src_vertex", "c_vertex", "a_vertex", to_hex("alpha"), to_hex("beta")).alias("value"))
+    return df.select(*keys, F.concat_ws(" ", F.lit("p"), "src_vertex", "c_vertex", "a_vertex", to_hex(F.col("alpha")), to_hex(F.col("beta"))).alias("value"))
 
 
 def read_surface_map(spark: SparkSession, path: str) -> DataFrame:
