@@ -23,12 +23,13 @@ def _large_star(edges: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame
     return both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
-def _small_star(edges: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Smaller neighbours, and the node itself, go to the least neighbour."""
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Smaller neighbours, and the node itself, go to the least neighbour. Hubs are the lesser ends of their edges, so
+    after the other star the join by the greater end has none."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    least = work.write(down.groupBy("u").agg(F.min("v").alias("m")))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, work: Workspace | None = None) -> DataFrame:
@@ -38,11 +39,9 @@ def components(edges: DataFrame, work: Workspace | None = None) -> DataFrame:
     work = work or Workspace(edges.sparkSession)
     edges, before = _written(work, edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while before[0]:
-        large, a = _large_star(edges, work)
-        large = work.write(large)
-        small, b = _small_star(large, work)
-        old, (edges, after) = edges, _written(work, small)
-        work.drop(old, large, a, b)
+        large, least = _large_star(edges, work)
+        old, (edges, after) = edges, _written(work, _small_star(large))
+        work.drop(old, least)
         if after == before:
             break
         before = after
