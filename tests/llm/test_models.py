@@ -102,6 +102,15 @@ def test_language_equals_a_plain_version_and_repeated_rows_agree(spark):
     assert len({(t, x, s) for _, t, x, s in got}) == len({t for _, t, _, _ in got})
 
 
+def test_languages_without_letters_are_left_out(spark):
+    rng = random.Random(3)
+    rows = [(i, t, "en") for i, t in enumerate(texts(rng, "the of and".split(), 20))] + [(i, t, "fr") for i, t in enumerate(texts(rng, "le où".split(), 20), 30)]
+    df = spark.createDataFrame([*rows, (90, "123", "de"), (91, "", "es"), (92, None, "nl")], "doc_id long, text string, lang string")
+    assert langid.fit(df).languages == ["en", "fr"]
+    assert langid.fit(df.filter("lang = 'en'")).languages == ["en"]
+    assert langid.fit(df.filter("lang IN ('de', 'es', 'nl')")) is None and langid.fit(df.filter("lang = 'de'")) is None
+
+
 def test_machines_reach_the_least_loss():
     """Dual coordinate descent against many plain subgradient steps on the same primal loss."""
     rng = np.random.default_rng(2)

@@ -130,6 +130,20 @@ def held(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key isn't in ``gone``, a written table of distinct keys; those with a null key stay. A bit
+    filter of one hash, sixteen bits a key but ``FILTER_BITS`` at most, is broadcast; only rows that it holds are joined,
+    so the others aren't shuffled. ``df`` is read twice."""
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(12, (16 * gone.count()).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
+    word, bit = F.floor(place / 64).cast("long"), (place % 64).cast("int")
+    words = gone.select(word.alias("__word"), F.expr("1L").alias("__one"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(__one, __bit)")).alias("__mask"))
+    placed = df.withColumns({"__at": word, "__bit": bit}).join(F.broadcast(words), F.col("__at") == F.col("__word"), "left")
+    hit = F.coalesce(F.expr("shiftrightunsigned(__mask, __bit) & 1 = 1"), F.lit(False))
+    sure, maybe = (placed.filter(c).select(*[F.col(f"`{x}`") for x in df.columns]) for c in (~hit, hit))
+    return sure.unionByName(maybe.join(gone, key, "left_anti").select(*[F.col(f"`{x}`") for x in df.columns]))
+
+
 # --- words -----------------------------------------------------------------------------------------
 
 #: A-Z lower-cased; words are runs of anything but space and 9-13.

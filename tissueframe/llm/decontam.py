@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
-from .common import arrow_map, held, key_filter, list_array, mix, slices, word_hashes
+from .common import arrow_map, held, key_filter, list_array, mix, slices, without, word_hashes
 
 BITS, RADIUS, BLOCK_BITS = 256, 68, 16
 #: Two prints within the radius differ by so many bits at most in one of their blocks.
@@ -259,5 +259,5 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, words: int = 5, percent: int
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that leak no item; those with a null key stay."""
-    gone = find_leaks(df, benchmark, words, percent, key, text).select(key).distinct()
-    return df.join(gone, key, "left_anti")
+    gone = find_leaks(df, benchmark, words, percent, key, text).select(key).filter(F.col(key).isNotNull()).distinct()
+    return without(df, Workspace(df.sparkSession).write(gone), key)

@@ -21,13 +21,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append, arrow_map, plus, slices
 
-PER_LANGUAGE, PER_FAMILY_MACHINE, FOLDS = 600, 2400, 3
+PER_LANGUAGE, PER_FAMILY_MACHINE, FOLDS = 600, 1500, 3
 #: Buckets of bigrams and of trigrams; one more takes what reaches over a text's end.
 TWO, THREE = 1 << 11, 1 << 12
 DIM = TWO + THREE
@@ -116,15 +117,17 @@ def features(df: DataFrame, text: str, label: str) -> DataFrame:
 SCALE = 10.0
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
-    """Weights and bias of an L1-loss support vector machine, y = +1 or -1, by dual coordinate descent; each class
-    weighs the same in total."""
-    limit = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
+def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30, use: np.ndarray | None = None) -> np.ndarray:
+    """Weights and bias of an L1-loss support vector machine, y = +1 or -1, by dual coordinate descent over the rows
+    ``use`` (all without it), which aren't copied; each class weighs the same in total."""
+    use = np.arange(len(y)) if use is None else use
+    size, plus_, minus = len(use), (y[use] > 0).sum(), (y[use] < 0).sum()
+    limit = np.where(y > 0, cost * size / (2 * max(1, plus_)), cost * size / (2 * max(1, minus)))
     norm, alpha, w, bias = np.einsum("ij,ij->i", x, x) + 1, np.zeros(len(y)), np.zeros(x.shape[1], x.dtype), 0.0
     rng = np.random.default_rng(17)
     for _ in range(rounds):
         moved = 0.0
-        for i in rng.permutation(len(y)):
+        for i in use[rng.permutation(size)]:
             new = min(max(alpha[i] - (y[i] * (float(x[i] @ w) + bias) - 1) / norm[i], 0.0), limit[i])
             if new != alpha[i]:
                 w += x.dtype.type((new - alpha[i]) * y[i]) * x[i]
@@ -171,11 +174,9 @@ def train(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float, float
     fold = np.arange(len(y)) % FOLDS
     margin = np.empty(len(y))
     for k in range(FOLDS):
-        use = fold != k
-        if len(set(y[use])) < 2:
-            use[:] = True
-        w = linear_svm(x[use], y[use])
-        margin[fold == k] = x[fold == k] @ w[:-1] + w[-1]
+        use = np.flatnonzero(fold != k)
+        w = linear_svm(x, y, use=use if len(set(y[use])) == 2 else None)
+        margin[fold == k] = (x @ w[:-1] + w[-1])[fold == k]
     w = linear_svm(x, y)
     return w[:-1], float(w[-1]), *platt(margin, y)
 
@@ -235,24 +236,24 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     rows = known.select("label", "f", F.explode(own[F.col("label")]).alias("machine")).filter((F.col("machine") >= first) | (F.abs(F.xxhash64("f", F.lit(3)) % 1_000_003) < part * 1_000_003))
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("label", "ascending"), ("f", "ascending")])
-        k, labels = group.column("machine")[0].as_py(), group.column("label").to_pylist()
-        x = np.empty((group.num_rows, DIM), np.float32)
-        for r, f in enumerate(group.column("f")):
-            x[r] = np.frombuffer(f.as_buffer(), np.float16)
+        # Rows in a fixed, mixed order, read where they lie: the features are in memory once, besides the group itself.
+        order = pc.sort_indices(group, [("label", "ascending"), ("f", "ascending")]).to_numpy()
+        order = order[np.random.default_rng(5).permutation(len(order))]
+        k, column = group.column("machine")[0].as_py(), group.column("f")
+        labels = group.column("label").take(pa.array(order)).to_pylist()
+        x = np.empty((len(order), DIM), np.float32)
+        for r, at in enumerate(order.tolist()):
+            x[r] = np.frombuffer(column[at].as_buffer(), np.float16)
         kind, a, _ = todo[k]
         y = np.array([1.0 if (FAMILY_OF.get(v, "other") if kind == "family" else v) == a else -1.0 for v in labels])
-        w, bias, p, q = train(x[mixed := np.random.default_rng(5).permutation(len(y))], y[mixed])
-        return pa.table({"machine": pa.array([k], pa.int32()), "w": pa.array([w.astype("<f4").tobytes()], pa.binary()), **{n: pa.array([v]) for n, v in (("bias", bias), ("p", p), ("q", q))}})
-
-    trained = {todo[r.machine]: (np.frombuffer(r.w, "<f4"), r.bias, r.p, r.q) for r in rows.groupBy("machine").applyInArrow(run, "machine int, w binary, bias double, p double, q double").collect()}
-    missing = [m for m in todo if m not in trained]
-    usable = [x for x in languages if not any(x in m[1:] for m in missing)] if missing else languages
-    if missing:  # a language whose texts all lack letters has no features
-        if not (usable := [r[0] for r in known.select("label").distinct().collect()]):
-            return None
-        trained |= {m: (np.zeros(DIM, np.float32), 0.0, 0.0, 0.0) for m in machines(usable) if m not in trained}
-    return Model(usable, trained)
+        w, bias, p, q = train(x, y)
+        return pa.table({"machine": pa.array([k], pa.int32()), "w": pa.array([w.astype("<f4").tobytes()], pa.binary()), **{n: pa.array([v]) for n, v in (("bias", bias), ("p", p), ("q", q))}, "seen": pa.array([sorted(set(labels))])})
+
+    fitted = rows.groupBy("machine").applyInArrow(run, "machine int, w binary, bias double, p double, q double, seen array<string>").collect()
+    trained = {todo[r.machine]: (np.frombuffer(r.w, "<f4"), r.bias, r.p, r.q) for r in fitted}
+    # A language whose texts all lack letters has no features and is left out.
+    seen = {x for r in fitted for x in r.seen} if todo else {r[0] for r in known.select("label").distinct().collect()}
+    return Model(sorted(seen), trained) if seen else None
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

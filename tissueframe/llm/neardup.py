@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..workspace import Workspace
-from .common import arrow_map, held, key_filter, list_array, mix, shingle_hashes, slices, word_hashes
+from .common import arrow_map, held, key_filter, list_array, mix, shingle_hashes, slices, without, word_hashes
 
 ROWS, MISS, SIGMAS = 6, 1e-6, 4.5
 #: The weight of a block; two blocks meet in a task's memory at a time. A signature weighs 1, a full set 1 for each
 #: ``UNIT`` shingles begun, so blocks are bounded in bytes as well as in members.
-BLOCK, UNIT = 192, 1024
+BLOCK, UNIT = 64, 1024
 
 
 def bands_for(percent: int) -> int:
@@ -281,4 +281,4 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
 def keep_one(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of one document of each group: that with the least key. Rows with a null key stay."""
     gone = near_duplicates(df, words, percent, key, text).filter("NOT kept").select(key).distinct()
-    return df.join(gone, key, "left_anti")
+    return without(df, Workspace(df.sparkSession).write(gone), key)

@@ -601,13 +601,8 @@ def find_and_redact(df: DataFrame, text: str = "text", field: Field | None = Non
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            for done in put(find(iter([pa.RecordBatch.from_arrays([batch.column(text)], ["text"])]))):
-                yield done.column("text")
+            alone, at = pa.RecordBatch.from_arrays([batch.column(text)], ["text"]), batch.schema.names.index(text)
+            cleaned = [b.column("text") for b in put(find(iter([alone])))]
+            yield batch.set_column(at, batch.schema.field(at), pa.concat_arrays(cleaned)) if cleaned else batch
 
-    def columns(batches: Batches) -> Batches:
-        for batch in batches:
-            cleaned = pa.chunked_array(list(run(iter([batch]))), pa.string()).combine_chunks()
-            at = batch.schema.names.index(text)
-            yield batch.set_column(at, batch.schema.field(at), cleaned if isinstance(cleaned, pa.StringArray) else cleaned.chunk(0))
-
-    return arrow_map(df, columns, df.schema)
+    return arrow_map(df, run, df.schema)
