@@ -42,6 +42,13 @@ def arrow_map(df: DataFrame, fn: Callable[[Batches], Batches], schema: T.StructT
     return df.mapInArrow(run, schema)
 
 
+def whole_key(df: DataFrame, key: str) -> None:
+    """Keys are carried as 64-bit whole numbers; any other type would merge rows, so it is an error."""
+    kind = df.schema[key].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{key} is {kind.simpleString()}; a key has to be a whole number")
+
+
 def text_column(batch: pa.RecordBatch | pa.Table, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a column and the int64 row offsets into them (one more than rows); null counts as empty."""
     col = batch.column(name)
@@ -180,11 +187,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and per row (one more) the index of its first word."""
+def word_spans(data: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, runs of bytes not ``between`` words, and per row (one more) the index of its first."""
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offs), np.int64)
-    word = ~SPACE[data]
+    word = ~between[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -196,9 +203,9 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each lower-cased word, and per row (one more) the index of its first word."""
-    starts, ends, rows = word_spans(data, offs)
+    starts, ends, rows = word_spans(data, offs, between)
     if not len(starts):
         return np.empty(0, np.uint64), rows
     up, down = powers(len(data) + 1)

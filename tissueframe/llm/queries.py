@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, media, neardup, pii, quality, token_count, token_output
+from . import bpe, chat, decontam, langid, media, neardup, pii, quality, token_count, token_output, vectors
 from .common import table
 
 RANKS, PIECES = path("byte_bpe_multi_50k.tiktoken"), path("piece_bpe_32k.model")
@@ -75,6 +75,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_personal_data": op2_personal_data,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_media": op9_media,
     "op10_quality": op10_quality,
+    "op12_embeddings": op12_embeddings,
 }
 
 #: What SQL can express; the others are tested against brute force, round trips or held-out rows in tests/llm.
@@ -103,4 +108,9 @@ p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.
 l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * i >= 85 * (x.n + y.n - i)),
 reach AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT reach.node, l.v FROM reach JOIN l ON l.u = reach.seen)
 SELECT n.doc_id, n.n AS n_shingles, min(seen) AS component_id, n.doc_id = min(seen) AS kept FROM n JOIN reach ON reach.node = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op12_embeddings": r"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT reach.node, l.v FROM reach JOIN l ON l.u = reach.seen),
+c AS (SELECT node, min(seen) AS least FROM reach GROUP BY 1), n AS (SELECT u, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.least AS component_id, vec_id = c.least AS kept FROM embeddings LEFT JOIN n ON n.u = vec_id JOIN c ON c.node = vec_id""",
 }
