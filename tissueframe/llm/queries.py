@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, media, neardup, pii, quality, token_count, token_output, vectors
+from . import bpe, chat, decontam, langid, media, neardup, pii, quality, ranked, token_count, token_output, vectors
 from .common import table
 
 RANKS, PIECES = path("byte_bpe_multi_50k.tiktoken"), path("piece_bpe_32k.model")
@@ -75,6 +75,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
 def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_media": op9_media,
     "op10_quality": op10_quality,
+    "op11_ranked_search": op11_ranked_search,
     "op12_embeddings": op12_embeddings,
 }
 
@@ -108,6 +113,14 @@ p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.
 l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * i >= 85 * (x.n + y.n - i)),
 reach AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT reach.node, l.v FROM reach JOIN l ON l.u = reach.seen)
 SELECT n.doc_id, n.n AS n_shingles, min(seen) AS component_id, n.doc_id = min(seen) AS kept FROM n JOIN reach ON reach.node = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op11_ranked_search": r"""WITH t AS (SELECT rowid AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM (SELECT row_number() OVER () AS rowid, * FROM documents)),
+s AS (SELECT count(*) AS n, sum(len(w)) AS l FROM t WHERE len(w) > 0),
+p AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM t), f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS reps FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(s.n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term),
+x AS (SELECT item_id, r, doc_id, sum(reps * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * f.n * s.n) // s.l)))) AS score FROM f JOIN q USING (term) JOIN w USING (term), s GROUP BY ALL),
+y AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM y WHERE rank <= 20""",
     "op12_embeddings": r"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
 reach AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT reach.node, l.v FROM reach JOIN l ON l.u = reach.seen),
