@@ -8,7 +8,8 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, media, neardup, pii, quality, ranked, token_count, token_output, vectors
+from ..workspace import Workspace
+from . import bpe, chat, decontam, langid, media, neardup, pii, prefix_trie, quality, ranked, token_count, token_output, vectors
 from .common import table
 
 RANKS, PIECES = path("byte_bpe_multi_50k.tiktoken"), path("piece_bpe_32k.model")
@@ -83,6 +84,17 @@ def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = Workspace(spark).write(prefix_trie.positions(table(spark, sf_dir, "conversations")))
+    size = turns.groupBy("conv").agg(F.max("pos").alias("size"))
+    h = (F.crc32(F.col("conv").cast("string")) % 9).alias("h")
+    convs = size.select("conv", h, F.expr("conv - conv % 5").alias("base"))
+    convs = convs.join(size.select(F.col("conv").alias("base"), "size"), "base", "left").select("conv", "base", "h", F.least("h", F.coalesce("size", F.lit(0))).alias("taken"))
+    heads = convs.join(turns.filter("pos <= 8").withColumnRenamed("conv", "base"), "base").filter("pos <= h").select(turns.columns)
+    rest = turns.join(convs, "conv").filter("pos > h").withColumn("pos", F.expr("pos - h + taken")).select(turns.columns)
+    return prefix_trie.prefix_trie(heads.unionByName(rest), convs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_personal_data": op2_personal_data,
@@ -96,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_ranked_search": op11_ranked_search,
     "op12_embeddings": op12_embeddings,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: What SQL can express; the others are tested against brute force, round trips or held-out rows in tests/llm.
@@ -126,4 +139,18 @@ l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec
 reach AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT reach.node, l.v FROM reach JOIN l ON l.u = reach.seen),
 c AS (SELECT node, min(seen) AS least FROM reach GROUP BY 1), n AS (SELECT u, count(*) AS n FROM l GROUP BY 1)
 SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.least AS component_id, vec_id = c.least AS kept FROM embeddings LEFT JOIN n ON n.u = vec_id JOIN c ON c.node = vec_id""",
+    "op13_prefix_trie": r"""WITH RECURSIVE k AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, c - c % 5 AS base, max(pos) AS size, CAST(c AS VARCHAR) AS name FROM t GROUP BY c),
+g AS (SELECT s.c, s.base, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(substr(name, i, 1)) AS BIGINT))), lambda x, b: xor(x // 256, k.t[xor(x, b) % 256 + 1])), 4294967295) % 9 AS h FROM s, k),
+r AS (SELECT g.c, t.pos, role, text FROM g JOIN t ON t.c = g.base AND t.pos <= g.h
+UNION ALL SELECT g.c, t.pos - g.h + least(g.h, coalesce(b.size, 0)), role, text FROM g JOIN t ON t.c = g.c AND t.pos > g.h LEFT JOIN s b ON b.c = g.base),
+p AS (SELECT c, pos, strlen(text) AS bytes, list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY pos) AS key, pos = max(pos) OVER (PARTITION BY c) AS last FROM r),
+n AS (SELECT len(key) AS d, key, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(bytes) AS saves, sha256(coalesce(string_agg(CASE WHEN last THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends FROM p GROUP BY ALL
+UNION ALL SELECT 0, [], min(g.c), count(*), 0, sha256(coalesce(string_agg(CASE WHEN q.c IS NULL THEN CAST(g.c AS VARCHAR) END, ',' ORDER BY g.c), '')) FROM g LEFT JOIN (SELECT DISTINCT c FROM p) q ON q.c = g.c HAVING count(*) > 0),
+e AS (SELECT a.d, a.c, b.c AS parent, a.n, a.saves, a.ends FROM n a LEFT JOIN n b ON b.d = a.d - 1 AND b.key = a.key[:-2]),
+f AS (SELECT e.*, coalesce(m.m, 0) AS m FROM e LEFT JOIN (SELECT d - 1 AS d, parent AS c, count(*) AS m FROM e GROUP BY ALL) m ON m.d = e.d AND m.c = e.c),
+up AS (SELECT d, c, d AS td, c AS tc FROM f UNION ALL SELECT up.d, up.c, e.d - 1, e.parent FROM up JOIN e ON e.d = up.td AND e.c = up.tc WHERE e.parent IS NOT NULL),
+z AS (SELECT up.td, up.tc, sum(CASE WHEN f.m = 0 THEN 1 ELSE 0 END) AS leaves, sum(f.saves) AS saved FROM up JOIN f ON f.d = up.d AND f.c = up.c GROUP BY ALL)
+SELECT f.c AS conv_id, CAST(f.d AS BIGINT) AS depth, f.parent AS parent_conv_id, f.n AS n_convs, CAST(f.m AS BIGINT) AS n_children, CAST(z.leaves AS BIGINT) AS n_leaves, CAST(z.saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256 FROM f JOIN z ON z.td = f.d AND z.tc = f.c""",
 }
