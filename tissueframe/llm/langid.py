@@ -3,10 +3,12 @@ between the languages of that family.
 
 Features are relative frequencies of hashed byte bigrams and trigrams of the lower-cased text, with anything in ASCII
 that is no letter taken as a blank. The models are linear, so a text's score is a mean of looked-up weights over all its
-n-grams: one pass, whatever its length. Each machine is fitted in a task of its own, on ``PER_LANGUAGE`` distinct
-labelled texts of each of its languages at most (expected number; chosen by a hash of key and text), those of a family
-against the rest on ``PER_FAMILY_MACHINE`` in all. Only weights come to the driver. Scores follow from margins of texts
-that a machine of the other folds hasn't seen.
+n-grams: one pass, whatever its length. Each machine is fitted in a task of its own, on ``per_language`` distinct
+labelled texts of each of its languages at most (expected number; chosen by a hash of key and text). Those of a family
+against the rest take ``per_machine`` texts, half of the family and half of the others, dealt evenly to languages: rare
+ones give all they have, so none is lost. Where families have so many languages that their pairs would take more than
+``in_all`` texts, each pair takes fewer, ``LEAST_TEXTS`` a language at least; so the rows sent to machines are bounded.
+Only weights come to the driver. Scores follow from margins of texts that a machine of the other folds hasn't seen.
 
 Edge cases: a text that is null or has no letter gets ``und`` and score 0; without any usable label all do. Languages
 without a known family form the family "other". A text in which languages are equally likely gets the first by name.
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import append, arrow_map, plus, slices
 
-PER_LANGUAGE, PER_FAMILY_MACHINE, FOLDS = 600, 1500, 3
+PER_LANGUAGE, PER_FAMILY_MACHINE, IN_ALL, LEAST_TEXTS, FOLDS = 600, 1500, 200_000, 40, 3
 #: Buckets of bigrams and of trigrams; one more takes what reaches over a text's end.
 TWO, THREE = 1 << 11, 1 << 12
 DIM = TWO + THREE
@@ -107,7 +109,8 @@ def features(df: DataFrame, text: str, label: str) -> DataFrame:
                 for r in np.flatnonzero(some).tolist():
                     both = np.concatenate([two[offs[r] : offs[r + 1]], three[offs[r] : offs[r + 1]]])
                     f = np.bincount(both, minlength=DIM + 1)[:DIM] / max(1, 2 * int(offs[r + 1] - offs[r]) - 3)
-                    rows.append((f * SCALE).astype(np.float16).tobytes())
+                    some_ = np.flatnonzero(f)
+                    rows.append(some_.astype(np.uint16).tobytes() + (f[some_] * SCALE).astype(np.float16).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(label).take(pa.array(np.flatnonzero(some))), pa.array(rows, pa.binary())], ["label", "f"])
 
     return arrow_map(df.select(F.col(label).cast("string").alias(label), text), run, "label string, f binary")
@@ -217,7 +220,31 @@ class Model:
         return [self.languages[t] for t in top], np.clip(score[np.arange(n), top], 0, 1)
 
 
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
+def evenly(counts: dict[str, int], total: float) -> dict[str, float]:
+    """How many of each to take so that ``total`` are taken: equally many, or all of those that have fewer."""
+    left, out = total, {}
+    for n, (name, count) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(count, left / (len(counts) - n))
+        left -= out[name]
+    return out
+
+
+def allotted(counts: dict[str, int], per_machine: int, in_all: int) -> list[tuple[str, int, float]]:
+    """``label, machine, share``: the share of each language's texts that a machine takes."""
+    todo, out = machines(sorted(counts)), []
+    pairs = sum(kind == "pair" for kind, *_ in todo)
+    most = max(LEAST_TEXTS, in_all / (2 * max(1, pairs)))
+    for k, (kind, a, b) in enumerate(todo):
+        if kind == "pair":
+            take = {x: min(counts[x], most) for x in (a, b)}
+        else:
+            own = {x: n for x, n in counts.items() if FAMILY_OF.get(x, "other") == a}
+            take = evenly(own, per_machine / 2) | evenly({x: n for x, n in counts.items() if x not in own}, per_machine / 2)
+        out += [(x, k, n / counts[x]) for x, n in take.items()]
+    return out
+
+
+def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, per_machine: int = PER_FAMILY_MACHINE, in_all: int = IN_ALL) -> Model | None:
     """Fits on the labelled rows of ``df``; which of them depends on a hash of key and text alone."""
     lang_ = F.col(lang).cast("string")
     df = df.select(lang_.alias("label"), F.col(text).alias("text"), F.abs(F.xxhash64(F.col(key), F.col(text)) % 1_000_003).alias("draw")).dropna()
@@ -228,12 +255,9 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     picked = df.filter(F.col("draw") < share[F.col("label")] * 1_000_003).groupBy("label", "text").agg(F.min("draw").alias("draw"))
     known = features(picked, "text", "label")
     languages = sorted(counts)
-    part = min(1.0, PER_FAMILY_MACHINE / max(1.0, sum(min(n, per_language) for n in counts.values())))
     todo = machines(languages)
-    of = {x: [k for k, (kind, a, b) in enumerate(todo) if kind == "family" or x in (a, b)] for x in languages}
-    first = sum(kind == "family" for kind, *_ in todo)
-    own = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)).cast("array<int>") for k in languages for x in (k, of[k])])
-    rows = known.select("label", "f", F.explode(own[F.col("label")]).alias("machine")).filter((F.col("machine") >= first) | (F.abs(F.xxhash64("f", F.lit(3)) % 1_000_003) < part * 1_000_003))
+    plan = df.sparkSession.createDataFrame(allotted({x: min(n, per_language) for x, n in counts.items()}, per_machine, in_all), "label string, machine int, share double")
+    rows = known.join(F.broadcast(plan), "label").filter(F.abs(F.xxhash64("f", F.lit(3)) % 1_000_003) < F.col("share") * 1_000_003).select("label", "f", "machine")
 
     def run(group: pa.Table) -> pa.Table:
         # Rows in a fixed, mixed order, read where they lie: the features are in memory once, besides the group itself.
@@ -241,9 +265,11 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
         order = order[np.random.default_rng(5).permutation(len(order))]
         k, column = group.column("machine")[0].as_py(), group.column("f")
         labels = group.column("label").take(pa.array(order)).to_pylist()
-        x = np.empty((len(order), DIM), np.float32)
+        x = np.zeros((len(order), DIM), np.float32)
         for r, at in enumerate(order.tolist()):
-            x[r] = np.frombuffer(column[at].as_buffer(), np.float16)
+            sent = column[at].as_py()
+            half = len(sent) // 2
+            x[r, np.frombuffer(sent[:half], np.uint16)] = np.frombuffer(sent[half:], np.float16)
         kind, a, _ = todo[k]
         y = np.array([1.0 if (FAMILY_OF.get(v, "other") if kind == "family" else v) == a else -1.0 for v in labels])
         w, bias, p, q = train(x, y)
