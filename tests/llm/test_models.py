@@ -156,7 +156,47 @@ def test_quality_equals_a_plain_version(spark):
 
 
 def test_dictionary_is_filled_evenly():
-    texts_ = [b"a" * 10, b"b" * 1000, b"c" * 50, b"d" * 1000]
+    texts_ = [(3, b"a" * 10), (500, b"b" * 1000), (-7, b"c" * 50), (1 << 40, b"d" * 1000)]
     out = quality.dictionary(texts_, 400)
     assert {c: out.count(c) for c in b"abcd"} == {97: 10, 98: 170, 99: 50, 100: 170}
-    assert quality.dictionary(texts_, 10_000) == b"".join(texts_) and quality.dictionary([], 5) == b""
+    assert quality.dictionary(texts_, 10_000) == b"".join(t for _, t in texts_) and quality.dictionary([], 5) == b""
+    long = bytes(range(100))
+    assert quality.dictionary([(205, long), (-1, long)], 20) == long[23:33] + long[90:100]
+
+
+def test_quality_takes_one_text_a_key(spark):
+    """A labelled key that very many rows share brings one text to the fit."""
+    rows = [(i, f"good words number {i} here" if i < 20 else f"x!! {i} ?? {i * i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = df.unionByName(spark.range(3000).selectExpr("1L AS doc_id", "concat('copy ', id) AS text"))
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, quality int")
+    model = quality.fit(hot, labels)
+    assert len(model.good) < 1500 and model.good.count(b"copy") <= 1
+
+
+def test_no_labelled_language_is_lost(spark):
+    """Ten languages of many texts and six of three: all are learned, and their own texts are told right."""
+    rng = random.Random(77)
+    many, few = "en de nl fr es it pl cs sv da".split(), "fi he hi hu tr xx".split()
+    words = {x: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöüéñł", k=rng.randint(2, 7))) for _ in range(25)] for x in many + few}
+    rows = [(x, " ".join(rng.choices(words[x], k=30))) for x in many for _ in range(120)] + [(x, " ".join(rng.choices(words[x], k=30))) for x in few for _ in range(3)]
+    df = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(df, per_machine=300)
+    assert model.languages == sorted(many + few)
+    got = [(r.lang, r.lang_pred) for r in langid.predict(df, model).collect()]
+    assert sum(a == b for a, b in got) > 0.97 * len(got)
+    assert sum(a == b for a, b in got if a in few) >= 15
+
+
+def test_texts_of_machines_are_bounded_and_dealt_by_class():
+    counts = {f"x{i}": 600 for i in range(100)} | {"fi": 3, "en": 600}
+    plan = langid.allotted(counts, 1500, 200_000)
+    todo = langid.machines(sorted(counts))
+    of = {k: {} for k in range(len(todo))}
+    for label, k, share in plan:
+        of[k][label] = share * counts[label]
+    assert sum(sum(v.values()) for v in of.values()) < 500_000
+    for k, (kind, a, b) in enumerate(todo):
+        assert set(of[k]) == ({a, b} if kind == "pair" else set(counts)) and all(v > 0 for v in of[k].values())
+        if kind == "family":
+            assert of[k]["fi"] == 3 and sum(of[k].values()) <= 1501

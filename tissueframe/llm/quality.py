@@ -6,9 +6,10 @@ labelled texts. Each text is compressed whole, in equal pieces of ``PIECE`` byte
 anew: in one stream a dictionary saves a bounded number of bytes, and a long text's difference would go to 0.
 
 The dictionaries and the curve take ``PER_CLASS`` texts of each label (expected number; chosen by a hash of the key),
-of any length, about half for each (by a hash of the text). A dictionary is filled evenly: every text gives its first
-bytes, all equally many unless it is shorter, out of its first ``LONGEST`` characters (a parameter of ``fit``, which
-bounds what comes to the driver). The curve takes every text whole, and only differences come to the driver.
+of any length, about half for each (by a hash of the text). A dictionary is filled evenly: every text gives a piece from a
+place that its hash gives, all equally long unless it is shorter, out of ``LONGEST`` characters in a row from anywhere in
+the text (a parameter of ``fit``, which bounds what comes to the driver). The curve takes every text whole, and only
+differences come to the driver. Of rows that share a key, one is taken.
 
 Edge cases: null counts as empty; an empty text has difference 0 and gets the curve's value there. With labels of one
 kind, or none, every score is 0.5; a score of exactly 0.5 counts as good. A key that is marked both 0 and 1 counts as 1.
@@ -63,17 +64,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * difference + self.b, -40, 40)))
 
 
-def dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
-    """The first bytes of all texts, as raw content for the compressor to refer to: equally many of each, or all of a
-    shorter text, ``size`` in all."""
+def dictionary(texts: list[tuple[int, bytes]], size: int = DICTIONARY) -> bytes:
+    """Bytes of all texts, as raw content for the compressor to refer to: equally many of each, from a place that its hash
+    gives, or all of a shorter text, ``size`` in all."""
     left, share = size, 0
-    for n, length in enumerate(sorted(map(len, texts))):
+    for n, length in enumerate(sorted(len(t) for _, t in texts)):
         share = left // (len(texts) - n)
         if length > share:
             break
         left -= length
         share = length
-    return b"".join(t[:share] for t in texts)
+    starts = [h % (len(t) - share + 1) if len(t) > share else 0 for h, t in texts]
+    return b"".join(t[a : a + share] for a, (_, t) in zip(starts, texts))
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, longest: int = LONGEST) -> Model | None:
@@ -84,10 +86,13 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         return None
     share = F.when(F.col(label) == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
     chosen = labels.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) < share * 1_000_003).groupBy(key).agg(F.max(label).alias("y"))
-    known = df.filter(F.length(text) > 0).select(key, text).join(F.broadcast(chosen), key).select(F.xxhash64(text).alias("h"), "y", text)
+    # One text a key: of rows that share it, the one with the least hash.
+    known = df.filter(F.length(text) > 0).select(key, text).join(F.broadcast(chosen), key).withColumn("h", F.xxhash64(text))
+    known = known.groupBy(key).agg(F.min("h").alias("h"), F.first("y").alias("y"), F.min_by(text, "h").alias(text)).select("h", "y", text)
     even = F.pmod("h", F.lit(2)) == 0
-    first = sorted((h, y, t.encode()) for h, y, t in known.filter(even).select("h", "y", F.substring(text, 1, longest)).collect())
-    texts = {y: [t for _, z, t in first if z == y] for y in (0, 1)}
+    place = F.when(F.length(text) > longest, F.pmod(F.xxhash64("h"), F.length(text) - longest + 1)).otherwise(0) + 1
+    first = sorted((h, y, t.encode()) for h, y, t in known.filter(even).select("h", "y", F.substring(F.col(text), place, F.lit(longest))).collect())
+    texts = {y: [(h, t) for h, z, t in first if z == y] for y in (0, 1)}
     if not texts[0] or not texts[1]:
         return None
     model = Model(dictionary(texts[1]), dictionary(texts[0]))
