@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tissueframe.llm import decontam
 
@@ -92,3 +93,54 @@ def test_repeated_shingles(spark):
     got = {(r.doc_id, r.item_id): r for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert set(got) == set(want) and all(abs(got[k].similarity - want[k]) < 1e-12 for k in want) and len(want) > 20
     assert got[3, 0].first_word == 0 and got[3, 0].windows == 7 and got[203, 2].windows == 34
+
+
+def test_prints_of_far_windows_take_little_memory():
+    """Two hits 800,000 words apart: what is in between isn't worked on, and prints equal sums over whole windows."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    item = rng.integers(1, 1 << 62, 100, dtype=np.uint64)
+    own = rng.integers(1, 1 << 62, 800_200, dtype=np.uint64)
+    own[:100], own[-100:] = item, item
+    mark = decontam.fingerprints(item, np.zeros(1, np.int64), 100)[0]
+    tracemalloc.start()
+    found = decontam.compare(own, False, item, mark, False, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0] > 2 and found[1:] == (0, 1.0) and peak < 200e6
+    bits = np.concatenate([np.unpackbits(decontam.mix(own[:300] ^ np.uint64(s)).view(np.uint8).reshape(-1, 8), axis=1) for s in decontam.SEEDS], 1).astype(int) * 2 - 1
+    starts = np.array([0, 3, 150])
+    want = np.stack([np.packbits(bits[s : s + 70].sum(0) > 0) for s in starts]).view(np.uint16)
+    assert (decontam.fingerprints(own[:300], starts, 70) == want).all()
+
+
+def test_document_of_all_items_sends_pieces(spark, monkeypatch):
+    """A document that holds every item is one stretch; what goes to the comparison grows with the items, not with their
+    square. Long items beside it, and items quoted twice."""
+    rng = random.Random(21)
+    items = [(i, " ".join(f"i{i}x{j}" for j in range(rng.choice([7, 20, 21, 22, 60])))) for i in range(150)] + [(900, " ".join(f"long{j}" for j in range(1500)))]
+    whole = " ".join(t for _, t in items)
+    docs = [(1, whole), (2, whole.upper() + " " + items[3][1]), (3, " ".join(items[900 - 750][1].split()[:1300]))]
+    sent = []
+    verified = decontam._verified
+    monkeypatch.setattr(decontam, "_verified", lambda pairs, percent: sent.append(pairs.selectExpr("sum(size(own))").first()[0]) or verified(pairs, percent))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.find_leaks(df, bench).collect()}
+    want = leaks(docs, items)
+    assert got == pytest.approx(want) and len(want) > 300
+    assert sent[0] < 8 * sum(len(t.split()) for _, t in docs)
+
+
+def test_classes_of_sizes():
+    sizes = sorted({1, 2, 3, 8, 9, 10, *range(100, 200)})
+    classes = decontam.size_classes(sizes)
+    assert [m for m in sizes if sum(a <= m <= b for a, b in classes) != 1] == []
+    assert all(8 * b <= 9 * a for a, b in classes) and len(classes) < 16
+
+
+def test_keys_that_are_no_whole_numbers(spark):
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    for key in (1.5, "x"):
+        with pytest.raises(TypeError):
+            decontam.find_leaks(spark.createDataFrame([(key, "a")], ["doc_id", "text"]), items)

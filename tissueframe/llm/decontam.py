@@ -8,9 +8,10 @@ weighted by how often it occurs. The steps:
    rarest among items, so many that a window without any of them can't reach the similarity.
 2. One pass over the documents, whatever the number of items: a bit filter of bounded size tells benchmark shingles, and
    stretches that windows rich enough in them cover are kept (an exact count bound). Equal stretches count once.
-3. Stretches meet items that share a rare shingle, by an equi-join. Windows of the item's size that hold enough of its
-   shingles are compared by fingerprints: any two within ``RADIUS`` bits differ by ``PROBE`` bits at most in one of the
-   blocks of 16 bits. At a similarity of 0.8 the expected distance is 39 of 256 bits with a deviation of 5.7, so 68 lies
+3. Stretches meet items that share a rare shingle, by an equi-join. Only pieces around the shared shingles go to the
+   comparison, cut to under twice the item's size, so what is sent grows with the shared shingles whatever the stretch.
+   Windows of the item's size that hold enough of its shingles are compared by fingerprints: any two within ``RADIUS``
+   bits differ by ``PROBE`` bits at most in one of the blocks of 16 bits, so the others are left out by their blocks. At a similarity of 0.8 the expected distance is 39 of 256 bits with a deviation of 5.7, so 68 lies
    five deviations off, and those of unrelated windows (128, deviation 8) far beyond. That holds while all shingles are
    distinct: a repeated one outweighs the rest, so windows and items with a repeated shingle skip the fingerprints. The
    exact similarity decides.
@@ -31,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
-from .common import arrow_map, held, key_filter, list_array, mix, slices, without, word_hashes
+from .common import arrow_map, held, key_filter, list_array, mix, slices, whole_key, without, word_hashes
 
 BITS, RADIUS, BLOCK_BITS = 256, 68, 16
 #: Two prints within the radius differ by so many bits at most in one of their blocks.
@@ -48,18 +49,22 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
-def signs(shingles: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each fingerprint bit of each shingle."""
-    seeds = (0x1234567, 0x89ABCDEF01, 0x5DEECE66D, 0xB5297A4D3F)
-    bits = np.stack([mix(shingles ^ np.uint64(s)) for s in seeds], 1)
-    return np.unpackbits(bits.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1).astype(np.int32) * 2 - 1
+#: One for each 64 bits of a print.
+SEEDS = (0x1234567, 0x89ABCDEF01, 0x5DEECE66D, 0xB5297A4D3F)
 
 
 def fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """SimHash prints, as blocks, of the windows of ``n`` shingles at ``starts``."""
-    lo = int(starts.min())
-    total = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(shingles[lo : int(starts.max()) + n]), 0, dtype=np.int32)])
-    return np.packbits(total[starts - lo + n] > total[starts - lo], axis=1).view(np.uint16)
+    """SimHash prints, as blocks, of the windows of ``n`` shingles at ``starts``. Bits are summed between the ends of
+    windows only, 64 of them at a time, so memory follows the shingles once and the windows, not their product."""
+    ends = np.unique(np.concatenate([starts, starts + n]))
+    at, to = np.searchsorted(ends, starts), np.searchsorted(ends, starts + n)
+    out = np.empty((len(starts), BITS // 64, 8), np.uint8)
+    for k, seed in enumerate(SEEDS):
+        bits = np.unpackbits(mix(shingles[ends[0] : ends[-1]] ^ np.uint64(seed)).view(np.uint8).reshape(-1, 8), axis=1)
+        total = np.zeros((len(ends), 64), np.int32)
+        np.cumsum(np.add.reduceat(bits, ends[:-1] - ends[0], axis=0, dtype=np.int32), 0, out=total[1:])
+        out[:, k] = np.packbits(2 * (total[to] - total[at]) > n, axis=1)
+    return out.reshape(len(starts), BITS // 8).view(np.uint16)
 
 
 def within(prints: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -108,9 +113,12 @@ def compare(own: np.ndarray, whole: bool, item: np.ndarray, mark: np.ndarray, re
     twice = repeating(own, n)[starts] | repeats
     some = [np.flatnonzero(twice)]
     plain = np.flatnonzero(~twice)
-    for a in range(0, len(plain), SLICE):
-        part = plain[a : a + SLICE]
-        some.append(part[within(fingerprints(own, starts[part], n), mark)])
+    # slices of windows end where the next one is not near, so that no slice spans what lies between far windows
+    far = np.flatnonzero(np.diff(starts[plain]) > n) + 1
+    for run in np.split(plain, far):
+        for a in range(0, len(run), SLICE):
+            part = run[a : a + SLICE]
+            some.append(part[within(fingerprints(own, starts[part], n), mark)])
     starts = starts[np.concatenate(some)]
     # windows of the same shingles, in any order, are compared once
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own))])
@@ -164,21 +172,34 @@ def _rare(items: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("before", before).filter(f"before <= m - ceil(m * {percent} / 100)").select("s", "rep")
 
 
+def size_classes(sizes: list[int]) -> list[tuple[int, int]]:
+    """Sorted sizes as ranges, least and largest, whose ends are at most an eighth apart."""
+    out: list[tuple[int, int]] = []
+    for m in sizes:
+        if out and 8 * m <= 9 * out[-1][0]:
+            out[-1] = (out[-1][0], m)
+        else:
+            out.append((m, m))
+    return out
+
+
 def _stretches(df: DataFrame, filter_: np.ndarray, sizes: list[tuple[int, int]], percent: int, key: str, text: str) -> DataFrame:
     """``row, key, k, whole, first, d1, d2, shingles``: the stretches of each document that windows rich enough in
     benchmark shingles cover, for items of ``sizes`` (words of a shingle, shingles)."""
     by_k = {k: sorted({m for kk, m in sizes if kk == k}) for k in sorted({k for k, _ in sizes})}
     # A window shorter than its item holds percent / 100 of the item's shingles at least.
     least = {k: -(-percent * ms[0] // 100) for k, ms in by_k.items()}
+    spans = {k: size_classes(ms) for k, ms in by_k.items()}
 
-    def covered(hit: np.ndarray, ms: list[int]) -> np.ndarray:
-        """Shingles that lie in a rich window of one of the sizes, as change of the number of such windows."""
+    def covered(hit: np.ndarray, classes: list[tuple[int, int]]) -> np.ndarray:
+        """Shingles that lie in a rich window of one of the sizes, as change of the number of such windows. Sizes of a
+        class count as the largest with what the least asks for, which covers all of them."""
         total, change = np.concatenate([[0], np.cumsum(hit)]), np.zeros(len(hit) + 1, np.int64)
-        for m in ms:
-            n = min(m, len(hit))
-            if total[-1] < need(n, m, percent):
+        for lo, hi in classes:
+            n, asked = min(hi, len(hit)), need(min(lo, len(hit)), lo, percent)
+            if total[-1] < asked:
                 break
-            starts = np.flatnonzero(total[n:] - total[: len(total) - n] >= need(n, m, percent))
+            starts = np.flatnonzero(total[n:] - total[: len(total) - n] >= asked)
             if len(starts):
                 np.add.at(change, starts, 1)
                 np.add.at(change, starts + n, -1)
@@ -190,7 +211,7 @@ def _stretches(df: DataFrame, filter_: np.ndarray, sizes: list[tuple[int, int]],
             for part, data, offs in slices(batch, text):
                 h, at = word_hashes(data, offs)
                 out: list[tuple] = []
-                for k, ms in by_k.items():
+                for k, classes in spans.items():
                     s = runs(h, k)
                     hit = held(filter_, s)
                     # shingles don't reach over a document's end
@@ -200,7 +221,7 @@ def _stretches(df: DataFrame, filter_: np.ndarray, sizes: list[tuple[int, int]],
                     lo, hi = np.minimum(at[:-1], len(s)), np.maximum(np.minimum(at[:-1], len(s)), np.minimum(at[1:] - k + 1, len(s)))
                     for r in np.flatnonzero(total[hi] - total[lo] >= least[k]).tolist():
                         a, b = int(lo[r]), int(hi[r])
-                        inside = np.cumsum(covered(hit[a:b], ms))[:-1] > 0
+                        inside = np.cumsum(covered(hit[a:b], classes))[:-1] > 0
                         edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
                         for x, y in edge.reshape(-1, 2).tolist():
                             own = s[a + x : a + y]
@@ -214,7 +235,7 @@ def _stretches(df: DataFrame, filter_: np.ndarray, sizes: list[tuple[int, int]],
 
 
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
-    """``id, rep, windows, place, similarity`` of the pairs of a stretch and an item that match."""
+    """``id, rep, windows, place, similarity`` of the pairs of a stretch's piece and an item that match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +244,8 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
                 own, item = (batch.column(c)[r].values.to_numpy().view(np.uint64) for c in ("own", "item"))
                 mark = np.frombuffer(batch.column("mark")[r].as_py(), np.uint16)
                 if found := compare(own, batch.column("whole")[r].as_py(), item, mark, batch.column("repeats")[r].as_py(), percent):
-                    out.append((batch.column("id")[r].as_py(), batch.column("rep")[r].as_py(), *found))
+                    windows, place, best = found
+                    out.append((batch.column("id")[r].as_py(), batch.column("rep")[r].as_py(), windows, batch.column("from")[r].as_py() + place, best))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["id", "rep", "windows", "place", "similarity"])
@@ -234,6 +256,8 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
 def find_leaks(df: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``key, item_key, windows, first_word, similarity``: a row for each document and item that it leaks, with the
     number of windows that reach the similarity and the best of them (the first, of equals)."""
+    whole_key(df, key)
+    whole_key(benchmark, item_key)
     spark, work = df.sparkSession, Workspace(df.sparkSession)
     every = work.write(_items(benchmark, words, item_key, item_text).withColumn("number", F.monotonically_increasing_id()))
     same = every.groupBy("k", "d1", "d2").agg(F.min("number").alias("rep"))
@@ -247,9 +271,13 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, words: int = 5, percent: int
     alike = stretches.groupBy("k", "whole", "d1", "d2").agg(F.first("shingles").alias("own"))
     alike = work.write(alike.withColumn("id", F.monotonically_increasing_id()))
     posting = work.write(_rare(items, percent))
-    met = alike.select("id", F.explode(F.array_distinct("own")).alias("s")).join(posting, "s").select("id", "rep").distinct()
-    pairs = met.join(alike.select("id", "k", "whole", "own"), "id").join(items.withColumnRenamed("k", "_k").withColumnRenamed("shingles", "item"), "rep").filter("k = _k")
-    found = work.write(_verified(pairs.select("id", "rep", "whole", "own", "item", "mark", "repeats"), percent))
+    # Windows that hold a shared shingle start in one of two tiles as wide as the item; a piece is a tile's windows.
+    met = alike.select("id", "k", F.posexplode("own").alias("p", "s")).join(posting, "s").join(items.select("rep", F.col("k").alias("_k"), F.size("shingles").alias("m")), "rep").filter("k = _k")
+    tiles = met.select("id", "rep", "m", F.explode(F.array_distinct(F.array(F.expr("greatest(p - m + 1, 0) div m"), F.expr("p div m")))).alias("tile")).distinct()
+    cut = tiles.join(alike.select("id", "whole", "own"), "id").filter("tile * m < size(own)")
+    cut = cut.select("id", "rep", F.expr("whole AND size(own) <= m").alias("whole"), (F.col("tile") * F.col("m")).alias("from"), F.expr("slice(own, int(tile * m + 1), 2 * m - 1)").alias("own"))
+    pairs = cut.join(items.select("rep", F.col("shingles").alias("item"), "mark", "repeats"), "rep")
+    found = work.write(_verified(pairs, percent))
 
     hits = stretches.drop("shingles").join(alike.drop("own"), ["k", "whole", "d1", "d2"]).join(found, "id")
     best = hits.groupBy("row", "key", "rep").agg(F.sum("windows").alias("windows"), F.min(F.struct((-F.col("similarity")).alias("s"), (F.col("first") + F.col("place")).alias("p"))).alias("b"))

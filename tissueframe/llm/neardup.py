@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..workspace import Workspace
-from .common import arrow_map, held, key_filter, list_array, mix, shingle_hashes, slices, without, word_hashes
+from .common import arrow_map, held, key_filter, list_array, mix, shingle_hashes, slices, whole_key, without, word_hashes
 
 ROWS, MISS, SIGMAS = 6, 1e-6, 4.5
 #: The weight of a block; two blocks meet in a task's memory at a time. A signature weighs 1, a full set 1 for each
@@ -220,6 +220,7 @@ def _in_groups(df: DataFrame, decide: Callable[[pa.Table], np.ndarray]) -> DataF
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id, kept`` for every row: the size of its set of ``words``-word shingles, the least
     key that links of Jaccard similarity ``percent`` / 100 or more lead to, and whether that is its own."""
+    whole_key(df, key)
     work, bands = Workspace(df.sparkSession), bands_for(percent)
     hashes = bands * ROWS
     low = percent / 100 - SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / hashes)

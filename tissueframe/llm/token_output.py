@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..workspace import delete, shared_dir
 from .bpe import class_runs, codec
-from .common import arrow_map, binary_array, mix, slices, text_column
+from .common import arrow_map, binary_array, mix, slices, text_column, whole_key
 
 LENGTH, PER_SHARD, ROUNDS = 256, 4096, 6
 #: Shards that a task writes have so many bytes together; it holds them to put them in order.
@@ -149,6 +149,7 @@ def write_shards(df: DataFrame, ranks: str, path: str | None = None, length: int
     """Writes all shards below ``path`` (a folder that all executors reach; by default a new one in the shared folder) and
     returns it. On a folder with a run of the same parameters and input it writes what is missing; ValueError for any
     other folder with shards."""
+    whole_key(df, key)
     spark = df.sparkSession
     path = path or f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
     end, width = end_and_width(ranks)
