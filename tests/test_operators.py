@@ -334,3 +334,57 @@ def test_perpendicularity_equals_a_plain_version(spark):
         axis = np.linalg.eigh(np.cov(at[sorted({i for t in own for i in t})].T))[1][:, -1]
         angle = np.degrees(np.arccos(np.clip(axis @ normal, -1, 1)))
         assert min(abs(got[c] - angle), abs(got[c] - (180 - angle))) < 1e-4
+
+
+def test_axes_of_lines_planes_and_points_equal_lapack(spark):
+    """Eigenvalues that are equal or vanish: voxels on lines, in planes, single ones, and clouds far from the origin."""
+    import numpy as np
+
+    from tissueframe.operators import labels as L
+
+    rng = np.random.default_rng(12)
+    sets = [np.array([[k, 0, 0] for k in range(n)]) for n in (1, 2, 3, 9)] + [np.array([[3 * k, 2 * k, -k] for k in range(7)]), np.array([[i, j, 0] for i in range(4) for j in range(4)]), np.array([[i, j, i + j] for i in range(3) for j in range(5)])]
+    sets += [np.array([[i, j, k] for i in range(3) for j in range(3) for k in range(3)]), np.array([[i, j, k] for i in range(2) for j in range(2) for k in range(9)])]
+    sets += [rng.integers(0, 6, (30, 3)) + 10**5 for _ in range(10)] + [rng.integers(0, 40, (5, 3)) for _ in range(10)] + [np.array([[k, 7 * k, 10**4] for k in range(5)])]
+    rows = [(i + 1, *map(int, v), 1) for i, s in enumerate(sets) for v in np.unique(s, axis=0)]
+    got = {r.e: r for r in L.axis_lengths(spark.createDataFrame(rows, "e long, x long, y long, z long, lab int"), ["e"], "lab").collect()}
+    for i, s in enumerate(sets):
+        want = 4 * np.sqrt(np.maximum(np.linalg.eigvalsh(np.cov(np.unique(s, axis=0).T, bias=True) if len(np.unique(s, axis=0)) > 1 else np.zeros((3, 3)))[::-1], 0))
+        assert np.allclose([got[i + 1].major, got[i + 1].minor, got[i + 1].least], want, atol=2e-6 * max(1, want[0])), (i, got[i + 1], want)
+
+
+def test_key_columns_of_any_name(spark):
+    from tissueframe.operators import labels as L
+    from tissueframe.operators import voxels as V
+
+    names = ["s", "o", "e", "n", "u", "v", "node", "_c", "_g", "component2"]
+    rows = [(*[1] * len(names), x, 0, 0, 5) for x in (0, 1, 2, 7)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` int" for n in names) + ", x long, y long, z long, lab int")
+    assert V.exposed_faces(df, names, "lab").count() == 14 + 6
+    comp = L.voxel_components(df, names, "lab").groupBy("component").count().collect()
+    assert sorted(r["count"] for r in comp) == [1, 3]
+    assert L.axis_lengths(df, names, "lab").first().least == 0
+
+
+def test_keys_that_hold_bars_or_nulls(spark):
+    from tissueframe.operators import scoring
+
+    rows = [("a|b", "c", 1, 1), ("a", "b|c", 1, 2), ("a", "b|c", 2, 2), (None, "c", 4, 4), ("x", None, 4, 5)]
+    df = spark.createDataFrame([(*r, k) for r in rows for k in range(30)], "p string, q string, pred long, gt long, k long")
+    overlap = scoring.label_overlap(df, ["p", "q"])
+    got = {(r.p, r.q, r.side, r.label): r.state for r in scoring.segmentation_states(overlap, ["p", "q"]).collect()}
+    assert got["a|b", "c", "target", 1] == "correct" and got["a|b", "c", "reference", 1] == "correct"
+    assert got["a", "b|c", "target", 1] == "over_segmented"
+    assert got[None, "c", "target", 4] == "correct" and got["x", None, "reference", 5] == "correct"
+
+
+def test_regression_of_exact_and_constant_data(spark):
+    from tissueframe.operators import cohort
+
+    rows = [("exact", float(i), 2.0 * i) for i in range(6)] + [("tenths", i / 10, 0.3 * i / 10 + 0.1) for i in range(9)] + [("flat", float(i), 3.0) for i in range(5)] + [("one_x", 2.0, float(i)) for i in range(4)] + [("two", 0.0, 1.0), ("two", 1.0, 5.0)] + [("real", float(i), i + (-1.0) ** i) for i in range(8)]
+    got = {r.g: r for r in cohort.regression(spark.createDataFrame(rows, "g string, x double, y double"), "x", "y", "x", ["g"]).collect()}
+    assert set(got) == {"exact", "tenths", "flat", "one_x", "two", "real"}
+    for g, slope in (("exact", 2.0), ("tenths", 0.3)):
+        assert abs(got[g].slope - slope) < 1e-9 and got[g].r2 == 1 and got[g].slope_error == 0 and got[g].f is None and got[g].t is None and got[g].durbin_watson is None
+    assert got["flat"].slope == 0 and got["one_x"].slope is None and got["one_x"].n == 4 and got["two"].slope_error is None
+    assert got["real"].f > 0 and got["real"].durbin_watson > 2

@@ -18,20 +18,37 @@ def _named(**columns: Column) -> Column:
 
 
 def eigenvalues(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> Column:
-    """The eigenvalues, greatest first, as an array, by the trigonometric solution of the characteristic cubic."""
+    """The eigenvalues, greatest first, as an array. The trigonometric solution of the characteristic cubic is exact to
+    rounding only for the root that lies apart from the others; that one's eigenvector is split off, and the other two
+    follow from the 2 x 2 matrix across it, so that equal and vanishing ones come out right as well."""
 
     def scale(m: Column) -> Column:
         return let(_named(q=(m["xx"] + m["yy"] + m["zz"]) / 3), lambda s: let(_named(
             q=s["q"],
             p=F.sqrt(F.greatest(((m["xx"] - s["q"]) * (m["xx"] - s["q"]) + (m["yy"] - s["q"]) * (m["yy"] - s["q"]) + (m["zz"] - s["q"]) * (m["zz"] - s["q"]) + 2 * (m["xy"] * m["xy"] + m["xz"] * m["xz"] + m["yz"] * m["yz"])) / 6, F.lit(0.0))),
-        ), lambda t: F.when(t["p"] <= 1e-12 * F.greatest(F.abs(t["q"]), F.lit(1e-30)), F.array(t["q"], t["q"], t["q"])).otherwise(roots(m, t))))
+        ), lambda t: F.when(t["p"] <= 1e-12 * F.greatest(F.abs(t["q"]), F.lit(1e-30)), F.array(t["q"], t["q"], t["q"])).otherwise(split(m, apart(m, t)))))
 
-    def roots(m: Column, t: Column) -> Column:
+    def apart(m: Column, t: Column) -> Column:
+        """The root farthest from the others: the greatest if the halved determinant of the scaled matrix is positive."""
         unit = _named(**{n: (m[n] - t["q"]) / t["p"] for n in ("xx", "yy", "zz")}, **{n: m[n] / t["p"] for n in ("xy", "xz", "yz")})
         half = lambda b: (b["xx"] * (b["yy"] * b["zz"] - b["yz"] * b["yz"]) - b["xy"] * (b["xy"] * b["zz"] - b["yz"] * b["xz"]) + b["xz"] * (b["xy"] * b["yz"] - b["yy"] * b["xz"])) / 2
-        angle = let(unit, lambda b: F.acos(F.greatest(F.least(half(b), F.lit(1.0)), F.lit(-1.0))) / 3)
-        ends = let(angle, lambda a: _named(first=t["q"] + 2 * t["p"] * F.cos(a), last=t["q"] + 2 * t["p"] * F.cos(a + 2 * 3.141592653589793 / 3)))
-        return let(ends, lambda e: F.array(e["first"], 3 * t["q"] - e["first"] - e["last"], e["last"]))
+        angle = lambda d: F.acos(F.greatest(F.least(d, F.lit(1.0)), F.lit(-1.0))) / 3
+        return let(let(unit, half), lambda d: t["q"] + 2 * t["p"] * F.cos(angle(d) + F.when(d >= 0, F.lit(0.0)).otherwise(F.lit(2 * 3.141592653589793 / 3))))
+
+    def split(m: Column, root: Column) -> Column:
+        form = lambda a, b: sum(m["".join(sorted(i + j))] * a[k] * b[n] for k, i in enumerate("xyz") for n, j in enumerate("xyz"))
+        axis = eigenvector(root, *(m[n] for n in ("xx", "xy", "xz", "yy", "yz", "zz")))
+
+        def across(v: Column) -> Column:
+            wide = F.abs(v[0]) > F.abs(v[1])
+            flat = F.sqrt(F.when(wide, v[0] * v[0]).otherwise(v[1] * v[1]) + v[2] * v[2])
+            return F.when(wide, F.array(-v[2] / flat, F.lit(0.0), v[0] / flat)).otherwise(F.array(F.lit(0.0), v[2] / flat, -v[1] / flat))
+
+        def both(v: Column, u: Column) -> Column:
+            w = F.array(v[1] * u[2] - v[2] * u[1], v[2] * u[0] - v[0] * u[2], v[0] * u[1] - v[1] * u[0])
+            return let(w, lambda w: let(_named(one=form(v, v), a=form(u, u), b=form(u, w), d=form(w, w)), lambda r: let(F.sqrt((r["a"] - r["d"]) * (r["a"] - r["d"]) / 4 + r["b"] * r["b"]), lambda h: F.sort_array(F.array(r["one"], (r["a"] + r["d"]) / 2 + h, (r["a"] + r["d"]) / 2 - h), asc=False))))
+
+        return let(axis, lambda v: let(across(v), lambda u: both(v, u)))
 
     return let(_named(xx=xx, xy=xy, xz=xz, yy=yy, yz=yz, zz=zz), scale)
 
@@ -47,6 +64,6 @@ def eigenvector(value: Column, xx: Column, xy: Column, xz: Column, yy: Column, y
             (a, b, c), (d, e, f) = rows[i], rows[j]
             cross.append(let(_named(x=b * f - c * e, y=c * d - a * f, z=a * e - b * d), lambda v: _named(n=v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"], x=v["x"], y=v["y"], z=v["z"])))
         axis = F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))
-        return let(F.array_max(F.array(*cross)), lambda v: F.when(v["n"] > 1e-36, F.array(*[v[k] / F.sqrt(v["n"]) for k in "xyz"])).otherwise(axis))
+        return let(F.array_max(F.array(*cross)), lambda v: F.when(v["n"] > 0, F.array(*[v[k] / F.sqrt(v["n"]) for k in "xyz"])).otherwise(axis))
 
     return let(value, lambda w: let(_named(a=xx - w, b=yy - w, c=zz - w, xy=xy, xz=xz, yz=yz), longest))

@@ -23,19 +23,24 @@ def stage_ratio(counts: DataFrame, a: str = "Nuclei", b: str = "Membrane") -> Da
 
 def regression(df: DataFrame, x: str, y: str, order: str, by: list[str]) -> DataFrame:
     """Ordinary least squares of y on x with its usual statistics: R2, adjusted R2, F, standard errors, t, Durbin-Watson
-    over rows in ``order`` and Jarque-Bera. Groups with fewer than three rows have null errors."""
+    over rows in ``order`` and Jarque-Bera. Groups with fewer than three rows have null errors. An exact fit, residuals of no
+    more than rounding, has errors of 0, and null where they would divide: F, t, Durbin-Watson and Jarque-Bera; a constant
+    x has no slope, and so no more than its count."""
     fit = df.groupBy(*by).agg(
         F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"),
-        F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.avg(x).alias("mx"),
+        F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
     )
-    res = df.join(fit, by).withColumn("e", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))
+    # Residuals below rounding of y are none.
+    exact = F.expr("syy * (1 - r2) <= 1e-24 * (n * my * my + syy)")
+    fit = fit.withColumn("r2", F.when(exact, F.lit(1.0)).otherwise(F.col("r2")))
+    res = df.join(fit, by).filter("r2 < 1 OR r2 IS NULL").withColumn("e", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))
     res = res.withColumn("d", F.col("e") - F.lag("e").over(W.partitionBy(*by).orderBy(order)))
-    tests = res.groupBy(*by).agg((F.sum(F.col("d") * F.col("d")) / F.sum(F.col("e") * F.col("e"))).alias("durbin_watson"), (F.count("*") / 6 * (F.pow(F.skewness("e"), F.lit(2)) + F.pow(F.kurtosis("e"), F.lit(2)) / 4)).alias("jarque_bera"))
-    full = fit.join(tests, by).withColumn("s2", F.when(F.col("n") > 2, F.col("syy") * (1 - F.col("r2")) / (F.col("n") - 2)))
+    tests = res.groupBy(*by).agg(F.try_divide(F.sum(F.col("d") * F.col("d")), F.sum(F.col("e") * F.col("e"))).alias("durbin_watson"), (F.count("*") / 6 * (F.pow(F.skewness("e"), F.lit(2)) + F.pow(F.kurtosis("e"), F.lit(2)) / 4)).alias("jarque_bera"))
+    full = fit.join(tests, by, "left").withColumn("s2", F.when(F.col("n") > 2, F.col("syy") * (1 - F.col("r2")) / (F.col("n") - 2)))
     return full.select(
         *by, "n", "slope", "intercept", "r2", F.expr("CASE WHEN n > 2 THEN 1 - (1 - r2) * (n - 1) / (n - 2) END").alias("adjusted_r2"),
-        F.expr("CASE WHEN n > 2 THEN slope * slope * sxx / s2 END").alias("f"), F.sqrt(F.col("s2") / F.col("sxx")).alias("slope_error"),
-        F.expr("sqrt(s2 * (1e0 / n + mx * mx / sxx))").alias("intercept_error"), F.expr("slope / sqrt(s2 / sxx)").alias("t"), "durbin_watson", "jarque_bera",
+        F.expr("CASE WHEN n > 2 THEN try_divide(slope * slope * sxx, s2) END").alias("f"), F.sqrt(F.try_divide("s2", "sxx")).alias("slope_error"),
+        F.expr("sqrt(s2 * (1e0 / n + try_divide(mx * mx, sxx)))").alias("intercept_error"), F.expr("try_divide(slope, sqrt(try_divide(s2, sxx)))").alias("t"), "durbin_watson", "jarque_bera",
     )
 
 

@@ -127,9 +127,9 @@ def axis_lengths(labels: DataFrame, by: list[str], label: str, spacing: tuple[fl
     pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
     cov = own.groupBy(*by, label).agg(*[F.covar_pop(a, b).alias(a + b) for a, b in pairs])
     values = eigenvalues(*(F.col(a + b) for a, b in pairs))
-    out = cov.select(*by, label, values.alias("e"))
-    length = [(4 * F.sqrt(F.greatest(F.col("e")[i], F.lit(0.0)))).alias(n) for i, n in enumerate(("major", "minor", "least"))]
-    ratio = lambda i: F.expr(f"CASE WHEN e[0] > 0 THEN sqrt(greatest(e[{i}], 0e0) / e[0]) ELSE 0e0 END")
+    out = cov.select(*by, label, values.alias("__e"))
+    length = [(4 * F.sqrt(F.greatest(F.col("__e")[i], F.lit(0.0)))).alias(n) for i, n in enumerate(("major", "minor", "least"))]
+    ratio = lambda i: F.expr(f"CASE WHEN __e[0] > 0 THEN sqrt(greatest(__e[{i}], 0e0) / __e[0]) ELSE 0e0 END")
     return out.select(*by, label, *length, ratio(1).alias("elongation"), ratio(2).alias("flatness"))
 
 
@@ -203,21 +203,21 @@ def voxel_components(labels: DataFrame, by: list[str], label: str, neighbours: i
     are linked, so the rounds run over a graph of runs with long ids instead of voxels."""
     work, reach = work or Workspace(labels.sparkSession), {6: 1, 18: 2, 26: 3}[neighbours]
     row = W.partitionBy(*by, "y", "z", label).orderBy("x")
-    own = labels.filter(F.col(label) != 0).select(*by, *AXES, label).withColumn("_g", F.col("x") - F.row_number().over(row))
-    runs = own.groupBy(*by, "y", "z", label, "_g").agg(F.min("x").alias("_a"), F.max("x").alias("_b"))
-    runs = work.write(runs.withColumn("node", F.monotonically_increasing_id()))
+    own = labels.filter(F.col(label) != 0).select(*by, *AXES, label).withColumn("__g", F.col("x") - F.row_number().over(row))
+    runs = own.groupBy(*by, "y", "z", label, "__g").agg(F.min("x").alias("__a"), F.max("x").alias("__b"))
+    runs = work.write(runs.withColumn("__node", F.monotonically_increasing_id()))
     rows = [(dy, dz, int(abs(dy) + abs(dz) < reach)) for dy, dz in ((0, 1), (1, -1), (1, 0), (1, 1)) if abs(dy) + abs(dz) <= reach]
     steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz"), F.lit(dx).alias("dx")) for dy, dz, dx in rows]))
     # Runs of a row meet by tiles of x, so a row of many short runs isn't compared with all of the next one.
-    tiles = lambda a, b: F.explode(F.expr(f"sequence(floor(({a}) / {RUN_TILE}), floor(({b}) / {RUN_TILE}))")).alias("_t")
-    moved = runs.withColumn("o", steps).select(*by, label, F.col("node").alias("u"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("z") + F.col("o.dz")).alias("z"), *[(F.col(c) + s * F.col("o.dx")).alias(f"_m{c}") for c, s in (("_a", -1), ("_b", 1))])
-    moved = moved.select("*", tiles("_m_a", "_m_b"))
-    near = runs.select(*by, label, "y", "z", "_a", "_b", F.col("node").alias("v"), tiles("_a", "_b"))
-    edges = moved.join(near, [*by, label, "y", "z", "_t"]).filter("_a <= _m_b AND _b >= _m_a").select("u", "v").distinct()
+    tiles = lambda a, b: F.explode(F.expr(f"sequence(floor(({a}) / {RUN_TILE}), floor(({b}) / {RUN_TILE}))")).alias("__t")
+    moved = runs.withColumn("__o", steps).select(*by, label, F.col("__node").alias("__u"), (F.col("y") + F.col("__o.dy")).alias("y"), (F.col("z") + F.col("__o.dz")).alias("z"), *[(F.col(c) + s * F.col("__o.dx")).alias(f"__m{c}") for c, s in (("__a", -1), ("__b", 1))])
+    moved = moved.select("*", tiles("__m__a", "__m__b"))
+    near = runs.select(*by, label, "y", "z", "__a", "__b", F.col("__node").alias("__v"), tiles("__a", "__b"))
+    edges = moved.join(near, [*by, label, "y", "z", "__t"]).filter("__a <= __m__b AND __b >= __m__a").select(F.col("__u").alias("u"), F.col("__v").alias("v")).distinct()
     comp = components(edges, work)
-    named = runs.join(comp, "node", "left").withColumn("_c", F.coalesce("component", "node")).drop("component")
-    least = named.groupBy("_c").agg(F.min(F.struct(*by, F.col("_a").alias("x"), "y", "z")).alias("component"))
-    return own.join(named.join(least, "_c").select(*by, "y", "z", label, "_g", "component"), [*by, "y", "z", label, "_g"]).select(*by, *AXES, label, "component")
+    named = runs.join(comp.select(F.col("node").alias("__node"), F.col("component").alias("__of")), "__node", "left").withColumn("__c", F.coalesce("__of", "__node"))
+    least = named.groupBy("__c").agg(F.min(F.struct(*by, F.col("__a").alias("x"), "y", "z")).alias("component"))
+    return own.join(named.join(least, "__c").select(*by, "y", "z", label, "__g", "component"), [*by, "y", "z", label, "__g"]).select(*by, *AXES, label, "component")
 
 
 #: Width of the tiles by which runs of neighbouring rows meet.

@@ -84,6 +84,14 @@ def dice_by_pred(overlap: DataFrame, by: list[str]) -> DataFrame:
     return by_prediction(overlap, by, missing=False).groupBy(*by).agg(F.avg("dice").alias("dice"))
 
 
+def _same(*names: str) -> Column:
+    """Whether columns equal those of the same name after two underscores; nulls equal each other."""
+    out: Column = F.lit(True)
+    for c in names:
+        out = out & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return out
+
+
 def segmentation_states(overlap: DataFrame, by: list[str], background: float = 0.6, least: float = 0.5, work: Workspace | None = None) -> DataFrame:
     """``side, label, state``: for every cell of either segmentation that is associated, the state of its group: correct,
     under_segmented, over_segmented, confused, background (a target on background) or missing (a reference on it).
@@ -91,19 +99,18 @@ def segmentation_states(overlap: DataFrame, by: list[str], background: float = 0
     Overlaps of at most ``least`` are ignored first, then cells that lie on background by more than ``background`` are
     set apart; of the rest each cell goes with the one that holds most of it, and components of these links are groups.
     """
-    key = F.concat_ws("|", *by)
     sides = {"target": ("pred", "gt", "pred_in_gt"), "reference": ("gt", "pred", "gt_in_pred")}
     links, alone = [], []
     for side, (own, other, share) in sides.items():
         some = overlap.filter((F.col(own) != 0) & (F.col(share) > least))
         bare = some.filter((F.col(other) == 0) & (F.col(share) > background)).select(*by, own)
         alone.append(bare.select(*by, F.lit(side).alias("side"), F.col(own).alias("label"), F.lit("background" if side == "target" else "missing").alias("state")))
-        rest = some.filter(F.col(other) != 0).join(bare, [*by, own], "left_anti")
+        rest = some.filter(F.col(other) != 0).join(bare.select(*[F.col(c).alias(f"__{c}") for c in (*by, own)]), _same(*by, own), "left_anti")
         links.append(best_match(rest, [*by, own], share, other).select(*by, "pred", "gt"))
     links = links[0].unionByName(links[1]).distinct()
 
     def node(side: str, label: str) -> Column:
-        return F.concat_ws("|", key, F.lit(side), F.lpad(F.col(label).cast("string"), 20, "0"))
+        return F.struct(*by, F.lit(side).alias("__side"), F.col(label).alias("__label"))
 
     edges = links.select(node("l", "pred").alias("u"), node("r", "gt").alias("v"))
     comp = components(edges, work)

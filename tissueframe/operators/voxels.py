@@ -291,9 +291,10 @@ def exposed_faces(labels: DataFrame, by: list[str], label: str) -> DataFrame:
     own = labels.filter(F.col(label) != 0).select(*by, *AXES, label)
     sides = [(a, s) for a in AXES for s in (-1, 1)]
     steps = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(s).alias("side")) for a, s in sides])
-    seen = own.withColumn("s", F.explode(steps)).select(*by, label, *[(F.col(a) + F.when(F.col("s.axis") == a, F.col("s.side")).otherwise(0)).alias(a) for a in AXES], F.col("s.axis").alias("axis"), F.col("s.side").alias("side"))
-    bare = seen.join(own, [*by, label, *AXES], "left_anti")
-    return bare.select(*by, label, *[(F.col(a) - F.when(F.col("axis") == a, F.col("side")).otherwise(0)).alias(a) for a in AXES], "axis", "side")
+    step = lambda a, sign: F.when(F.col("__s.axis") == a, sign * F.col("__s.side")).otherwise(0)
+    seen = own.withColumn("__s", F.explode(steps)).withColumns({a: F.col(a) + step(a, 1) for a in AXES})
+    bare = seen.join(own, [*by, label, *AXES], "left_anti").withColumns({a: F.col(a) + step(a, -1) for a in AXES})
+    return bare.select(*by, label, *AXES, "__s.axis", "__s.side")
 
 
 def depth_correction(df: DataFrame, params: DataFrame, by: list[str], z_ref: float = 0.0, value: str = "intensity") -> DataFrame:
