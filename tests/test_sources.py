@@ -69,3 +69,55 @@ def test_hexadecimal_floats(spark):
     assert all(r.back == r.v for r in rows) and all(float.fromhex(r.t) == r.v for r in rows if r.v is not None)
     other = spark.createDataFrame([(v.hex(), v) for v in values] + [("0x1p-2", 0.25), ("x", None), ("-0x0.8p+1", -1.0)], "t string, v double")
     assert all(r.b == r.v for r in other.select("v", files.from_hex(F.col("t")).alias("b")).collect())
+
+
+def test_one_image_is_read_by_several_tasks_and_filters_skip_slabs(spark, tmp_path):
+    """Plain, indexed and foreign gzip images: equal rows however they are cut, and only slabs that a box meets."""
+    from tissueframe.sources import volumes
+
+    volume = np.random.default_rng(2).integers(0, 9, (7, 5, 40)).astype("<i2")
+    raw = files.nifti_bytes(volume, (0.5, 0.5, 1.0))
+    flat = 7 * 5 * 2
+    (tmp_path / "plain.nii").write_bytes(raw)
+    (tmp_path / "foreign.nii.gz").write_bytes(gzip.compress(raw))
+    (tmp_path / "cut.nii.gz").write_bytes(b"".join(volumes.member(raw[(352 + k * flat if k else 0) : 352 + (k + 8) * flat], k, 8) for k in range(0, 40, 8)))
+    assert gzip.decompress((tmp_path / "cut.nii.gz").read_bytes()) == raw
+    want = {(x, y, z, float(volume[x, y, z])) for x in range(7) for y in range(5) for z in range(40)}
+    for name, parts in (("plain.nii", 10), ("foreign.nii.gz", 1), ("cut.nii.gz", 5)):
+        df = files.read_nifti(spark, f"{tmp_path}/{name}", part_bytes=4 * flat)
+        assert df.rdd.getNumPartitions() == parts
+        assert {tuple(r)[1:] for r in df.collect()} == want
+        box = df.filter("z >= 9 AND z < 15 AND x > 2 AND y = 3 AND intensity > 4")
+        assert {tuple(r)[1:] for r in box.collect()} == {v for v in want if 9 <= v[2] < 15 and v[0] > 2 and v[1] == 3 and v[3] > 4}
+        assert box.rdd.getNumPartitions() <= (1 if parts == 1 else 3)
+        assert files.read_nifti(spark, f"{tmp_path}/{name}").filter("z > 99").count() == 0
+        swapped = files.read_nifti(spark, f"{tmp_path}/{name}", axes="ZYX", part_bytes=4 * flat).filter("x BETWEEN 38 AND 50")
+        assert {tuple(r)[1:] for r in swapped.collect()} == {(z, y, x, v) for x, y, z, v in want if z >= 38}
+    every = files.read_nifti(spark, str(tmp_path))
+    assert every.count() == 3 * len(want) and every.filter(f"path = '{tmp_path}/cut.nii.gz' AND z = 0").count() == 35
+    assert files.volume_metadata(spark, f"{tmp_path}/*.nii*").count() == 3
+
+
+def test_slabs_are_committed_as_images(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = list({(s, int(x), int(y), int(z)): (s, int(x), int(y), int(z), float(v)) for s in (1, 2) for x, y, z, v in zip(rng.integers(3, 9, 60), rng.integers(5, 8, 60), rng.integers(-3, 40, 60), 1 + rng.random(60))}.values())
+    df = spark.createDataFrame(rows, "specimen long, x long, y long, z long, intensity double")
+    files.write_slabs(df, "specimen", f"file://{tmp_path}/v", slab_bytes=2000)
+    names = sorted(p.name for p in (tmp_path / "v").iterdir())
+    assert len(names) > 6 and all(n.startswith("volume_") for n in names)
+    back = files.read_nifti(spark, f"file://{tmp_path}/v", placed=True).filter("intensity <> 0").collect()
+    assert {(int(r.path.rsplit("volume_", 1)[1].split("_")[0]), r.x, r.y, r.z, r.intensity) for r in back} == set(rows)
+    files.write_slabs(df.filter("specimen = 1"), "specimen", f"file://{tmp_path}/v", mode="overwrite")
+    assert {n.name.split("_")[1] for n in (tmp_path / "v").iterdir()} == {"1"}
+
+
+def test_writer_leaves_nothing_of_a_failed_attempt(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tissueframe.sources import volumes
+
+    volumes.register(spark)
+    bad = spark.range(0, 8, 1, 4).select(F.concat(F.lit("n"), "id").alias("name"), F.when(F.col("id") == 7, F.expr("cast(raise_error('stop') AS binary)")).otherwise(F.lit(b"x")).alias("content"))
+    with pytest.raises(Exception, match="stop"):
+        bad.write.format("nifti").mode("append").save(f"file://{tmp_path}/w")
+    assert not [p for p in tmp_path.glob("w/*") if not p.name.startswith(".")]

@@ -33,6 +33,15 @@ def _(d):
     return m.select(F.regexp_extract("path", r"volume_(\d+)", 1).cast("long").alias("specimen"), "x_size", "y_size", "z_size", "x_res", "y_res", "z_res", F.round(F.col("affine")[2][3], 4).alias("z_place"))
 
 
+@query("nifti_box", f"WITH {FRAME} SELECT f.specimen, f.x, f.y, f.z, coalesce(v.intensity, 0e0) AS intensity FROM f LEFT JOIN fx_volume v ON v.specimen = f.specimen AND v.x = f.x AND v.y = f.y AND v.z = f.z WHERE f.z >= 5 AND f.z < 19 AND f.x > 2 AND f.y <= 20")
+def _(d):
+    """Slabs as images of their own, and a box of all of them: the filter reaches the scan, which skips slabs and slices."""
+    folder = Workspace(d.spark).path("slabs")
+    S.write_slabs(d.fx_volume, "specimen", folder, (0.38, 0.38, 0.5), slab_bytes=40_000)
+    box = S.read_nifti(d.spark, folder, placed=True).filter("z >= 5 AND z < 19 AND x > 2 AND y <= 20")
+    return box.select(F.regexp_extract("path", r"volume_(\d+)_z", 1).cast("long").alias("specimen"), "x", "y", "z", "intensity")
+
+
 STORED = "SELECT specimen, max(x) + 1 AS x_size, max(y) + 1 AS y_size, 38e-2 + specimen % 3 / 1e2 AS x_res FROM fx_volume GROUP BY specimen"
 
 

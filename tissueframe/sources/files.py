@@ -1,102 +1,44 @@
 """File formats of imaging and meshes: NIfTI volumes, text PLY, surface maps, landmarks, training histories, CSV tables.
 
-Binary files come through Spark's own binaryFile source, so any store that Spark reads will do; text goes through the
-text source and stays in columns.
+Images come through the data source of ``volumes``, or through Spark's own binaryFile source from a store that only Spark
+opens; text goes through the text source and stays in columns.
 """
 
 from __future__ import annotations
 
-import gzip
-import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed values of the NIfTI-1 format: sample types by code.
-TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
-CODES = {v: k for k, v in TYPES.items()}
+from . import volumes
+from .nifti import HEAD, nifti_bytes, nifti_head, nifti_header, unpacked
 
+__all__ = ["nifti_bytes", "nifti_head", "nifti_header"]
 
 # --- NIfTI -----------------------------------------------------------------------------------------
 
-def nifti_head(shape: tuple[int, int, int], kind: str, spacing: tuple[float, float, float], origin: tuple[int, int, int] = (0, 0, 0)) -> bytes:
-    """The 352 bytes before the samples of a single-file NIfTI-1 image; the affine scales by the spacing and moves the
-    first voxel to ``origin``."""
-    head = bytearray(352)
-    struct.pack_into("<i", head, 0, 348)
-    struct.pack_into("<8h", head, 40, 3, *shape, 1, 1, 1, 1)
-    struct.pack_into("<2h", head, 70, CODES[kind], np.dtype(kind).itemsize * 8)
-    struct.pack_into("<8f", head, 76, 1.0, *spacing, 0, 0, 0, 0)
-    struct.pack_into("<3f", head, 108, 352.0, 1.0, 0.0)
-    for row in range(3):
-        struct.pack_into("<4f", head, 280 + 16 * row, *[spacing[row] if c == row else 0.0 for c in range(3)], spacing[row] * origin[row])
-    head[344:348] = b"n+1\0"
-    return bytes(head)
-
-
-def nifti_bytes(volume: np.ndarray, spacing: tuple[float, float, float]) -> bytes:
-    """A single-file NIfTI-1 image of an x, y, z array."""
-    return nifti_head(volume.shape, volume.dtype.str[1:], spacing) + volume.astype(volume.dtype.newbyteorder("<")).tobytes(order="F")
-
-
-def nifti_header(raw: bytes) -> dict:
-    """Sizes, sample type, spacing rounded to six digits, scale and affine; ValueError for anything else."""
-    if len(raw) < 348 or raw[344:347] not in (b"n+1", b"ni1"):
-        raise ValueError("not a NIfTI-1 file")
-    order = "<" if struct.unpack_from("<i", raw, 0)[0] == 348 else ">"
-    dim = struct.unpack_from(order + "8h", raw, 40)
-    code = struct.unpack_from(order + "h", raw, 70)[0]
-    if code not in TYPES:
-        raise ValueError(f"sample type {code} isn't supported")
-    shape = tuple(max(1, d) for d in dim[1 : dim[0] + 1]) + (1,) * max(0, 4 - dim[0])
-    slope, inter = struct.unpack_from(order + "2f", raw, 112)
-    return {
-        "shape": shape[:4], "dtype": np.dtype(order + TYPES[code]), "spacing": [round(x, 6) for x in struct.unpack_from(order + "8f", raw, 76)[1:4]], "offset": int(struct.unpack_from(order + "f", raw, 108)[0]),
-        "slope": slope or 1.0, "inter": inter if slope else 0.0, "affine": [list(struct.unpack_from(order + "4f", raw, 280 + 16 * r)) for r in range(3)] + [[0.0, 0.0, 0.0, 1.0]],
-        "origin": [round(struct.unpack_from(order + "f", raw, 292 + 16 * r)[0] / (struct.unpack_from(order + "f", raw, 80 + 4 * r)[0] or 1.0)) for r in range(3)],
-    }
-
-
-def _plain(raw: bytes, most: int | None = None) -> bytes:
-    if raw[:2] != b"\x1f\x8b":
-        return raw
-    import zlib
-
-    return zlib.decompressobj(31).decompress(raw, most) if most else gzip.decompress(raw)
-
-
-def _unpacked(raw: bytes, step: int = 4 << 20) -> Iterator[bytes]:
-    """A file's bytes piece by piece, unpacked if they are gzip members."""
-    if raw[:2] != b"\x1f\x8b":
-        yield raw
-        return
-    import zlib
-
-    while raw:
-        tool, data = zlib.decompressobj(31), raw
-        while not tool.eof:
-            out = tool.decompress(data, step)
-            if not out and not tool.unconsumed_tail and not tool.eof:
-                raise ValueError("gzip member is cut off")
-            yield out
-            data = tool.unconsumed_tail
-        raw = tool.unused_data
-
-
-def read_nifti(spark: SparkSession, path: str, axes: str = "XYZ", placed: bool = False) -> DataFrame:
+def read_nifti(spark: SparkSession, path: str, axes: str = "XYZ", placed: bool = False, part_bytes: int = volumes.PART_BYTES) -> DataFrame:
     """``path, x, y, z, intensity`` of every voxel of the images under a path or glob; of 4-D images the first channel.
     ``axes`` names the logical axis that each stored one holds. Voxels count from 0, or, if ``placed``, from the place of
-    the first one by the affine. A file is unpacked slice by slice: a task holds its packed bytes and one slice."""
+    the first one by the affine. Tasks read slabs of ``part_bytes`` by byte ranges, and filters on x, y, z and path reach
+    them (see ``volumes``). From a store that only Spark's readers open, a file is one task's, slice by slice."""
+    if volumes.reachable(path):
+        volumes.register(spark)
+        return spark.read.format("nifti").option("axes", axes).option("placed", str(placed)).option("partBytes", part_bytes).load(path)
     names = [a.lower() for a in axes]
 
     def one(content: bytes) -> Iterator[list[pa.Array]]:
-        pieces, held = _unpacked(content), bytearray()
+        h = _header(content)
+        nx, ny, nz, _ = h["shape"]
+        file = pa.BufferReader(content)
+        pieces, held = unpacked(file) if content[:2] == b"\x1f\x8b" else iter([content]), bytearray()
 
         def take(n: int) -> bytes:
             while len(held) < n:
@@ -105,10 +47,7 @@ def read_nifti(spark: SparkSession, path: str, axes: str = "XYZ", placed: bool =
             del held[:n]
             return out
 
-        head = take(348)
-        h = nifti_header(head)
-        take(h["offset"] - 348)
-        nx, ny, nz, _ = h["shape"]
+        take(h["offset"])
         slab, (ox, oy, oz) = nx * ny, h["origin"] if placed else (0, 0, 0)
         grid = {names[0]: np.tile(np.arange(nx), ny) + ox, names[1]: np.repeat(np.arange(ny), nx) + oy}
         for k in range(nz):
@@ -130,12 +69,20 @@ def _cut_off() -> bytes:
     raise ValueError("the image is cut off")
 
 
+def _header(content: bytes) -> dict:
+    return nifti_header(zlib.decompressobj(31).decompress(content, HEAD) if content[:2] == b"\x1f\x8b" else content)
+
+
 def volume_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Sizes, spacing and affine from the headers alone."""
+    """Sizes, spacing and affine from the headers alone: the first bytes of each file are read, and no samples. (From a
+    store that only Spark's readers open, whole files are.)"""
+    if volumes.reachable(path):
+        volumes.register(spark)
+        return spark.read.format("nifti_header").load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [nifti_header(_plain(c, 348)) for c in batch.column("content").to_pylist()]
+            rows = [_header(c) for c in batch.column("content").to_pylist()]
             size = [pa.array([h["shape"][k] for h in rows], pa.int32()) for k in range(3)]
             res = [pa.array([h["spacing"][k] for h in rows], pa.float64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("path"), *size, *res, pa.array([h["affine"] for h in rows], pa.list_(pa.list_(pa.float64())))], ["path", "x_size", "y_size", "z_size", "x_res", "y_res", "z_res", "affine"])
@@ -144,28 +91,49 @@ def volume_metadata(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "path string, x_size int, y_size int, z_size int, x_res double, y_res double, z_res double, affine array<array<double>>")
 
 
+def _packed(df: DataFrame, by: str, spacing: tuple[float, float, float], value: str, slab_bytes: int, alone: bool) -> DataFrame:
+    """``by, k, first, member``: slabs of about ``slab_bytes`` as gzip members; an image of its own each if ``alone``."""
+    ends = df.groupBy(by).agg(*[F.min(a).cast("long").alias(f"_o{a}") for a in "xyz"], *[(F.max(a) - F.min(a) + 1).cast("long").alias(f"_n{a}") for a in "xyz"])
+    ends = ends.withColumn("_d", F.greatest(F.lit(1), F.floor(F.lit(slab_bytes) / (8 * F.col("_nx") * F.col("_ny")))))
+    size = [f"_{k}{a}" for k in "on" for a in "xyz"] + ["_d"]
+    # Every slab has a row that tells its frame, so that one of zeros is written too; voxels carry a place and a value.
+    frame = ends.select(by, F.explode(F.expr("sequence(0L, (_nz - 1) div _d)")).alias("_k"), F.lit(None).cast("long").alias("_p"), F.lit(None).cast("double").alias("_v"), F.concat_ws(",", *size).alias("_f"))
+    rows = df.select(by, *[F.col(a).cast("long").alias(a) for a in "xyz"], F.col(value).cast("double").alias("_v")).join(ends, by).withColumn("_k", F.expr("(z - _oz) div _d"))
+    rows = rows.select(by, "_k", F.expr("((z - _oz - _k * _d) * _ny + y - _oy) * _nx + x - _ox").alias("_p"), "_v", F.lit(None).cast("string").alias("_f"))
+    kind = df.schema[by].dataType.simpleString()
+
+    def pack(group: pa.Table) -> pa.Table:
+        whole = pc.equal(group.column("_p").is_valid(), False)
+        ox, oy, oz, nx, ny, nz, d = map(int, group.filter(whole).column("_f")[0].as_py().split(","))
+        own = group.filter(pc.invert(whole))
+        k = group.column("_k")[0].as_py()
+        deep = min(d, nz - k * d)
+        slab = np.zeros(nx * ny * deep, "<f8")
+        slab[own.column("_p").to_numpy()] = own.column("_v").to_numpy()
+        shape, place = ((nx, ny, deep), oz + k * d) if alone else ((nx, ny, nz), oz)
+        head = nifti_head(shape, "f8", spacing, (ox, oy, place)) if alone or k == 0 else b""
+        packed = volumes.member(head + slab.tobytes(), 0 if alone else k * d, deep)
+        return pa.table({by: group.column(by).slice(0, 1), "k": [k], "first": [oz + k * d], "member": [packed]})
+
+    return rows.unionByName(frame).groupBy(by, "_k").applyInArrow(pack, f"`{by}` {kind}, k long, first long, member binary")
+
+
+def write_slabs(df: DataFrame, by: str, path: str, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), value: str = "intensity", slab_bytes: int = 32 << 20, mode: str = "append") -> None:
+    """Each slab of each volume as an image of its own below ``path``, ``volume_<by>_z<first slice>.nii.gz``, whose affine
+    tells its place: ``read_nifti(..., placed=True)`` of the folder gives the volumes again. Files appear with the commit."""
+    volumes.register(df.sparkSession)
+    slabs = _packed(df, by, spacing, value, slab_bytes, True)
+    named = slabs.select(F.format_string("volume_%s_z%s.nii.gz", F.col(by).cast("string"), F.col("first").cast("string")).alias("name"), F.col("member").alias("content"))
+    named.write.format("nifti").mode(mode).save(path)
+
+
 def write_nifti(df: DataFrame, by: str, path: str, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), value: str = "intensity", slab_bytes: int = 32 << 20) -> DataFrame:
     """Each volume of ``df(by, x, y, z, value)`` as a file below ``path``, a folder that all executors reach; returns
     ``by, path, bytes``. The frame ends at the outermost voxels of each volume, 0 where there is none; the affine tells
     its place. Slabs of slices of about ``slab_bytes`` are packed side by side, each a gzip member; a task then appends
     a file's members one after the other, to a temporary name first, and holds one at a time."""
-    ends = df.groupBy(by).agg(*[F.min(a).cast("long").alias(f"_o{a}") for a in "xyz"], *[(F.max(a) - F.min(a) + 1).cast("long").alias(f"_n{a}") for a in "xyz"])
-    ends = ends.withColumn("_d", F.greatest(F.lit(1), F.floor(F.lit(slab_bytes) / (8 * F.col("_nx") * F.col("_ny")))))
-    size = [f"_{k}{a}" for k in "on" for a in "xyz"]
-    # Every slab has a row without a voxel, so that one of zeros is written too.
-    blank = ends.select(by, *size, "_d", F.explode(F.expr("sequence(0L, (_nz - 1) div _d)")).alias("_k"), *[F.lit(None).cast("long").alias(a) for a in "xyz"], F.lit(None).cast("double").alias(value))
-    rows = df.select(by, *[F.col(a).cast("long").alias(a) for a in "xyz"], F.col(value).cast("double").alias(value)).join(ends, by).withColumn("_k", F.expr("(z - _oz) div _d"))
     kind = df.schema[by].dataType.simpleString()
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        ox, oy, oz, nx, ny, nz, d, k = (int(first[c]) for c in (*size, "_d", "_k"))
-        own = group.dropna(subset=["x"])
-        slab = np.zeros((nx, ny, min(d, nz - k * d)))
-        slab[own["x"].to_numpy(int) - ox, own["y"].to_numpy(int) - oy, own["z"].to_numpy(int) - oz - k * d] = own[value]
-        head = nifti_head((nx, ny, nz), "f8", spacing, (ox, oy, oz)) if k == 0 else b""
-        return pd.DataFrame({by: [first[by]], "k": [k], "member": [gzip.compress(head + slab.astype("<f8").tobytes(order="F"), 4, mtime=0)]})
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(base, recursive=True)
@@ -191,7 +159,7 @@ def write_nifti(df: DataFrame, by: str, path: str, spacing: tuple[float, float,
         if out is not None:
             yield close()
 
-    members = rows.select(by, "_k", *size, "_d", *"xyz", value).unionByName(blank).groupBy(by, "_k").applyInPandas(pack, f"`{by}` {kind}, k long, member binary")
+    members = _packed(df, by, spacing, value, slab_bytes, False).select(by, "k", "member")
     return members.repartition(by).sortWithinPartitions(by, "k").mapInArrow(write, f"`{by}` {kind}, path string, bytes long")
 
 
