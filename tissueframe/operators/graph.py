@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..workspace import Workspace
@@ -50,6 +51,42 @@ def components(edges: DataFrame, work: Workspace | None = None) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, by: list[str], order: list[str | Column], name: str, work: Workspace | None = None) -> DataFrame:
+    """``df`` with ``name``: 1, 2, ... in an order within each group, in two levels, so that no task holds a group: rows
+    are sorted in ranges, and a range's rows of a group go on from those of the ranges before it."""
+    work = work or Workspace(df.sparkSession)
+    rows = work.write(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__part", F.shiftright("__at", 33))
+    parts = rows.groupBy(*by, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__c"))
+    parts = parts.withColumn("__before", F.sum("__c").over(W.partitionBy(*by).orderBy("__part")) - F.col("__c")).drop("__c")
+    return rows.join(parts, [*by, "__part"]).withColumn(name, F.col("__before") + F.col("__at") - F.col("__first") + 1).select(*df.columns, name)
+
+
+def greedy_matching(edges: DataFrame, by: list[str], work: Workspace | None = None) -> DataFrame:
+    """``by, a, b``: the pairs that a walk through the ``a`` of ``edges(by, a, b, weight)`` in rising order makes, each ``a``
+    with the heaviest ``b`` (the lower, of equals) if both are in no pair yet. A node may be on either side; where both
+    ends of an edge may ask, it has to be there in both directions.
+
+    The walk runs in rounds: an ``a`` decides once no lower one that is left touches it or one of its ends. Rounds follow
+    the longest row of rising neighbours, not the number of nodes; only edges between nodes that are left go on."""
+    work = work or Workspace(edges.sparkSession)
+    left, done = work.write(edges.select(*by, "a", "b", "weight")), None
+    while not left.isEmpty():
+        touch = left.select(*by, "a", F.col("b").alias("node")).unionByName(left.select(*by, "a", F.col("a").alias("node")).distinct())
+        low = touch.groupBy(*by, "node").agg(F.min("a").alias("low"))
+        held = touch.join(low, [*by, "node"]).groupBy(*by, "a").agg(F.min("low").alias("low")).filter("low = a").select(*by, "a")
+        best = left.join(held, [*by, "a"]).groupBy(*by, "a").agg(F.max(F.struct("weight", (-F.col("b")).alias("b"))).alias("t"))
+        pairs = work.write(best.select(*by, "a", (-F.col("t.b")).alias("b")))
+        taken = pairs.select(*by, F.explode(F.array("a", "b")).alias("node"))
+        old, left = left, left
+        for end in ("a", "b"):
+            left = left.join(taken.withColumnRenamed("node", end), [*by, end], "left_anti")
+        left = work.write(left)
+        work.drop(old)
+        done = pairs if done is None else done.unionByName(pairs)
+    return done if done is not None else left.select(*by, "a", "b")
+
+
 def bounded_paths(seeds: DataFrame, edges: DataFrame, radius: float, work: Workspace | None = None) -> DataFrame:
     """``seed, node, dist`` of all nodes within ``radius`` of each seed along ``edges(src, dst, w)``, the seed included.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linalg import eigenvalues
 from ..workspace import Workspace
-from .graph import components
+from .graph import components, greedy_matching, numbered
 from .scoring import best_match
 from .voxels import AXES, dilate, exposed_faces, opening
 
@@ -298,30 +298,42 @@ def clean_closing(labels: DataFrame, by: list[str], label: str, erosion_radius:
     return shrink(grow(labels, by, label, dilation_radius, sizes), by, label, erosion_radius, sizes)
 
 
-def split_components(labels: DataFrame, by: list[str], label: str, least: int = 20, neighbours: int = 6, work: Workspace | None = None) -> DataFrame:
+def split_components(labels: DataFrame, by: list[str], label: str, least: int = 500, neighbours: int = 18, work: Workspace | None = None) -> DataFrame:
     """Components of at least ``least`` voxels with labels 1, 2, ... of their own, in the order of old label and place."""
-    comp = voxel_components(labels, by, label, neighbours, work)
-    sizes = comp.groupBy(*by, label, "component").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    new = sizes.withColumn("new", F.row_number().over(W.partitionBy(*by).orderBy(label, "component")).cast("long"))
-    return comp.join(new.select("component", "new"), "component").select(*by, *AXES, F.col("new").alias(label))
-
-
-def merge_small(labels: DataFrame, by: list[str], label: str, least: int = 500, radius: int = 9) -> DataFrame:
-    """Regions smaller than ``least`` take the label of the largest region with a voxel within ``radius``, all at once on
-    the old labels; of equals, the lower label. Surface voxels meet by tile."""
-    sizes = label_sizes(labels, by, label)
-    skin = surface_voxels(labels, by, label)
-    tile = radius + 1
-    small = skin.join(sizes.filter(F.col("volume") < least).select(*by, label), [*by, label], "left_semi")
-    near = small
+    work = work or Workspace(labels.sparkSession)
+    comp = work.write(voxel_components(labels, by, label, neighbours, work))
+    sizes = comp.groupBy(*by, label, "component").agg(F.count("*").alias("__n")).filter(F.col("__n") >= least)
+    new = numbered(sizes.drop("__n"), by, [label, "component"], "__new", work)
+    return comp.join(new.select("component", "__new"), "component").select(*by, *AXES, F.col("__new").alias(label))
+
+
+def touching(labels: DataFrame, by: list[str], label: str, radius: int, some: DataFrame) -> DataFrame:
+    """``by, a, b``: pairs of regions of which ``a`` is in ``some(by, label)`` and that have voxels within ``radius`` of
+    each other. Surface voxels meet by tile."""
+    skin, tile = surface_voxels(labels, by, label), radius + 1
+    near = skin.join(some, [*by, label], "left_semi")
     for a in AXES:
-        near = near.withColumn(f"_t{a}", F.explode(F.expr(f"sequence(({a} - {radius}) div {tile} - int({a} < {radius}), ({a} + {radius}) div {tile})")))
-    other = skin.select(*by, F.col(label).alias("_l"), *[F.col(a).alias(f"_{a}") for a in AXES], *[F.expr(f"{a} div {tile}").alias(f"_t{a}") for a in AXES])
-    close = sum((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in AXES) <= radius * radius
-    pairs = near.join(other, [*by, "_tx", "_ty", "_tz"]).filter((F.col("_l") != F.col(label)) & close).select(*by, label, "_l").distinct()
-    ranked = pairs.join(sizes.withColumnRenamed(label, "_l"), [*by, "_l"])
-    to = best_match(ranked, [*by, label], "volume", "_l").select(*by, F.col(label).alias("label"), F.col("_l").alias("new"))
-    return relabel(labels, to, label, keep=True, by=by)
+        near = near.withColumn(f"__t{a}", F.explode(F.expr(f"sequence(cast(floor(({a} - {radius}) / {tile}) AS long), cast(floor(({a} + {radius}) / {tile}) AS long))")))
+    other = skin.select(*by, F.col(label).alias("__b"), *[F.col(a).alias(f"__{a}") for a in AXES], *[F.expr(f"cast(floor({a} / {tile}) AS long)").alias(f"__t{a}") for a in AXES])
+    close = sum((F.col(a) - F.col(f"__{a}")) * (F.col(a) - F.col(f"__{a}")) for a in AXES) <= radius * radius
+    pairs = near.join(other, [*by, *[f"__t{a}" for a in AXES]]).filter((F.col("__b") != F.col(label)) & close)
+    return pairs.select(*by, F.col(label).alias("a"), F.col("__b").alias("b")).distinct()
+
+
+def merge_small(labels: DataFrame, by: list[str], label: str, least: int = 500, radius: int = 9, neighbours: int = 18, work: Workspace | None = None) -> DataFrame:
+    """Regions, the components of equal labels, numbered 1, 2, ... by their first voxel; one smaller than ``least`` takes
+    the number of the largest region with a voxel within ``radius``, the lower of equals. Small regions choose in the
+    order of their numbers, and a region takes part in one merge at most."""
+    work = work or Workspace(labels.sparkSession)
+    comp = work.write(voxel_components(labels, by, label, neighbours, work))
+    regions = comp.groupBy(*by, "component").agg(F.count("*").alias("__size"))
+    regions = work.write(numbered(regions, by, ["component"], "__region", work))
+    placed = work.write(comp.join(regions.select("component", "__region"), "component").select(*by, *AXES, "__region"))
+    sizes = regions.select(*by, F.col("__region").alias("b"), F.col("__size").alias("weight"))
+    pairs = touching(placed, by, "__region", radius, regions.filter(F.col("__size") < least).select(*by, "__region"))
+    merged = greedy_matching(pairs.join(sizes, [*by, "b"]), by, work).select(*by, F.col("a").alias("__region"), F.col("b").alias("__to"))
+    out = placed.join(merged, [*by, "__region"], "left")
+    return out.select(*by, *AXES, F.coalesce("__to", "__region").alias(label))
 
 
 def slice_links(labels: DataFrame, by: list[str], label: str, distance: float = 5.0) -> DataFrame:
@@ -337,13 +349,15 @@ def slice_links(labels: DataFrame, by: list[str], label: str, distance: float =
 
 def link_slices(labels: DataFrame, by: list[str], label: str, distance: float = 5.0, work: Workspace | None = None) -> DataFrame:
     """2-D cells of neighbouring slices joined into 3-D cells, numbered 1, 2, ... by their first slice and label."""
+    work = work or Workspace(labels.sparkSession)
     links = slice_links(labels, by, label, distance)
     node = lambda z, lab: F.struct(*by, F.expr(z).alias("z"), F.col(lab).alias("l"))
     comp = components(links.select(node("z", label).alias("u"), node("z + 1", "next_label").alias("v")), work)
     cells = labels.filter(F.col(label) != 0).select(*by, "z", label).distinct().withColumn("node", node("z", label))
-    named = cells.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = named.withColumn("new", F.dense_rank().over(W.partitionBy(*by).orderBy("component")).cast("long")).select(*by, "z", label, "new")
-    return labels.join(named, [*by, "z", label]).drop(label).withColumnRenamed("new", label)
+    named = work.write(cells.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"))
+    new = numbered(named.select(*by, "component").distinct(), by, ["component"], "__new", work)
+    named = named.join(new.select("component", "__new"), "component").select(*by, "z", label, "__new")
+    return labels.join(named, [*by, "z", label]).drop(label).withColumnRenamed("__new", label)
 
 
 #: Named steps of post-processing.
@@ -353,11 +367,14 @@ STEPS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def postprocess(labels: DataFrame, steps: list[str], **options: object) -> DataFrame:
-    """Named steps in order; each takes those of the options that it knows."""
-    for name in steps:
+def postprocess(labels: DataFrame, steps: list[str | tuple[str, dict[str, object]]], **options: object) -> DataFrame:
+    """Named steps in order; each takes those of the options that it knows, and those given with its name before them."""
+    for step in steps:
+        name, own = (step, {}) if isinstance(step, str) else step
         if name not in STEPS:
             raise ValueError(f"unknown step {name}; known: {', '.join(STEPS)}")
         known = inspect.signature(STEPS[name]).parameters
-        labels = labels.transform(STEPS[name], **{k: v for k, v in options.items() if k in known})
+        if unknown := set(own) - set(known):
+            raise ValueError(f"{name} takes no {', '.join(sorted(unknown))}")
+        labels = labels.transform(STEPS[name], **{k: v for k, v in (options | own).items() if k in known})
     return labels

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import labels as L
+from ..workspace import Workspace
 from .registry import eigen_sql, query
 from .voxels import r6
 
@@ -230,26 +231,78 @@ def _(d):
     return raised(d, L.clean_closing(d.sql(LOWERED), BY, "gt", 1, 1, d.sql(FRAME)))
 
 
-SPLIT = "s AS (SELECT specimen, lab, c, count(*) AS n FROM cv GROUP BY 1, 2, 3 HAVING count(*) >= 20), b AS (SELECT c, row_number() OVER (PARTITION BY specimen ORDER BY lab, c) AS new FROM s)"
+def comp_sql(p: str, src: str, near: int) -> str:
+    """Common table expressions whose names start with ``p``, the last being ``{p}cv``: voxels of ``src(specimen, x, y, z,
+    lab)`` with their component c, numbered over all volumes by first voxel; 6 or 18 neighbours."""
+    step = "abs(b.x-a.x) + abs(b.y-a.y) + abs(b.z-a.z) = 1" if near == 6 else "abs(b.y-a.y) <= 1 AND abs(b.z-a.z) <= 1 AND abs(b.x-a.x) + abs(b.y-a.y) + abs(b.z-a.z) BETWEEN 1 AND 2"
+    return f"""{p}own AS MATERIALIZED (SELECT row_number() OVER (ORDER BY specimen, x, y, z) AS k, * FROM (SELECT specimen, x, y, z, lab FROM {src} WHERE lab <> 0) t),
+{p}adj AS MATERIALIZED (SELECT a.k AS u, b.k AS v FROM {p}own a JOIN {p}own b ON b.specimen = a.specimen AND b.lab = a.lab AND b.x BETWEEN a.x-1 AND a.x+1 AND {step}),
+{p}reach AS (SELECT k AS node, k AS seen FROM {p}own UNION SELECT r.node, j.v FROM {p}reach r JOIN {p}adj j ON j.u = r.seen),
+{p}cv AS MATERIALIZED (SELECT o.specimen, o.x, o.y, o.z, o.lab, c FROM {p}own o JOIN (SELECT node, min(seen) AS c FROM {p}reach GROUP BY 1) m ON m.node = o.k)"""
 
 
-@query("split_components", f"WITH {VOX}, {REACH}, {SPLIT} SELECT cv.specimen, x, y, z, new AS lab FROM cv JOIN b ON b.c = cv.c", recursive=True)
+def split_sql(p: str, src: str, least: int, near: int) -> str:
+    """{p}out: components of at least ``least`` voxels, numbered by label and place."""
+    return f"""{comp_sql(p, src, near)},
+{p}out AS MATERIALIZED (SELECT cv.specimen, x, y, z, new AS lab FROM {p}cv cv JOIN (SELECT c, row_number() OVER (PARTITION BY specimen ORDER BY lab, c) AS new FROM (SELECT specimen, lab, c FROM {p}cv GROUP BY ALL HAVING count(*) >= {least}) s) b ON b.c = cv.c)"""
+
+
+def merge_sql(p: str, src: str, least: int, radius: int, near: int) -> str:
+    """{p}out: the walk through small regions by number, with the list of those that took part in a merge."""
+    return f"""{comp_sql(p, src, near)},
+{p}g AS MATERIALIZED (SELECT specimen, c, count(*) AS n, row_number() OVER (PARTITION BY specimen ORDER BY c) AS id FROM {p}cv GROUP BY 1, 2),
+{p}v AS MATERIALIZED (SELECT cv.specimen, x, y, z, id, n FROM {p}cv cv JOIN {p}g g ON g.c = cv.c),
+{p}e AS MATERIALIZED (SELECT specimen, a, list(b ORDER BY n DESC, b) AS near, row_number() OVER (PARTITION BY specimen ORDER BY a) AS i FROM (SELECT DISTINCT a.specimen, a.id AS a, b.id AS b, b.n FROM {p}v a JOIN {p}v b ON b.specimen = a.specimen AND b.id <> a.id AND a.n < {least}
+ AND b.x BETWEEN a.x - {radius} AND a.x + {radius} AND b.y BETWEEN a.y - {radius} AND a.y + {radius} AND (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z) <= {radius * radius}) t GROUP BY specimen, a),
+{p}w AS (SELECT specimen, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS took, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM (SELECT DISTINCT specimen FROM {p}v) s
+ UNION ALL SELECT specimen, i, CASE WHEN b IS NULL THEN took ELSE list_concat(took, [a, b]) END, a, b FROM (SELECT w.specimen, e.i, w.took, e.a, CASE WHEN list_contains(w.took, e.a) THEN NULL ELSE list_filter(e.near, lambda t: NOT list_contains(w.took, t))[1] END AS b FROM {p}w w JOIN {p}e e ON e.specimen = w.specimen AND e.i = w.i + 1) t),
+{p}out AS MATERIALIZED (SELECT v.specimen, x, y, z, coalesce(w.b, v.id) AS lab FROM {p}v v LEFT JOIN {p}w w ON w.specimen = v.specimen AND w.a = v.id AND w.b IS NOT NULL)"""
+
+
+@query("split_components", f"WITH {VOX}, {split_sql('s', 'vox', 20, 18)} SELECT * FROM sout", recursive=True)
 def _(d):
-    return L.split_components(vox(d), BY, "lab")
+    return L.split_components(vox(d), BY, "lab", 20)
+
+
+#: Labels in two bits and pieces: parts of one label lie apart, and some of them are small.
+PATCHY = "SELECT specimen, x, y, z, CASE WHEN pred = 0 AND (x + y + z) % 3 > 0 THEN 0 WHEN (x * 7 + y * 3 + z) % 11 < 4 THEN 1 + pred % 2 ELSE 3 + gt % 3 END AS lab FROM fx_volume"
 
 
-@query("postprocess_pipeline", f"""WITH {VOX}, {REACH}, {SPLIT}, sp AS (SELECT cv.specimen, x, y, z, new AS lab FROM cv JOIN b ON b.c = cv.c), e AS ({SIZES}),
-cut AS (SELECT DISTINCT specimen, lab FROM sp JOIN e USING (specimen) WHERE x < 1 OR y < 1 OR x >= x_size - 1 OR y >= y_size - 1) SELECT sp.* FROM sp LEFT JOIN cut USING (specimen, lab) WHERE cut.lab IS NULL""", recursive=True)
+@query("merge_small", f"WITH vox AS ({PATCHY}), {merge_sql('m', 'vox', 12, 2, 18)} SELECT * FROM mout", recursive=True)
 def _(d):
-    return L.postprocess(vox(d), ["split", "border"], by=BY, label="lab", least=20, axes=("x", "y"), sizes=d.sql(SIZES))
+    return L.merge_small(d.sql(PATCHY), BY, "lab", 12, 2)
+
+
+def ball_sql(p: str, src: str, first: str, then: str) -> str:
+    """{p}out: a ball of radius 1 on the dense frame, once with the one and once with the other aggregate."""
+    near = "SELECT v.specimen, v.x, v.y, v.z, {fn}(w.lab) AS lab FROM {t} v JOIN {t} w ON w.specimen = v.specimen AND w.x BETWEEN v.x - 1 AND v.x + 1 AND (w.x-v.x)*(w.x-v.x) + (w.y-v.y)*(w.y-v.y) + (w.z-v.z)*(w.z-v.z) <= 1 GROUP BY 1, 2, 3, 4"
+    return f"""{p}base AS MATERIALIZED (SELECT f.specimen, f.x, f.y, f.z, coalesce(v.lab, 0) AS lab FROM frame f LEFT JOIN {src} v ON v.specimen = f.specimen AND v.x = f.x AND v.y = f.y AND v.z = f.z),
+{p}one AS MATERIALIZED ({near.format(fn=first, t=p + 'base')}), {p}two AS MATERIALIZED ({near.format(fn=then, t=p + 'one')}), {p}out AS MATERIALIZED (SELECT * FROM {p}two WHERE lab <> 0)"""
+
+
+def by_percentile_sql(p: str, src: str, share: float, keep: str) -> str:
+    return f"""{comp_sql(p, src, 18)}, {p}n AS (SELECT specimen, c, count(*) AS n FROM {p}cv GROUP BY 1, 2), {p}q AS (SELECT specimen, quantile_cont(n, {share}) AS q FROM {p}n GROUP BY 1),
+{p}out AS MATERIALIZED (SELECT cv.specimen, x, y, z, cv.lab FROM {p}cv cv JOIN {p}n n ON n.c = cv.c JOIN {p}q q ON q.specimen = cv.specimen WHERE n.n {keep} q)"""
+
+
+#: Volumes of their own frame: z of a specimen starts where that of the one before ends, so it is moved to 0.
+LOW = "SELECT v.specimen, x, y, z - z0 AS z, lab FROM ({src}) v JOIN (SELECT specimen AS s, min(z) AS z0 FROM fx_volume GROUP BY 1) m ON m.s = v.specimen"
+FRAMES = "frame AS MATERIALIZED (SELECT specimen, i.x, j.y, k.z FROM (SELECT specimen, max(z) - min(z) + 1 AS nz FROM fx_volume GROUP BY 1) s, (SELECT unnest(range(25)) AS x) i, (SELECT unnest(range(25)) AS y) j, (SELECT unnest(range(200)) AS z) k WHERE k.z < nz)"
+LINK = """{p}f AS MATERIALIZED (SELECT specimen, z, lab, avg(x) AS cx, avg(y) AS cy, row_number() OVER (ORDER BY specimen, z, lab) AS id FROM {src} GROUP BY 1, 2, 3),
+{p}l AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM {p}f a JOIN {p}f b ON b.specimen = a.specimen AND b.z = a.z + 1 AND (a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy) <= {d}),
+{p}s AS (SELECT u, v FROM {p}l UNION SELECT v, u FROM {p}l), {p}r AS (SELECT id AS node, id AS seen FROM {p}f UNION SELECT r.node, s.v FROM {p}r r JOIN {p}s s ON s.u = r.seen),
+{p}out AS MATERIALIZED (SELECT v.specimen, v.x, v.y, v.z, n.new AS lab FROM {src} v JOIN (SELECT f.specimen, f.z, f.lab, dense_rank() OVER (PARTITION BY f.specimen ORDER BY c) AS new FROM {p}f f JOIN (SELECT node, min(seen) AS c FROM {p}r GROUP BY 1) c ON c.node = f.id) n ON n.specimen = v.specimen AND n.z = v.z AND n.lab = v.lab)"""
 
 
-@query("merge_small", """WITH s AS (SELECT specimen, gt, count(*) AS n FROM fx_volume WHERE gt <> 0 GROUP BY 1, 2), p AS (SELECT DISTINCT a.specimen, a.gt, b.gt AS other FROM fx_volume a JOIN s ON s.specimen = a.specimen AND s.gt = a.gt AND s.n < 20
- JOIN fx_volume b ON b.specimen = a.specimen AND b.gt <> 0 AND b.gt <> a.gt AND b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 AND (b.x-a.x)*(b.x-a.x) + (b.y-a.y)*(b.y-a.y) + (b.z-a.z)*(b.z-a.z) <= 4),
-m AS (SELECT p.specimen, p.gt, other, row_number() OVER (PARTITION BY p.specimen, p.gt ORDER BY s.n DESC, other) AS r FROM p JOIN s ON s.specimen = p.specimen AND s.gt = other)
-SELECT v.specimen, v.x, v.y, v.z, coalesce(m.other, v.gt) AS gt FROM fx_volume v LEFT JOIN m ON m.specimen = v.specimen AND m.gt = v.gt AND m.r = 1""")
+@query("postprocess_pipeline", f"""WITH {FRAMES}, vox AS MATERIALIZED ({LOW.format(src=PATCHY)}), {by_percentile_sql('a', 'vox', 0.05, '>=')}, {by_percentile_sql('b', 'aout', 0.995, '<=')}, {split_sql('c', 'bout', 3, 18)}, {merge_sql('d', 'cout', 12, 2, 18)},
+{ball_sql('e', 'dout', 'max', 'min')}, {ball_sql('f', 'eout', 'min', 'max')}, {comp_sql('g', 'fout', 6)}, gs AS (SELECT specimen, lab, c, row_number() OVER (PARTITION BY specimen, lab ORDER BY count(*) DESC, c) AS r FROM gcv GROUP BY 1, 2, 3 HAVING count(*) > 3 AND count(*) < 400),
+gout AS MATERIALIZED (SELECT cv.specimen, x, y, z, cv.lab FROM gcv cv JOIN gs ON gs.c = cv.c AND gs.r = 1), {LINK.format(p='h', src='gout', d='4e0')}, cut AS (SELECT DISTINCT specimen, lab FROM hout WHERE x < 1 OR y < 1 OR x >= 24 OR y >= 24)
+SELECT h.* FROM hout h LEFT JOIN cut ON cut.specimen = h.specimen AND cut.lab = h.lab WHERE cut.lab IS NULL""", recursive=True)
 def _(d):
-    return L.merge_small(d.fx_volume.select("specimen", "x", "y", "z", "gt"), BY, "gt", 20, 2)
+    """All nine steps, each with the keywords that it knows of those given to all, or its own."""
+    steps = [("remove_small_objects", {"small_percentile": 5}), ("remove_large_objects", {"large_percentile": 99.5}), ("split", {"least": 3}), ("merge_connected_components", {"least": 12, "radius": 2}), "clean_boundaries_closing", "clean_boundaries_opening", ("filter_components", {"low": 3, "high": 400, "neighbours": 6}), "merge_graph", "border"]
+    frame = d.sql("SELECT specimen, 25 AS x_size, 25 AS y_size, max(z) - min(z) + 1 AS z_size FROM fx_volume GROUP BY specimen")
+    return L.postprocess(d.sql(LOW.format(src=PATCHY)), steps, by=BY, label="lab", neighbours=18, erosion_radius=1, dilation_radius=1, distance=2.0, axes=("x", "y"), sizes=frame, work=Workspace(d.spark))
 
 
 LINKS = """f AS (SELECT specimen, z, gt, avg(x) AS cx, avg(y) AS cy FROM fx_volume WHERE gt <> 0 GROUP BY 1, 2, 3),
