@@ -388,3 +388,92 @@ def test_regression_of_exact_and_constant_data(spark):
         assert abs(got[g].slope - slope) < 1e-9 and got[g].r2 == 1 and got[g].slope_error == 0 and got[g].f is None and got[g].t is None and got[g].durbin_watson is None
     assert got["flat"].slope == 0 and got["one_x"].slope is None and got["one_x"].n == 4 and got["two"].slope_error is None
     assert got["real"].f > 0 and got["real"].durbin_watson > 2
+
+
+def dijkstra(edges, seed, radius):
+    import heapq
+
+    out, heap = {}, [(0.0, seed)]
+    while heap:
+        d, x = heapq.heappop(heap)
+        if x in out or d > radius:
+            continue
+        out[x] = d
+        for y, w in edges.get(x, ()):
+            heapq.heappush(heap, (d + w, y))
+    return out
+
+
+@pytest.mark.parametrize(("symmetric", "step"), [(True, 0.7), (True, 5.0), (False, 1.3), (True, None)])
+def test_buckets_of_paths_equal_dijkstra(spark, symmetric, step):
+    import random
+
+    rng, edges = random.Random(17), {}
+    for _ in range(260):
+        a, b, w = rng.randrange(90), rng.randrange(90), rng.choice([0.0, 0.3, 1.0, 2.5, 4.0])
+        edges.setdefault(a, []).append((b, w))
+        if symmetric:
+            edges.setdefault(b, []).append((a, w))
+    df = spark.createDataFrame([(a, b, w) for a, to in edges.items() for b, w in to], "src long, dst long, w double")
+    got = {(r.seed, r.node): r.dist for r in graph.bounded_paths(spark.createDataFrame([(s,) for s in (0, 3, 3, 500)], "seed long"), df, 6.0, step=step, symmetric=symmetric).collect()}
+    want = {(s, n): d for s in (0, 3, 500) for n, d in dijkstra(edges, s, 6.0).items()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_settled_buckets_are_left_alone(spark, monkeypatch):
+    """On a long chain the rows that a round compares with stay as few, however many are settled."""
+    chain = [(i, i + 1, 1.0) for i in range(40)]
+    df = spark.createDataFrame(chain + [(b, a, w) for a, b, w in chain], "src long, dst long, w double")
+    read, union = [], graph._all
+    monkeypatch.setattr(graph, "_all", lambda tables: read.append(sum(t.count() for t in tables)) or union(tables))
+    assert graph.bounded_paths(spark.createDataFrame([(0,)], "seed long"), df, 40.0, step=4.0, symmetric=True).count() == 41
+    assert max(read[:-1]) <= 12 and read[-1] == 41
+
+
+def test_paths_double_in_few_jobs(spark):
+    from tissueframe.workspace import Workspace
+
+    n = 200
+    before = spark.createDataFrame([(0, i + 1, i) for i in range(n)] + [(7, 9, 8), (7, 8, 7)], "seed long, node long, back long")
+    ends = spark.createDataFrame([(0, n), (0, 5), (0, 0), (7, 9)], "seed long, target long")
+    work = Workspace(spark)
+    got = {(r.seed, r.target): r.path for r in graph.paths_back(ends, before, work).collect()}
+    assert got == {(0, n): list(range(n, -1, -1)), (0, 5): [5, 4, 3, 2, 1, 0], (0, 0): [0], (7, 9): [9, 8, 7]}
+    assert len(work.written) < 22
+
+
+def test_greedy_matching_equals_a_walk(spark):
+    import random
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        size = [rng.randrange(1, 9) for _ in range(60)]
+        near = {(a, b) for _ in range(110) for a, b in [(rng.randrange(60), rng.randrange(60))] if a != b}
+        near |= {(b, a) for a, b in near} | ({(i, i + 1) for i in range(20)} | {(i + 1, i) for i in range(20)})
+        small = [a for a in range(60) if size[a] < 6]
+        took, want = set(), set()
+        for a in small:
+            free = [b for x, b in near if x == a and b not in took]
+            if a not in took and free:
+                b = min(free, key=lambda b: (-size[b], b))
+                took |= {a, b}
+                want.add((a, b))
+        df = spark.createDataFrame([(1, a, b, size[b]) for a, b in near if a in small], "g int, a long, b long, weight long")
+        assert {(r.a, r.b) for r in graph.greedy_matching(df, ["g"]).collect()} == want
+
+
+def test_merge_takes_components_and_each_once(spark):
+    """A label with a large and a small far part loses the small one to its neighbour; numbers follow first voxels."""
+    from tissueframe.operators import labels as L
+
+    box = lambda lab, x0, y0, n, m: [("v", x, y, 0, lab) for x in range(x0, x0 + n) for y in range(y0, y0 + m)]
+    rows = box(1, 0, 0, 10, 10) + box(1, 20, 0, 2, 2) + box(2, 22, 0, 5, 5) + box(3, 30, 0, 1, 3) + box(3, 33, 0, 1, 3) + box(4, 50, 0, 2, 2)
+    df = spark.createDataFrame(rows, "k string, x long, y long, z long, lab int")
+    got = {(r.x, r.y): r.lab for r in L.merge_small(df, ["k"], "lab", 20, 3).collect()}
+    assert {got[x, y] for x in (0, 9) for y in (0, 9)} == {1}
+    assert got[20, 0] == got[22, 0] == 3  # region 2 went to region 3
+    assert got[30, 0] == got[33, 0] == 5  # region 4 found region 3 taken, so it took region 5
+    assert got[50, 0] == 6 and len(got) == len(rows)
+    ids = {(r.x, r.y): r.lab for r in L.split_components(df, ["k"], "lab", 4).collect()}
+    assert ids[0, 0] == 1 and ids[20, 0] == 2 and ids[22, 0] == 3 and (30, 0) not in ids and ids[50, 0] == 4
+    assert L.split_components(df, ["k"], "lab").count() == 0  # fewer than 500 voxels each

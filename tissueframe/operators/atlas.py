@@ -30,7 +30,7 @@ def cell_map(vertices: DataFrame, faces: DataFrame, cells: DataFrame, features:
 def face_neighborhoods(vertices: DataFrame, faces: DataFrame, radius: float, work: Workspace | None = None) -> DataFrame:
     """``face, neighbor, dist`` for all faces at most ``radius`` along the mesh, itself included."""
     work = work or Workspace(faces.sparkSession)
-    near = bounded_paths(faces.select(F.col("fid").alias("seed")), work.write(M.face_adjacency(vertices, faces)), radius, work)
+    near = bounded_paths(faces.select(F.col("fid").alias("seed")), work.write(M.face_adjacency(vertices, faces)), radius, work, symmetric=True)
     return near.select(F.col("seed").alias("face"), F.col("node").alias("neighbor"), "dist")
 
 

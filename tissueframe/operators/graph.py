@@ -87,31 +87,87 @@ def greedy_matching(edges: DataFrame, by: list[str], work: Workspace | None = No
     return done if done is not None else left.select(*by, "a", "b")
 
 
-def bounded_paths(seeds: DataFrame, edges: DataFrame, radius: float, work: Workspace | None = None) -> DataFrame:
-    """``seed, node, dist`` of all nodes within ``radius`` of each seed along ``edges(src, dst, w)``, the seed included.
-
-    A round relaxes only the frontier, the rows that got shorter in the last one, and writes only what changed: tables of
-    later rounds stand beside those of earlier ones, and the least distance counts. The rounds end when none gets
-    shorter; with weights of 0 or more that is so after as many as the longest shortest path has edges. ``edges`` is
-    read in each round, so it should be a written table.
+def bounded_paths(seeds: DataFrame, edges: DataFrame, radius: float, work: Workspace | None = None, step: float | None = None, symmetric: bool = False) -> DataFrame:
+    """``seed, node, dist`` of all nodes within ``radius`` of each seed along ``edges(src, dst, w)``, w >= 0, the seed
+    included.
+
+    Distances are settled in buckets of width ``step`` (without it, four mean weights), nearest first. Inside a bucket,
+    rounds relax only what the last one made shorter, and compare it with the bucket's own rows; a settled bucket then
+    sends what lies beyond it to the rows that wait. Where every edge has one back of the same weight (``symmetric``), a
+    row reached from a bucket can only have been settled at most two greatest weights below it, so older buckets are
+    never read again; rounds read and shuffle the frontier and its surroundings alone. Edges are laid out by ``src`` once,
+    so no round shuffles them.
     """
-    work = work or Workspace(seeds.sparkSession)
-    fresh = work.write(seeds.select("seed", F.col("seed").alias("node"), F.lit(0.0).alias("dist")).distinct())
-    rounds = [fresh]
-    while not fresh.isEmpty():
-        step = fresh.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
-        step = step.filter(F.col("dist") <= radius).groupBy("seed", "node").agg(F.min("dist").alias("dist"))
-        was = _least(rounds).withColumnRenamed("dist", "_was")
-        fresh = work.write(step.join(was, ["seed", "node"], "left").filter("_was IS NULL OR dist < _was").drop("_was"))
-        rounds.append(fresh)
-        if len(rounds) > 8:
-            old, rounds = rounds, [work.write(_least(rounds))]
-            work.drop(*old[:-1])
-    return _least(rounds)
-
-
-def _least(tables: list[DataFrame]) -> DataFrame:
+    spark, work = seeds.sparkSession, work or Workspace(seeds.sparkSession)
+    sizes = edges.agg(F.avg("w"), F.max("w")).first()
+    mean, widest = (float(v or 0) for v in sizes)
+    step = step or max(4 * mean, radius / 64, 1e-9)
+    out_of = work.bucketed(edges.select("src", "dst", "w"), "src", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    least = lambda df: df.groupBy("seed", "node").agg(F.min("dist").alias("dist"))
+
+    def shorter(found: DataFrame, known: list[DataFrame]) -> tuple[DataFrame, int]:
+        """What is found at a lesser distance than known, as a written table, and its number."""
+        if known:
+            found = found.join(least(_all(known)).withColumnRenamed("dist", "__was"), ["seed", "node"], "left").filter("__was IS NULL OR dist < __was").drop("__was")
+        seen = Observation()
+        out = work.write(found.observe(seen, F.count(F.lit(1)).alias("n")))
+        return out, seen.get["n"]
+
+    def relaxed(rows: DataFrame) -> DataFrame:
+        made = rows.join(out_of, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
+        return made.filter(F.col("dist") <= radius)
+
+    waiting = work.write(seeds.select("seed", F.col("seed").alias("node"), F.lit(0.0).alias("dist")).distinct())
+    settled: list[tuple[float, DataFrame]] = []
+    done: list[DataFrame] = []
+    while (nearest := waiting.agg(F.min("dist")).first()[0]) is not None:
+        low = nearest // step * step
+        high = low + step
+        known = [t for upto, t in settled if not symmetric or upto >= low - 2 * widest - 1e-9]
+        fresh, n = shorter(least(waiting.filter(F.col("dist") < high)), known)
+        bucket = []
+        while n:
+            bucket.append(fresh)
+            fresh, n = shorter(least(relaxed(fresh).filter(F.col("dist") < high)), [*known, *bucket])
+        rest = waiting.filter(F.col("dist") >= high)
+        old = waiting
+        if bucket:
+            own = work.write(least(_all(bucket))) if len(bucket) > 1 else bucket[0]
+            settled.append((high, own))
+            done.append(own)
+            rest = rest.unionByName(relaxed(own).filter(F.col("dist") >= high))
+            work.drop(*(b for b in bucket if b is not own))
+        waiting = work.write(least(rest))
+        work.drop(old)
+    return _all(done) if done else waiting
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return out.groupBy("seed", "node").agg(F.min("dist").alias("dist"))
+    return out
+
+
+def paths_back(ends: DataFrame, before: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """``seed, target, path``: for ``ends(seed, target)`` the nodes from the target back to the seed by ``before(seed, node,
+    back)``, the node before each on its way (none for the seed itself).
+
+    Jumps of 1, 2, 4, ... nodes are joined out of the ones half as long; only nodes that some path can pass are jumped
+    from. Then each path's known nodes double from the longest jump down, so the rounds follow the logarithm of the
+    longest path. ``path`` is gathered at the end, an array a path."""
+    work = work or Workspace(ends.sparkSession)
+    jumps = [work.write(before.select("seed", "node", "back"))]
+    while True:
+        far = jumps[-1].join(jumps[-1].select("seed", F.col("node").alias("back"), F.col("back").alias("__to")), ["seed", "back"]).select("seed", "node", F.col("__to").alias("back"))
+        seen = Observation()
+        far = work.write(far.observe(seen, F.count(F.lit(1)).alias("n")))
+        if not seen.get["n"]:
+            break
+        jumps.append(far)
+    at = work.write(ends.select("seed", "target", F.col("target").alias("node"), F.lit(0).cast("long").alias("place")))
+    for k in range(len(jumps) - 1, -1, -1):
+        more = at.join(jumps[k], ["seed", "node"]).select("seed", "target", F.col("back").alias("node"), (F.col("place") + (1 << k)).alias("place"))
+        at = work.write(at.unionByName(more))
+    path = F.transform(F.sort_array(F.collect_list(F.struct("place", "node"))), lambda e: e["node"])
+    return at.groupBy("seed", "target").agg(path.alias("path"))

@@ -26,11 +26,14 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 _FOLDERS: list[str] = []
+_TABLES: list[str] = []
 
 
 def clean(spark: SparkSession) -> None:
     """Deletes the folders of all workspaces so far. Results are lazy and may read them, so this is the caller's to
     call, once results are written or collected."""
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _FOLDERS:
         delete(spark, _FOLDERS.pop())
 
@@ -54,6 +57,15 @@ class Workspace:
         self.written.append((out, path))
         return out
 
+    def bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """``df`` as a written table laid out by a key: joins on it shuffle the other side alone."""
+        path, name = self.path(str(len(self.written) + 1)), f"work_{uuid.uuid4().hex}"
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        self.written.append((out, path))
+        _TABLES.append(name)
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete written tables, named by what ``write`` returned."""
         for df in frames:
