@@ -248,8 +248,8 @@ def test_percentiles_equal_numpy(spark):
     data = {1: rng.normal(size=500), 2: np.repeat([1.0, 5.0], [300, 7]), 3: np.array([4.0]), 4: rng.integers(0, 9, 400).astype(float)}
     df = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [(4, None), (5, None)], "k int, v double")
     shares = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.77, "e": 1.0}
-    for bins in (1, 4, 1024):
-        got = {r.k: r for r in voxels.percentiles(df, ["k"], "v", shares, bins).collect()}
+    for most in (4, 50, 1 << 16):
+        got = {r.k: r for r in voxels.percentiles(df, ["k"], "v", shares, most=most).collect()}
         assert set(got) == set(data)
         for k, x in data.items():
             assert np.allclose([got[k][n] for n in shares], np.quantile(x, list(shares.values())))
@@ -477,3 +477,61 @@ def test_merge_takes_components_and_each_once(spark):
     ids = {(r.x, r.y): r.lab for r in L.split_components(df, ["k"], "lab", 4).collect()}
     assert ids[0, 0] == 1 and ids[20, 0] == 2 and ids[22, 0] == 3 and (30, 0) not in ids and ids[50, 0] == 4
     assert L.split_components(df, ["k"], "lab").count() == 0  # fewer than 500 voxels each
+
+
+def test_percentiles_of_outliers_and_ties(spark):
+    """One value of 1e12 beside many small ones, and a third of all values at one place: few values are ranked."""
+    rng = np.random.default_rng(31)
+    x = np.concatenate([rng.normal(size=6000), np.full(3000, 0.25), [1e12, -1e15]])
+    df = spark.createDataFrame([(float(v),) for v in x], "v double")
+    shares = {"a": 0.001, "b": 0.3, "c": 0.61, "d": 0.999}
+    got = voxels.percentiles(df, [], "v", shares, most=200).first()
+    assert np.allclose([got[n] for n in shares], np.quantile(x, list(shares.values())), rtol=1e-12)
+
+
+def test_auc_of_saturated_scores(spark):
+    from tissueframe.operators import calibration
+
+    rng = np.random.default_rng(3)
+    y, p = rng.integers(0, 2, 400), np.clip(rng.normal(0.999, 0.002, 400), 0, 1)
+    p = np.clip(p + 0.001 * y, 0, 1)
+    rows = [([float(1 - b), float(b)], int(a)) for a, b in zip(y, p)]
+    got = {r["class"]: r.auc for r in calibration.multilabel_auc(spark.createDataFrame(rows, "probs array<double>, y_true int"), [], 2).collect()}
+    want = np.mean([(b > c) + 0.5 * (b == c) for b in p[y == 1] for c in p[y == 0]])
+    assert abs(got[1] - want) < 1e-9
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_balls_equal_plain_loops(spark, radius):
+    """Sparse labels and a table with holes, against all offsets of the ball; rows aren't multiplied."""
+    rng = np.random.default_rng(radius)
+    n, ball = 9, [(a, b, c) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) for c in range(-radius, radius + 1) if a * a + b * b + c * c <= radius * radius]
+    lab = rng.integers(0, 5, (n, n, n)) * (rng.random((n, n, n)) < 0.97)
+    lab[:, :5] = np.maximum(lab[:, :5], 1)
+    full = {(x, y, z): int(lab[x, y, z]) for x in range(n) for y in range(n) for z in range(n)}
+    some = {k: v for k, v in full.items() if rng.random() < 0.9}
+    df = spark.createDataFrame([(1, *k, v) for k, v in some.items()], "k int, x long, y long, z long, lab long")
+    near = lambda d, k: [d[q] for a, b, c in ball if (q := (k[0] + a, k[1] + b, k[2] + c)) in d]
+    for fn, pick in ((voxels.dilate_ball, max), (voxels.erode_ball, min)):
+        got = {(r.x, r.y, r.z): r.lab for r in fn(df, ["k"], "lab", radius).collect()}
+        assert got == {k: pick(near(some, k)) for k in some}
+    dense = spark.createDataFrame([(1, *k, v) for k, v in full.items() if v], "k int, x int, y int, z int, lab long")
+    size = spark.createDataFrame([(1, n, n, n)], "k int, x_size int, y_size int, z_size int")
+    grown = {(r.x, r.y, r.z): r.lab for r in labels.grow(dense, ["k"], "lab", radius, size).collect()}
+    assert grown == {k: v for k in full if (v := max(near(full, k)))}
+    shrunk = {(r.x, r.y, r.z): r.lab for r in labels.shrink(dense, ["k"], "lab", radius, size).collect()}
+    assert shrunk == {k: v for k in full if (v := min(near(full, k)))}
+
+
+def test_far_points_meet_few_leaves(spark, monkeypatch):
+    """Points far off a dense cloud: exact, with ties by the lower target, and most leaves are never met."""
+    rng = np.random.default_rng(41)
+    t = np.concatenate([rng.normal(size=(3000, 3)), rng.normal(size=(300, 3)) + [500, 0, 0], [[0, 0, -60], [0, 0, -60]]])
+    p = np.concatenate([rng.normal(size=(40, 3)) * 300, rng.normal(size=(10, 3)), [[0, 0, -90], [-7.5, 0.1, 2000]]])
+    pts = spark.createDataFrame([(g, i, *map(float, v)) for g in (1, 2) for i, v in enumerate(p)], "g int, pid long, x double, y double, z double")
+    tgt = spark.createDataFrame([(1, i, *map(float, v)) for i, v in enumerate(t)] + [(2, 5, 1.0, 1.0, 1.0), (3, 6, 0.0, 0.0, 0.0)], "g int, tid long, x double, y double, z double")
+    got = {(r.g, r.pid): (r.tid, r.dist) for r in spatial.nearest_join(pts, tgt, 0.5, ["g"]).collect()}
+    d = np.sqrt(((p[:, None] - t[None]) ** 2).sum(2))
+    assert len(got) == 2 * len(p)
+    for i in range(len(p)):
+        assert got[1, i][0] == int(d[i].argmin()) and abs(got[1, i][1] - d[i].min()) < 1e-9 and got[2, i][0] == 5

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import argmax, softmax
+from ..workspace import Workspace
+from .graph import running_total
 
 EPS = 1e-6
 
@@ -107,16 +109,13 @@ def classification_report(df: DataFrame, by: list[str], classes: int = 3) -> Dat
     return out.withColumn("f1", F.expr(ratio("2 * precision * recall", "(precision + recall)"))).drop("tp", "said")
 
 
-def multilabel_auc(df: DataFrame, by: list[str], classes: int = 3, ranges: int = 1024) -> DataFrame:
-    """The rank-sum AUC of each class against the rest, ties at their mean rank. Ranks come in two levels: counts by range
-    of the score, whose running sum covers ``ranges`` rows a class, and a window over the distinct scores of a range."""
+def multilabel_auc(df: DataFrame, by: list[str], classes: int = 3, work: Workspace | None = None) -> DataFrame:
+    """The rank-sum AUC of each class against the rest, ties at their mean rank. Ranks are running totals over the distinct
+    scores of a class, in two levels, however the scores are spread."""
     rows = df.select(*by, "y_true", F.posexplode("probs").alias("class", "p"))
     v = rows.groupBy(*by, "class", "p").agg(F.count("*").alias("n"), F.sum(F.when(F.col("y_true") == F.col("class"), 1).otherwise(0)).alias("pos"))
-    v = v.withColumn("_r", F.floor(F.col("p") * ranges))
-    key = [*by, "class", "_r"]
-    start = v.groupBy(*key).agg(F.sum("n").alias("_n")).withColumn("_s", F.sum("_n").over(W.partitionBy(*by, "class").orderBy("_r")) - F.col("_n")).drop("_n")
-    below = F.col("_s") + F.sum("n").over(W.partitionBy(*key).orderBy("p")) - F.col("n")
-    r = v.join(start, key).withColumn("rank", below + (F.col("n") + 1) / 2).groupBy(*by, "class").agg(F.sum(F.col("rank") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    r = running_total(v, [*by, "class"], ["p"], "n", "__below", work).withColumn("__rank", F.col("__below") + (F.col("n") + 1) / 2)
+    r = r.groupBy(*by, "class").agg(F.sum(F.col("__rank") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return r.select(*by, "class", F.expr("CASE WHEN p > 0 AND p < n THEN (s - p * (p + 1) / 2) / (p * (n - p)) END").alias("auc"))
 
 

@@ -51,15 +51,23 @@ def components(edges: DataFrame, work: Workspace | None = None) -> DataFrame:
     )
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str | Column], name: str, work: Workspace | None = None) -> DataFrame:
-    """``df`` with ``name``: 1, 2, ... in an order within each group, in two levels, so that no task holds a group: rows
-    are sorted in ranges, and a range's rows of a group go on from those of the ranges before it."""
+def running_total(df: DataFrame, by: list[str], order: list[str | Column], value: str | Column, name: str, work: Workspace | None = None) -> DataFrame:
+    """``df`` with ``name``: the sum of a value over the rows before each one in an order within its group, in two levels,
+    so that no task holds a group: rows are sorted in ranges, and a range's rows of a group go on from the sums of the
+    ranges before it."""
     work = work or Workspace(df.sparkSession)
-    rows = work.write(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__at", F.monotonically_increasing_id()))
-    rows = rows.withColumn("__part", F.shiftright("__at", 33))
-    parts = rows.groupBy(*by, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__c"))
+    value = F.col(value) if isinstance(value, str) else value
+    rows = df.withColumn("__v", value).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    rows = work.write(rows.withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    parts = rows.groupBy(*by, "__part").agg(F.sum("__v").alias("__c"))
     parts = parts.withColumn("__before", F.sum("__c").over(W.partitionBy(*by).orderBy("__part")) - F.col("__c")).drop("__c")
-    return rows.join(parts, [*by, "__part"]).withColumn(name, F.col("__before") + F.col("__at") - F.col("__first") + 1).select(*df.columns, name)
+    within = F.sum("__v").over(W.partitionBy(*by, "__part").orderBy("__at")) - F.col("__v")
+    return rows.withColumn("__within", within).join(parts, [*by, "__part"]).withColumn(name, F.col("__before") + F.col("__within")).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str | Column], name: str, work: Workspace | None = None) -> DataFrame:
+    """``df`` with ``name``: 1, 2, ... in an order within each group, in two levels (``running_total``)."""
+    return running_total(df, by, order, F.lit(1).cast("long"), name, work).withColumn(name, F.col(name) + 1)
 
 
 def greedy_matching(edges: DataFrame, by: list[str], work: Workspace | None = None) -> DataFrame:

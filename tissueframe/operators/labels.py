@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import inspect
+import math
 from collections.abc import Callable
 from itertools import product
 
@@ -14,7 +15,7 @@ from ..functions.linalg import eigenvalues
 from ..workspace import Workspace
 from .graph import components, greedy_matching, numbered
 from .scoring import best_match
-from .voxels import AXES, dilate, exposed_faces, opening
+from .voxels import AXES, dilate, exposed_faces, opening, over_ball
 
 
 def relabel(df: DataFrame, mapping: DataFrame, label: str, keep: bool = False, by: list[str] | None = None) -> DataFrame:
@@ -261,29 +262,38 @@ def _framed(labels: DataFrame, by: list[str], sizes: DataFrame | None) -> DataFr
     return labels.join(sizes.select(*by, *[f"{a}_size" for a in AXES]), by)
 
 
-def _spread(framed: DataFrame, by: list[str], label: str, radius: int) -> DataFrame:
-    """Each labelled voxel at all places of its ball that lie inside the frame."""
-    offsets = F.explode(F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip(AXES, o)]) for o in _ball(radius)]))
-    moved = framed.withColumn("_o", offsets).withColumns({a: F.col(a) + F.col(f"_o.{a}") for a in AXES})
-    return moved.filter(" AND ".join(f"{a} >= 0 AND {a} < {a}_size" for a in AXES))
+def _around(framed: DataFrame, by: list[str], label: str, radius: int) -> DataFrame:
+    """All places of the frame within ``radius`` of a labelled voxel, with the label or null: runs along x are widened for
+    each (dy, dz) of the ball, and runs of a row that overlap are joined before they are spelled out."""
+    size = [f"{a}_size" for a in AXES]
+    line = W.partitionBy(*by, "y", "z").orderBy("x")
+    runs = framed.withColumn("__g", F.col("x") - F.row_number().over(line)).groupBy(*by, *size, "y", "z", "__g").agg(F.min("x").alias("__a"), F.max("x").alias("__b"))
+    discs = [(dy, dz, math.isqrt(radius * radius - dy * dy - dz * dz)) for dy in range(-radius, radius + 1) for dz in range(-radius, radius + 1) if dy * dy + dz * dz <= radius * radius]
+    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz"), F.lit(h).alias("h")) for dy, dz, h in discs]))
+    wide = runs.withColumn("__o", steps).select(*by, *size, (F.col("y") + F.col("__o.dy")).alias("y"), (F.col("z") + F.col("__o.dz")).alias("z"), F.greatest(F.col("__a") - F.col("__o.h"), F.lit(0)).alias("__a"), F.least(F.col("__b") + F.col("__o.h"), F.col("x_size") - 1).alias("__b"))
+    wide = wide.filter("y >= 0 AND y < y_size AND z >= 0 AND z < z_size").distinct()
+    order = W.partitionBy(*by, "y", "z").orderBy("__a", "__b")
+    begun = F.coalesce(F.col("__a") > F.max("__b").over(order.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(True)).cast("int")
+    merged = wide.withColumn("__n", begun).withColumn("__n", F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy(*by, "y", "z", "__n").agg(F.min("__a").alias("__a"), F.max("__b").alias("__b"))
+    places = merged.select(*by, F.explode(F.sequence("__a", "__b")).alias("x"), "y", "z")
+    return places.join(framed.select(*by, *AXES, label), [*by, *AXES], "left")
 
 
 def grow(labels: DataFrame, by: list[str], label: str, radius: int = 3, sizes: DataFrame | None = None) -> DataFrame:
     """Grey dilation of sparse labels by a ball: the greatest label within ``radius``, inside the frame."""
-    own = _framed(labels.filter(F.col(label) != 0).select(*by, *AXES, label), by, sizes)
-    return _spread(own, by, label, radius).groupBy(*by, *AXES).agg(F.max(label).alias(label))
+    own = _framed(labels.filter(F.col(label) != 0).select(*by, *[F.col(a).cast("long").alias(a) for a in AXES], label), by, sizes)
+    return over_ball(_around(own, by, label, radius), by, label, radius, "max").select(*by, *AXES, label)
 
 
 def shrink(labels: DataFrame, by: list[str], label: str, radius: int = 3, sizes: DataFrame | None = None) -> DataFrame:
     """Grey erosion of sparse labels by a ball: the least label within ``radius``, where no background lies within it;
     what is outside the frame doesn't count."""
-    own = _framed(labels.filter(F.col(label) != 0).select(*by, *AXES, label), by, sizes)
-    size = [f"{a}_size" for a in AXES]
-    seen = _spread(own, by, label, radius).groupBy(*by, *AXES, *size).agg(F.count("*").alias("_n"), F.min(label).alias(label))
+    own = _framed(labels.filter(F.col(label) != 0).select(*by, *[F.col(a).cast("long").alias(a) for a in AXES], label), by, sizes).withColumn("__n", F.lit(1).cast("long"))
+    seen = over_ball(over_ball(own, by, label, radius, "min"), by, "__n", radius, "sum")
     offsets = ", ".join(f"named_struct('x', {x}, 'y', {y}, 'z', {z})" for x, y, z in _ball(radius))
     inside = " AND ".join(f"{a} + o.{a} >= 0 AND {a} + o.{a} < {a}_size" for a in AXES)
     whole = F.when(F.expr(" AND ".join(f"{a} BETWEEN {radius} AND {a}_size - {radius + 1}" for a in AXES)), len(_ball(radius))).otherwise(F.expr(f"size(filter(array({offsets}), o -> {inside}))"))
-    return seen.filter(F.col("_n") == whole).select(*by, *AXES, label)
+    return seen.filter(F.col("__n") == whole).select(*by, *AXES, label)
 
 
 def clean_opening(labels: DataFrame, by: list[str], label: str, erosion_radius: int = 3, dilation_radius: int = 3, sizes: DataFrame | None = None) -> DataFrame:

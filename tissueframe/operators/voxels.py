@@ -1,12 +1,11 @@
 """Voxel volumes as rows: one row per voxel with integer x, y, z, grouped by the columns ``by``.
 
-Box-shaped neighbourhoods are running windows along one axis after the other, which multiply no rows; other shapes
-explode their offsets. Volumes are dense where it says so: a row for each voxel of the frame.
+Box-shaped and ball-shaped neighbourhoods are windows along one axis after the other, which multiply no rows. Volumes are dense where it says so: a row for each voxel of the frame.
 """
 
 from __future__ import annotations
 
-from itertools import product
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -102,30 +101,42 @@ def rescale_slices(df: DataFrame, by: list[str], value: str = "intensity") -> Da
     return df.withColumn(value, F.when(hi > lo, (F.col(value) - lo) / (hi - lo)).otherwise(0.0))
 
 
-def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], bins: int = 1024, work: Workspace | None = None) -> DataFrame:
-    """``by`` and exact percentiles, interpolated linearly, by name. Values are counted by equal bins first; only those of
-    the bins that hold a wanted rank, which is at most two bins a percentile, are sorted, so no aggregate holds all the
-    values of a volume. Nulls don't count; without a value a percentile is null."""
-    keys = [F.col(k) for k in by]
-    some = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    ends = some.groupBy(*by).agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"), F.count("*").alias("_n"))
-    join = lambda a, b: a.join(b, by) if by else a.crossJoin(F.broadcast(b))
-    at = F.expr(f"CASE WHEN _b > _a THEN least(floor((_x - _a) / (_b - _a) * {bins}), {bins - 1}) ELSE 0 END").cast("int").alias("_bin")
-    placed = join(some, ends).select(*keys, "_x", at)
-    counts = placed.groupBy(*by, "_bin").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_before", F.sum("_c").over(W.partitionBy(*by).orderBy("_bin")) - F.col("_c"))
-    ranks = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("r")) for name, q in shares.items()])
-    asked = ends.select(*keys, F.explode(ranks).alias("_q")).select(*keys, "_q.*")
-    each = asked.select(*keys, "name", "r", F.explode(F.array(F.floor("r"), F.ceil("r"))).alias("_k")).distinct()
-    hit = join(each, before) if by else each.crossJoin(before)
-    hit = hit.filter("_k >= _before AND _k < _before + _c").select(*keys, "name", "r", "_k", "_bin", "_before")
-    held = placed.join(hit.select(*by, "_bin").distinct(), [*by, "_bin"])
-    ranked = held.groupBy(*by, "_bin", "_x").agg(F.count("*").alias("_m"))
-    ranked = ranked.withColumn("_from", F.sum("_m").over(W.partitionBy(*by, "_bin").orderBy("_x")) - F.col("_m"))
-    value_at = hit.join(ranked, [*by, "_bin"]).filter("_k - _before >= _from AND _k - _before < _from + _m")
-    both = value_at.groupBy(*by, "name", "r").agg(F.min_by("_x", "_k").alias("_lo"), F.max_by("_x", "_k").alias("_hi"))
-    out = both.withColumn("_v", F.expr("_lo + (r - floor(r)) * (_hi - _lo)"))
-    return out.groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in shares])
+#: Values that one window ranks at most; steps of a sketch by which a bracket around a rank narrows.
+RANKED, STEPS = 1 << 16, 256
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], work: Workspace | None = None, most: int = RANKED) -> DataFrame:
+    """``by`` and exact percentiles, interpolated linearly, by name. Each wanted rank has a bracket of values, at first all
+    of its group. While one holds more than ``most`` distinct values, a sketch of its own values cuts it to a few of
+    ``STEPS`` parts, wherever these lie, so outliers and ties don't keep it wide; then the values inside are ranked.
+    Nulls don't count; without a value a percentile is null."""
+    work, keys = work or Workspace(df.sparkSession), [F.col(k) for k in by]
+    one = [] if by else [F.lit(1).alias("__all")]
+    group = [*by] if by else ["__all"]
+    some = df.filter(F.col(value).isNotNull()).select(*keys, *one, F.col(value).cast("double").alias("__x"))
+    ends = work.write(some.groupBy(*group).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.count("*").alias("__m"), F.approx_count_distinct("__x").alias("__d")))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("__m") - 1)).alias("r")) for name, q in shares.items()]))
+    state = ends.select(*group, asked.alias("q"), "__lo", "__hi", F.lit(0).cast("long").alias("__below"), "__m", "__d").select(*group, "q.*", "__lo", "__hi", "__below", "__m", "__d")
+    inside = lambda s: some.join(F.broadcast(s) if not by else s, group).filter("__x BETWEEN __lo AND __hi")
+    widest = state.agg(F.max("__d")).first()[0] or 0
+    while widest > most:
+        grid = F.percentile_approx("__x", F.array(*[F.lit(i / STEPS) for i in range(STEPS + 1)]), F.lit(100 * STEPS)).alias("__g")
+        cut = inside(state.drop("__m", "__d")).groupBy(*group, "name", "r", "__lo", "__hi", "__below").agg(grid, F.count("*").alias("__m"))
+        place = lambda add, extra: F.expr(f"int(least(greatest(floor((r - __below + {add}) / __m * {STEPS}) + {extra}, 0), {STEPS}))")
+        lo = F.when(place(0, -1) > 0, F.get("__g", place(0, -1))).otherwise(F.col("__lo"))
+        hi = F.when(place(2, 2) < STEPS, F.get("__g", place(2, 2))).otherwise(F.col("__hi"))
+        cut = work.write(cut.select(*group, "name", "r", lo.alias("__lo2"), hi.alias("__hi2"), F.col("__lo"), F.col("__hi"), "__below"))
+        held = F.col("__x").between(F.col("__lo2"), F.col("__hi2"))
+        told = inside(cut).groupBy(*group, "name", "r", "__lo2", "__hi2", "__below").agg(F.sum(F.expr("int(__x < __lo2)")).alias("__less"), F.sum(held.cast("int")).alias("__m"), F.approx_count_distinct(F.when(held, F.col("__x"))).alias("__d"))
+        state = work.write(told.select(*group, "name", "r", F.col("__lo2").alias("__lo"), F.col("__hi2").alias("__hi"), (F.col("__below") + F.col("__less")).alias("__below"), "__m", "__d"))
+        before, widest = widest, state.agg(F.max("__d")).first()[0]
+        if widest > 0.9 * before:
+            break
+    each = inside(state.select(*group, "name", "r", "__lo", "__hi", "__below")).groupBy(*group, "name", "r", "__below", "__x").agg(F.count("*").alias("__c"))
+    upto = F.col("__below") + F.sum("__c").over(W.partitionBy(*group, "name").orderBy("__x"))
+    each = each.withColumn("__to", upto).filter("__to > floor(r) AND __to - __c <= ceil(r)")
+    both = each.groupBy(*group, "name", "r").agg(F.min("__x").alias("__a"), F.max("__x").alias("__b"))
+    return both.groupBy(*group).agg(*[F.max(F.when(F.col("name") == n, F.expr("__a + (r - floor(r)) * (__b - __a)"))).alias(n) for n in shares]).select(*by, *shares)
 
 
 def percentile_normalize(df: DataFrame, by: list[str], low: float, high: float, clip: bool = True, value: str = "intensity") -> DataFrame:
@@ -238,23 +249,55 @@ def closing(df: DataFrame, by: list[str], value: str, size: int = 3, axes: tuple
     return erode(dilate(df, by, value, size, axes), by, value, size, axes)
 
 
-def _ball(radius: int) -> Column:
-    r = range(-radius, radius + 1)
-    return F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a, b, c in product(r, r, r) if a * a + b * b + c * c <= radius * radius]))
+def over_ball(df: DataFrame, by: list[str], value: str, radius: int, kind: str) -> DataFrame:
+    """``df`` with ``value`` the ``kind`` (max, min or sum) of it over the voxels of the table within ``radius``. A ball is a
+    run along x for each (dy, dz): windows along x make the runs of every half width, windows along y put the runs of a
+    disc together for each dz, windows along z the discs. No row is multiplied. A run counts where the voxel in its middle
+    has a row, as all have in dense volumes."""
+    agg = {"max": F.max, "min": F.min, "sum": F.sum}[kind]
+    half = {(dy, dz): math.isqrt(radius * radius - dy * dy - dz * dz) for dy in range(-radius, radius + 1) for dz in range(radius + 1) if dy * dy + dz * dz <= radius * radius}
 
+    def joined(parts: list[Column]) -> Column:
+        if len(parts) == 1:
+            return parts[0]
+        if kind == "sum":
+            out = F.coalesce(parts[0], F.lit(0))
+            for p in parts[1:]:
+                out = out + F.coalesce(p, F.lit(0))
+            return out
+        return (F.greatest if kind == "max" else F.least)(*parts)
 
-def _moved(df: DataFrame, by: list[str], value: str, radius: int, agg) -> DataFrame:
-    near = df.select(*by, *AXES, value, _ball(radius).alias("o")).select(*by, *[(F.col(a) + F.col(f"o.{a}")).alias(a) for a in AXES], value)
-    return df.drop(value).join(near.groupBy(*by, *AXES).agg(agg(value).alias(value)), [*by, *AXES])
+    def along(axis: str) -> W:
+        return W.partitionBy(*by, *[a for a in AXES if a != axis]).orderBy(axis)
+
+    out = df.select("*", *[agg(value).over(along("x").rangeBetween(-h, h)).alias(f"__m{h}") for h in sorted(set(half.values()))])
+    out = out.select(*df.columns, *[joined([F.max(f"__m{h}").over(along("y").rangeBetween(dy, dy)) for (dy, z), h in half.items() if z == dz]).alias(f"__d{dz}") for dz in range(radius + 1)])
+    return out.withColumn(value, joined([F.max(f"__d{abs(dz)}").over(along("z").rangeBetween(dz, dz)) for dz in range(-radius, radius + 1)])).select(df.columns)
+
+
+def _holes(df: DataFrame, by: list[str]) -> DataFrame:
+    """The places inside each volume's bounds without a row; only lines along x that lack some are spelled out."""
+    ends = df.groupBy(*by).agg(*[f(a).alias(f"__{n}{a}") for a in AXES for n, f in (("a", F.min), ("b", F.max))])
+    lines = ends.withColumn("y", F.explode(F.sequence("__ay", "__by"))).withColumn("z", F.explode(F.sequence("__az", "__bz")))
+    seen = df.groupBy(*by, "y", "z").agg(F.count("*").alias("__c"))
+    bare = lines.join(seen, [*by, "y", "z"], "left").filter("__c IS NULL OR __c < __bx - __ax + 1")
+    return bare.select(*by, F.explode(F.sequence("__ax", "__bx")).alias("x"), "y", "z").join(df, [*by, *AXES], "left_anti")
+
+
+def _dense_over_ball(df: DataFrame, by: list[str], value: str, radius: int, kind: str) -> DataFrame:
+    own = df.withColumn("__own", F.lit(True))
+    out = over_ball(own.unionByName(_holes(df, by), allowMissingColumns=True), by, value, radius, kind)
+    return out.filter("__own").select(df.columns)
 
 
 def dilate_ball(df: DataFrame, by: list[str], value: str, radius: int = 3) -> DataFrame:
-    """Greatest value within a distance; dense volumes, each row meets the offsets of the ball."""
-    return _moved(df, by, value, radius, F.max)
+    """Greatest value within a distance; what lies outside the frame, or has no row, doesn't count."""
+    return _dense_over_ball(df, by, value, radius, "max")
 
 
 def erode_ball(df: DataFrame, by: list[str], value: str, radius: int = 3) -> DataFrame:
-    return _moved(df, by, value, radius, F.min)
+    """Least value within a distance, as ``dilate_ball``."""
+    return _dense_over_ball(df, by, value, radius, "min")
 
 
 def median_filter(df: DataFrame, by: list[str], value: str = "intensity") -> DataFrame:

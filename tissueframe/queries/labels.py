@@ -204,11 +204,11 @@ def _(d):
     return L.remove_large(vox(d), BY, "lab", 60)
 
 
-def morph_sql(first: str, then: str) -> str:
-    """Ball of radius 1 on the dense frame: the least, then the greatest value, or the other way."""
-    near = "SELECT v.specimen, v.x, v.y, v.z, {fn}(w.gt) AS gt FROM {t} v JOIN {t} w ON w.specimen = v.specimen AND w.x BETWEEN v.x - 1 AND v.x + 1 AND (w.x-v.x)*(w.x-v.x) + (w.y-v.y)*(w.y-v.y) + (w.z-v.z)*(w.z-v.z) <= 1 GROUP BY 1, 2, 3, 4"
+def morph_sql(first: str, then: str, r: int = 1) -> str:
+    """Ball of radius r on the dense frame: the least, then the greatest value, or the other way."""
+    near = "SELECT v.specimen, v.x, v.y, v.z, {fn}(w.gt) AS gt FROM {t} v JOIN {t} w ON w.specimen = v.specimen AND w.x BETWEEN v.x - {r} AND v.x + {r} AND w.y BETWEEN v.y - {r} AND v.y + {r} AND (w.x-v.x)*(w.x-v.x) + (w.y-v.y)*(w.y-v.y) + (w.z-v.z)*(w.z-v.z) <= {r2} GROUP BY 1, 2, 3, 4"
     base = "SELECT s.specimen, i.x, j.y, s.z, coalesce(v.gt, 0) AS gt FROM (SELECT DISTINCT specimen, z FROM fx_volume) s CROSS JOIN (SELECT unnest(range(25)) AS x) i CROSS JOIN (SELECT unnest(range(25)) AS y) j LEFT JOIN fx_volume v ON v.specimen = s.specimen AND v.x = i.x AND v.y = j.y AND v.z = s.z"
-    return f"WITH base AS ({base}), one AS ({near.format(fn=first, t='base')}), two AS ({near.format(fn=then, t='one')}) SELECT * FROM two WHERE gt <> 0"
+    return f"WITH base AS ({base}), one AS ({near.format(fn=first, t='base', r=r, r2=r * r)}), two AS ({near.format(fn=then, t='one', r=r, r2=r * r)}) SELECT * FROM two WHERE gt <> 0"
 
 
 #: The frame of a dense volume; z of a specimen starts where that of the one before ends, so it is moved to 0.
@@ -226,9 +226,9 @@ def _(d):
     return raised(d, L.clean_opening(d.sql(LOWERED), BY, "gt", 1, 1, d.sql(FRAME)))
 
 
-@query("clean_boundaries_closing", morph_sql("max", "min"))
+@query("clean_boundaries_closing", morph_sql("max", "min", 3))
 def _(d):
-    return raised(d, L.clean_closing(d.sql(LOWERED), BY, "gt", 1, 1, d.sql(FRAME)))
+    return raised(d, L.clean_closing(d.sql(LOWERED), BY, "gt", sizes=d.sql(FRAME)))
 
 
 def comp_sql(p: str, src: str, near: int) -> str:

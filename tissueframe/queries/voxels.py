@@ -166,9 +166,10 @@ for _name, _first, _then, _fn in (("dilate", "max", None, V.dilate), ("erode", "
         return fn(d.fx_volume.select("specimen", "x", "y", "z", "pred"), BY, "pred")
 
 
-@query("dilate_ball", "SELECT v.specimen, v.x, v.y, v.z, max(w.gt) AS gt FROM fx_volume v JOIN fx_volume w ON w.specimen = v.specimen AND w.x BETWEEN v.x - 2 AND v.x + 2 AND w.y BETWEEN v.y - 2 AND v.y + 2 AND w.z BETWEEN v.z - 2 AND v.z + 2 AND (w.x-v.x)*(w.x-v.x) + (w.y-v.y)*(w.y-v.y) + (w.z-v.z)*(w.z-v.z) <= 4 GROUP BY 1, 2, 3, 4")
-def _(d):
-    return V.dilate_ball(d.fx_volume, BY, "gt", 2).select("specimen", "x", "y", "z", "gt")
+for _name, _fn, _ball in (("dilate_ball", "max", V.dilate_ball), ("erode_ball", "min", V.erode_ball)):
+    query(_name, f"SELECT v.specimen, v.x, v.y, v.z, {_fn}(w.gt) AS gt FROM fx_volume v JOIN fx_volume w ON w.specimen = v.specimen AND w.x BETWEEN v.x - 3 AND v.x + 3 AND w.y BETWEEN v.y - 3 AND v.y + 3 AND w.z BETWEEN v.z - 3 AND v.z + 3 AND (w.x-v.x)*(w.x-v.x) + (w.y-v.y)*(w.y-v.y) + (w.z-v.z)*(w.z-v.z) <= 9 GROUP BY 1, 2, 3, 4")(
+        lambda d, ball=_ball: ball(d.fx_volume, BY, "gt").select("specimen", "x", "y", "z", "gt")
+    )
 
 
 #: The volume with the last slice filled up, so that it is dense.
