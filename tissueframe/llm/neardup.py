@@ -37,9 +37,10 @@ from ..workspace import Workspace
 from .common import arrow_map, held, key_filter, list_array, mix, shingle_hashes, slices, whole_key, without, word_hashes
 
 ROWS, MISS, SIGMAS = 6, 1e-6, 4.5
-#: The weight of a block; two blocks meet in a task's memory at a time. A signature weighs 1, a full set 1 for each
-#: ``UNIT`` shingles begun, so blocks are bounded in bytes as well as in members.
-BLOCK, UNIT = 64, 1024
+#: The weight of a block; two blocks meet in a task's memory at a time. A full set weighs 1 for each ``UNIT`` shingles
+#: begun, so blocks are bounded in bytes as well as in members; of signatures, which are small, a block holds ``MANY``
+#: times as many, so that fewer copies of each are dealt.
+BLOCK, UNIT, MANY = 64, 1024, 4
 
 
 def bands_for(percent: int) -> int:
@@ -122,16 +123,16 @@ def _similar(percent: int, a: str = "a", b: str = "b") -> str:
     return f"100 * {a} >= {percent} * ({b} - {a})"
 
 
-def _blocks(members: DataFrame, work: Workspace) -> DataFrame:
+def _blocks(members: DataFrame, work: Workspace, weight: int) -> DataFrame:
     """``members(g, doc, comp, w)``: of groups that hold several components, every row once for each pair of blocks in
-    which it has to meet others. Blocks of the largest component don't meet each other; blocks weigh ``BLOCK`` on
+    which it has to meet others. Blocks of the largest component don't meet each other; blocks have ``weight`` on
     average, and there are no more of them than rows."""
     by = members.groupBy("g", "comp").agg(F.sum("w").alias("c"), F.count("*").alias("r"))
     groups = by.groupBy("g").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum("r").alias("rows"), F.max(F.struct("c", F.col("comp").alias("main"), "r")).alias("top"))
     groups = work.write(groups.filter("k > 1").select("g", "n", "rows", "top.main", "top.c", "top.r"))
     placed = members.join(groups, "g").selectExpr(
-        "g", "doc", "comp", "comp = main AS main", f"n <= {BLOCK} AS small",
-        f"greatest(1, least(rows - r, int(ceil((n - c) / {BLOCK})))) AS bl", f"greatest(1, least(r, int(ceil(c / {BLOCK})))) AS bd",
+        "g", "doc", "comp", "comp = main AS main", f"n <= {weight} AS small",
+        f"greatest(1, least(rows - r, int(ceil((n - c) / {weight})))) AS bl", f"greatest(1, least(r, int(ceil(c / {weight})))) AS bd",
     ).withColumn("own", F.expr("pmod(xxhash64(doc, 7), CASE WHEN main THEN bd ELSE bl END)").cast("int"))
     keys = F.expr(
         """CASE WHEN small THEN array(named_struct('p', 0, 'i', 0, 'j', 0))
@@ -248,7 +249,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
         return m.join(c.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
 
     least = math.ceil(low * hashes)
-    open_ = _blocks(with_comp(members.select("g", "doc", F.lit(1).alias("w")), comp), work).join(known.select("doc", "sig"), "doc")
+    open_ = _blocks(with_comp(members.select("g", "doc", F.lit(1).alias("w")), comp), work, MANY * BLOCK).join(known.select("doc", "sig"), "doc")
 
     def by_signature(group: pa.Table) -> np.ndarray:
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(group.num_rows, -1)
@@ -258,7 +259,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     if not maybe.isEmpty():
         loose = components(links.unionByName(maybe), work)
         group = loose.select(F.col("node").alias("doc"), F.col("component").alias("g")).join(known.select("doc", F.expr(f"n div {UNIT} + 1").alias("w")), "doc")
-        blocks = _blocks(with_comp(group, comp), work).join(known.select("doc", "shingles"), "doc")
+        blocks = _blocks(with_comp(group, comp), work, BLOCK).join(known.select("doc", "shingles"), "doc")
 
         def by_sets(g: pa.Table) -> np.ndarray:
             col = g.column("shingles").combine_chunks()
