@@ -378,7 +378,9 @@ STEPS: dict[str, Callable[..., DataFrame]] = {
 
 
 def postprocess(labels: DataFrame, steps: list[str | tuple[str, dict[str, object]]], **options: object) -> DataFrame:
-    """Named steps in order; each takes those of the options that it knows, and those given with its name before them."""
+    """Named steps in order; each takes those of the options that it knows, and those given with its name before them. What
+    a step returns is a written table, so that the next one doesn't do its work again."""
+    work = options["work"] = options.get("work") or Workspace(labels.sparkSession)
     for step in steps:
         name, own = (step, {}) if isinstance(step, str) else step
         if name not in STEPS:
@@ -386,5 +388,5 @@ def postprocess(labels: DataFrame, steps: list[str | tuple[str, dict[str, object
         known = inspect.signature(STEPS[name]).parameters
         if unknown := set(own) - set(known):
             raise ValueError(f"{name} takes no {', '.join(sorted(unknown))}")
-        labels = labels.transform(STEPS[name], **{k: v for k, v in (options | own).items() if k in known})
+        labels = work.write(labels.transform(STEPS[name], **{k: v for k, v in (options | own).items() if k in known}))
     return labels

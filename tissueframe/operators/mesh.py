@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.linalg import eigenvalues, eigenvector
 from ..workspace import Workspace
-from .graph import bounded_paths
+from .graph import bounded_paths, paths_back
 from .spatial import XYZ, nearest_join
 
 
