@@ -121,3 +121,26 @@ def test_writer_leaves_nothing_of_a_failed_attempt(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         bad.write.format("nifti").mode("append").save(f"file://{tmp_path}/w")
     assert not [p for p in tmp_path.glob("w/*") if not p.name.startswith(".")]
+
+
+def test_one_mesh_is_written_and_read_by_several_tasks(spark, tmp_path):
+    """Splits of a few hundred bytes: lines keep their numbers, whatever the cuts; headers of other writers are read."""
+    n = 300
+    v = spark.createDataFrame([(m, i, i / 8, -i / 4, float(m), i % 5) for m in (1, 2) for i in range(n)], "mesh int, vid long, x double, y double, z double, cell_id long")
+    f = spark.createDataFrame([(1, i, i, i + 1, i + 2, i % 5) for i in range(n - 2)], "mesh int, fid long, v0 long, v1 long, v2 long, cell_id long")
+    files.write_ply(v, f, "mesh", f"{tmp_path}/w")
+    parts = sorted((tmp_path / "w" / "mesh=1").glob("part-*"))
+    assert parts[0].read_text().startswith("ply\nformat ascii 1.0\nelement vertex 300\n")
+    (tmp_path / "one.ply").write_text("".join(p.read_text() for p in parts).replace("property double z\n", "property double z\ncomment end_header is below\nproperty float q\n"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        for path, folders in ((f"{tmp_path}/one.ply", False), (f"{tmp_path}/w/mesh=1", True)):
+            gv, gf = files.read_ply(spark, path, folders)
+            assert sorted(tuple(r)[1:] for r in gv.collect()) == [(i, i / 8, -i / 4, 1.0, i % 5) for i in range(n)]
+            assert sorted(tuple(r)[1:] for r in gf.collect()) == [(i, i, i + 1, i + 2, i % 5) for i in range(n - 2)]
+        assert spark.read.text(f"{tmp_path}/one.ply").rdd.getNumPartitions() > 10
+        gv, gf = files.read_ply(spark, f"{tmp_path}/w/mesh=2", True)
+        assert gv.count() == n and gf.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import mesh as M
+from ..operators.graph import numbered
 from ..plans.incremental import incremental
 from ..sources import catalog as C
 from ..sources import files as S
@@ -71,6 +72,20 @@ def _(d):
     return faces.groupBy("cell_id").agg(F.count("*").alias("faces"), F.sum("fid").alias("fids"))
 
 
+@query("ply_parts", "SELECT c.cell_id, count(DISTINCT v.vid) AS vertices, CAST(sum(c.n) AS BIGINT) AS corners, round(sum(v.x * c.n), 4) AS sx, round(sum(v.z * c.n), 4) AS sz FROM (SELECT cell_id, vid, count(*) AS n FROM (SELECT cell_id, v0 AS vid FROM fx_faces UNION ALL SELECT cell_id, v1 FROM fx_faces UNION ALL SELECT cell_id, v2 FROM fx_faces) a GROUP BY 1, 2) c JOIN fx_vertices v ON v.vid = c.vid GROUP BY 1")
+def _(d):
+    """One mesh of all cells, written and read by several tasks; vertices that its faces name, by cell."""
+    folder, work = Workspace(d.spark).path("parts"), Workspace(d.spark)
+    order = numbered(d.fx_vertices.withColumn("mesh", F.lit(1)), ["mesh"], ["vid"], "at", work).select("vid", (F.col("at") - 1).alias("at"))
+    place = lambda k: order.select(F.col("vid").alias(f"v{k}"), F.col("at").alias(f"at{k}"))
+    f = d.fx_faces.join(place(0), "v0").join(place(1), "v1").join(place(2), "v2").select(F.lit(1).alias("mesh"), "fid", *[F.col(f"at{k}").alias(f"v{k}") for k in range(3)], "cell_id")
+    S.write_ply(d.fx_vertices.withColumn("mesh", F.lit(1)), f, "mesh", folder)
+    v, f = S.read_ply(d.spark, f"{folder}/mesh=1", folders=True, work=work)
+    used = f.select("path", "cell_id", F.explode(F.array("v0", "v1", "v2")).alias("vid")).groupBy("path", "cell_id", "vid").agg(F.count("*").alias("n"))
+    out = used.join(v.drop("cell_id"), ["path", "vid"]).groupBy("cell_id")
+    return out.agg(F.count("*").alias("vertices"), F.sum("n").alias("corners"), F.round(F.sum(F.col("x") * F.col("n")), 4).alias("sx"), F.round(F.sum(F.col("z") * F.col("n")), 4).alias("sz"))
+
+
 @query("surface_map_all", "SELECT specimen, src_vertex, c_vertex, a_vertex, alpha, beta, gamma FROM fx_surface_map")
 @query("surface_map", "SELECT specimen, src_vertex, c_vertex, a_vertex, alpha, beta, gamma FROM fx_surface_map")
 def _(d):

@@ -15,8 +15,10 @@ import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
 from . import volumes
 from .nifti import HEAD, nifti_bytes, nifti_head, nifti_header, unpacked
 
@@ -180,24 +182,56 @@ def read_stored(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 # --- PLY -------------------------------------------------------------------------------------------
 
+#: Fixed value: the head of a text PLY with cells on vertices and faces.
+PLY_HEAD = "ply\nformat ascii 1.0\nelement vertex %d\nproperty double x\nproperty double y\nproperty double z\nproperty int cell_id\nelement face %d\nproperty list uchar int vertex_indices\nproperty int cell_id\nend_header"
+
+
 def ply_text(vertices: DataFrame, faces: DataFrame, by: str) -> DataFrame:
     """``by, content``: a text PLY of each mesh, with ``cell_id`` on vertices and faces. Vertices are numbered by place."""
     v = vertices.groupBy(by).agg(F.count("*").alias("nv"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("vid", F.concat_ws(" ", "x", "y", "z", "cell_id").alias("t")))), lambda e: e["t"]), "\n").alias("tv"))
     f = faces.groupBy(by).agg(F.count("*").alias("nf"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("fid", F.concat_ws(" ", F.lit("3"), "v0", "v1", "v2", "cell_id").alias("t")))), lambda e: e["t"]), "\n").alias("tf"))
-    head = F.format_string("ply\nformat ascii 1.0\nelement vertex %d\nproperty double x\nproperty double y\nproperty double z\nproperty int cell_id\nelement face %d\nproperty list uchar int vertex_indices\nproperty int cell_id\nend_header", "nv", "nf")
+    head = F.format_string(PLY_HEAD, "nv", "nf")
     return v.join(f, by).select(by, F.concat_ws("\n", head, "tv", "tf").alias("content"))
 
 
-def read_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def write_ply(vertices: DataFrame, faces: DataFrame, by: str, path: str) -> None:
+    """Text PLY of each mesh in the folder ``path``/``by``=<mesh>, as part files that follow one another by name: tasks
+    write stretches of lines side by side. ``cat`` of a folder is a PLY file; ``read_ply(..., folders=True)`` reads it.
+    Meshes without faces are written too."""
+    v = vertices.select(by, F.lit(1).alias("part"), F.col("vid").cast("long").alias("at"), F.concat_ws(" ", "x", "y", "z", "cell_id").alias("value"))
+    f = faces.select(by, F.lit(2).alias("part"), F.col("fid").cast("long").alias("at"), F.concat_ws(" ", F.lit("3"), "v0", "v1", "v2", "cell_id").alias("value"))
+    sizes = v.unionByName(f).groupBy(by).agg(F.sum(F.expr("int(part = 1)")).alias("nv"), F.sum(F.expr("int(part = 2)")).alias("nf"))
+    head = F.format_string(PLY_HEAD, "nv", "nf")
+    lines = sizes.select(by, F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), head.alias("value")).unionByName(v).unionByName(f)
+    lines.repartitionByRange(by, "part", "at").sortWithinPartitions(by, "part", "at").select(by, "value").write.partitionBy(by).text(path)
+
+
+def numbered_lines(spark: SparkSession, path: str, folders: bool = False, work: Workspace | None = None) -> DataFrame:
+    """``path, line, value``: the lines of text files numbered from 0, of any length: splits of a file are read side by
+    side, and a split's lines go on from those of the splits before it. With ``folders``, the files of a folder are one
+    text in the order of their names, and ``path`` is the folder."""
+    work = work or Workspace(spark)
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), "value")
+    rows = work.write(rows.withColumn("__at", F.monotonically_increasing_id()))
+    name = F.regexp_replace("__file", "/[^/]*$", "") if folders else F.col("__file")
+    # A row for each split of each file.
+    splits = rows.groupBy("__file", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).withColumn("path", name)
+    before = F.sum("__n").over(W.partitionBy("path").orderBy("__file", "__start")) - F.col("__n")
+    splits = splits.select("path", "__file", "__start", "__first", before.alias("__before"))
+    return rows.join(splits, ["__file", "__start"]).select("path", (F.col("__before") + F.col("__at") - F.col("__first")).alias("line"), "value")
+
+
+def read_ply(spark: SparkSession, path: str, folders: bool = False, work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
     """``vertices(path, vid, x, y, z, cell_id)`` and ``faces(path, fid, v0, v1, v2, cell_id)`` of text PLY files whose
-    vertices start with x, y, z and end with cell_id; properties between are skipped."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", r"\r?\nend_header\r?\n", 2).alias("p"))
-    number = lambda what: F.regexp_extract(F.col("p")[0], rf"element {what} (\d+)", 1).cast("int")
-    rows = text.select("path", number("vertex").alias("nv"), number("face").alias("nf"), F.posexplode(F.split(F.trim(F.col("p")[1]), r"\r?\n")).alias("at", "line"))
-    parts = rows.withColumn("w", F.split(F.trim("line"), r"\s+"))
+    vertices start with x, y, z and end with cell_id; properties between are skipped. Several tasks read one mesh."""
+    lines = numbered_lines(spark, path, folders, work)
+    number = lambda what: F.max(F.when(F.col("line") < F.col("__end"), F.regexp_extract("value", rf"^element {what} (\d+)", 1).try_cast("long")))
+    ends = lines.filter("trim(value) = 'end_header'").groupBy("path").agg(F.min("line").alias("__end"))
+    head = lines.join(ends, "path").filter("line < __end").groupBy("path", "__end").agg(number("vertex").alias("nv"), number("face").alias("nf"))
+    body = lines.join(head, "path").filter("line > __end").select("path", "nv", F.coalesce("nf", F.lit(0)).alias("nf"), (F.col("line") - F.col("__end") - 1).alias("at"), F.split(F.trim("value"), r"\s+").alias("w"))
     w = lambda i, kind: F.element_at("w", i).cast(kind)
-    v = parts.filter("at < nv").select("path", F.col("at").cast("long").alias("vid"), *[w(i + 1, "double").alias(a) for i, a in enumerate("xyz")], w(-1, "long").alias("cell_id"))
-    f = parts.filter("at >= nv AND at < nv + nf").select("path", (F.col("at") - F.col("nv")).cast("long").alias("fid"), *[w(i + 2, "long").alias(f"v{i}") for i in range(3)], w(-1, "long").alias("cell_id"))
+    v = body.filter("at < nv").select("path", F.col("at").alias("vid"), *[w(i + 1, "double").alias(a) for i, a in enumerate("xyz")], w(-1, "long").alias("cell_id"))
+    f = body.filter("at >= nv AND at < nv + nf").select("path", (F.col("at") - F.col("nv")).alias("fid"), *[w(i + 2, "long").alias(f"v{i}") for i in range(3)], w(-1, "long").alias("cell_id"))
     return v, f
 
 
