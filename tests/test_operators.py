@@ -535,3 +535,23 @@ def test_far_points_meet_few_leaves(spark, monkeypatch):
     assert len(got) == 2 * len(p)
     for i in range(len(p)):
         assert got[1, i][0] == int(d[i].argmin()) and abs(got[1, i][1] - d[i].min()) < 1e-9 and got[2, i][0] == 5
+
+
+def test_decay_fits_tell_whether_they_rest(spark):
+    """Infinite and missing slices don't count; a volume without finite ones has no fit."""
+    z = range(0, 100, 5)
+    rows = [(1, t, 50 * math.exp(-0.02 * t) + 3) for t in z] + [(1, 7, math.inf), (1, 8, -math.inf), (1, 9, math.nan), (1, 11, None)] + [(2, t, math.inf) for t in z]
+    df = spark.createDataFrame(rows, "specimen int, z int, foreground double")
+    got = {r.specimen: r for r in cohort.decay_fit(df, ["specimen"], "exponential").collect()}
+    assert np.allclose([got[1].a, got[1].b, got[1].c], [50, 0.02, 3], rtol=1e-3) and got[1].converged is True and got[2].converged is None
+    p, rest = cohort.least_squares(np.arange(0, 100, 5.0), 50 * np.exp(-0.02 * np.arange(0, 100, 5.0)) + 3, "exponential", rounds=1)
+    assert not rest
+
+
+def test_calibration_fits_warn_when_cut_off(spark):
+    from tissueframe.operators import calibration
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([([float(v) for v in rng.normal(size=3)], int(rng.integers(3))) for _ in range(80)], "z array<double>, y_true int")
+    with pytest.warns(RuntimeWarning):
+        calibration.fit_vector(df, rounds=1)

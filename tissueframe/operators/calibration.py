@@ -5,6 +5,8 @@ Probabilities and logits are arrays, ``y_true`` the number of the true class.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -198,9 +200,12 @@ def fit_temperature(df: DataFrame, grid: list[float], z: str = "z") -> DataFrame
 def fit_vector(df: DataFrame, z: str = "z", classes: int = 3, bias: bool = True, rounds: int = 50, ridge: float = 1e-3) -> tuple[list[float], list[float]]:
     """Scales and biases of vector scaling, softmax(s z + b), of least mean negative log-likelihood plus ``ridge`` / 2 times
     their squares (scales measured from 1), by Newton steps. The loss is convex; each step is one aggregation of a
-    gradient and a curvature with a few dozen numbers, halved until the loss falls."""
+    gradient and a curvature with a few dozen numbers, halved until the loss falls. The rows are written once and read by
+    all steps; a warning tells if the steps haven't come to rest after ``rounds``."""
     import numpy as np
 
+    df = Workspace(df.sparkSession).write(df.select(z, "y_true"))
+
     n = classes * (2 if bias else 1)
     at = np.concatenate([np.ones(classes), np.zeros(n - classes)])
     home = at.copy()
@@ -234,6 +239,8 @@ def fit_vector(df: DataFrame, z: str = "z", classes: int = 3, bias: bool = True,
         at = at - size * step
         if np.abs(step).max() * size < 1e-7:
             break
+    else:
+        warnings.warn(f"vector scaling hasn't come to rest after {rounds} steps", RuntimeWarning, stacklevel=2)
     return at[:classes].tolist(), at[classes:].tolist() or [0.0] * classes
 
 
@@ -247,13 +254,16 @@ def fit_dirichlet(df: DataFrame, probs: str = "probs", classes: int = 3) -> list
     return [s + math.log(-math.expm1(-s)) for s in (max(s, 1e-6) for s in scales)]
 
 
-def fit_matrix(df: DataFrame, probs: str = "probs") -> DataFrame:
-    """Weights and biases of matrix scaling, by multinomial logistic regression on log-probabilities: a row per class."""
+def fit_matrix(df: DataFrame, probs: str = "probs", rounds: int = 100) -> DataFrame:
+    """Weights and biases of matrix scaling, by multinomial logistic regression on log-probabilities: a row per class. A
+    warning tells if it hasn't come to rest after ``rounds`` steps."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     rows = df.select(array_to_vector(F.transform(probs, lambda p: F.log(F.greatest(p, F.lit(1e-12))))).alias("features"), F.col("y_true").cast("double").alias("label"))
-    model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=100).fit(rows)
+    model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=rounds).fit(rows)
+    if model.summary.totalIterations >= rounds:
+        warnings.warn(f"matrix scaling hasn't come to rest after {rounds} steps", RuntimeWarning, stacklevel=2)
     out = [(k, [float(x) for x in w], float(b)) for k, (w, b) in enumerate(zip(model.coefficientMatrix.toArray(), model.interceptVector.toArray()))]
     return df.sparkSession.createDataFrame(out, "class int, weights array<double>, bias double")
 

@@ -76,10 +76,11 @@ MODELS = {
 }
 
 
-def least_squares(z: np.ndarray, y: np.ndarray, model: str, rounds: int = 200) -> np.ndarray:
-    """Damped Gauss-Newton steps on a profile of a few hundred slices."""
+def least_squares(z: np.ndarray, y: np.ndarray, model: str, rounds: int = 200) -> tuple[np.ndarray, bool]:
+    """Damped Gauss-Newton steps on a profile of a few hundred slices, and whether they came to rest: the error fell by
+    next to nothing, or no step of any length lessens it."""
     f, guess = MODELS[model]
-    p, damp = np.array(guess(z, y), float), 1e-2
+    p, damp, rest = np.array(guess(z, y), float), 1e-2, False
     err = float(((y - f(z, p)) ** 2).sum())
     for _ in range(rounds):
         h = 1e-6 * np.maximum(np.abs(p), 1e-3)
@@ -90,25 +91,29 @@ def least_squares(z: np.ndarray, y: np.ndarray, model: str, rounds: int = 200) -
         if new < err:
             done = err - new < 1e-10 * max(err, 1e-30)
             p, err, damp = p + step, new, damp / 3
-            if done:
-                break
-        elif (damp := damp * 4) > 1e12:
+            rest = done
+        else:
+            damp *= 4
+            rest = damp > 1e12
+        if rest:
             break
-    return p
+    return p, rest
 
 
 def decay_fit(profile: DataFrame, by: list[str], model: str = "logistic", value: str = "foreground") -> DataFrame:
-    """Parameters ``a, b, ...`` of a decay with depth for each volume's profile (a row per slice); null for fewer than
-    five finite points (three for the models of two or three parameters)."""
+    """Parameters ``a, b, ...`` of a decay with depth for each volume's profile (a row per slice), over its finite points,
+    and ``converged``, whether the fit came to rest; null for fewer than five of them (three for the models of two or
+    three parameters)."""
     names = "abcd"[: {"logistic": 4, "exponential": 3, "logarithmic": 2, "gompertz": 3, "biexponential": 4}[model]]
     need = 5 if len(names) > 3 else 3
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("z").dropna()
-        p = least_squares(rows["z"].to_numpy(float), rows["y"].to_numpy(float), model) if len(rows) >= need else [None] * len(names)
-        return pd.DataFrame([[*group[by].iloc[0], *p]], columns=[*by, *names])
+        rows = group.sort_values("z")
+        rows = rows[np.isfinite(rows["z"].to_numpy(float)) & np.isfinite(rows["y"].to_numpy(float))]
+        p, rest = least_squares(rows["z"].to_numpy(float), rows["y"].to_numpy(float), model) if len(rows) >= need else ([None] * len(names), None)
+        return pd.DataFrame([[*group[by].iloc[0], *p, rest]], columns=[*by, *names, "converged"])
 
-    fields = ", ".join([f"`{k}` {profile.schema[k].dataType.simpleString()}" for k in by] + [f"{c} double" for c in names])
+    fields = ", ".join([f"`{k}` {profile.schema[k].dataType.simpleString()}" for k in by] + [f"{c} double" for c in names] + ["converged boolean"])
     return profile.select(*by, "z", F.col(value).alias("y")).groupBy(*by).applyInPandas(fit, fields)
 
 
