@@ -144,3 +144,18 @@ def test_one_mesh_is_written_and_read_by_several_tasks(spark, tmp_path):
         assert gv.count() == n and gf.count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_package_as_archive(tmp_path):
+    """What executors of a cluster get is the whole package, importable from the archive alone."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import tissueframe
+    from tissueframe.workspace import package
+
+    path = package(Path(tissueframe.__file__).parent, str(tmp_path))
+    code = "import sys; sys.path.insert(0, sys.argv[1]); import tissueframe.operators.cohort as c, tissueframe.sources.files; print(c.__file__)"
+    got = subprocess.run([sys.executable, "-c", code, path], capture_output=True, text=True, cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, timeout=120)
+    assert path in got.stdout, got.stderr

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..workspace import ship
+
 
 def stage_counts(cells: DataFrame, catalog: DataFrame) -> DataFrame:
     """Mean and sample deviation over specimens of their numbers of cells, by stage and level."""
@@ -113,6 +115,7 @@ def decay_fit(profile: DataFrame, by: list[str], model: str = "logistic", value:
         p, rest = least_squares(rows["z"].to_numpy(float), rows["y"].to_numpy(float), model) if len(rows) >= need else ([None] * len(names), None)
         return pd.DataFrame([[*group[by].iloc[0], *p, rest]], columns=[*by, *names, "converged"])
 
+    ship(profile.sparkSession)
     fields = ", ".join([f"`{k}` {profile.schema[k].dataType.simpleString()}" for k in by] + [f"{c} double" for c in names] + ["converged boolean"])
     return profile.select(*by, "z", F.col(value).alias("y")).groupBy(*by).applyInPandas(fit, fields)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.linalg import eigenvalues, eigenvector
-from ..workspace import Workspace
+from ..workspace import Workspace, ship
 from .graph import bounded_paths, paths_back
 from .spatial import XYZ, nearest_join
 
@@ -146,6 +146,7 @@ def ellipsoid_axes(points: DataFrame, key: list[str], method: str = "pca", toler
         return pd.DataFrame([[*group[key].iloc[0], lengths, axis]], columns=[*key, "lengths", "axis"])
 
     fields = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in key)
+    ship(points.sparkSession)
     return points.select(*key, *XYZ).groupBy(*key).applyInPandas(least, f"{fields}, lengths array<double>, axis array<double>")
 
 

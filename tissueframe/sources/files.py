@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..workspace import Workspace
+from ..workspace import Workspace, ship
 from . import volumes
 from .nifti import HEAD, nifti_bytes, nifti_head, nifti_header, unpacked
 
@@ -34,6 +34,7 @@ def read_nifti(spark: SparkSession, path: str, axes: str = "XYZ", placed: bool =
     if volumes.reachable(path):
         volumes.register(spark)
         return spark.read.format("nifti").option("axes", axes).option("placed", str(placed)).option("partBytes", part_bytes).load(path)
+    ship(spark)
     names = [a.lower() for a in axes]
 
     def one(content: bytes) -> Iterator[list[pa.Array]]:
@@ -81,6 +82,7 @@ def volume_metadata(spark: SparkSession, path: str) -> DataFrame:
     if volumes.reachable(path):
         volumes.register(spark)
         return spark.read.format("nifti_header").load(path)
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,6 +97,7 @@ def volume_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def _packed(df: DataFrame, by: str, spacing: tuple[float, float, float], value: str, slab_bytes: int, alone: bool) -> DataFrame:
     """``by, k, first, member``: slabs of about ``slab_bytes`` as gzip members; an image of its own each if ``alone``."""
+    ship(df.sparkSession)
     ends = df.groupBy(by).agg(*[F.min(a).cast("long").alias(f"_o{a}") for a in "xyz"], *[(F.max(a) - F.min(a) + 1).cast("long").alias(f"_n{a}") for a in "xyz"])
     ends = ends.withColumn("_d", F.greatest(F.lit(1), F.floor(F.lit(slab_bytes) / (8 * F.col("_nx") * F.col("_ny")))))
     size = [f"_{k}{a}" for k in "on" for a in "xyz"] + ["_d"]

@@ -24,6 +24,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
 
+from ..workspace import ship
 from .nifti import HEAD, nifti_header, unpacked
 
 #: Bytes of samples in a partition, about; rows in a batch.
@@ -314,6 +315,7 @@ class HeaderSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Makes the formats known to a session, and lets filters reach them."""
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (NiftiSource, HeaderSource):
         spark.dataSource.register(source)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable in Python workers. Workers of the driver's machine (any local master) import it from
+    the driver's checkout; a cluster's executors get it as a zip archive, once an application."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.master.startswith("local"):
+        env, own = sc.environment, str(root.parent)
+        if own not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(x for x in (own, env.get("PYTHONPATH", "")) if x)
+    elif sc.applicationId not in _SHIPPED:
+        sc.addPyFile(package(root, tempfile.mkdtemp(prefix="tissueframe-")))
+        _SHIPPED.add(sc.applicationId)
+
+
+def package(root: Path, folder: str) -> str:
+    """The package as a zip archive in a folder of the driver, which Spark sends to executors from there."""
+    path = f"{folder}/{root.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, f"{root.name}/{file.relative_to(root)}")
+    return path
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
