@@ -141,6 +141,10 @@ def features(span: str, before: list[str], after: str) -> list[int]:
     return [_bucket(n) for n in names]
 
 
+#: An address without a user's password before it or a path behind it; letters of any script.
+_ADDRESS = re.compile(r"[\w.%+-]+@(?:[\w-]+\.)+[\w-]*\w")
+#: A date, with what may follow it.
+_DATE = re.compile(r"(?:19|20)[0-9]{2}([-./ ])(?:0[1-9]|1[0-2])\1[0-3][0-9](?![0-9])")
 _SECRET_LEFT, _SECRET_RIGHT = " \t\n\r\"'`=:([{<,;|>", " \t\n\r\"'`)]}>,;.|<&!?"
 
 
@@ -152,10 +156,10 @@ def allowed(span: str, left: str = "", right: str = "", announced: bool = False,
     numeric = len(digits) + span.count(" ") + span.count("-") == len(span)
     apart = not (left.isalnum() or right.isalnum())
     ok = (
-        not blank and span.count("@") == 1 and "." in span.split("@")[1] and span[0] != "@",
+        _ADDRESS.fullmatch(span) is not None,
         len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts),
         numeric and 12 <= len(digits) <= 19 and luhn(digits),
-        9 <= len(digits) <= 15 and len(digits) + sum(span.count(c) for c in " ().+-/") == len(span),
+        9 <= len(digits) <= 15 and len(digits) + sum(span.count(c) for c in " ().+-/") == len(span) and not _DATE.match(span),
         not blank and "@" not in span and (len(span) >= 16 or announced and len(span) >= 6) and (left in _SECRET_LEFT and right in _SECRET_RIGHT),
         apart and 15 <= len(packed) <= 34 and packed.isascii() and packed[:2].isalpha() and packed.isupper() and packed.isalnum() and packed[2:4].isdigit() and mod97(packed),
         apart and bool(re.fullmatch(r"(?!000|666|9)[0-9]{3}([ -])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}", span)),
@@ -399,7 +403,7 @@ def training_sentences(n: int = 1400, seed: int = 41) -> list[Sentence]:
 
     def secret() -> tuple[str, str, str]:
         free = pick([
-            lambda: "AKIA" + of(up + "234567", 16), lambda: "gh" + pick("pous") + "_" + of(alnum, 36), lambda: "sk_" + pick(["live", "test"]) + "_" + of(alnum, 24), lambda: "xox" + pick("bap") + "-" + number(11) + "-" + of(alnum, 24),
+            lambda: "AKIA" + of(up + "234567", 16), lambda: "gh" + pick("pous") + "_" + of(alnum, 36), lambda: pick(["sk_live_", "sk_test_", "glpat-", "hf_"]) + of(alnum, pick([20, 24, 34])), lambda: "xox" + pick("bap") + "-" + number(11) + "-" + of(alnum, 24),
             lambda: "AIza" + of(alnum + "_-", 34) + "x", lambda: "eyJ" + of(alnum, 17) + "." + of(alnum, 24) + "." + of(alnum + "_-", 20) + "Q", lambda: of(alnum, rng.randint(20, 44)), lambda: of(alnum + "+/", 38) + "a=",
         ])
         said = pick([lambda: of("0123456789abcdef", pick([32, 40, 64])), lambda: of(alnum, rng.randint(6, 20)), lambda: of(low, rng.randint(6, 12)) + pick(["", number(2), "!" + number(1)]) + pick("xyz9"), free])
@@ -424,7 +428,7 @@ def training_sentences(n: int = 1400, seed: int = 41) -> list[Sentence]:
             return pick(["", "card ", "card number "]), pick([lambda x: x, lambda x: quads(x, " "), lambda x: quads(x, "-")])(card(pick([15, 16, 16, 16]))), ""
         if kind == "phone":
             a, b, c, d = number(3), number(3), number(4), number(2)
-            return pick(["", "", "tel ", "call ", "phone: ", "fax "]), pick([f"+1 ({a}) {b}-{c}", f"+{d} {a} {b}{c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{d} {number(2)} {c} {number(4)}", f"0{number(2)} {c} {number(4)}"]), ""
+            return pick(["", "", "tel ", "tel: ", "call ", "phone: ", "fax ", "my number is "]), pick([f"+1 ({a}) {b}-{c}", f"+{d} {a} {b}{c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{d} {number(2)} {c} {number(4)}", f"0{number(2)} {c} {number(4)}", f"0{number(3)} {number(7)}"]), ""
         if kind == "iban":
             return pick(["", "IBAN ", "IBAN: ", "account "]), iban(), ""
         if kind == "ssn":
