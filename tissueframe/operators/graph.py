@@ -78,8 +78,13 @@ def greedy_matching(edges: DataFrame, by: list[str], work: Workspace | None = No
     The walk runs in rounds: an ``a`` decides once no lower one that is left touches it or one of its ends. Rounds follow
     the longest row of rising neighbours, not the number of nodes; only edges between nodes that are left go on."""
     work = work or Workspace(edges.sparkSession)
-    left, done = work.write(edges.select(*by, "a", "b", "weight")), None
-    while not left.isEmpty():
+    def counted(df: DataFrame) -> tuple[DataFrame, int]:
+        seen = Observation()
+        out = work.write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return out, seen.get["n"]
+
+    (left, n), done = counted(edges.select(*by, "a", "b", "weight")), None
+    while n:
         touch = left.select(*by, "a", F.col("b").alias("node")).unionByName(left.select(*by, "a", F.col("a").alias("node")).distinct())
         low = touch.groupBy(*by, "node").agg(F.min("a").alias("low"))
         held = touch.join(low, [*by, "node"]).groupBy(*by, "a").agg(F.min("low").alias("low")).filter("low = a").select(*by, "a")
@@ -89,7 +94,7 @@ def greedy_matching(edges: DataFrame, by: list[str], work: Workspace | None = No
         old, left = left, left
         for end in ("a", "b"):
             left = left.join(taken.withColumnRenamed("node", end), [*by, end], "left_anti")
-        left = work.write(left)
+        left, n = counted(left)
         work.drop(old)
         done = pairs if done is None else done.unionByName(pairs)
     return done if done is not None else left.select(*by, "a", "b")
