@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..workspace import ship
+from ..workspace import Workspace
 
 
 def stage_counts(cells: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -68,56 +71,115 @@ def overwrite_merge(df: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 # --- depth decay -----------------------------------------------------------------------------------
 
-#: f(z; parameters) and a first guess from z and y.
-MODELS = {
-    "logistic": (lambda z, p: p[3] + p[0] / (1 + np.exp(np.clip(p[1] * (z - p[2]), -50, 50))), lambda z, y: [np.ptp(y), 0.05, (z.min() + z.max()) / 2, y.min()]),
-    "exponential": (lambda z, p: p[0] * np.exp(np.clip(-p[1] * z, -50, 50)) + p[2], lambda z, y: [np.ptp(y), 1 / max(1.0, np.ptp(z)), y.min()]),
-    "logarithmic": (lambda z, p: p[0] + p[1] * np.log1p(z), lambda z, y: [y.max(), -1.0]),
-    "gompertz": (lambda z, p: p[0] * np.exp(-p[1] * np.exp(np.clip(p[2] * z, -50, 50))), lambda z, y: [y.max(), 0.1, 0.01]),
-    "biexponential": (lambda z, p: p[0] * np.exp(np.clip(-p[1] * z, -50, 50)) + p[2] * np.exp(np.clip(-p[3] * z, -50, 50)), lambda z, y: [y.max() / 2, 0.01, y.max() / 2, 0.1]),
-}
+class Decay(NamedTuple):
+    """A model of intensity over depth that is linear in all but the parameters of ``ranges``."""
 
+    names: str
+    need: int
+    #: Bounds of what is searched for.
+    ranges: tuple[tuple[float, float], ...]
+    #: (z, z scaled to 0 ... 1, searched) -> the functions whose best combination is the model.
+    parts: Callable[[Column, Column, list[Column]], list[Column]]
+    #: Whether a constant belongs to the combination.
+    level: bool
+    #: (factors, searched, least z, span of z) -> the parameters in the order of their names.
+    result: Callable[[list[Column], list[Column], Column, Column], list[Column]]
+
+
+def _falling(t: Column, p: Column) -> Column:
+    return F.exp(-F.sinh(p) * t)
 
-def least_squares(z: np.ndarray, y: np.ndarray, model: str, rounds: int = 200) -> tuple[np.ndarray, bool]:
-    """Damped Gauss-Newton steps on a profile of a few hundred slices, and whether they came to rest: the error fell by
-    next to nothing, or no step of any length lessens it."""
-    f, guess = MODELS[model]
-    p, damp, rest = np.array(guess(z, y), float), 1e-2, False
-    err = float(((y - f(z, p)) ** 2).sum())
-    for _ in range(rounds):
-        h = 1e-6 * np.maximum(np.abs(p), 1e-3)
-        j = np.stack([(f(z, p + h * (np.arange(len(p)) == i)) - f(z, p)) / h[i] for i in range(len(p))], 1)
-        a, g = j.T @ j, j.T @ (y - f(z, p))
-        step = np.linalg.lstsq(a + damp * np.diag(np.maximum(np.diag(a), 1e-12)), g, rcond=None)[0]
-        new = float(((y - f(z, p + step)) ** 2).sum())
-        if new < err:
-            done = err - new < 1e-10 * max(err, 1e-30)
-            p, err, damp = p + step, new, damp / 3
-            rest = done
-        else:
-            damp *= 4
-            rest = damp > 1e12
-        if rest:
-            break
-    return p, rest
 
+def _exponential(f: list[Column], p: list[Column], low: Column, span: Column) -> list[Column]:
+    """Factor and rate of each falling part, taken from scaled depth to z."""
+    out = []
+    for k, q in enumerate(p):
+        rate = F.sinh(q) / span
+        out += [f[k] * F.exp(rate * low), rate]
+    return out
 
-def decay_fit(profile: DataFrame, by: list[str], model: str = "logistic", value: str = "foreground") -> DataFrame:
-    """Parameters ``a, b, ...`` of a decay with depth for each volume's profile (a row per slice), over its finite points,
-    and ``converged``, whether the fit came to rest; null for fewer than five of them (three for the models of two or
-    three parameters)."""
-    names = "abcd"[: {"logistic": 4, "exponential": 3, "logarithmic": 2, "gompertz": 3, "biexponential": 4}[model]]
-    need = 5 if len(names) > 3 else 3
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("z")
-        rows = rows[np.isfinite(rows["z"].to_numpy(float)) & np.isfinite(rows["y"].to_numpy(float))]
-        p, rest = least_squares(rows["z"].to_numpy(float), rows["y"].to_numpy(float), model) if len(rows) >= need else ([None] * len(names), None)
-        return pd.DataFrame([[*group[by].iloc[0], *p, rest]], columns=[*by, *names, "converged"])
+def _gompertz(f: list[Column], p: list[Column], low: Column, span: Column) -> list[Column]:
+    rate = F.sinh(p[1]) / span
+    return [f[0], F.exp(p[0] - rate * low), rate]
 
-    ship(profile.sparkSession)
-    fields = ", ".join([f"`{k}` {profile.schema[k].dataType.simpleString()}" for k in by] + [f"{c} double" for c in names] + ["converged boolean"])
-    return profile.select(*by, "z", F.col(value).alias("y")).groupBy(*by).applyInPandas(fit, fields)
+
+#: Rates are searched as logarithms or inverse hyperbolic sines of their size over the whole depth.
+DECAYS = {
+    "logistic": Decay("abcd", 5, ((-2.3, 5.3), (-1.0, 2.0)), lambda z, t, p: [1 / (1 + F.exp(F.exp(p[0]) * (t - p[1])))], True, lambda f, p, low, span: [f[0], F.exp(p[0]) / span, low + p[1] * span, f[1]]),
+    "exponential": Decay("abc", 3, ((-4.0, 4.0),), lambda z, t, p: [_falling(t, p[0])], True, lambda f, p, low, span: [*_exponential(f, p, low, span), f[1]]),
+    "logarithmic": Decay("ab", 3, (), lambda z, t, p: [F.log1p(z)], True, lambda f, p, low, span: [f[1], f[0]]),
+    "gompertz": Decay("abc", 3, ((-8.0, 3.0), (-4.0, 4.0)), lambda z, t, p: [F.exp(-F.exp(p[0] + F.sinh(p[1]) * t))], False, _gompertz),
+    "biexponential": Decay("abcd", 5, ((-4.0, 4.0), (-4.0, 4.0)), lambda z, t, p: [_falling(t, p[0]), _falling(t, p[1])], False, _exponential),
+}
+
+#: Half the number of steps across the bounds, and across the two steps around the best afterwards, by searched parameters.
+SEARCH = {0: (0, 0), 1: (200, 20), 2: (24, 12)}
+NEAR = 1e-7
+
+
+def _best_factors(model: Decay, y: Column, parts: list[Column]) -> tuple[list[Column], Callable[[], tuple[Column, list[Column]]]]:
+    """Sums over a profile, and from them the squared error left by the best combination of the parts, and its factors."""
+    if model.level:
+        x = parts[0]
+        sums = [F.regr_slope(y, x).alias("__s0"), F.regr_intercept(y, x).alias("__s1"), F.regr_syy(y, x).alias("__s2"), F.regr_sxy(y, x).alias("__s3")]
+        return sums, lambda: (F.expr("__s2 - __s0 * __s3"), [F.col("__s0"), F.col("__s1")])
+    if len(parts) == 1:
+        sums = [F.sum(parts[0] * parts[0]).alias("__s0"), F.sum(parts[0] * y).alias("__s1"), F.sum(y * y).alias("__s2")]
+        return sums, lambda: (F.expr("__s2 - try_divide(__s1 * __s1, __s0)"), [F.expr("try_divide(__s1, __s0)")])
+    u, v = parts
+    sums = [F.sum(a * b).alias(f"__s{k}") for k, (a, b) in enumerate(((u, u), (u, v), (v, v), (u, y), (v, y), (y, y)))]
+    det = "(__s0 * __s2 - __s1 * __s1)"
+    f = [F.expr(f"try_divide(__s2 * __s3 - __s1 * __s4, {det})"), F.expr(f"try_divide(__s0 * __s4 - __s1 * __s3, {det})")]
+    return sums, lambda: (F.col("__s5") - f[0] * F.col("__s3") - f[1] * F.col("__s4"), f)
+
+
+def decay_fit(profile: DataFrame, by: list[str], model: str = "logistic", value: str = "foreground", rounds: int = 60, work: Workspace | None = None) -> DataFrame:
+    """Parameters ``a, b, ...`` of a decay with depth of least squared error for each volume's profile (a row per slice),
+    over its finite points, and ``converged``. Fewer than five of them (three for the models of two or three parameters),
+    points of one depth alone, or a null key, give null.
+
+    Linear factors follow from sums over the profile. The one or two other parameters are searched for within bounds: a
+    table of candidates over all of them, then over two steps around the best, until steps are below 1e-7 of the bounds; a
+    round moves on without smaller steps where the best lies on the edge of its table. ``converged`` is false for a volume
+    whose search ends at a bound, as in a profile without such a decay, or hasn't ended after ``rounds``. Each round is a
+    written table of a row a volume; candidates meet points by a join and leave sums alone. Exponential parts come in
+    the order of their rates."""
+    work, m = work or Workspace(profile.sparkSession), DECAYS[model]
+    n, (first, later) = len(m.ranges), SEARCH[len(m.ranges)]
+    finite = lambda c: F.abs(F.col(c)) < F.lit(math.inf)
+    points = profile.select(*by, F.col("z").cast("double").alias("__z"), F.col(value).cast("double").alias("__y")).filter(finite("__z") & finite("__y"))
+    ends = points.groupBy(*by).agg(F.min("__z").alias("__low"), (F.max("__z") - F.min("__z")).alias("__span"), F.count("*").alias("__n"))
+    points = work.write(points.join(ends.filter((F.col("__n") >= m.need) & (F.col("__span") > 0)), by).withColumn("__t", (F.col("__z") - F.col("__low")) / F.col("__span")))
+    at = [F.col(f"__p{k}") for k in range(n)]
+    step, active, half = F.col("__step"), points.select(*by, "__low", "__span").distinct(), first
+    active = active.select("*", *[F.lit((a + b) / 2).alias(f"__p{k}") for k, (a, b) in enumerate(m.ranges)], F.lit(1 / max(2 * first, 1)).alias("__step"))
+    ended = []
+    for turn in range(rounds if n else 1):
+        table = active.drop("__low", "__span")
+        for k, (a, b) in enumerate(m.ranges):
+            table = table.withColumn(f"__o{k}", F.explode(F.sequence(F.lit(-half), F.lit(half)))).withColumn(f"__p{k}", at[k] + F.col(f"__o{k}") * step * (b - a)).filter(at[k].between(a, b))
+        if len(m.parts(F.lit(0.0), F.lit(0.0), at)) == 2:
+            table = table.filter(at[0] < at[1])
+        tried = [f"__{c}{k}" for c in "po" for k in range(n)]
+        sums, solve = _best_factors(m, F.col("__y"), m.parts(F.col("__z"), F.col("__t"), at))
+        sums = points.join(table, by).groupBy(*by, "__low", "__span", "__step", *tried).agg(*sums)
+        error, factors = solve()
+        error = F.when(error.isNotNull(), error).otherwise(math.nan)
+        best = sums.groupBy(*by, "__low", "__span", "__step").agg(F.min(F.struct(error.alias("__error"), *tried, *[f.alias(f"__f{k}") for k, f in enumerate(factors)])).alias("__b"))
+        edge = reduce(lambda a, b: a | b, [F.abs(F.col(f"__o{k}")) == half for k in range(n)], F.lit(False)) & F.lit(turn > 0)
+        found = best.select(*by, "__low", "__span", "__step", "__b.*").withColumn("__next", F.when(edge, step).otherwise(step * 2 / max(later, 1)))
+        rest = (F.col("__next") < NEAR) if n else F.lit(True)
+        seen = Observation()
+        found = work.write(found.withColumn("__rest", rest).observe(seen, F.coalesce(F.sum((~rest).cast("long")), F.lit(0)).alias("n")))
+        ended.append(found if turn == (rounds if n else 1) - 1 else found.filter("__rest"))
+        if not seen.get["n"]:
+            break
+        active, half = found.filter("NOT __rest").select(*by, "__low", "__span", *[f"__p{k}" for k in range(n)], F.col("__next").alias("__step")), later
+    inside = reduce(lambda a, b: a & b, [at[k].between(a + 1e-6 * (b - a), b - 1e-6 * (b - a)) for k, (a, b) in enumerate(m.ranges)], F.col("__rest"))
+    given = m.result([F.col(f"__f{k}") for k in range(2 if m.level else len(m.parts(F.lit(0.0), F.lit(0.0), at)))], at, F.col("__low"), F.col("__span"))
+    fits = reduce(DataFrame.unionByName, ended).filter("NOT isnan(__error)").select(*by, *[c.alias(name) for name, c in zip(m.names, given)], inside.alias("converged"))
+    return profile.select(*by).distinct().join(fits, by, "left")
 
 
 # --- configuration grid ----------------------------------------------------------------------------

@@ -118,6 +118,14 @@ def _(d):
     return r6(H.decay_fit(profile, ["specimen"], value="background"), "a", "b", "c", "d")
 
 
+@query("decay_fit_log", """WITH p AS (SELECT specimen, z, avg(CASE WHEN intensity < t THEN intensity END) AS y FROM fx_volume JOIN (SELECT specimen, z, least(max(intensity), avg(intensity) + 3 * stddev_pop(intensity)) AS t FROM fx_volume GROUP BY 1, 2) s USING (specimen, z) GROUP BY 1, 2)
+SELECT specimen, CASE WHEN n >= 3 THEN round(a, 4) END AS a, CASE WHEN n >= 3 THEN round(b, 4) END AS b, CASE WHEN n >= 3 THEN true END AS converged FROM (SELECT specimen, count(*) AS n, regr_intercept(y, ln(1 + z)) AS a, regr_slope(y, ln(1 + z)) AS b FROM p WHERE y IS NOT NULL GROUP BY 1) f""")
+def _(d):
+    """The model that is linear in all its parameters."""
+    fits = H.decay_fit(V.z_profile_nomask(d.fx_volume, ["specimen"]), ["specimen"], "logarithmic", "background")
+    return fits.withColumns({c: F.round(c, 4) for c in "ab"})
+
+
 def orders_sql(name: str, steps: str, excluded: str = "true") -> str:
     return f"""{name}_s AS ({steps}), {name}_o AS (SELECT [step] AS steps FROM {name}_s UNION ALL SELECT list_append({name}_o.steps, step) FROM {name}_o JOIN {name}_s ON NOT list_contains({name}_o.steps, step)),
 {name} AS (SELECT row_number() OVER (ORDER BY n, s) - 1 AS place, s FROM (SELECT len(steps) AS n, array_to_string(steps, ',') AS s FROM {name}_o WHERE {excluded} UNION ALL SELECT 0, '') t)"""
