@@ -459,7 +459,8 @@ def test_greedy_matching_equals_a_walk(spark):
                 took |= {a, b}
                 want.add((a, b))
         df = spark.createDataFrame([(1, a, b, size[b]) for a, b in near if a in small], "g int, a long, b long, weight long")
-        assert {(r.a, r.b) for r in graph.greedy_matching(df, ["g"]).collect()} == want
+        for few in (0, 90, 10**6):  # rounds alone, rounds and a walk, a walk alone
+            assert {(r.a, r.b) for r in graph.greedy_matching(df, ["g"], few=few).collect()} == want
 
 
 def test_merge_takes_components_and_each_once(spark):

@@ -134,17 +134,17 @@ def _best_factors(model: Decay, y: Column, parts: list[Column]) -> tuple[list[Co
     return sums, lambda: (F.col("__s5") - f[0] * F.col("__s3") - f[1] * F.col("__s4"), f)
 
 
-def decay_fit(profile: DataFrame, by: list[str], model: str = "logistic", value: str = "foreground", rounds: int = 60, work: Workspace | None = None) -> DataFrame:
+def decay_fit(profile: DataFrame, by: list[str], model: str = "logistic", value: str = "foreground", rounds: int = 40, work: Workspace | None = None) -> DataFrame:
     """Parameters ``a, b, ...`` of a decay with depth of least squared error for each volume's profile (a row per slice),
     over its finite points, and ``converged``. Fewer than five of them (three for the models of two or three parameters),
     points of one depth alone, or a null key, give null.
 
     Linear factors follow from sums over the profile. The one or two other parameters are searched for within bounds: a
     table of candidates over all of them, then over two steps around the best, until steps are below 1e-7 of the bounds; a
-    round moves on without smaller steps where the best lies on the edge of its table. ``converged`` is false for a volume
-    whose search ends at a bound, as in a profile without such a decay, or hasn't ended after ``rounds``. Each round is a
-    written table of a row a volume; candidates meet points by a join and leave sums alone. Exponential parts come in
-    the order of their rates."""
+    round doubles its steps where the best lies on the edge of its table and is better than the last one. ``converged`` is
+    false for a volume whose search ends at a bound, as in a profile without such a decay, or hasn't ended after ``rounds``.
+    Each round is a written table of a row a volume; candidates meet points by a join and leave sums alone. Exponential
+    parts come in the order of their rates."""
     work, m = work or Workspace(profile.sparkSession), DECAYS[model]
     n, (first, later) = len(m.ranges), SEARCH[len(m.ranges)]
     finite = lambda c: F.abs(F.col(c)) < F.lit(math.inf)
@@ -153,7 +153,7 @@ def decay_fit(profile: DataFrame, by: list[str], model: str = "logistic", value:
     points = work.write(points.join(ends.filter((F.col("__n") >= m.need) & (F.col("__span") > 0)), by).withColumn("__t", (F.col("__z") - F.col("__low")) / F.col("__span")))
     at = [F.col(f"__p{k}") for k in range(n)]
     step, active, half = F.col("__step"), points.select(*by, "__low", "__span").distinct(), first
-    active = active.select("*", *[F.lit((a + b) / 2).alias(f"__p{k}") for k, (a, b) in enumerate(m.ranges)], F.lit(1 / max(2 * first, 1)).alias("__step"))
+    active = active.select("*", *[F.lit((a + b) / 2).alias(f"__p{k}") for k, (a, b) in enumerate(m.ranges)], F.lit(1 / max(2 * first, 1)).alias("__step"), F.lit(math.inf).alias("__was"))
     ended = []
     for turn in range(rounds if n else 1):
         table = active.drop("__low", "__span")
@@ -163,19 +163,19 @@ def decay_fit(profile: DataFrame, by: list[str], model: str = "logistic", value:
             table = table.filter(at[0] < at[1])
         tried = [f"__{c}{k}" for c in "po" for k in range(n)]
         sums, solve = _best_factors(m, F.col("__y"), m.parts(F.col("__z"), F.col("__t"), at))
-        sums = points.join(table, by).groupBy(*by, "__low", "__span", "__step", *tried).agg(*sums)
+        sums = points.join(table, by).groupBy(*by, "__low", "__span", "__step", "__was", *tried).agg(*sums)
         error, factors = solve()
         error = F.when(error.isNotNull(), error).otherwise(math.nan)
-        best = sums.groupBy(*by, "__low", "__span", "__step").agg(F.min(F.struct(error.alias("__error"), *tried, *[f.alias(f"__f{k}") for k, f in enumerate(factors)])).alias("__b"))
-        edge = reduce(lambda a, b: a | b, [F.abs(F.col(f"__o{k}")) == half for k in range(n)], F.lit(False)) & F.lit(turn > 0)
-        found = best.select(*by, "__low", "__span", "__step", "__b.*").withColumn("__next", F.when(edge, step).otherwise(step * 2 / max(later, 1)))
+        best = sums.groupBy(*by, "__low", "__span", "__step", "__was").agg(F.min(F.struct(error.alias("__error"), *tried, *[f.alias(f"__f{k}") for k, f in enumerate(factors)])).alias("__b"))
+        edge = reduce(lambda a, b: a | b, [F.abs(F.col(f"__o{k}")) == half for k in range(n)], F.lit(False)) & F.lit(turn > 0) & (F.col("__error") < F.col("__was") * (1 - 1e-9))
+        found = best.select(*by, "__low", "__span", "__step", "__was", "__b.*").withColumn("__next", F.when(edge, step * 2).otherwise(step * 2 / max(later, 1)))
         rest = (F.col("__next") < NEAR) if n else F.lit(True)
         seen = Observation()
         found = work.write(found.withColumn("__rest", rest).observe(seen, F.coalesce(F.sum((~rest).cast("long")), F.lit(0)).alias("n")))
         ended.append(found if turn == (rounds if n else 1) - 1 else found.filter("__rest"))
         if not seen.get["n"]:
             break
-        active, half = found.filter("NOT __rest").select(*by, "__low", "__span", *[f"__p{k}" for k in range(n)], F.col("__next").alias("__step")), later
+        active, half = found.filter("NOT __rest").select(*by, "__low", "__span", *[f"__p{k}" for k in range(n)], F.col("__next").alias("__step"), F.greatest("__error", F.lit(0.0)).alias("__was")), later
     inside = reduce(lambda a, b: a & b, [at[k].between(a + 1e-6 * (b - a), b - 1e-6 * (b - a)) for k, (a, b) in enumerate(m.ranges)], F.col("__rest"))
     given = m.result([F.col(f"__f{k}") for k in range(2 if m.level else len(m.parts(F.lit(0.0), F.lit(0.0), at)))], at, F.col("__low"), F.col("__span"))
     fits = reduce(DataFrame.unionByName, ended).filter("NOT isnan(__error)").select(*by, *[c.alias(name) for name, c in zip(m.names, given)], inside.alias("converged"))

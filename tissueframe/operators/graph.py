@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..workspace import Workspace
+from ..workspace import Workspace, ship
 
 
 def _written(work: Workspace, edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
@@ -70,21 +71,27 @@ def numbered(df: DataFrame, by: list[str], order: list[str | Column], name: str,
     return running_total(df, by, order, F.lit(1).cast("long"), name, work).withColumn(name, F.col(name) + 1)
 
 
-def greedy_matching(edges: DataFrame, by: list[str], work: Workspace | None = None) -> DataFrame:
+#: So many edges, four numbers each, are walked by one task a group.
+FEW_EDGES = 100_000
+
+
+def greedy_matching(edges: DataFrame, by: list[str], work: Workspace | None = None, few: int = FEW_EDGES) -> DataFrame:
     """``by, a, b``: the pairs that a walk through the ``a`` of ``edges(by, a, b, weight)`` in rising order makes, each ``a``
     with the heaviest ``b`` (the lower, of equals) if both are in no pair yet. A node may be on either side; where both
     ends of an edge may ask, it has to be there in both directions.
 
     The walk runs in rounds: an ``a`` decides once no lower one that is left touches it or one of its ends. Rounds follow
-    the longest row of rising neighbours, not the number of nodes; only edges between nodes that are left go on."""
+    the longest row of rising neighbours, not the number of nodes; only edges between nodes that are left go on. Once no
+    more than ``few`` edges are left in all, by count, the rest of each group is walked in one task, with the same pairs."""
     work = work or Workspace(edges.sparkSession)
+
     def counted(df: DataFrame) -> tuple[DataFrame, int]:
         seen = Observation()
         out = work.write(df.observe(seen, F.count(F.lit(1)).alias("n")))
         return out, seen.get["n"]
 
     (left, n), done = counted(edges.select(*by, "a", "b", "weight")), None
-    while n:
+    while n > few:
         touch = left.select(*by, "a", F.col("b").alias("node")).unionByName(left.select(*by, "a", F.col("a").alias("node")).distinct())
         low = touch.groupBy(*by, "node").agg(F.min("a").alias("low"))
         held = touch.join(low, [*by, "node"]).groupBy(*by, "a").agg(F.min("low").alias("low")).filter("low = a").select(*by, "a")
@@ -97,7 +104,23 @@ def greedy_matching(edges: DataFrame, by: list[str], work: Workspace | None = No
         left, n = counted(left)
         work.drop(old)
         done = pairs if done is None else done.unionByName(pairs)
-    return done if done is not None else left.select(*by, "a", "b")
+    walked = _walk(left, by)
+    return walked if done is None else done.unionByName(walked)
+
+
+def _walk(edges: DataFrame, by: list[str]) -> DataFrame:
+    """``greedy_matching`` of groups that are known to be small."""
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        rows, taken, keep = group.sort_values(["a", "weight", "b"], ascending=[True, False, True]), set(), []
+        for a, b in zip(rows["a"], rows["b"]):
+            keep.append(free := a not in taken and b not in taken)
+            if free:
+                taken |= {a, b}
+        return rows.loc[keep, [*by, "a", "b"]]
+
+    ship(edges.sparkSession)
+    return edges.groupBy(*by).applyInPandas(pairs, edges.select(*by, "a", "b").schema)
 
 
 def bounded_paths(seeds: DataFrame, edges: DataFrame, radius: float, work: Workspace | None = None, step: float | None = None, symmetric: bool = False) -> DataFrame:
