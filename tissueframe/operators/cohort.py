@@ -116,6 +116,8 @@ DECAYS = {
 #: Half the number of steps across the bounds, and across the two steps around the best afterwards, by searched parameters.
 SEARCH = {0: (0, 0), 1: (200, 20), 2: (24, 12)}
 NEAR = 1e-7
+#: A move to the edge of a table counts if it takes this share of the error away: valleys without an end are left.
+GAIN = 1e-6
 
 
 def _best_factors(model: Decay, y: Column, parts: list[Column]) -> tuple[list[Column], Callable[[], tuple[Column, list[Column]]]]:
@@ -141,7 +143,7 @@ def decay_fit(profile: DataFrame, by: list[str], model: str = "logistic", value:
 
     Linear factors follow from sums over the profile. The one or two other parameters are searched for within bounds: a
     table of candidates over all of them, then over two steps around the best, until steps are below 1e-7 of the bounds; a
-    round doubles its steps where the best lies on the edge of its table and is better than the last one. ``converged`` is
+    round doubles its steps where the best lies on the edge of its table and its error is less by a millionth. ``converged`` is
     false for a volume whose search ends at a bound, as in a profile without such a decay, or hasn't ended after ``rounds``.
     Each round is a written table of a row a volume; candidates meet points by a join and leave sums alone. Exponential
     parts come in the order of their rates."""
@@ -167,7 +169,7 @@ def decay_fit(profile: DataFrame, by: list[str], model: str = "logistic", value:
         error, factors = solve()
         error = F.when(error.isNotNull(), error).otherwise(math.nan)
         best = sums.groupBy(*by, "__low", "__span", "__step", "__was").agg(F.min(F.struct(error.alias("__error"), *tried, *[f.alias(f"__f{k}") for k, f in enumerate(factors)])).alias("__b"))
-        edge = reduce(lambda a, b: a | b, [F.abs(F.col(f"__o{k}")) == half for k in range(n)], F.lit(False)) & F.lit(turn > 0) & (F.col("__error") < F.col("__was") * (1 - 1e-9))
+        edge = reduce(lambda a, b: a | b, [F.abs(F.col(f"__o{k}")) == half for k in range(n)], F.lit(False)) & F.lit(turn > 0) & (F.col("__error") < F.col("__was") * (1 - GAIN))
         found = best.select(*by, "__low", "__span", "__step", "__was", "__b.*").withColumn("__next", F.when(edge, step * 2).otherwise(step * 2 / max(later, 1)))
         rest = (F.col("__next") < NEAR) if n else F.lit(True)
         seen = Observation()
