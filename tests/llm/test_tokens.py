@@ -1,4 +1,6 @@
 import random
+import uuid
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -87,6 +89,32 @@ def test_shards(spark, tmp_path):
     empty = token_output.write_shards(df.limit(0), RANKS)
     assert token_output.read_shards(spark, empty).count() == 0
 
+def test_passes_share_the_shuffle_and_give_it_back(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(rng.randint(0, 400)))) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"file://{tmp_path}/texts")
+    df = spark.read.parquet(f"file://{tmp_path}/texts")
+    tops = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {str(f): f.stat().st_size for top in tops for f in Path(top).rglob("shuffle_*.data")}
+    before, seen, write, table = set(files()), tmp_path / "seen", token_output.filled, tmp_path / "shards" / "sequences"
+    seen.mkdir()
+
+    def filled(raw, offs, order, length, end, width):
+        new = sum(n for f, n in files().items() if f not in before)
+        (seen / uuid.uuid4().hex).write_text(f"{new} {sum(f.stat().st_size for f in table.glob('part-*'))}")
+        return write(raw, offs, order, length, end, width)
+
+    monkeypatch.setattr(token_output, "filled", filled)
+    monkeypatch.setattr(token_output, "PART_BYTES", 1 << 18)
+    folder = token_output.write_shards(df, RANKS, f"file://{tmp_path}/shards", per_shard=64)
+    got = token_output.read_shards(spark, folder).collect()
+    texts, c = texts_of(got), bpe.codec(RANKS)
+    assert len(texts) == 2000 and all(texts[d] == [*c.encode([t])[0].tolist(), 50256] for d, t in rows)
+    assert sorted(r.slot for r in got) == list(range(len(got)))
+    shuffled, kept = zip(*(map(int, f.read_text().split()) for f in seen.iterdir()))
+    assert len(shuffled) == -(-len(got) // 64) and 0 < max(shuffled) < 0.8 * max(kept)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
 
 def test_interrupted_run_goes_on_under_another_partitioning(spark, tmp_path, monkeypatch):
     rows = [(i, f"document {i} says {i * 7} things " * (1 + i % 4)) for i in range(200)]

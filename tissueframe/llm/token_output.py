@@ -4,8 +4,10 @@ Texts are encoded and cut into sequences of ``length`` ids, the last of a text f
 that the vocabulary leaves free. The sequences are a written table; they are numbered by its partitions and their places
 in these, and a Feistel network over the next even power of two, walked until it falls below their number, gives each a
 slot of its own: a permutation that needs no sort of random keys and no memory. Ranges of slots are shards; records
-travel to the task of their range in compressed groups, one for each range and batch; the task puts the bounded range in
-order and writes each shard as one file of equal records, to a temporary name first, so a repeated task does no harm.
+travel to the task of their range in compressed groups; the task puts the bounded range in order and writes each shard as
+one file of equal records, to a temporary name first, so a repeated task does no harm. The ranges are dealt to a few
+passes over the table, and what a pass has shuffled is given back at its end, so that a part of the records at most lies
+on disk a third time, beside the table and the shards.
 
 ``manifest.json`` beside the shards holds the parameters, a digest of the input, and the numbering; the numbered table
 stands below ``sequences`` until all shards are written. A run on the same folder goes on from there, whatever the
@@ -35,15 +37,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workspace import delete, shared_dir
+from ..workspace import delete, dropped_shuffles, shared_dir
 from .bpe import class_runs, codec
 from .common import arrow_map, binary_array, mix, slices, text_column, whole_key
 
 LENGTH, PER_SHARD, ROUNDS = 256, 4096, 6
-#: Shards that a task writes have so many bytes together; it holds them to put them in order.
+#: Shards that a task writes have so many bytes together; it holds them to put them in order. As many bytes of records
+#: are grouped at once before they are sent, so that groups stay large where there are many ranges.
 PART_BYTES = 32 << 20
-#: Ids compress well: how the encoded sequences are kept until their shards are written, and sent.
-LEVEL = 6
+#: Passes over the table of sequences; each shuffles its share of the records.
+PASSES = 2
+#: Ids compress well: how the encoded sequences are kept until their shards are written, and sent, which is for less long.
+LEVEL, SENT_LEVEL = 6, 3
 SQUEEZED = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(LEVEL), "parquet.page.size": str(8 << 20)}
 
 
@@ -172,18 +177,34 @@ def write_shards(df: DataFrame, ranks: str, path: str | None = None, length: int
 
     parts = min(shards, max(1, -(-total * stride // PART_BYTES)))
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=LEVEL).compress
-        for batch in batches:
-            base = starts[np.searchsorted(parts_, batch.column("part").to_numpy())]
-            slot = feistel(base + batch.column("place").to_numpy(), total, seed)
-            to = slot // per_shard * parts // shards
-            order = np.argsort(to, kind="stable")
-            raw, offs = text_column(pa.RecordBatch.from_arrays([batch.column("record").take(pa.array(order))], ["record"]), "record")
-            size, slot, to = np.diff(offs), slot[order], to[order]
+    def placed(low: int, high: int) -> DataFrame:
+        """The records of the ranges from ``low`` to below ``high``, in groups, each with the others of its range."""
+
+        def grouped(slot: list[np.ndarray], to: list[np.ndarray], record: list[pa.Array]) -> pa.RecordBatch:
+            pack, order = zstandard.ZstdCompressor(level=SENT_LEVEL).compress, np.argsort(np.concatenate(to), kind="stable")
+            raw, offs = text_column(pa.RecordBatch.from_arrays([pa.concat_arrays(record).take(pa.array(order))], ["record"]), "record")
+            size, slot, to = np.diff(offs), np.concatenate(slot)[order], np.concatenate(to)[order]
             cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
-            blobs = [pack(np.int64(b - a).tobytes() + slot[a:b].tobytes() + size[a:b].tobytes() + raw[offs[a] : offs[b]].tobytes()) for a, b in zip(cuts, cuts[1:]) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]].astype(np.int32) if len(to) else to.astype(np.int32)), pa.array(blobs, pa.binary())], ["to", "blob"])
+            blobs = [pack(np.int64(b - a).tobytes() + slot[a:b].tobytes() + size[a:b].tobytes() + raw[offs[a] : offs[b]].tobytes()) for a, b in zip(cuts, cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array((to[cuts[:-1]] - low).astype(np.int32)), pa.array(blobs, pa.binary())], ["to", "blob"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting, held = [], 0
+            for batch in batches:
+                base = starts[np.searchsorted(parts_, batch.column("part").to_numpy())]
+                slot = feistel(base + batch.column("place").to_numpy(), total, seed)
+                to = slot // per_shard * parts // shards
+                own = np.flatnonzero((to >= low) & (to < high))
+                if len(own):
+                    waiting.append((slot[own], to[own], batch.column("record").take(pa.array(own))))
+                    held += waiting[-1][2].nbytes
+                if held >= PART_BYTES:
+                    yield grouped(*zip(*waiting))
+                    waiting, held = [], 0
+            if waiting:
+                yield grouped(*zip(*waiting))
+
+        return arrow_map(rows, run, "to int, blob binary").repartitionById(high - low, "to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, size, raw = [], [], []
@@ -211,10 +232,13 @@ def write_shards(df: DataFrame, ranks: str, path: str | None = None, length: int
                 fs.move(part, name)
             yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])]), pa.array([whole])], ["shard", "bytes"])
 
-    placed = arrow_map(rows, slots, "to int, blob binary").repartitionById(parts, "to")
-    written = arrow_map(placed, write, "shard long, bytes long").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
-    if (written["n"], written["b"]) != (shards, total * stride):
-        raise RuntimeError(f"{written['n']} shards of {written['b']} bytes were written, not {shards} of {total * stride}")
+    ends, written = np.unique(np.arange(PASSES + 1) * parts // PASSES).tolist(), []
+    for low, high in zip(ends, ends[1:]):
+        with dropped_shuffles(spark):
+            written.append(arrow_map(placed(low, high), write, "shard long, bytes long").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first())
+    files, size = (sum(r[x] for r in written) for x in ("n", "b"))
+    if (files, size) != (shards, total * stride):
+        raise RuntimeError(f"{files} shards of {size} bytes were written, not {shards} of {total * stride}")
     _put_manifest(path, known | {"done": True})
     delete(spark, table)
     return path
