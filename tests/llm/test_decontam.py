@@ -144,3 +144,27 @@ def test_keys_that_are_no_whole_numbers(spark):
     for key in (1.5, "x"):
         with pytest.raises(TypeError):
             decontam.find_leaks(spark.createDataFrame([(key, "a")], ["doc_id", "text"]), items)
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, tables of a small benchmark and few leaks are a few files, with the same rows."""
+    rng = random.Random(31)
+    items = [(i, " ".join(f"f{rng.randrange(900)}" for _ in range(30))) for i in range(120)]
+    items += [(200 + i, items[i][1].title()) for i in range(40)]
+    docs = [(d, f"start {items[d % 120][1]} between {items[d % 7][1]} end") for d in range(100)] + [(d, items[5][1]) for d in range(300, 340)]
+    wide = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in wide}
+    written, write = [], decontam.Workspace.write
+    monkeypatch.setattr(decontam.Workspace, "write", lambda self, df, **options: written.append(write(self, df, **options)) or written[-1])
+    try:
+        for name, value in wide.items():
+            spark.conf.set(name, value)
+        found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2), spark.createDataFrame(items, "item_id long, text string").coalesce(2))
+        got = {(r.doc_id, r.item_id): r.similarity for r in found.collect()}
+        parts = found.rdd.getNumPartitions()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    held = [(d, {d % 120, d % 7}) for d in range(100)] + [(d, {5}) for d in range(300, 340)]
+    assert got == {(d, i): 1.0 for d, own in held for x in own for i in (x, 200 + x) if i < 120 or x < 40}
+    assert sum(len(w.inputFiles()) for w in written) <= 12 and parts <= 2

@@ -39,6 +39,9 @@ BITS, RADIUS, BLOCK_BITS = 256, 68, 16
 PROBE = RADIUS // (BITS // BLOCK_BITS)
 #: Windows that are compared with an item at a time.
 SLICE = 4096
+#: Items, shingles of items, and stretches whose leaks, that a task writes: small tables don't become a file for each
+#: partition of a shuffle, as each file starts processes beside the executor (on local disks, to set its mode).
+TASK_ITEMS, TASK_SHINGLES, TASK_STRETCHES = 20_000, 1_000_000, 1_000
 
 
 def runs(words: np.ndarray, k: int) -> np.ndarray:
@@ -134,8 +137,8 @@ def compare(own: np.ndarray, whole: bool, item: np.ndarray, mark: np.ndarray, re
 
 
 def _items(benchmark: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """``item``, the digest of its words, ``k`` (words of a shingle), shingles in order, its print, and whether it repeats
-    a shingle; items without words are left out."""
+    """``item``, ``rep`` (the digest of its words, the same for equal items), ``k`` (words of a shingle), shingles in order,
+    its print, and whether it repeats a shingle; items without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,28 +151,27 @@ def _items(benchmark: DataFrame, words: int, key: str, text: str) -> DataFrame:
                 offs_ = np.concatenate([[0], np.cumsum([len(s) for s in shingles], dtype=np.int64)])
                 flat = np.concatenate(shingles) if shingles else np.empty(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(key).take(pa.array(rows)), *(pa.array([_digest(w, s) for w in own], pa.int64()) for s in (1, 2)), pa.array(ks, pa.int32()), list_array(flat.view(np.int64), offs_),
+                    [part.column(key).take(pa.array(rows)), pa.array([_digest(w) for w in own], pa.binary()), pa.array(ks, pa.int32()), list_array(flat.view(np.int64), offs_),
                      pa.array([fingerprints(s, np.zeros(1, np.int64), len(s))[0].tobytes() for s in shingles], pa.binary()), pa.array([len(np.unique(s)) < len(s) for s in shingles], pa.bool_())],
-                    ["item", "d1", "d2", "k", "shingles", "mark", "repeats"],
+                    ["item", "rep", "k", "shingles", "mark", "repeats"],
                 )
 
-    return arrow_map(benchmark.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), text), run, "item long, d1 long, d2 long, k int, shingles array<long>, mark binary, repeats boolean")
+    return arrow_map(benchmark.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), text), run, "item long, rep binary, k int, shingles array<long>, mark binary, repeats boolean")
 
 
-def _digest(hashes: np.ndarray, seed: int) -> int:
-    """A 64-bit hash of a sequence of hashes."""
-    place = mix(np.arange(len(hashes), dtype=np.uint64) + np.uint64(seed << 40))
-    return int(mix(hashes ^ place).sum(dtype=np.uint64).view(np.int64))
+def _digest(hashes: np.ndarray, kind: int = 0) -> bytes:
+    """A 128-bit hash of a sequence of hashes and its kind."""
+    seeds = np.array([2 * kind + 1, 2 * kind + 2], np.uint64) << np.uint64(40)
+    return np.array([mix(hashes ^ mix(np.arange(len(hashes), dtype=np.uint64) + s)).sum(dtype=np.uint64) for s in seeds]).tobytes()
 
 
-def _rare(items: DataFrame, percent: int) -> DataFrame:
-    """``s, rep``: of each item the shingles that the fewest items hold, so many that the others together fall short of
-    the least overlap."""
-    held_ = items.select("rep", F.explode("shingles").alias("s")).groupBy("rep", "s").agg(F.count("*").alias("c"))
-    often = held_.groupBy("s").agg(F.count("*").alias("often"))
-    rows = held_.join(often, "s").join(items.select("rep", F.size("shingles").alias("m")), "rep")
-    before = F.coalesce(F.sum("c").over(W.partitionBy("rep").orderBy("often", "s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("before", before).filter(f"before <= m - ceil(m * {percent} / 100)").select("s", "rep")
+def _posting(items: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """``s, rep, k, m`` (the item's shingles): of each item the shingles that the fewest items hold, so many that the others
+    together fall short of the least overlap. A shingle's rank among its item's counts those before it with repeats."""
+    rows = items.select("rep", "k", F.size("shingles").alias("m"), F.explode("shingles").alias("s")).join(shingles, "s")
+    order = W.partitionBy("rep").orderBy("often", "s")
+    rows = rows.withColumns({"before": F.rank().over(order) - 1, "number": F.row_number().over(order) - 1})
+    return rows.filter(f"before = number AND before <= m - ceil(m * {percent} / 100)").select("s", "rep", "k", "m")
 
 
 def size_classes(sizes: list[int]) -> list[tuple[int, int]]:
@@ -184,8 +186,8 @@ def size_classes(sizes: list[int]) -> list[tuple[int, int]]:
 
 
 def _stretches(df: DataFrame, filter_: np.ndarray, sizes: list[tuple[int, int]], percent: int, key: str, text: str) -> DataFrame:
-    """``row, key, k, whole, first, d1, d2, shingles``: the stretches of each document that windows rich enough in
-    benchmark shingles cover, for items of ``sizes`` (words of a shingle, shingles)."""
+    """``row, key, k, whole, first, id, shingles``: the stretches of each document that windows rich enough in benchmark
+    shingles cover, for items of ``sizes`` (words of a shingle, shingles). Equal stretches have the same ``id``."""
     by_k = {k: sorted({m for kk, m in sizes if kk == k}) for k in sorted({k for k, _ in sizes})}
     # A window shorter than its item holds percent / 100 of the item's shingles at least.
     least = {k: -(-percent * ms[0] // 100) for k, ms in by_k.items()}
@@ -225,13 +227,14 @@ def _stretches(df: DataFrame, filter_: np.ndarray, sizes: list[tuple[int, int]],
                         edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
                         for x, y in edge.reshape(-1, 2).tolist():
                             own = s[a + x : a + y]
-                            out.append((row + r, part.column(key)[r].as_py(), k, y - x == b - a, x, _digest(own, 1), _digest(own, 2), own.view(np.int64)))
+                            whole = y - x == b - a
+                            out.append((row + r, part.column(key)[r].as_py(), k, whole, x, _digest(own, 2 * k + whole), own.view(np.int64)))
                 row += part.num_rows
                 if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["row", "key", "k", "whole", "first", "d1", "d2", "shingles"])
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["row", "key", "k", "whole", "first", "id", "shingles"])
 
-    return arrow_map(df.select(F.col(key).cast("long").alias(key), text), run, "row long, key long, k int, whole boolean, first long, d1 long, d2 long, shingles array<long>")
+    return arrow_map(df.select(F.col(key).cast("long").alias(key), text), run, "row long, key long, k int, whole boolean, first long, id binary, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
@@ -247,10 +250,10 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
                     windows, place, best = found
                     out.append((batch.column("id")[r].as_py(), batch.column("rep")[r].as_py(), windows, batch.column("from")[r].as_py() + place, best))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["id", "rep", "windows", "place", "similarity"])
 
-    return arrow_map(pairs, run, "id long, rep long, windows long, place long, similarity double")
+    return arrow_map(pairs, run, "id binary, rep binary, windows long, place long, similarity double")
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -259,30 +262,32 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, words: int = 5, percent: int
     whole_key(df, key)
     whole_key(benchmark, item_key)
     spark, work = df.sparkSession, Workspace(df.sparkSession)
-    every = work.write(_items(benchmark, words, item_key, item_text).withColumn("number", F.monotonically_increasing_id()))
-    same = every.groupBy("k", "d1", "d2").agg(F.min("number").alias("rep"))
-    items = work.write(every.join(same.select("rep"), F.col("number") == F.col("rep")).select("rep", "k", "shingles", "mark", "repeats"))
-    sizes = [tuple(r) for r in items.select("k", F.size("shingles")).distinct().collect()]
+    every = work.write(_items(benchmark, words, item_key, item_text))
+    items = every.drop("item").dropDuplicates(["rep"]).coalesce(1 + every.count() // TASK_ITEMS)
+    items = work.write(items)
+    sizes, total = items.agg(F.collect_set(F.struct("k", F.size("shingles"))), F.sum(F.size("shingles"))).first()
     if not sizes:
         return spark.createDataFrame([], f"`{key}` long, `{item_key}` long, windows long, first_word long, similarity double")
-    shingles = work.write(items.select(F.explode("shingles").alias("s")).distinct())
-    stretches = work.write(_stretches(df, key_filter(shingles, "s", shingles.count()), sizes, percent, key, text))
-
-    alike = stretches.groupBy("k", "whole", "d1", "d2").agg(F.first("shingles").alias("own"))
-    alike = work.write(alike.withColumn("id", F.monotonically_increasing_id()))
-    posting = work.write(_rare(items, percent))
+    tasks = 1 + total // TASK_SHINGLES
+    shingles = items.select(F.explode(F.array_distinct("shingles")).alias("s")).groupBy("s").agg(F.count("*").alias("often"))
+    shingles = work.write(shingles.coalesce(tasks))
+    posting = work.write(_posting(items, shingles, percent).coalesce(tasks))
+    stretches = work.write(_stretches(df, key_filter(shingles, "s", shingles.count()), [tuple(s) for s in sizes], percent, key, text))
+
+    # both readers below take all of its columns, so that Spark groups the stretches once
+    alike = stretches.groupBy("id").agg(F.first(F.struct("k", "whole", "shingles")).alias("a")).select("id", "a.k", "a.whole", F.col("a.shingles").alias("own"))
     # Windows that hold a shared shingle start in one of two tiles as wide as the item; a piece is a tile's windows.
-    met = alike.select("id", "k", F.posexplode("own").alias("p", "s")).join(posting, "s").join(items.select("rep", F.col("k").alias("_k"), F.size("shingles").alias("m")), "rep").filter("k = _k")
+    met = alike.select("id", "k", F.posexplode("own").alias("p", "s")).join(posting, ["s", "k"])
     tiles = met.select("id", "rep", "m", F.explode(F.array_distinct(F.array(F.expr("greatest(p - m + 1, 0) div m"), F.expr("p div m")))).alias("tile")).distinct()
     cut = tiles.join(alike.select("id", "whole", "own"), "id").filter("tile * m < size(own)")
     cut = cut.select("id", "rep", F.expr("whole AND size(own) <= m").alias("whole"), (F.col("tile") * F.col("m")).alias("from"), F.expr("slice(own, int(tile * m + 1), 2 * m - 1)").alias("own"))
     pairs = cut.join(items.select("rep", F.col("shingles").alias("item"), "mark", "repeats"), "rep")
-    found = work.write(_verified(pairs, percent))
+    found = _verified(pairs, percent)
 
-    hits = stretches.drop("shingles").join(alike.drop("own"), ["k", "whole", "d1", "d2"]).join(found, "id")
+    hits = stretches.select("row", "key", "first", "id").join(found, "id")
     best = hits.groupBy("row", "key", "rep").agg(F.sum("windows").alias("windows"), F.min(F.struct((-F.col("similarity")).alias("s"), (F.col("first") + F.col("place")).alias("p"))).alias("b"))
-    named = every.select("k", "d1", "d2", "item").join(same, ["k", "d1", "d2"]).select("rep", "item")
-    return best.join(named, "rep").select(F.col("key").alias(key), F.col("item").alias(item_key), "windows", F.col("b.p").alias("first_word"), (-F.col("b.s")).alias("similarity"))
+    best = best.coalesce(1 + stretches.count() // TASK_STRETCHES)
+    return best.join(every.select("rep", "item"), "rep").select(F.col("key").alias(key), F.col("item").alias(item_key), "windows", F.col("b.p").alias("first_word"), (-F.col("b.s")).alias("similarity"))
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
