@@ -601,3 +601,36 @@ def test_calibration_fits_warn_when_cut_off(spark):
     df = spark.createDataFrame([([float(v) for v in rng.normal(size=3)], int(rng.integers(3))) for _ in range(80)], "z array<double>, y_true int")
     with pytest.warns(RuntimeWarning):
         calibration.fit_vector(df, rounds=1)
+
+
+class Watched(Workspace):
+    """Keeps the plans of what is written."""
+
+    def __init__(self, spark):
+        super().__init__(spark)
+        self.plans = []
+
+    def write(self, df, **options):
+        self.plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return super().write(df, **options)
+
+
+@pytest.fixture
+def small_files(spark):
+    """Written tables, whose files hold a few kB, are below the size that Spark sends to all, and what joins make is above."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("step, share, left", [(labels.remove_small, 80, 176)])
+def test_components_of_many_runs_are_not_sent_to_the_driver(spark, small_files, monkeypatch, step, share, left):
+    """However well the files of runs and edges are compressed, their rows meet by key."""
+    monkeypatch.setattr("tissueframe.workspace.MANY_ROWS", 0, raising=False)
+    work = Watched(spark)
+    v = work.write(block(spark, 8, lambda x, y, z: 1 + (x // 2 + y // 3 + z // 4) % 3))
+    got = step(v, ["specimen"], "label", share, work=work)
+    assert len(work.plans) > 3 and not any("BroadcastExchange" in p for p in work.plans[1:])
+    assert got.count() == left

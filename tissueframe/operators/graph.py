@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..workspace import Workspace, ship
+from ..workspace import Workspace, dealt, ship
 
 
 def _written(work: Workspace, edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
@@ -17,12 +17,12 @@ def _written(work: Workspace, edges: DataFrame) -> tuple[DataFrame, tuple[int, i
     return out, (seen.get["n"], seen.get["x"])
 
 
-def _large_star(edges: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+def _large_star(edges: DataFrame, n: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """Larger neighbours go to the least one of a node and its neighbours. That least node is a written table: so a hub
-    is a skewed join of two plain exchanges, which adaptive execution splits."""
+    is a skewed join of two plain exchanges, which adaptive execution splits; ``n`` edges decide whether they are."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = work.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    return both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
+    return both.join(dealt(least, n), "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def components(edges: DataFrame, work: Workspace | None = None) -> DataFrame:
     work = work or Workspace(edges.sparkSession)
     edges, before = _written(work, edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while before[0]:
-        large, least = _large_star(edges, work)
+        large, least = _large_star(edges, before[0], work)
         old, (edges, after) = edges, _written(work, _small_star(large))
         work.drop(old, least)
         if after == before:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.linalg import eigenvalues
-from ..workspace import Workspace
+from ..workspace import Workspace, dealt
 from .graph import components, greedy_matching, numbered
 from .scoring import best_match
 from .voxels import AXES, dilate, exposed_faces, opening, over_ball
@@ -214,9 +214,9 @@ def voxel_components(labels: DataFrame, by: list[str], label: str, neighbours: i
     moved = runs.withColumn("__o", steps).select(*by, label, F.col("__node").alias("__u"), (F.col("y") + F.col("__o.dy")).alias("y"), (F.col("z") + F.col("__o.dz")).alias("z"), *[(F.col(c) + s * F.col("__o.dx")).alias(f"__m{c}") for c, s in (("__a", -1), ("__b", 1))])
     moved = moved.select("*", tiles("__m__a", "__m__b"))
     near = runs.select(*by, label, "y", "z", "__a", "__b", F.col("__node").alias("__v"), tiles("__a", "__b"))
-    edges = moved.join(near, [*by, label, "y", "z", "__t"]).filter("__a <= __m__b AND __b >= __m__a").select(F.col("__u").alias("u"), F.col("__v").alias("v")).distinct()
+    edges = moved.join(dealt(near), [*by, label, "y", "z", "__t"]).filter("__a <= __m__b AND __b >= __m__a").select(F.col("__u").alias("u"), F.col("__v").alias("v")).distinct()
     comp = components(edges, work)
-    named = runs.join(comp.select(F.col("node").alias("__node"), F.col("component").alias("__of")), "__node", "left").withColumn("__c", F.coalesce("__of", "__node"))
+    named = runs.join(dealt(comp.select(F.col("node").alias("__node"), F.col("component").alias("__of"))), "__node", "left").withColumn("__c", F.coalesce("__of", "__node"))
     least = named.groupBy("__c").agg(F.min(F.struct(*by, F.col("__a").alias("x"), "y", "z")).alias("component"))
     return own.join(named.join(least, "__c").select(*by, "y", "z", label, "__g", "component"), [*by, "y", "z", label, "__g"]).select(*by, *AXES, label, "component")
 

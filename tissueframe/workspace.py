@@ -68,6 +68,17 @@ def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+#: A written table of more rows is dealt by key in joins.
+MANY_ROWS = 100_000
+
+
+def dealt(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, dealt by key in the join above it, as the other side is. Spark takes a written table for as large as its
+    compressed files, a tenth or less of what its rows are in memory, and would send it whole through the driver. With
+    ``rows``, their known number, only a table of more than ``MANY_ROWS``."""
+    return df if rows is not None and rows <= MANY_ROWS else df.hint("merge")
+
+
 _FOLDERS: list[str] = []
 _TABLES: list[str] = []
 
