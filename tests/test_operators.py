@@ -625,7 +625,7 @@ def small_files(spark):
     spark.conf.set(name, before)
 
 
-@pytest.mark.parametrize("step, share, left", [(labels.remove_small, 80, 176)])
+@pytest.mark.parametrize("step, share, left", [(labels.remove_small, 80, 176), (labels.remove_large, 20, 336)])
 def test_components_of_many_runs_are_not_sent_to_the_driver(spark, small_files, monkeypatch, step, share, left):
     """However well the files of runs and edges are compressed, their rows meet by key."""
     monkeypatch.setattr("tissueframe.workspace.MANY_ROWS", 0, raising=False)
