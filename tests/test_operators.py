@@ -634,3 +634,14 @@ def test_components_of_many_runs_are_not_sent_to_the_driver(spark, small_files,
     got = step(v, ["specimen"], "label", share, work=work)
     assert len(work.plans) > 3 and not any("BroadcastExchange" in p for p in work.plans[1:])
     assert got.count() == left
+
+
+@pytest.mark.parametrize("step, options", [("split", {"least": 3}), ("merge_connected_components", {"least": 12, "radius": 2}), ("merge_graph", {"distance": 2.0}), ("remove_small_objects", {})])
+def test_steps_on_written_labels_meet_by_key(spark, small_files, monkeypatch, step, options):
+    """A step of post-processing reads the table that the last one wrote; only sums over ranges are sent to all."""
+    monkeypatch.setattr("tissueframe.workspace.MANY_ROWS", 0, raising=False)
+    work = Watched(spark)
+    v = work.write(block(spark, 8, lambda x, y, z: 1 + (x * 7 + y * 3 + z) % 11 // 4))
+    got = labels.postprocess(v, [(step, options)], by=["specimen"], label="label", work=work)
+    joins = [line for p in work.plans for line in p.split("\n") if "BroadcastHashJoin" in line]
+    assert [j for j in joins if "__part" not in j] == [] and got.count() > 0

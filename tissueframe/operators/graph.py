@@ -94,13 +94,13 @@ def greedy_matching(edges: DataFrame, by: list[str], work: Workspace | None = No
     while n > few:
         touch = left.select(*by, "a", F.col("b").alias("node")).unionByName(left.select(*by, "a", F.col("a").alias("node")).distinct())
         low = touch.groupBy(*by, "node").agg(F.min("a").alias("low"))
-        held = touch.join(low, [*by, "node"]).groupBy(*by, "a").agg(F.min("low").alias("low")).filter("low = a").select(*by, "a")
-        best = left.join(held, [*by, "a"]).groupBy(*by, "a").agg(F.max(F.struct("weight", (-F.col("b")).alias("b"))).alias("t"))
+        held = touch.join(dealt(low, n), [*by, "node"]).groupBy(*by, "a").agg(F.min("low").alias("low")).filter("low = a").select(*by, "a")
+        best = left.join(dealt(held, n), [*by, "a"]).groupBy(*by, "a").agg(F.max(F.struct("weight", (-F.col("b")).alias("b"))).alias("t"))
         pairs = work.write(best.select(*by, "a", (-F.col("t.b")).alias("b")))
         taken = pairs.select(*by, F.explode(F.array("a", "b")).alias("node"))
         old, left = left, left
         for end in ("a", "b"):
-            left = left.join(taken.withColumnRenamed("node", end), [*by, end], "left_anti")
+            left = left.join(dealt(taken.withColumnRenamed("node", end), n), [*by, end], "left_anti")
         left, n = counted(left)
         work.drop(old)
         done = pairs if done is None else done.unionByName(pairs)

@@ -50,7 +50,7 @@ def border_filter(labels: DataFrame, by: list[str], label: str, margin: int = 1,
     at: Column = F.lit(False)
     for a in axes:
         at = at | (F.col(a) < margin) | (F.col(a) >= F.col(f"{a}_size") - margin)
-    cut = labels.filter(F.col(label) != 0).join(sizes.select(*by, *[f"{a}_size" for a in axes]), by).filter(at).select(*by, label).distinct()
+    cut = labels.filter(F.col(label) != 0).join(F.broadcast(sizes.select(*by, *[f"{a}_size" for a in axes])), by).filter(at).select(*by, label).distinct()
     return labels.join(cut, [*by, label], "left_anti")
 
 
@@ -218,7 +218,7 @@ def voxel_components(labels: DataFrame, by: list[str], label: str, neighbours: i
     comp = components(edges, work)
     named = runs.join(dealt(comp.select(F.col("node").alias("__node"), F.col("component").alias("__of"))), "__node", "left").withColumn("__c", F.coalesce("__of", "__node"))
     least = named.groupBy("__c").agg(F.min(F.struct(*by, F.col("__a").alias("x"), "y", "z")).alias("component"))
-    return own.join(named.join(least, "__c").select(*by, "y", "z", label, "__g", "component"), [*by, "y", "z", label, "__g"]).select(*by, *AXES, label, "component")
+    return own.join(dealt(named.join(least, "__c").select(*by, "y", "z", label, "__g", "component")), [*by, "y", "z", label, "__g"]).select(*by, *AXES, label, "component")
 
 
 #: Width of the tiles by which runs of neighbouring rows meet.
@@ -256,10 +256,10 @@ def _ball(radius: int) -> list[tuple[int, int, int]]:
 
 
 def _framed(labels: DataFrame, by: list[str], sizes: DataFrame | None) -> DataFrame:
-    """Labels with the sizes of their frame; without ``sizes`` it ends at the last row of each axis."""
+    """Labels with the sizes of their frame, a row a volume; without ``sizes`` it ends at the last row of each axis."""
     if sizes is None:
         sizes = labels.groupBy(*by).agg(*[(F.max(a) + 1).alias(f"{a}_size") for a in AXES])
-    return labels.join(sizes.select(*by, *[f"{a}_size" for a in AXES]), by)
+    return labels.join(F.broadcast(sizes.select(*by, *[f"{a}_size" for a in AXES])), by)
 
 
 def _around(framed: DataFrame, by: list[str], label: str, radius: int) -> DataFrame:
@@ -314,7 +314,7 @@ def split_components(labels: DataFrame, by: list[str], label: str, least: int =
     comp = work.write(voxel_components(labels, by, label, neighbours, work))
     sizes = comp.groupBy(*by, label, "component").agg(F.count("*").alias("__n")).filter(F.col("__n") >= least)
     new = numbered(sizes.drop("__n"), by, [label, "component"], "__new", work)
-    return comp.join(new.select("component", "__new"), "component").select(*by, *AXES, F.col("__new").alias(label))
+    return comp.join(dealt(new.select("component", "__new")), "component").select(*by, *AXES, F.col("__new").alias(label))
 
 
 def touching(labels: DataFrame, by: list[str], label: str, radius: int, some: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def touching(labels: DataFrame, by: list[str], label: str, radius: int, some: Da
         near = near.withColumn(f"__t{a}", F.explode(F.expr(f"sequence(cast(floor(({a} - {radius}) / {tile}) AS long), cast(floor(({a} + {radius}) / {tile}) AS long))")))
     other = skin.select(*by, F.col(label).alias("__b"), *[F.col(a).alias(f"__{a}") for a in AXES], *[F.expr(f"cast(floor({a} / {tile}) AS long)").alias(f"__t{a}") for a in AXES])
     close = sum((F.col(a) - F.col(f"__{a}")) * (F.col(a) - F.col(f"__{a}")) for a in AXES) <= radius * radius
-    pairs = near.join(other, [*by, *[f"__t{a}" for a in AXES]]).filter((F.col("__b") != F.col(label)) & close)
+    pairs = near.join(dealt(other), [*by, *[f"__t{a}" for a in AXES]]).filter((F.col("__b") != F.col(label)) & close)
     return pairs.select(*by, F.col(label).alias("a"), F.col("__b").alias("b")).distinct()
 
 
@@ -338,11 +338,11 @@ def merge_small(labels: DataFrame, by: list[str], label: str, least: int = 500,
     comp = work.write(voxel_components(labels, by, label, neighbours, work))
     regions = comp.groupBy(*by, "component").agg(F.count("*").alias("__size"))
     regions = work.write(numbered(regions, by, ["component"], "__region", work))
-    placed = work.write(comp.join(regions.select("component", "__region"), "component").select(*by, *AXES, "__region"))
+    placed = work.write(comp.join(dealt(regions.select("component", "__region")), "component").select(*by, *AXES, "__region"))
     sizes = regions.select(*by, F.col("__region").alias("b"), F.col("__size").alias("weight"))
-    pairs = touching(placed, by, "__region", radius, regions.filter(F.col("__size") < least).select(*by, "__region"))
-    merged = greedy_matching(pairs.join(sizes, [*by, "b"]), by, work).select(*by, F.col("a").alias("__region"), F.col("b").alias("__to"))
-    out = placed.join(merged, [*by, "__region"], "left")
+    pairs = touching(placed, by, "__region", radius, dealt(regions.filter(F.col("__size") < least).select(*by, "__region")))
+    merged = greedy_matching(pairs.join(dealt(sizes), [*by, "b"]), by, work).select(*by, F.col("a").alias("__region"), F.col("b").alias("__to"))
+    out = placed.join(dealt(merged), [*by, "__region"], "left")
     return out.select(*by, *AXES, F.coalesce("__to", "__region").alias(label))
 
 
@@ -354,7 +354,7 @@ def slice_links(labels: DataFrame, by: list[str], label: str, distance: float =
     for t in ("_tx", "_ty"):
         up = up.withColumn(t, F.explode(F.expr(f"sequence({t} - 1, {t} + 1)")))
     close = (F.col("cx") - F.col("_x")) ** 2 + (F.col("cy") - F.col("_y")) ** 2 <= distance * distance
-    return tiled.join(up, [*by, "z", "_tx", "_ty"]).filter(close).select(*by, "z", label, "next_label")
+    return tiled.join(dealt(up), [*by, "z", "_tx", "_ty"]).filter(close).select(*by, "z", label, "next_label")
 
 
 def link_slices(labels: DataFrame, by: list[str], label: str, distance: float = 5.0, work: Workspace | None = None) -> DataFrame:
@@ -364,10 +364,10 @@ def link_slices(labels: DataFrame, by: list[str], label: str, distance: float =
     node = lambda z, lab: F.struct(*by, F.expr(z).alias("z"), F.col(lab).alias("l"))
     comp = components(links.select(node("z", label).alias("u"), node("z + 1", "next_label").alias("v")), work)
     cells = labels.filter(F.col(label) != 0).select(*by, "z", label).distinct().withColumn("node", node("z", label))
-    named = work.write(cells.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"))
+    named = work.write(cells.join(dealt(comp), "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"))
     new = numbered(named.select(*by, "component").distinct(), by, ["component"], "__new", work)
-    named = named.join(new.select("component", "__new"), "component").select(*by, "z", label, "__new")
-    return labels.join(named, [*by, "z", label]).drop(label).withColumnRenamed("__new", label)
+    named = named.join(dealt(new.select("component", "__new")), "component").select(*by, "z", label, "__new")
+    return labels.join(dealt(named), [*by, "z", label]).drop(label).withColumnRenamed("__new", label)
 
 
 #: Named steps of post-processing.

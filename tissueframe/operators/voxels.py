@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..workspace import Workspace
+from ..workspace import Workspace, dealt
 
 AXES = ("x", "y", "z")
 
@@ -336,7 +336,7 @@ def exposed_faces(labels: DataFrame, by: list[str], label: str) -> DataFrame:
     steps = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(s).alias("side")) for a, s in sides])
     step = lambda a, sign: F.when(F.col("__s.axis") == a, sign * F.col("__s.side")).otherwise(0)
     seen = own.withColumn("__s", F.explode(steps)).withColumns({a: F.col(a) + step(a, 1) for a in AXES})
-    bare = seen.join(own, [*by, label, *AXES], "left_anti").withColumns({a: F.col(a) + step(a, -1) for a in AXES})
+    bare = seen.join(dealt(own), [*by, label, *AXES], "left_anti").withColumns({a: F.col(a) + step(a, -1) for a in AXES})
     return bare.select(*by, label, *AXES, "__s.axis", "__s.side")
 
 
