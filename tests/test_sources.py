@@ -25,6 +25,22 @@ def test_specimens_inside_names(spark):
     assert {r.specimen for r in catalog.find_specimen(paths, known.limit(0)).collect()} == {None}
 
 
+def test_a_long_catalog_is_not_sent_to_the_driver(spark):
+    """Tables that are small as files, but hold many names, meet by key; names of many shapes are found as well."""
+    named = spark.range(3000).selectExpr("concat('0', id, '_E', id % 3) AS specimen", "id AS ord")
+    odd = spark.createDataFrame([("\U0001f600-7", -1), ("a.b", -2), ("a1", -4), (None, -3)], "specimen string, ord long")
+    paths = spark.range(40).selectExpr("concat('/x0', id * 5, '_E', id % 2, CASE WHEN id % 7 = 0 THEN '\U0001f600-7' WHEN id % 11 = 0 THEN 'a.b' ELSE '' END) AS path")
+    names, expected = [(r.specimen, r.ord) for r in named.unionByName(odd).collect() if r.specimen], {}
+    for r in paths.collect():
+        expected[r.path] = min(((o, s) for s, o in names if s in r.path), default=(None, None))[1]
+    assert len({v is None for v in expected.values()}) == 2 and "a.b" in expected.values()
+    for most in (500, 2):
+        found = catalog.find_specimen(paths, named.unionByName(odd), most)
+        assert {r.path: r.specimen for r in found.collect()} == expected
+    plan = catalog.find_specimen(paths, named)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "BroadcastHashJoin [specimen" in line]
+
+
 def test_paths_by_type_level_and_filter(spark):
     names = ["/d/Gr2/RawImages/Nuclei/b_0806_E5.nii.gz", "/d/Gr1/RawImages/Nuclei/z_0806_E5.nii.gz", "/d/Gr1/RawImages/Nuclei/a_0806_E5.h5", "/d/Gr1/RawImages/Nuclei/Filtered/0806_E5_f.nii.gz", "/d/Gr1/Features/0806_E5_nuclei.csv", "/d/other/0806_E5.txt"]
     asked = [("0806_E5", "Nuclei", "RawImages", False), ("0806_E5", "Nuclei", "RawImages", True), ("0806_E5", None, "Features", False), ("0806_E5", "Membrane", "RawImages", False)]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import dealt
+
 #: Tissue codes of a reference volume.
 TISSUES = {
     "background": 0, "myocardium": 1, "embryo": 2, "pocket": 3, "somatic": 4, "splanchnic": 5, "proximal": 6, "aorta": 7, "lumen": 8,
@@ -21,16 +23,37 @@ def find_group(specimens: DataFrame, catalog: DataFrame) -> DataFrame:
     return specimens.join(catalog.select("specimen", "stage"), "specimen", "left")
 
 
-def find_specimen(paths: DataFrame, catalog: DataFrame) -> DataFrame:
+#: So many shapes of names (names with all digits alike) rule pieces of paths out.
+SHAPES = 500
+
+
+def _shape(text: Column) -> Column:
+    return F.translate(text, "123456789", "000000000")
+
+
+def find_specimen(paths: DataFrame, catalog: DataFrame, most: int = SHAPES) -> DataFrame:
     """The first specimen of the catalog (by ``ord``) whose name occurs anywhere in a path; null for a path that holds
-    none. The pieces of a path that are as long as a name meet the names by equality, so the catalog may be long; only
-    the distinct lengths of names come to the driver."""
-    lengths = sorted(r[0] for r in catalog.select(F.length("specimen")).filter("specimen <> ''").distinct().collect())
-    if not lengths:
+    none. The pieces of a path that are as long as a name meet the names by equality, dealt by key, so the catalog may be
+    long. Names of numbered specimens are alike but for their digits: where they have no more than ``most`` shapes, these
+    come to the driver and only pieces of such a shape are taken; else the distinct lengths of names come, and all pieces
+    of a length are."""
+    named = catalog.filter("specimen <> ''")
+    shapes = sorted(r[0] for r in named.select(_shape(F.col("specimen"))).distinct().limit(most + 1).collect())
+    if not shapes:
         return paths.withColumn("specimen", F.lit(None).cast("string"))
-    pieces = F.concat(*[F.expr(f"transform(sequence(1, greatest(length(path) - {n - 1}, 1)), i -> substring(path, i, {n}))") for n in lengths])
-    parts = paths.select("path").distinct().select("path", F.explode(F.array_distinct(pieces)).alias("specimen"))
-    hit = parts.join(catalog.select("specimen", "ord"), "specimen").groupBy("path").agg(F.min(F.struct("ord", "specimen"))["specimen"].alias("specimen"))
+    few = len(shapes) <= most
+    lengths = sorted({len(s) for s in shapes} if few else (r[0] for r in named.select(F.length("specimen")).distinct().collect()))
+
+    def pieces(n: int) -> Column:
+        at = F.expr(f"sequence(1, greatest(length(path) - {n - 1}, 1))")
+        if few:
+            own = [s for s in shapes if len(s) == n]
+            at = F.filter(at, lambda i: F.substring(F.col("__shape"), i, F.lit(n)).isin(own))
+        return F.transform(at, lambda i: F.substring(F.col("path"), i, F.lit(n)))
+
+    parts = paths.select("path").distinct().withColumn("__shape", _shape(F.col("path")))
+    parts = parts.select("path", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in lengths]))).alias("specimen"))
+    hit = parts.join(dealt(catalog.select("specimen", "ord")), "specimen").groupBy("path").agg(F.min(F.struct("ord", "specimen"))["specimen"].alias("specimen"))
     return paths.join(hit, "path", "left")
 
 
