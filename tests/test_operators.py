@@ -645,3 +645,20 @@ def test_steps_on_written_labels_meet_by_key(spark, small_files, monkeypatch, st
     got = labels.postprocess(v, [(step, options)], by=["specimen"], label="label", work=work)
     joins = [line for p in work.plans for line in p.split("\n") if "BroadcastHashJoin" in line]
     assert [j for j in joins if "__part" not in j] == [] and got.count() > 0
+
+
+def test_resampling_works_on_voxels_not_frames(spark):
+    """Two far slices of a frame of two billion places; every scale gives what the grid gives, voxel by voxel."""
+    far = spark.createDataFrame([(0, x, y, z, x + y) for x in range(4) for y in range(3) for z in (0, 199_999_999)], "s int, x int, y int, z long, v int")
+    got = voxels.resample_nearest(far, ["s"], {"x": 0.5, "y": 2.0}, "v").collect()
+    assert len(got) == 2 * 6 * 2 and {r.z for r in got} == {0, 199_999_999}
+    rng = np.random.default_rng(5)
+    for scale in (0.3, 0.5, 0.74, 1.0, 1.37, 2.0, 3.1):
+        some = {(0, int(x), int(y), int(z)): int(v) for x, y, z, v in zip(rng.integers(0, 7, 60), rng.integers(0, 5, 60), rng.integers(0, 9, 60), rng.integers(0, 99, 60))}
+        df = spark.createDataFrame([(*k, v) for k, v in some.items()], "s int, x int, y int, z int, v int")
+        n = [1 + max(k[i] for k in some) for i in (1, 2, 3)]
+        m = [max(round(c * scale), 1) for c in n]
+        axis = [[min(math.floor((t + 0.5) * n[i] / m[i]), n[i] - 1) for t in range(m[i])] for i in range(3)]
+        want = {(x, y, z, some[0, a, b, c]) for x, a in enumerate(axis[0]) for y, b in enumerate(axis[1]) for z, c in enumerate(axis[2]) if (0, a, b, c) in some}
+        found = [(r.x, r.y, r.z, r.v) for r in voxels.resample_nearest(df, ["s"], dict.fromkeys("xyz", scale), "v").collect()]
+        assert len(found) == len(set(found)) and set(found) == want, scale

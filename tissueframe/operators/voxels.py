@@ -198,13 +198,17 @@ def mean_histogram(df: DataFrame, cell: list[str], bins: int = 100, value: str =
 
 
 def resample_nearest(df: DataFrame, by: list[str], scale: dict[str, float], value: str) -> DataFrame:
-    """A grid of round(n scale) voxels along each axis, each with the value of the nearest old one; dense volumes."""
+    """A grid of round(n scale) voxels along each axis, each with the value of the nearest old one; dense volumes. Each old
+    voxel names the new ones that are nearest to it, so a frame that is mostly empty isn't spelled out."""
     sizes = df.groupBy(*by).agg(*[(F.max(a) + 1).alias(f"_n{a}") for a in AXES])
-    grid = sizes
+    sizes = sizes.withColumns({f"_m{a}": F.greatest(F.bround(F.col(f"_n{a}") * F.lit(scale.get(a, 1.0))).cast("long"), F.lit(1)) for a in AXES})
+    out = df.select(*by, *AXES, value).join(F.broadcast(sizes), by)
     for a in AXES:
-        grid = grid.withColumn(f"_m{a}", F.greatest(F.bround(F.col(f"_n{a}") * F.lit(scale.get(a, 1.0))).cast("long"), F.lit(1))).withColumn(f"_t{a}", F.explode(F.expr(f"sequence(0L, _m{a} - 1)")))
-        grid = grid.withColumn(a, F.least(F.floor((F.col(f"_t{a}") + 0.5) * F.col(f"_n{a}") / F.col(f"_m{a}")), F.col(f"_n{a}") - 1))
-    out = grid.join(df.select(*by, *AXES, value), [*by, *AXES])
+        # Bounds by division, a place wider on either side, and then the places that fall on the voxel.
+        first = f"least(greatest(floor({a} * _m{a} / greatest(_n{a}, 1) - 15e-1), 0), _m{a} - 1)"
+        last = f"least(greatest(ceil(({a} + 1) * _m{a} / greatest(_n{a}, 1) + 5e-1), 0), _m{a} - 1)"
+        nearest = F.expr(f"filter(sequence({first}, {last}), t -> least(floor((t + 5e-1) * _n{a} / _m{a}), _n{a} - 1) = {a})")
+        out = out.withColumn(f"_t{a}", F.explode(nearest))
     return out.select(*by, *[F.col(f"_t{a}").alias(a) for a in AXES], value)
 
 
