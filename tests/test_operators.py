@@ -662,3 +662,12 @@ def test_resampling_works_on_voxels_not_frames(spark):
         want = {(x, y, z, some[0, a, b, c]) for x, a in enumerate(axis[0]) for y, b in enumerate(axis[1]) for z, c in enumerate(axis[2]) if (0, a, b, c) in some}
         found = [(r.x, r.y, r.z, r.v) for r in voxels.resample_nearest(df, ["s"], dict.fromkeys("xyz", scale), "v").collect()]
         assert len(found) == len(set(found)) and set(found) == want, scale
+
+
+def test_candidates_of_decays_are_not_sent_to_the_driver(spark, small_files):
+    """A round has thousands of candidates a volume, though its table has a row a volume."""
+    work = Watched(spark)
+    rows = [(s, z, 10 * s + 100 / (1 + math.exp(0.5 * (z - 9 - s)))) for s in (1, 2) for z in range(20)]
+    got = cohort.decay_fit(spark.createDataFrame(rows, "specimen int, z int, foreground double"), ["specimen"], work=work)
+    assert len(work.plans) > 3 and not any("BroadcastExchange" in p for p in work.plans)
+    assert all(r.converged and abs(r.a - 100) < 0.01 and abs(r.c - 9 - r.specimen) < 0.01 for r in got.collect())

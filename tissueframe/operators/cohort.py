@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..workspace import Workspace
+from ..workspace import Workspace, dealt
 
 
 def stage_counts(cells: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -145,27 +145,28 @@ def decay_fit(profile: DataFrame, by: list[str], model: str = "logistic", value:
     table of candidates over all of them, then over two steps around the best, until steps are below 1e-7 of the bounds; a
     round doubles its steps where the best lies on the edge of its table and its error is less by a millionth. ``converged`` is
     false for a volume whose search ends at a bound, as in a profile without such a decay, or hasn't ended after ``rounds``.
-    Each round is a written table of a row a volume; candidates meet points by a join and leave sums alone. Exponential
-    parts come in the order of their rates."""
+    Each round is a written table of a row a volume, which meets the points dealt by volume; candidates are spelled out
+    beside the points and leave sums alone. Exponential parts come in the order of their rates."""
     work, m = work or Workspace(profile.sparkSession), DECAYS[model]
     n, (first, later) = len(m.ranges), SEARCH[len(m.ranges)]
     finite = lambda c: F.abs(F.col(c)) < F.lit(math.inf)
     points = profile.select(*by, F.col("z").cast("double").alias("__z"), F.col(value).cast("double").alias("__y")).filter(finite("__z") & finite("__y"))
     ends = points.groupBy(*by).agg(F.min("__z").alias("__low"), (F.max("__z") - F.min("__z")).alias("__span"), F.count("*").alias("__n"))
     points = work.write(points.join(ends.filter((F.col("__n") >= m.need) & (F.col("__span") > 0)), by).withColumn("__t", (F.col("__z") - F.col("__low")) / F.col("__span")))
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = [F.col(f"__p{k}") for k in range(n)]
     step, active, half = F.col("__step"), points.select(*by, "__low", "__span").distinct(), first
     active = active.select("*", *[F.lit((a + b) / 2).alias(f"__p{k}") for k, (a, b) in enumerate(m.ranges)], F.lit(1 / max(2 * first, 1)).alias("__step"), F.lit(math.inf).alias("__was"))
     ended = []
     for turn in range(rounds if n else 1):
-        table = active.drop("__low", "__span")
+        table = points.repartition(tasks, *by).join(dealt(active.drop("__low", "__span")), by)
         for k, (a, b) in enumerate(m.ranges):
             table = table.withColumn(f"__o{k}", F.explode(F.sequence(F.lit(-half), F.lit(half)))).withColumn(f"__p{k}", at[k] + F.col(f"__o{k}") * step * (b - a)).filter(at[k].between(a, b))
         if len(m.parts(F.lit(0.0), F.lit(0.0), at)) == 2:
             table = table.filter(at[0] < at[1])
         tried = [f"__{c}{k}" for c in "po" for k in range(n)]
         sums, solve = _best_factors(m, F.col("__y"), m.parts(F.col("__z"), F.col("__t"), at))
-        sums = points.join(table, by).groupBy(*by, "__low", "__span", "__step", "__was", *tried).agg(*sums)
+        sums = table.groupBy(*by, "__low", "__span", "__step", "__was", *tried).agg(*sums)
         error, factors = solve()
         error = F.when(error.isNotNull(), error).otherwise(math.nan)
         best = sums.groupBy(*by, "__low", "__span", "__step", "__was").agg(F.min(F.struct(error.alias("__error"), *tried, *[f.alias(f"__f{k}") for k, f in enumerate(factors)])).alias("__b"))
