@@ -671,3 +671,24 @@ def test_candidates_of_decays_are_not_sent_to_the_driver(spark, small_files):
     got = cohort.decay_fit(spark.createDataFrame(rows, "specimen int, z int, foreground double"), ["specimen"], work=work)
     assert len(work.plans) > 3 and not any("BroadcastExchange" in p for p in work.plans)
     assert all(r.converged and abs(r.a - 100) < 0.01 and abs(r.c - 9 - r.specimen) < 0.01 for r in got.collect())
+
+
+def test_neighborhood_sizes_in_parts_leave_little_on_disk(spark, tmp_path):
+    """Parts give what all pairs give, and their tables are gone afterwards."""
+    from pathlib import Path
+
+    from tissueframe.operators import atlas
+
+    n = 8
+    v = spark.createDataFrame([(x + n * y, float(x), float(y), 0.1 * (x * y % 3)) for x in range(n) for y in range(n)], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([(2 * (x + n * y) + k, *(a + x + n * y for a in c), 0) for x in range(n - 1) for y in range(n - 1) for k, c in enumerate(((0, 1, n), (1, n + 1, n)))], "fid long, v0 long, v1 long, v2 long, cell_id int")
+    near = atlas.face_neighborhoods(v, f, 2.0)
+    want = {r.face: (r.n, r.d) for r in near.groupBy("face").agg(F.count("*").alias("n"), F.avg("dist").alias("d")).collect()}
+    work = Workspace(spark)
+    root = Path(work.base.removeprefix("file://")).parent
+    before = set(root.iterdir())
+    got = {r.face: (r.n, r.dist) for r in atlas.neighborhood_sizes(v, f, 2.0, work, most=30).collect()}
+    assert len(got) == f.count() and {k: c for k, (c, _) in got.items()} == {k: c for k, (c, _) in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    parts = [p for p in root.iterdir() if p not in before and p != Path(work.base.removeprefix("file://"))]
+    assert len(parts) == 4 and not [x for p in parts for x in p.rglob("*.parquet")]
